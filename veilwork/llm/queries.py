@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, decontaminate, exact_dedup
+from veilwork.llm import bpe, decontaminate, exact_dedup, language_id, sharding, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.byte_level_pieces(tokenizer_path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces).select("doc_id", "n_words", "n_tokens")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = [f"shard-{n:04d}" for n in range(512)]
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), shards)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -40,10 +50,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.fold(F.col("doc_id")) == 2)
+    prototypes = language_id.learn_prototypes(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op10_language_id": op10_language_id,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
