@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from veilwork.llm.shared import broadcast_parameter, once_per_worker
 
 #: Words whose encoding a Python worker keeps; the memory is dropped when it is full.
-WORD_MEMORY = 300_000
+WORD_MEMORY = 200_000
 #: Pairs of state and token whose arc a worker remembers.
-ARC_MEMORY = 500_000
+ARC_MEMORY = 300_000
 
 #: How byte-level vocabularies split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,6 +173,25 @@ class Automaton:
         return path
 
 
+class Labels:
+    """What each token id of a byte-level BPE tokenizer file stands for."""
+
+    def __init__(self, content: bytes):
+        spec = json.loads(content)
+        letters = byte_letters()
+        self.labels = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        self.labels |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+    def text(self, ids: list[int]) -> str:
+        """The arc labels of a path, joined. Bytes that are not UTF-8 become U+FFFD; ids without a label are left out."""
+        labels = self.labels
+        try:
+            joined = b"".join(map(labels.__getitem__, ids))
+        except KeyError:
+            joined = b"".join(labels.get(i, b"") for i in ids)
+        return joined.decode("utf-8", "replace")
+
+
 class Tokenizer:
     """A byte-level BPE tokenizer file: added tokens, word split, automaton."""
 
@@ -186,7 +205,6 @@ class Tokenizer:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.automaton = Automaton({raw(t): i for t, i in model["vocab"].items()}, [(raw(a), raw(b)) for a, b in pairs])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.labels = dict(self.automaton.label) | {i: t.encode() for t, i in self.added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words, self.words_newer = regex.compile(WORDS), regex.compile(WORDS_NEWER, regex.V1)
         self.newer = regex.compile(f"[{NEWER_SET}]")
@@ -209,15 +227,6 @@ class Tokenizer:
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.pieces.part(first) + b"".join(map(self.pieces.__getitem__, rest))
 
-    def text(self, ids: list[int]) -> str:
-        """The arc labels of a path, joined. Bytes that are not UTF-8 become U+FFFD; ids without a label are left out."""
-        labels = self.labels
-        try:
-            joined = b"".join(map(labels.__getitem__, ids))
-        except KeyError:
-            joined = b"".join(labels.get(i, b"") for i in ids)
-        return joined.decode("utf-8", "replace")
-
 
 class _Pieces(dict):
     """What parts of a text between white space encode to; a part stands for itself after a space or line end."""
@@ -254,14 +263,14 @@ class _Pieces(dict):
         return out
 
 
-def _loaded(df: DataFrame, tokenizer: str | bytes):
+def _loaded(df: DataFrame, tokenizer: str | bytes, kind: type):
     """Broadcast the file's content: the driver reads it, so executors need not have the path."""
     if isinstance(tokenizer, str):
         with open(tokenizer, "rb") as f:
             tokenizer = f.read()
     digest = hashlib.sha256(tokenizer).hexdigest()
     shared = broadcast_parameter(df.sparkSession, tokenizer, len(tokenizer))
-    return lambda: once_per_worker(("bpe", digest), lambda: Tokenizer(shared.value))
+    return lambda: once_per_worker((kind.__name__, digest), lambda: kind(shared.value))
 
 
 def encode(df: DataFrame, tokenizer: str | bytes, text: str = "text", out: str = "ids") -> DataFrame:
@@ -273,7 +282,7 @@ def encode(df: DataFrame, tokenizer: str | bytes, text: str = "text", out: str =
     empty text gives an empty array; an empty table gives an empty table. Texts are encoded whole.
     No shuffle: each task encodes its own Arrow batches.
     """
-    load = _loaded(df, tokenizer)
+    load = _loaded(df, tokenizer, Tokenizer)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -294,7 +303,7 @@ def decode(df: DataFrame, tokenizer: str | bytes, ids: str = "ids", out: str = "
     Null gives null, an empty array the empty text; ids outside the vocabulary and null elements stand
     for nothing; bytes that do not form UTF-8 become U+FFFD. A column that is already called out is replaced.
     """
-    load = _loaded(df, tokenizer)
+    load = _loaded(df, tokenizer, Labels)
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
