@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, decontaminate, exact_dedup, language_id, sharding, token_counts
+from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, quality, sharding, token_counts, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +42,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), n_grades=3)
+    return quality.score(docs, model, wanted=2).select("doc_id", "expected_grade", "tail_probability", quality.passes(F.col("tail_probability")).alias("kept"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -50,6 +56,18 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.short_reply_pairs(table(spark, sf_dir, "conversations")))
+
+
+#: Verdicts by host and beginning of the path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.fold(F.col("doc_id")) == 2)
     prototypes = language_id.learn_prototypes(docs.where(~F.col("held_out")))
@@ -61,7 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_chat": op8_chat,
+    "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
 
@@ -73,4 +94,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op8_chat": """
+        WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+        t AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS c,
+                     coalesce(CASE WHEN turn = last AND role = 'assistant' THEN split_part(text, '. ', 1) ELSE text END, '') AS r
+              FROM conversations LEFT JOIN l USING (conv_id)),
+        f AS (SELECT pair_id, min(turn) AS first FROM t WHERE c <> r GROUP BY 1),
+        s AS (SELECT pair_id, CASE WHEN turn < coalesce(first, turn + 1) THEN 'prompt' ELSE 'chosen' END AS part, turn, role, c AS text
+              FROM t LEFT JOIN f USING (pair_id)
+              UNION ALL SELECT pair_id, 'rejected', turn, role, r FROM t JOIN f USING (pair_id) WHERE turn >= first)
+        SELECT pair_id, part, turn, role,
+               '<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+               || '<|im_end|>' || chr(10) AS segment,
+               part <> 'prompt' AND role = 'assistant' AS trained
+        FROM s""",
 }
