@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, quality, sharding, token_counts, url_filter
+from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, quality, sharding, token_counts, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +42,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), n_grades=3)
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_chat": op8_chat,
