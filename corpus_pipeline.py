@@ -1,3 +1,68 @@
-"""Corpus preparation, from raw documents to token counts."""
-QUERIES: dict = {}
-SQL: dict = {}
+"""Corpus preparation from raw documents to text that went through the tokenizer, as five stages in a row.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps. All but the last return the columns
+of documents; run() writes each result as Parquet in the shared folder and reads it as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilwork.llm import bpe, decontaminate, exact_dedup, minhash, quality
+from veilwork.llm.queries import table, tokenizer_path
+from veilwork.llm.shared import staged
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that more likely than not are bad or toxic."""
+    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), n_grades=3)
+    return quality.select(docs, model, wanted=2)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keep the smallest doc_id."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates by shingles of five words, keep the smallest doc_id."""
+    return minhash.near_dedup(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a window of ten benchmark words occurs."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode each text, and keep how many tokens it has and whether they decode to it again."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), path), path)
+    return both.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", keep_good),
+    ("exact_dedup", drop_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("bpe_encoding", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: SQL can express neither the classifier nor the tokenizer; tests compare the stages with brute force.
+ORACLE_SQL: str | None = None
+
+QUERIES = {"pipeline": run}
+SQL = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
