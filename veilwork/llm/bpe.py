@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from veilwork.llm.shared import broadcast_parameter, once_per_worker
 
 #: Words whose encoding a Python worker keeps; the memory is dropped when it is full.
-WORD_MEMORY = 200_000
+WORD_MEMORY = 150_000
+#: Longer words seldom come again and are not kept.
+LONG_WORD = 10
 #: Pairs of state and token whose arc a worker remembers.
 ARC_MEMORY = 300_000
 
@@ -240,6 +242,8 @@ class _Pieces(dict):
         out = self.before[0].get(key)
         if out is None:
             out = self.part(key if key[:1] == "\n" else " " + key)
+            if len(key) > LONG_WORD:
+                return out
         if len(self) >= WORD_MEMORY:
             self.before = dict(self), self.before[1]
             self.clear()
@@ -257,6 +261,8 @@ class _Pieces(dict):
             out = self.before[1].get(word)
             if out is None:
                 out = array("i", self.tokenizer.automaton.encode(word.encode())).tobytes()
+                if len(word) > LONG_WORD:
+                    return out
             if len(self.memory) >= WORD_MEMORY // 2:
                 self.before, self.memory = (self.before[0], self.memory), {}
             self.memory[word] = out
