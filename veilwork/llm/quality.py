@@ -26,7 +26,7 @@ from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker
 #: Weights; tokens are hashed into so many.
 BUCKETS = 1 << 16
 #: The most labelled rows that a fit uses; they are chosen by a hash of the id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Tokens whose bucket a Python worker keeps; the memory is dropped when it is full.
 TOKEN_MEMORY = 300_000
 
@@ -84,13 +84,15 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     """
     w, gaps = np.zeros(BUCKETS), np.zeros(n_grades - 1)
     if len(rows):
-        at = np.concatenate([r[0] for r in rows]).astype(np.int64)
-        value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-        ends = np.cumsum([len(r[0]) for r in rows])
-        doc = np.repeat(np.arange(len(rows)), np.diff(np.concatenate([[0], ends])))
-        often = np.bincount(at, minlength=BUCKETS) >= min(least_rows, len(rows))
-        doc, value = doc[often[at]], value[often[at]]
-        used, at = np.unique(at[often[at]], return_inverse=True)
+        seen = np.zeros(BUCKETS, np.int64)
+        for own, _ in rows:
+            seen[own] += 1
+        often = seen >= min(least_rows, len(rows))
+        rows = [(own[keep := often[own]], value[keep]) for own, value in rows]
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+        value = np.concatenate([r[1] for r in rows])
+        used, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        at = at.astype(np.int32)
         weight = 1 / len(rows)
         theta = np.concatenate([np.zeros(len(used)), gaps])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
