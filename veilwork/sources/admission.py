@@ -21,7 +21,6 @@ FAILURES = (
     ("locked_pdf", (("password", "pdf"), ("encrypted",))),
     ("broken_pdf", (("invalid pdf",), ("corrupt",), ("InvalidPDFException",))),
     ("too_large", (("too large",), ("exceeds",))),
-    ("load_failed", (("failed to fetch",), ("network",))),
 )
 OTHER_FAILURE = "unexpected"
 
