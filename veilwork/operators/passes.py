@@ -32,11 +32,12 @@ def probe_rotation(probe_tokens: DataFrame) -> DataFrame:
 
     probe_tokens has a column rotation beside those of tokens.
     """
-    line = F.col("line_id") + F.col("rotation") * 1_000_000  # keeps the rotations of a page apart in line windows
-    rows = probe_tokens.where(F.col("rotation").isin(*ROTATIONS)).withColumn("line_id", line)
-    hits = merge_id12(detect_id12_triplets(rows), detect_id12_inline(rows)).select(*PAGE, "line_id").unionByName(detect_pan(rows).select(*PAGE, "line_id"))
+    # Each rotation counts as a page of its own.
+    page = F.col("page_index") * 1000 + F.col("rotation")
+    rows = probe_tokens.where(F.col("rotation").isin(*ROTATIONS)).withColumn("page_index", page)
+    hits = merge_id12(detect_id12_triplets(rows), detect_id12_inline(rows)).select(*PAGE).unionByName(detect_pan(rows).select(*PAGE))
+    scores = hits.groupBy("doc_id", F.floor(F.col("page_index") / 1000).cast("long").alias("page_index"), F.pmod("page_index", F.lit(1000)).cast("int").alias("rotation")).agg(F.count("*").alias("score"))
     order = F.array_position(F.array(*(F.lit(r) for r in ROTATIONS)), F.col("rotation"))
-    scores = hits.groupBy(*PAGE, F.floor((F.col("line_id") + 500_000) / 1_000_000).cast("int").alias("rotation")).agg(F.count("*").alias("score"))
     best = Window.partitionBy(*PAGE).orderBy(F.desc("score"), order)
     return scores.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == 1).drop("_rank")
 

@@ -9,10 +9,11 @@ from veilwork.functions import geometry as G
 from veilwork.functions import text as X
 from veilwork.functions.checksum import verhoeff_valid_native
 from veilwork.operators import audit, detect, intake, passes, raster, reports, review
-from veilwork.plans.fixtures import codes_table, derived
-from veilwork.plans.queries import _COMMON, _PAGE, _TEXT, _codes, _faces, _valid, flat, page_detections, query, recursive
+from veilwork.plans.fixtures import derived
+from veilwork.plans.queries import _COMMON, _PAGE, _TEXT, _faces, _valid, flat, page_detections, query, recursive, text_detections
 from veilwork.sources import admission, export
 from veilwork.sources import tokens as token_sources
+from veilwork.sources.staging import written_once
 
 # Sources and admission
 
@@ -190,9 +191,9 @@ def uncertain_report(spark: SparkSession, d: str) -> DataFrame:
 # Export
 
 @recursive
-@query(f"""WITH {_PAGE}, n AS (SELECT doc_id, page_index, count(*) AS n FROM detections GROUP BY 1, 2)
+@query(f"""WITH {_PAGE}, per_page AS (SELECT doc_id, page_index, count(*) AS n FROM detections GROUP BY 1, 2)
     SELECT doc_id, min(kind) AS kind, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms, count(*) AS n_pages,
-    string_agg(concat(page_index, ':', coalesce(n, 0)), ',' ORDER BY page_index) AS pages FROM pages_ LEFT JOIN n USING (doc_id, page_index) GROUP BY 1""", *_NEEDS)
+    string_agg(concat(page_index, ':', coalesce(n, 0)), ',' ORDER BY page_index) AS pages FROM pages_ LEFT JOIN per_page USING (doc_id, page_index) GROUP BY 1""", *_NEEDS)
 def assemble_document(spark: SparkSession, d: str) -> DataFrame:
     rows = export.assemble_document(page_detections(spark, d), derived(spark, d, "pages"))
     text = F.array_join(F.transform("pages", lambda p: F.concat(p["page_index"].cast("string"), F.lit(":"), p["detections"].cast("string"))), ",")
@@ -200,9 +201,9 @@ def assemble_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 @recursive
-@query(f"""WITH {_REVIEW}, m AS (SELECT doc_id, page_index, count(*) AS n, sum(mask_x) AS sx, sum(mask_h) AS sh FROM masks WHERE enabled GROUP BY 1, 2)
+@query(f"""WITH {_REVIEW}, per_page AS (SELECT doc_id, page_index, count(*) AS n, sum(mask_x) AS sx, sum(mask_h) AS sh FROM masks WHERE enabled GROUP BY 1, 2)
     SELECT doc_id, page_index, kind, width_pt, CAST(coalesce(n, 0) + (doc_id % 10 = 0)::INT AS INT) AS n_masks, coalesce(sx, 0) + (doc_id % 10 = 0)::INT AS sum_x, coalesce(sh, 0) + 2 * (doc_id % 10 = 0)::INT AS sum_h
-    FROM pages_ LEFT JOIN m USING (doc_id, page_index)""", *_NEEDS)
+    FROM pages_ LEFT JOIN per_page USING (doc_id, page_index)""", *_NEEDS)
 def export_manifest(spark: SparkSession, d: str) -> DataFrame:
     pages = derived(spark, d, "pages")
     manual = pages.where("doc_id % 10 = 0").select("doc_id", "page_index", F.lit("m1").alias("box_id"), G.box(F.lit(1), F.lit(1), F.lit(2), F.lit(2)).alias("box"))
@@ -219,7 +220,7 @@ _ENHANCED = f"""{_TEXT}, other AS (SELECT * REPLACE (doc_id + 1 AS doc_id) FROM
 
 @query(f"WITH {_ENHANCED} SELECT kind, {_COMMON} FROM picked", "tokens")
 def pick_enhanced(spark: SparkSession, d: str) -> DataFrame:
-    raw = detect.detect_text(derived(spark, d, "tokens")).drop("part", "place")
+    raw = text_detections(spark, d)
     return flat(passes.pick_enhanced(raw, raw.withColumn("doc_id", F.col("doc_id") + 1)), "bbox", "mask_bbox")
 
 
@@ -242,7 +243,7 @@ def probe_rotation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_PROBE}, own AS (SELECT kind, {_COMMON} FROM texts WHERE doc_id % 2 = 0), turned AS (SELECT w.* FROM winners w WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = w.doc_id AND o.page_index = w.page_index))
     SELECT kind, {_COMMON} FROM own UNION ALL SELECT kind, {_COMMON} FROM texts JOIN turned USING (doc_id, page_index) WHERE rotation = 270""", "tokens")
 def apply_rotation(spark: SparkSession, d: str) -> DataFrame:
-    text = detect.detect_text(derived(spark, d, "tokens")).drop("part", "place")
+    text = text_detections(spark, d)
     rotated = text.withColumn("rotation", F.lit(270))
     return flat(passes.apply_rotation(text.where("doc_id % 2 = 0"), passes.probe_rotation(probe_tokens(spark, d)), rotated), "bbox", "mask_bbox")
 
@@ -276,9 +277,9 @@ def translate_band_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def _recovered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     full, pages = derived(spark, d, "tokens"), derived(spark, d, "pages")
-    current = detect.detect_text(full).drop("part", "place")
+    current = text_detections(spark, d)
     moved = passes.translate_band_tokens(band_tokens(spark, d), passes.band_plan(pages), full)
-    return current, passes.recover_from_bands(full, moved, current, pages)
+    return current, written_once(spark, "recovered", d, lambda: passes.recover_from_bands(full, moved, current, pages))
 
 
 @query()
@@ -423,8 +424,8 @@ def accuracy_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @recursive
-@query(f"""WITH {_PAGE}, n AS (SELECT row_number() OVER (ORDER BY name, doc_id) AS no, * FROM manifest), f AS (SELECT doc_id, count(*) AS c, count(*) FILTER (WHERE suspicious) AS u FROM detections GROUP BY 1)
-    SELECT concat('sample-', CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END) AS sample, num_pages, coalesce(c, 0) AS detections, coalesce(u, 0) AS uncertain FROM n LEFT JOIN f USING (doc_id)""", "tokens", "faces", "codes", "manifest")
+@query(f"""WITH {_PAGE}, named AS (SELECT row_number() OVER (ORDER BY name, doc_id) AS no, * FROM manifest), f AS (SELECT doc_id, count(*) AS c, count(*) FILTER (WHERE suspicious) AS u FROM detections GROUP BY 1)
+    SELECT concat('sample-', CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END) AS sample, num_pages, coalesce(c, 0) AS detections, coalesce(u, 0) AS uncertain FROM named LEFT JOIN f USING (doc_id)""", "tokens", "faces", "codes", "manifest")
 def regression_log(spark: SparkSession, d: str) -> DataFrame:
     return reports.regression_log(page_detections(spark, d), derived(spark, d, "manifest"))
 

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.functions import geometry as G
-from veilwork.functions import text as X
 from veilwork.functions.checksum import check_digit_sql, verhoeff_check_digit, verhoeff_fold_sql, verhoeff_valid
-from veilwork.operators import audit, detect, intake, passes, raster, reports, review
+from veilwork.operators import detect, reports
 from veilwork.plans.fixtures import codes_table, ctes, derived
-from veilwork.sources import admission, export, tokens as token_sources
+from veilwork.sources.staging import written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,10 +240,16 @@ _PAGE = f"""{_TEXT}, {_KEPT_FACES}, {_KEPT_CODES},
 
 
 def page_detections(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect_page(derived(spark, d, "tokens"), _faces(spark, d), _codes(spark, d))
+    """Reviews, exports and reports read the detections as a written table, as they would in production."""
+    build = lambda: detect.detect_page(derived(spark, d, "tokens"), _faces(spark, d), _codes(spark, d))
+    return written_once(spark, "detections", d, build)
+
+
+def text_detections(spark: SparkSession, d: str) -> DataFrame:
+    return written_once(spark, "texts", d, lambda: detect.detect_text(derived(spark, d, "tokens")).drop("part", "place"))
 
 
 @recursive
 @query(f"WITH {_PAGE} SELECT kind, detection_index, {_COMMON} FROM detections", "tokens", "faces", "codes")
 def detect_page(spark: SparkSession, d: str) -> DataFrame:
-    return flat(page_detections(spark, d), "bbox", "mask_bbox")
+    return flat(detect.detect_page(derived(spark, d, "tokens"), _faces(spark, d), _codes(spark, d)), "bbox", "mask_bbox")
