@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import free_name, staged
+from veilwork.llm.shared import broadcast_parameter, free_name, staged
 
 #: Bands and rows of a band; pairs at a similarity of 0.8 are missed with a chance below 1 in 10,000.
 BANDS, ROWS = 32, 6
@@ -135,6 +135,28 @@ def shingle_sets(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     return df.mapInArrow(sets, "id long, elements array<long>")
 
 
+#: Bits of the filter that names candidate ids to the scan; its size is the same for any input.
+FILTER_BITS = 1 << 24
+
+
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df (id, text) whose id is in ids (rep), and a few others: a filter of fixed size is broadcast, so that
+    texts are not shuffled for a join that thins them."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = ids.select(bit("rep").alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")).toArrow()
+    flags = np.zeros(FILTER_BITS // 32, np.int64)
+    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = broadcast_parameter(df.sparkSession, flags.astype(np.uint32).tobytes(), FILTER_BITS // 8)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shared.value, np.uint32)
+        for batch in batches:
+            bits = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array((held[bits // 32] >> (bits % 32).astype(np.uint32) & 1).astype(bool))).select(["id", "text"])
+
+    return df.where(F.col("id").isNotNull()).withColumn("bit", bit("id")).mapInArrow(some, "id long, text binary")
+
+
 def _root(parent: dict[int, int], x: int) -> int:
     while (up := parent.setdefault(x, x)) != x:
         parent[x] = x = parent.setdefault(up, up)
@@ -277,7 +299,7 @@ def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     counts = staged(counts.groupBy("members", "sum", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "members"), "buckets")
     buckets = staged(rows_of.join(counts, "bucket"), "members")
     degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
-    sets = staged(shingle_sets(source.join(degree.select(F.col("rep").alias("id")), "id", "left_semi"), size), "sets")
+    sets = staged(shingle_sets(_among(source, degree.select("rep")), size), "sets")
     # First all members of a bucket against its most central one.
     central = buckets.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", -F.col("rep"), "n")).alias("pivot"))
     central = central.select("bucket", (-F.col("pivot.col2")).alias("pivot"), F.col("pivot.n").alias("pivot_n"))
