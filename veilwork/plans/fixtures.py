@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.functions.checksum import check_digit_sql
+from veilwork.sources.staging import written_once
 
 _IDS = f"""
     SELECT k, CASE WHEN k % 8 = 5 THEN concat(body, CAST((CAST(c AS INT) + 1) % 10 AS STRING)) ELSE concat(body, c) END AS id
@@ -108,9 +109,15 @@ NEEDS = {"ids": ["orders"], "tokens": ["ids", "customer"], "pages": ["tokens"],
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table, lazily, from the given tables."""
+    """A derived table from the given tables."""
     if name not in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("ids", "tokens", "pages"):  # written once, as recognised tokens would be; else their arithmetic is planned again in each use
+        return written_once(spark, f"derived-{name}", sf_dir, lambda: _planned(spark, sf_dir, name))
+    return _planned(spark, sf_dir, name)
+
+
+def _planned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, views = TABLES[name], {}
     for n in NEEDS[name]:
         views[n] = derived(spark, sf_dir, n)
