@@ -26,7 +26,7 @@ from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker
 #: Weights; tokens are hashed into so many.
 BUCKETS = 1 << 16
 #: The most labelled rows that a fit uses; they are chosen by a hash of the id.
-FIT_ROWS = 8_000
+FIT_ROWS = 4_000
 #: Tokens whose bucket a Python worker keeps; the memory is dropped when it is full.
 TOKEN_MEMORY = 300_000
 
