@@ -93,6 +93,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+def _level_sql(level: int) -> str:
+    """One level of the path-template tree in SQL: pages p{level} to p{level + 1}."""
+    segment = "'**'" if level == url_filter.DEPTH else f"'=' || parts[{level + 1}]"
+    return f"""
+        s{level} AS (SELECT *, CASE WHEN len(parts) <= {level} THEN '' ELSE {segment} END AS segment FROM p{level}),
+        c{level} AS (SELECT host, template, segment, count(*) AS n, count(label) AS l, coalesce(sum(label), 0)::BIGINT AS b FROM s{level} GROUP BY ALL),
+        v{level} AS (SELECT *, count(*) OVER w AS children, sum(n) OVER w AS all_n, (sum(l) OVER w)::BIGINT AS all_l, (sum(b) OVER w)::BIGINT AS all_b
+                     FROM c{level} WINDOW w AS (PARTITION BY host, template)),
+        d{level} AS (SELECT host, template, segment, CASE WHEN segment = '' THEN '' WHEN segment = '**' THEN '/**'
+                     WHEN children > {url_filter.CHILDREN} OR (children > 4 AND children >= {url_filter.VARIABLE}::DOUBLE * all_n) THEN '/*'
+                     WHEN l = 0 OR l = all_l OR all_b IN (0, all_l) THEN '/~'
+                     WHEN abs(b / l - (all_b - b) / (all_l - l)) <= {url_filter.SIMILAR}::DOUBLE * sqrt(all_b / all_l * (1 - all_b / all_l) * (1 / l + 1 / (all_l - l))) THEN '/~'
+                     ELSE '/' || substr(segment, 2) END AS step FROM v{level}),
+        p{level + 1} AS (SELECT s.* EXCLUDE (segment, template), s.template || step AS template FROM s{level} s JOIN d{level} d
+                         ON s.host = d.host AND s.template = d.template AND s.segment = d.segment),"""
+
+
+def url_filter_sql() -> str:
+    """The verdicts over pages in SQL; longer rules come first, as the longest that fits decides."""
+    fits = []
+    for says, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        name, slash, rest = rule.partition("/")
+        fits.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}')", rule, says))
+    weight = f"{url_filter.SMOOTHING}::DOUBLE"
+    return rf"""
+        WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT *, CASE {" ".join(f"WHEN {f} THEN '{rule}'" for f, rule, _ in fits)} END AS rule,
+              CASE {" ".join(f"WHEN {f} THEN '{says}'" for f, _, says in fits)} END AS says FROM u),
+        p0 AS (SELECT *, CASE says WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS label, string_split(regexp_replace(path, '^/', ''), '/') AS parts, '' AS template FROM r),
+        {"".join(map(_level_sql, range(url_filter.DEPTH + 1)))}
+        a AS (SELECT coalesce(sum(label) / nullif(count(label), 0), 0) AS share FROM p0),
+        f AS (SELECT *, count(label) OVER t AS l, coalesce(sum(label) OVER t, 0) AS b,
+              (coalesce(sum(label) OVER h, 0) + {weight} * share) / (count(label) OVER h + {weight}) AS host_share
+              FROM p{url_filter.DEPTH + 1}, a WINDOW t AS (PARTITION BY host, template), h AS (PARTITION BY host))
+        SELECT page_id, host, path, rule,
+               coalesce(says, CASE WHEN (b + {weight} * host_share) / (l + {weight}) > {url_filter.PURITY}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+        FROM f"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_NORMAL}) AS text_sha256 FROM documents)
@@ -113,4 +153,5 @@ ORACLE_SQL: dict[str, str] = {
                || '<|im_end|>' || chr(10) AS segment,
                part <> 'prompt' AND role = 'assistant' AS trained
         FROM s""",
+    "op9_url_filter": url_filter_sql(),
 }
