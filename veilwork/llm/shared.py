@@ -20,12 +20,15 @@ _BUILT: dict[Any, Any] = {}
 
 
 def once_per_worker(key: Any, build: Callable[[], Any]) -> Any:
-    """What build() gives, built once in each Python worker. A worker keeps the last few."""
-    if key not in _BUILT:
-        while len(_BUILT) >= 8:
+    """What build() gives, built once in each Python worker. A worker keeps the two last used, as many as one task
+    needs: Spark hands workers on from stage to stage, so what they keep adds up over a pipeline."""
+    found = _BUILT.pop(key) if key in _BUILT else None
+    if found is None:
+        while len(_BUILT) >= 2:
             _BUILT.pop(next(iter(_BUILT)))
-        _BUILT[key] = build()
-    return _BUILT[key]
+        found = build()
+    _BUILT[key] = found
+    return found
 
 
 def broadcast_parameter(spark: SparkSession, value: Any, n_bytes: int) -> Broadcast:
