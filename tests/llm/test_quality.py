@@ -59,3 +59,27 @@ def test_whole_text_counts():
     short, long = q.features("word " * 10, memory), q.features("word " * 10 + "x " * 50_000 + "rare", memory)
     assert set(short[0]) < set(long[0])
     assert len(q.features(None, memory)[0]) == 0
+
+
+def test_bound_and_fit_on_an_executor(spark):
+    """The fit on an executor gives the model of a fit here; the bound is the documented one."""
+    assert q.FIT_ROWS == 12_000
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3} plain " * (1 + i % 4)) for i in range(60)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")
+    model = q.fit(docs, ratings, n_grades=3, steps=12)
+    rows = [q.features(r.text, q._Hash()) for r in docs.orderBy("doc_id").collect()]
+    want = q.fit_ordinal(rows, np.array([i % 3 for i in range(60)]), 3, steps=12)
+    assert np.allclose(model.weights, want.weights, atol=1e-4) and np.allclose(model.thresholds, want.thresholds, atol=1e-4)
+    assert np.abs(model.weights).max() > 0.01
+
+
+def test_the_driver_gets_weights_only(spark, monkeypatch):
+    """What comes to the driver does not grow with the labelled rows."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got = []
+    monkeypatch.setattr(DataFrame, "collect", lambda self, f=DataFrame.collect: got.append(f(self)) or got[-1])
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(40)], "doc_id long, text string")
+    q.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 as int) AS grade"), n_grades=3, steps=2)
+    assert len(got) == 1 and [[len(x) for x in r] for r in got[0]] == [[4 * q.BUCKETS, 16]]

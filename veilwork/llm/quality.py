@@ -13,6 +13,7 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker
 #: Weights; tokens are hashed into so many.
 BUCKETS = 1 << 16
 #: The most labelled rows that a fit uses; they are chosen by a hash of the id.
-FIT_ROWS = 4_000
+FIT_ROWS = 12_000
+#: Bytes of a block of labelled rows; a step's temporary arrays are of this order.
+BLOCK_BYTES = 8 << 20
 #: Tokens whose bucket a Python worker keeps; the memory is dropped when it is full.
 TOKEN_MEMORY = 300_000
 
@@ -76,56 +79,96 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = 400, rate: float = 0.05, sparse: float = 1e-3, least_rows: int = 8) -> OrdinalModel:
-    """Penalised maximum likelihood by full-batch Adam with an L1 step: weights that little speaks for stay 0, as do
-    those of buckets that fewer than `least_rows` rows have. Thresholds are a first one and positive gaps, so they stay ordered.
-
-    Without rows all weights are 0, and each tail is as likely as not.
-    """
-    w, gaps = np.zeros(BUCKETS), np.zeros(n_grades - 1)
-    if len(rows):
-        seen = np.zeros(BUCKETS, np.int64)
-        for own, _ in rows:
-            seen[own] += 1
-        often = seen >= min(least_rows, len(rows))
-        rows = [(own[keep := often[own]], value[keep]) for own, value in rows]
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-        value = np.concatenate([r[1] for r in rows])
-        used, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-        at = at.astype(np.int32)
-        weight = 1 / len(rows)
-        theta = np.concatenate([np.zeros(len(used)), gaps])
+@dataclass
+class _Block:
+    """Hashed rows: the entries of one after those of another."""
+
+    grades: np.ndarray
+    sizes: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.doc = np.repeat(np.arange(len(self.grades), dtype=np.int32), self.sizes)
+
+    def counts(self) -> tuple[int, np.ndarray]:
+        """How many rows there are, and how many have each bucket."""
+        return len(self.grades), np.bincount(self.at, minlength=BUCKETS)
+
+    def gradient(self, x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows' summed log-likelihood, by weights and by thresholds."""
+        n, k, grades = len(self.grades), len(cuts), self.grades
+        score = np.bincount(self.doc, self.value * x[self.at], minlength=n)
+        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40)))
+        upper = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
+        i = np.arange(n)
+        high, low = upper[i, grades], upper[i, grades + 1]
+        p = np.maximum(high - low, 1e-12)
+        d_high, d_low = high * (1 - high) / p, low * (1 - low) / p  # of log p, by (score - cut)
+        d_cut = np.zeros(k)
+        np.add.at(d_cut, grades[grades > 0] - 1, -d_high[grades > 0])
+        np.add.at(d_cut, grades[grades < k], d_low[grades < k])
+        return np.bincount(self.at, self.value * (d_high - d_low)[self.doc], minlength=BUCKETS), d_cut
+
+
+#: What a step of the fit asks of each block, and the answers in the order of the blocks.
+_Ask = Callable[[Callable[[_Block], tuple]], list[tuple]]
+
+
+def _maximise(ask: _Ask, n_grades: int, steps: int, rate: float, sparse: float, least_rows: int) -> OrdinalModel:
+    w, gaps, k = np.zeros(BUCKETS), np.zeros(n_grades - 1), n_grades - 1
+    found = ask(_Block.counts)
+    if n := sum(f[0] for f in found):
+        used = np.flatnonzero(sum(f[1] for f in found) >= min(least_rows, n))
+        theta = np.zeros(len(used) + k)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        k = n_grades - 1
         for step in range(1, steps + 1):
-            x, g = theta[:-k], theta[-k:]
-            cuts = np.cumsum(np.concatenate([g[:1], np.exp(g[1:])]))
-            score = np.bincount(doc, value * x[at], minlength=len(rows))
-            tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40)))
-            upper = np.concatenate([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))], 1)
-            i = np.arange(len(rows))
-            high, low = upper[i, grades], upper[i, grades + 1]
-            p = np.maximum(high - low, 1e-12)
-            d_high, d_low = high * (1 - high) / p, low * (1 - low) / p  # of log p, by (score - cut)
-            d_score = weight * (d_high - d_low)
-            d_cut = np.zeros(k)
-            np.add.at(d_cut, grades[grades > 0] - 1, -weight * d_high[grades > 0])
-            np.add.at(d_cut, grades[grades < k], weight * d_low[grades < k])
-            after = np.cumsum(d_cut[::-1])[::-1]
-            grad = -np.concatenate([np.bincount(at, value * d_score[doc], minlength=len(used)), after[:1], after[1:] * np.exp(g[1:])])
+            w[used], g = theta[:-k], theta[-k:]
+            parts = ask(partial(_Block.gradient, x=w, cuts=np.cumsum(np.concatenate([g[:1], np.exp(g[1:])]))))
+            after = np.cumsum(sum(d[1] for d in parts)[::-1])[::-1]
+            grad = -np.concatenate([sum(d[0] for d in parts)[used], after[:1], after[1:] * np.exp(g[1:])]) / n
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
             theta[:-k] = np.sign(theta[:-k]) * np.maximum(np.abs(theta[:-k]) - rate * sparse / (np.sqrt(v[:-k] / (1 - 0.999**step)) + 1e-10), 0)
         w[used], gaps = theta[:-k], theta[-k:]
-    return OrdinalModel(w.astype(np.float32), np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:]) if len(rows) else gaps[1:]])))
+    return OrdinalModel(w.astype(np.float32), np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:]) if n else gaps[1:]])))
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, steps: int = 400, rate: float = 0.05, sparse: float = 1e-3, least_rows: int = 8) -> OrdinalModel:
+    """Penalised maximum likelihood by full-batch Adam with an L1 step: weights that little speaks for stay 0, as do
+    those of buckets that fewer than `least_rows` rows have. Thresholds are a first one and positive gaps, so they stay ordered.
+
+    Without rows all weights are 0, and each tail is as likely as not.
+    """
+    blocks = [_Block(grades, np.array([len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))] if len(rows) else []
+    return _maximise(lambda f: [f(b) for b in blocks], n_grades, steps, rate, sparse, least_rows)
 
 
-def fit(df: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """Fit on the documents that have a rating, at most `fit_rows` of them, those with the smallest id hashes.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    """Hashed rows as blocks of about BLOCK_BYTES."""
+    rows, n_bytes = [], 0
+
+    def block() -> _Block:
+        own = np.array([r[0] for r in rows], np.int64), np.array([len(r[1]) // 4 for r in rows], np.int64)
+        return _Block(*own, np.frombuffer(b"".join(r[1] for r in rows), np.int32), np.frombuffer(b"".join(r[2] for r in rows), np.float32))
+
+    for b in batches:
+        for row in zip(b.column("grade").to_pylist(), b.column("at").to_pylist(), b.column("value").to_pylist(), strict=True):
+            rows.append(row)
+            n_bytes += len(row[1]) + len(row[2])
+            if n_bytes >= BLOCK_BYTES:
+                yield block()
+                rows, n_bytes = [], 0
+    if rows:
+        yield block()
+
+
+def fit(df: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", fit_rows: int = FIT_ROWS, steps: int = 400) -> OrdinalModel:
+    """Fit on the documents that have a rating, at most `fit_rows` of the rated ids, those with the smallest id hashes.
 
     Ratings whose id or grade is null, or whose grade is outside 0 .. n_grades - 1, teach nothing; where
-    an id has several ratings, the lowest counts. Texts become hashed tokens in the executors; only the
-    bounded sample's buckets come to the driver.
+    an id has several ratings, the lowest counts. Texts become hashed tokens in the executors and are fitted by one
+    task there, which the bound keeps small, so that the driver holds the weights only.
     """
     own = ratings.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{grade}`").cast("int").alias("grade"))
     own = own.where(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("id").agg(F.min("grade").alias("grade"))
@@ -138,9 +181,16 @@ def fit(df: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id"
             rows = [features(t, memory) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("grade"), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], ["id", "grade", "at", "value"])
 
-    found = rated.mapInArrow(hashed, "id string, grade int, at binary, value binary").orderBy(F.xxhash64("id"), "id").limit(2 * fit_rows).toArrow()
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(found.column("at").to_pylist(), found.column("value").to_pylist(), strict=True)]
-    return fit_ordinal(rows, np.array(found.column("grade").to_pylist(), np.int64), n_grades)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = list(_blocks(batches))
+        model = _maximise(lambda f: [f(b) for b in blocks], n_grades, steps, 0.05, 1e-3, 8)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], ["weights", "thresholds"])
+
+    found = rated.mapInArrow(hashed, "id string, grade int, at binary, value binary").repartition(1).sortWithinPartitions("id", "at", "value")
+    model = found.mapInArrow(fitted, "weights binary, thresholds binary").collect()
+    if not model:
+        return fit_ordinal([], np.zeros(0, np.int64), n_grades)
+    return OrdinalModel(np.frombuffer(model[0].weights, np.float32), np.frombuffer(model[0].thresholds))
 
 
 def _scorer(shared: Broadcast, wanted: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
