@@ -100,10 +100,10 @@ def mask_text(spark: SparkSession, d: str) -> DataFrame:
     return X.mask_text(docs.select("doc_id", F.concat(F.substring("text", 1, 20), F.lit(" "), part, F.lit(" end")).alias("text"))).select("doc_id", "masked", "n_masked")
 
 
-@query(f"SELECT k, {_valid('id')} AS valid FROM ids WHERE k % 10 = 0", "ids")
+@query(f"SELECT k, {_valid('id')} AS valid FROM ids", "ids")
 def verhoeff_valid_fold(spark: SparkSession, d: str) -> DataFrame:
-    """The fold inside the JVM, which needs no Python worker, on the ids whose last line place is used."""
-    return derived(spark, d, "ids").where("k % 10 = 0").select("k", verhoeff_valid_native(F.col("id")).alias("valid"))
+    """The fold inside the JVM, which needs no Python worker, on all ids."""
+    return derived(spark, d, "ids").select("k", verhoeff_valid_native(F.col("id")).alias("valid"))
 
 
 # Review
