@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,12 +113,15 @@ MASK = "X"
 
 
 def mask_text(df: DataFrame, text: str = "text", out: str = "masked", hits: str = "n_masked") -> DataFrame:
-    """Hide the first eight digits of valid 12-digit ids, and tax ids whole; count them in `hits`.
+    """Hide the first eight digits of valid 12-digit ids, and tax ids and the two lines of passports whole; count them in `hits`.
 
+    Passport lines are neighbours among lines that are not blank, and a pair counts once, as in detection.
     Text is cut into what lies between candidates and the candidates; only those that pass the checksum or
     are tax ids are hidden, and everything else stays as it is. Null stays null.
     """
-    source = F.col(f"`{text}`")
+    given = F.col(f"`{text}`")
+    df = df.withColumn("_mrz", _hide_mrz(F.when(given.contains("<"), given)))
+    source = F.coalesce("_mrz.text", given)
     found = F.regexp_extract_all(source, F.lit(f"({_SPAN})"), F.lit(1))
     rest = F.split(source, _SPAN, -1)
     rows = df.withColumns({"_found": found, "_rest": rest}).withColumn("_valid", _valid_each(F.transform("_found", digits_of)))
@@ -127,7 +131,30 @@ def mask_text(df: DataFrame, text: str = "text", out: str = "masked", hits: str
     hidden = F.transform("_found", part)
     joined = F.array_join(F.transform("_rest", lambda t, i: F.concat(t, F.coalesce(F.get(hidden, i), F.lit("")))), "")
     count = F.size(F.filter(F.arrays_zip("_found", F.col("_valid")), lambda z: z["_valid"] | is_pan(z["_found"])))
-    return rows.withColumns({out: F.when(F.size("_found") > 0, joined).otherwise(source), hits: F.coalesce(F.when(source.isNotNull(), count), F.lit(0))}).drop("_found", "_rest", "_valid")
+    return rows.withColumns({out: F.when(F.size("_found") > 0, joined).otherwise(source), hits: F.coalesce(F.when(source.isNotNull(), count), F.lit(0)) + F.coalesce("_mrz.n", F.lit(0))}).drop("_found", "_rest", "_valid", "_mrz")
+
+
+_LINE1, _LINE2 = (re.compile(x.replace(r"\z", r"\Z")) for x in (MRZ_LINE1, MRZ_LINE2))
+_BLANK_LINE = re.compile(f"{BLANK}*")
+
+
+@F.arrow_udf(T.StructType().add("text", T.StringType()).add("n", T.IntegerType()))
+def _hide_mrz(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts with passport lines hidden, and how many pairs there were; null stays null."""
+    for batch in batches:
+        out = []
+        for text in batch.to_pylist():
+            if text is None:
+                out.append(None)
+                continue
+            lines, n = text.split("\n"), 0
+            present = [i for i, x in enumerate(lines) if not _BLANK_LINE.fullmatch(x)]
+            clean = {i: re.sub("[^A-Z0-9<]", "", lines[i].upper()) for i in present}
+            for a, b in zip(present, present[1:]):
+                if _LINE1.search(clean.get(a, "")) and _LINE2.search(clean.get(b, "")):
+                    lines[a], lines[b], n = MASK * len(lines[a]), MASK * len(lines[b]), n + 1
+            out.append({"text": "\n".join(lines), "n": n})
+        yield pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int32())]))
 
 
 @F.arrow_udf(T.ArrayType(T.BooleanType()))
