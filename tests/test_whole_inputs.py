@@ -23,3 +23,10 @@ def test_native_fold_judges_every_id(spark):
     want = {r.k: bool(ok and x == 0) for r, x, ok in zip(ids, c, digits, strict=True)}
     assert {r.k: r.valid for r in QUERIES["verhoeff_valid_fold"](spark, SF).collect()} == want and len(want) == 1500
     assert dict(connect().sql(ORACLE_SQL["verhoeff_valid_fold"]).fetchall()) == want
+
+
+def test_whole_texts_are_masked(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["mask_text"](spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(docs) and all(len(r.masked) > len(docs[r.doc_id]) + 100 for r in rows)
+    assert max(r.n_masked for r in rows) == 3

@@ -9,7 +9,7 @@ from veilwork.functions import geometry as G
 from veilwork.functions import text as X
 from veilwork.functions.checksum import verhoeff_valid_native
 from veilwork.operators import audit, detect, intake, passes, raster, reports, review
-from veilwork.plans.fixtures import derived
+from veilwork.plans.fixtures import _PAN, derived
 from veilwork.plans.queries import _COMMON, _PAGE, _TEXT, _faces, _valid, flat, page_detections, query, recursive, text_detections
 from veilwork.sources import admission, export
 from veilwork.sources import tokens as token_sources
@@ -89,15 +89,29 @@ def tokenize_text(spark: SparkSession, d: str) -> DataFrame:
     return token_sources.tokenize_text(derived(spark, d, "documents")).select("doc_id", "line_id", "token_seq", "text", "x", "y", "w")
 
 
-@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN masked ELSE plain END AS masked, CAST(CASE WHEN doc_id % 3 = 0 AND ok THEN 1 ELSE 0 END AS INT) AS n_masked FROM (
-    SELECT doc_id, {_valid('id')} AS ok, concat(substr(text, 1, 20), ' ', CASE WHEN doc_id % 3 = 0 THEN substr(id, 1, 4) || '-' || substr(id, 5, 4) || ' ' || substr(id, 9, 4) ELSE 'none' END, ' end') AS plain,
-           concat(substr(text, 1, 20), ' ', CASE WHEN {_valid('id')} THEN 'XXXX-XXXX ' || substr(id, 9, 4) ELSE substr(id, 1, 4) || '-' || substr(id, 5, 4) || ' ' || substr(id, 9, 4) END, ' end') AS masked
-    FROM documents JOIN ids ON k = doc_id + 1)""", "ids")
+_HALF = "CAST(floor(length(text) / 2) AS INT)"
+_TAX = _PAN.replace("k", "doc_id")
+_LINES = "rpad(concat('P<INDNAME<<', chr(CAST(65 + doc_id % 26 AS INT))), 44, '<')", "concat(lpad(CAST(doc_id AS STRING), 9, '0'), CASE WHEN doc_id % 5 = 0 THEN '<USA' ELSE '7IND' END, '8001011M3001011<<<<<<<<<<<<<<02')"
+
+
+def _spliced(id12: str, tax: str, line1: str, line2: str) -> str:
+    """A whole text with an id in its middle, and a tax id and two passport lines behind it."""
+    return f"substr(text, 1, {_HALF}) || ' id: ' || coalesce({id12}, 'none') || ' end ' || substr(text, {_HALF} + 1) || ' tax: ' || {tax} || chr(10) || {line1} || chr(10) || {line2} || chr(10) || 'end'"
+
+
+_GROUPS = "substr(id, 1, 4) || '-' || substr(id, 5, 4) || ' ' || substr(id, 9, 4)"
+_PLAIN = _spliced(f"CASE WHEN doc_id % 3 = 0 THEN {_GROUPS} END", _TAX, *_LINES)
+
+
+@query(f"""SELECT doc_id, {_spliced(f"CASE WHEN doc_id % 3 = 0 THEN CASE WHEN ok THEN 'XXXX-XXXX ' || substr(id, 9, 4) ELSE {_GROUPS} END END", f"CASE WHEN tax THEN repeat('X', 10) ELSE {_TAX} END",
+        *(f"CASE WHEN mrz THEN repeat('X', 44) ELSE {x} END" for x in _LINES))} AS masked,
+    CAST(CASE WHEN text IS NULL THEN 0 ELSE CASE WHEN doc_id % 3 = 0 AND ok THEN 1 ELSE 0 END + CASE WHEN tax THEN 1 ELSE 0 END + CASE WHEN mrz THEN 1 ELSE 0 END END AS INT) AS n_masked
+    FROM (SELECT doc_id, text, id, coalesce({_valid('id')}, false) AS ok, doc_id % 13 < 10 AS tax, doc_id % 5 > 0 AS mrz FROM documents LEFT JOIN ids ON k = doc_id + 1)""", "ids")
 def mask_text(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts; the given ones hold nothing to hide, so ids, tax ids and passport lines are put in."""
     ids = derived(spark, d, "ids")
-    docs = derived(spark, d, "documents").join(ids, ids.k == F.col("doc_id") + 1)
-    part = F.when(F.col("doc_id") % 3 == 0, F.expr("substr(id, 1, 4) || '-' || substr(id, 5, 4) || ' ' || substr(id, 9, 4)")).otherwise("none")
-    return X.mask_text(docs.select("doc_id", F.concat(F.substring("text", 1, 20), F.lit(" "), part, F.lit(" end")).alias("text"))).select("doc_id", "masked", "n_masked")
+    docs = derived(spark, d, "documents").join(ids, ids.k == F.col("doc_id") + 1, "left")
+    return X.mask_text(docs.select("doc_id", F.expr(_PLAIN).alias("text"))).select("doc_id", "masked", "n_masked")
 
 
 @query(f"SELECT k, {_valid('id')} AS valid FROM ids", "ids")
