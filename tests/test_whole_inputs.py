@@ -30,3 +30,9 @@ def test_whole_texts_are_masked(spark):
     rows = QUERIES["mask_text"](spark, SF).collect()
     assert {r.doc_id for r in rows} == set(docs) and all(len(r.masked) > len(docs[r.doc_id]) + 100 for r in rows)
     assert max(r.n_masked for r in rows) == 3
+
+
+def test_pixels_grow_with_the_table(spark):
+    small, large = (derived(spark, f"/root/testdata/{sf}", "pixels").count() for sf in ("sf0.001", "sf0.01"))
+    assert large >= 8 * small
+    assert derived(spark, "/root/testdata/sf0.01", "pixels").select("page_id").distinct().count() == 7

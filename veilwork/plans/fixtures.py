@@ -86,9 +86,10 @@ _MANIFEST = """
     FROM orders
 """
 
+#: Pages of 48 x 48, as many as 2,304 order keys go into; most are dense, so that windows of neighbours are whole.
 _PIXELS = """
     SELECT page_id, px, py, r, g, b, 255 AS a FROM (
-        SELECT l_suppkey % 10 AS page_id, CAST(l_orderkey % 48 AS INT) AS px, CAST(floor(l_orderkey / 48) AS BIGINT) % 48 AS py,
+        SELECT CAST(floor(l_orderkey / 2304) AS BIGINT) AS page_id, CAST(l_orderkey % 48 AS INT) AS px, CAST(floor(l_orderkey / 48) AS BIGINT) % 48 AS py,
                max(CAST(l_partkey % 256 AS INT)) AS r, max(CAST(l_suppkey * 7 % 256 AS INT)) AS g, max(CAST(l_orderkey % 256 AS INT)) AS b
         FROM lineitem GROUP BY 1, 2, 3) AS p
 """

@@ -394,10 +394,15 @@ def locate_qr_cells(spark: SparkSession, d: str) -> DataFrame:
     return flat(detect.locate_qr_cells(cells, pages, _faces(spark, d)).select(*detect.PAGE, "kind", "bbox", "confidence"), "bbox")
 
 
-@query("""WITH m AS (SELECT l_suppkey % 10 AS page_id, l_orderkey % 40 + 0.5 AS x, l_partkey % 40 + 0.25 AS y, 3.0 AS w, 2.5 AS h FROM lineitem WHERE l_orderkey % 500 = 0)
+#: One mask for every 96 order keys, placed by sums over all of their line items.
+_MASKS = """SELECT CAST(floor(l_orderkey / 2304) AS BIGINT) AS page_id, CAST(sum(l_partkey + l_linenumber) % 40 AS DOUBLE) + 0.5 AS x, CAST(sum(l_suppkey + l_orderkey) % 40 AS DOUBLE) + 0.25 AS y, CAST(3 AS DOUBLE) AS w, CAST(2.5 AS DOUBLE) AS h
+    FROM lineitem GROUP BY CAST(floor(l_orderkey / 2304) AS BIGINT), floor(l_orderkey / 96)"""
+
+
+@query(f"""WITH m AS ({_MASKS})
     SELECT page_id, px, py, CAST(CASE WHEN c THEN 0 ELSE r END AS INT) AS r, CAST(CASE WHEN c THEN 0 ELSE g END AS INT) AS g FROM (SELECT *, EXISTS (SELECT 1 FROM m WHERE m.page_id = p.page_id AND px >= floor(x) AND px < ceil(x + w) AND py >= floor(y) AND py < ceil(y + h)) AS c FROM pixels p)""", "pixels")
 def paint_masks(spark: SparkSession, d: str) -> DataFrame:
-    masks = derived(spark, d, "lineitem").where("l_orderkey % 500 = 0").selectExpr("l_suppkey % 10 AS page_id", "l_orderkey % 40 + 0.5D AS x", "l_partkey % 40 + 0.25D AS y", "3.0D AS w", "2.5D AS h")
+    masks = spark.sql(_MASKS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=derived(spark, d, "lineitem"))
     return raster.paint_masks(derived(spark, d, "pixels"), masks).select("page_id", "px", "py", "r", "g")
 
 
