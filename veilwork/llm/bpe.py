@@ -4,34 +4,50 @@ The automaton reads tokens. It begins with one state from which every byte token
 state, and takes the merges in order. The gadget for merge (a, b) at time k looks at the state q that
 arc a leads to: if q has an arc b, then q is copied without that arc, arc a is led to the copy, and
 wherever arc a leaves, an arc ab is added that leads where b leads. After the last gadget only correct
-tokenizations can be read, so the encoding of a word is the one path that spells it.
+tokenizations can be read, and as each beginning of a correct tokenization is one too, exactly one arc
+ends at each byte of a word.
 
-A copy differs from its original by one arc, so a state is stored as (original, missing arc, time),
-and the arcs of merged tokens follow from those of their left part. `allows` evaluates that table and
-remembers each answer.
+The driver compiles the automaton into tables of a fixed size once, and tasks get them by broadcast:
+
+- the arcs' labels as a trie in two arrays (`base`, `check`), so a byte leads on by one addition;
+- `target`, the state that each token's arc leads to;
+- the arcs of states. A copy differs from its original by one arc, so copies of copies form a run, and
+  the table has for (run, token) the time at which the run loses that arc. An arc added after a copy
+  was made is there if that of its left part is, which `born` and `left` say.
+
+Many words are read at once, byte by byte: from each place all labels that fit are followed, and the
+one arc that the state there has for a label that ends at a place settles that place.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, once_per_worker
-
-#: Words whose encoding a Python worker keeps; the memory is dropped when it is full.
-WORD_MEMORY = 150_000
-#: Longer words seldom come again and are not kept.
-LONG_WORD = 10
-#: Pairs of state and token whose arc a worker remembers.
-ARC_MEMORY = 300_000
+from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker
+
+#: Parts of texts whose encoding a Python worker keeps twice at most, about 200 bytes each.
+PARTS = 60_000
+#: Longer parts of a text seldom come again and are not kept.
+LONG_PART = 16
+#: Characters of text that are encoded in one go; longer texts are cut before a single space between words.
+SLICE = 1 << 19
+#: Below so many words that go on, the rest of each is read on its own.
+FEW = 24
+#: Arcs whose presence a worker remembers, a power of two.
+ARCS = 1 << 19
+#: No merge has this time.
+NEVER = 2**31 - 1
 
 #: How byte-level vocabularies split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,36 +72,39 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(0x100 + n): b for n, b in enumerate(rest)}
 
 
+
+
+#: The symbol behind each word: no label has it.
+END = 256
+
+
 class Automaton:
-    """The tokenization automaton of a byte-level BPE vocabulary."""
+    """The tokenization automaton of a byte-level BPE vocabulary, as it grows by the merges."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.label: dict[int, bytes] = {i: t for t, i in vocab.items()}
-        top = max(self.label, default=-1) + 1
+        self.vocab = vocab
+        top = max(vocab.values(), default=-1) + 1
         self.born = [-1] * top  # time of the merge that makes a token
         self.left = [-1] * top
         # A state is (parent, missing, time); state 0 lacks no arc.
         self.parent, self.missing, self.time = [0], [-1], [-1]
         self.target = [0] * top  # where the arcs of a token lead
-        self.arcs: dict[int, bool] = {}
-        live = {vocab[bytes([b])] for b in range(256) if bytes([b]) in vocab}
+        self.live = {vocab[bytes([b])] for b in range(256) if bytes([b]) in vocab}
         for k, (x, y) in enumerate(merges):
             a, b, ab = vocab[x], vocab[y], vocab[x + y]
-            if ab in live:
+            if ab in self.live:
                 raise ValueError(f"two merges make token {ab}")
             q, to = self.target[a], self.target[b]
-            if a not in live or b not in live or not self._walk(q, b):
+            if a not in self.live or b not in self.live or not self._has(q, b):
                 continue
             self.parent.append(q)
             self.missing.append(b)
             self.time.append(k)
             self.target[a], self.target[ab] = len(self.parent) - 1, to
             self.born[ab], self.left[ab] = k, a
-            live.add(ab)
-        self.token = {self.label[t]: t for t in live}
-        self.tables()
+            self.live.add(ab)
 
-    def _walk(self, state: int, token: int) -> bool:
+    def _has(self, state: int, token: int) -> bool:
         """Whether a state has an arc, from the states that it is a copy of."""
         parent, missing, time, born, left = self.parent, self.missing, self.time, self.born, self.left
         while state:
@@ -97,105 +116,200 @@ class Automaton:
             state = parent[state]
         return True
 
-    def tables(self) -> None:
-        """Index the missing arcs by runs of copies, so that no lookup walks a long chain.
-
-        The successive targets of one token's arc form a run; `base` has the state that a run began as.
-        `shorter` leads from a token to the next shorter one that it begins with.
-        """
+    def compiled(self) -> dict[str, np.ndarray]:
+        """The automaton as tables."""
         n = len(self.parent)
-        self.run, self.base, tail = [0] * n, [0], [0]
-        self.lacking: dict[int, int] = {}
+        run, begun, tail, lost = [0] * n, [0], [0], {}
         for s in range(1, n):
             p = self.parent[s]
-            if p and tail[self.run[p]] == p:
-                self.run[s] = self.run[p]
+            if p and tail[run[p]] == p:
+                run[s] = run[p]
             else:
-                self.run[s] = len(self.base)
-                self.base.append(p)
+                run[s] = len(begun)
+                begun.append(p)
                 tail.append(0)
-            tail[self.run[s]] = s
-            self.lacking[self.run[s] << 20 | self.missing[s]] = self.time[s]
-        self.low = [self.time[s] for s in self.base]
-        self.length = [len(self.label.get(t, b"")) for t in range(len(self.born))]
-        self.shorter = [-1] * len(self.born)
-        self.reach: dict[bytes, int] = {}  # length of the longest token that begins with three bytes
-        for t, i in self.token.items():
-            self.shorter[i] = next((x for n in range(len(t) - 1, 0, -1) if (x := self.token.get(t[:n], -1)) >= 0), -1)
-            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
-
-    def allows(self, state: int, token: int) -> bool:
-        """Whether a state has an arc for a token."""
-        run, base, low, time, born, left, lacking = self.run, self.base, self.low, self.time, self.born, self.left, self.lacking
-        first, until, found = state << 20 | token, 1 << 60, True
-        while state and found:
-            r, last = run[state], time[state]
-            while True:
-                k = lacking.get(r << 20 | token)
-                if k is not None and k <= last and k <= until:
-                    found = False
-                    break
-                if born[token] <= low[r]:
-                    break
-                until, token = born[token], left[token]  # an arc added after a copy: as that of its left part
-            state = base[r]
-        if len(self.arcs) >= ARC_MEMORY:
-            self.arcs.clear()
-        self.arcs[first] = found
-        return found
-
-    def encode(self, word: bytes) -> list[int]:
-        """The tokens on the path that spells a word: longest arc first, back where no path goes on.
-
-        Each beginning of a word has one tokenization, so a place without a way on is dead for good.
-        """
-        find, reach, target, arcs, length, shorter = self.token.get, self.reach.get, self.target, self.arcs, self.length, self.shorter
-        n, at, state, dead = len(word), 0, 0, 0
-        path: list[int] = []
-        while at < n:
-            i = at + reach(word[at : at + 3], 2)  # no longer token begins like this
-            token = find(word[at:i], -1)
-            while token < 0 and i > at + 1:
-                i -= 1
-                token = find(word[at:i], -1)
-            while True:
-                if token < 0:
-                    if not path:
-                        raise ValueError(f"no path spells {word!r}")
-                    dead |= 1 << at
-                    token = path.pop()
-                    at -= length[token]
-                    state = target[path[-1]] if path else 0
-                elif not dead >> at + length[token] & 1 and ((known := arcs.get(state << 20 | token)) or known is None and self.allows(state, token)):
-                    break
-                token = shorter[token]
-            path.append(token)
-            at += length[token]
-            state = target[token]
-        return path
-
-
-class Labels:
-    """What each token id of a byte-level BPE tokenizer file stands for."""
+            tail[run[s]] = s
+            lost[run[s] << 20 | self.missing[s]] = self.time[s]
+        labels = {t: i for t, i in self.vocab.items() if i in self.live}
+        length = np.zeros(len(self.born), np.int32)
+        for t, i in labels.items():
+            length[i] = len(t)
+        slots = 1 << max(8, (8 * len(lost)).bit_length())
+        keys, times = np.full(slots, -1, np.int64), np.full(slots, NEVER, np.int32)
+        left = np.array([*lost], np.int64)
+        when, at = np.array([*lost.values()], np.int32), _slot(left, slots)
+        while len(left):  # each key takes the first free slot from its own on
+            _, first = np.unique(at, return_index=True)
+            first = first[keys[at[first]] < 0]
+            keys[at[first]], times[at[first]] = left[first], when[first]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, when, at = left[rest], when[rest], (at[rest] + 1) % slots
+        ints = {"run": run, "time": self.time, "born": self.born, "left": self.left, "target": self.target, "run_begun": begun, "run_low": [self.time[s] for s in begun]}
+        return {k: np.array(v, np.int32) for k, v in ints.items()} | {"length": length, "lost_key": keys, "lost_time": times} | _trie(labels)
+
+
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    """Where the search for a key begins in a table of so many slots, a power of two."""
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _trie(labels: dict[bytes, int]) -> dict[str, np.ndarray]:
+    """The labels as a trie in arrays. Node x leads on by symbol c to node base[x] + c if check[base[x] + c] is x;
+    `ends` has the token whose label ends at a node, or -1. Node 0 is the root."""
+    children: list[dict[int, int]] = [{}]
+    token = [-1]
+    for text, i in labels.items():
+        node = 0
+        for c in text:
+            to = children[node].get(c)
+            if to is None:
+                to = children[node][c] = len(children)
+                children.append({})
+                token.append(-1)
+            node = to
+        token[node] = i
+    size = 3 * len(children) + 4 * END
+    used = np.zeros(size, bool)
+    used[: END + 1] = True
+    base, at = [END + 1] * len(children), [0] * len(children)
+    # Nodes with many children first; those with one fill what is left. Places before `low` are taken or were tried.
+    low = width = 0
+    for node in sorted((x for x in range(len(children)) if children[x]), key=lambda x: -len(children[x])):
+        own = np.array(sorted(children[node]), np.int64)
+        if len(own) != width:
+            low, width = END + 1, len(own)
+        while True:
+            free = low + np.flatnonzero(~used[low : low + 256])
+            fits = free[~used[free[:, None] + (own - own[0])[None, :]].any(1)] if width > 1 else free
+            if len(fits):
+                break
+            low += 256
+        base[node] = int(fits[0] - own[0])
+        low = int(fits[0])
+        used[base[node] + own] = True
+        for c, to in children[node].items():
+            at[to] = base[node] + c
+    out = {"base": np.zeros(size + END, np.int32), "check": np.full(size + END, -1, np.int32), "ends": np.full(size + END, -1, np.int32)}
+    for node, below in enumerate(children):
+        out["base"][at[node]], out["ends"][at[node]] = base[node], token[node]
+        for to in below.values():
+            out["check"][at[to]] = at[node]
+    return out
+
+
+class Reader:
+    """Reads words with a compiled automaton."""
+
+    def __init__(self, tables: dict[str, np.ndarray]):
+        self.tables = tables
+        self.single = {k: memoryview(v) for k, v in tables.items()}
+        #: Arcs that were asked for of late, by the place of their key.
+        self.asked, self.answer = np.full(ARCS, -1, np.int64), np.zeros(ARCS, bool)
+
+    def has(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether states have arcs for tokens."""
+        key = state.astype(np.int64) << 20 | token
+        at = _slot(key, ARCS)
+        new = np.flatnonzero(self.asked[at] != key)
+        out = self.answer[at]
+        if len(new):
+            out[new] = found = self._arcs(state[new], token[new])
+            self.asked[at[new]], self.answer[at[new]] = key[new], found
+        return out
 
-    def __init__(self, content: bytes):
-        spec = json.loads(content)
-        letters = byte_letters()
-        self.labels = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
-        self.labels |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    def _arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        t = self.tables
+        out, going, until = np.ones(len(state), bool), np.flatnonzero(state), np.full(len(state), NEVER, np.int32)
+        state, token, until = state[going], token[going], until[going]
+        slots = len(t["lost_key"])
+        while len(going):
+            run = t["run"][state]
+            key = run.astype(np.int64) << 20 | token
+            at = _slot(key, slots)
+            found = t["lost_key"][at]
+            other = np.flatnonzero((found != key) & (found >= 0))
+            while len(other):
+                at[other] = (at[other] + 1) % slots
+                found = t["lost_key"][at[other]]
+                other = other[(found != key[other]) & (found >= 0)]
+            when = t["lost_time"][at]
+            lost = (t["lost_key"][at] == key) & (when <= t["time"][state]) & (when <= until)
+            out[going[lost]] = False
+            # An arc added after a copy: as that of its left part; else the run is settled, and what it began as decides.
+            born = t["born"][token]
+            later = born > t["run_low"][run]
+            until, token = np.where(later, born, until), np.where(later, t["left"][token], token)
+            state = np.where(later, state, t["run_begun"][run])
+            on = ~lost & (state > 0)
+            going, state, token, until = going[on], state[on], token[on], until[on]
+        return out
 
-    def text(self, ids: list[int]) -> str:
-        """The arc labels of a path, joined. Bytes that are not UTF-8 become U+FFFD; ids without a label are left out."""
-        labels = self.labels
-        try:
-            joined = b"".join(map(labels.__getitem__, ids))
-        except KeyError:
-            joined = b"".join(labels.get(i, b"") for i in ids)
-        return joined.decode("utf-8", "replace")
+    def _has(self, state: int, token: int) -> bool:
+        return bool(self.has(np.array([state]), np.array([token]))[0])
+
+    def _alone(self, symbols: np.ndarray, last: np.ndarray, at: int) -> None:
+        """Settle the places of one word from `at` on."""
+        base, check, ends, target = (self.single[k] for k in ("base", "check", "ends", "target"))
+        word, settled, has = symbols.tolist(), last.tolist(), lru_cache(50_000)(self._has)
+        for i in range(at, len(word) - 1):
+            if i and settled[i] < 0:
+                continue
+            state, node, p = target[settled[i]] if i else 0, 0, i
+            while check[to := base[node] + word[p]] == node:
+                node, p = to, p + 1
+                token = ends[node]
+                if token >= 0 and has(state, token):
+                    settled[p] = token
+        last[:] = settled
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words one after another, and how many each word has."""
+        t = self.tables
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size + 1) - size - 1
+        symbols = np.full(int(size.sum()) + len(words), END, np.int16)
+        inside = np.ones(len(symbols), bool)
+        inside[start + size] = False
+        symbols[inside] = np.frombuffer(b"".join(words), np.uint8)
+        last = np.full(len(symbols), -1, np.int32)  # the token whose arc ends at a place
+        order = np.argsort(-size, kind="stable")
+        for j in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size[order], -j))
+            if n < FEW:
+                for w in order[:n].tolist():
+                    own = slice(int(start[w]), int(start[w] + size[w]) + 1)
+                    self._alone(symbols[own], last[own], j)
+                break
+            place = start[order[:n]] + j
+            if j:
+                place = place[last[place] >= 0]
+            state = t["target"][last[place]] if j else np.zeros(n, np.int32)
+            node, hits = np.zeros(len(place), np.int32), []
+            while len(place):
+                to = t["base"][node] + symbols[place]
+                on = t["check"][to] == node
+                node, place, state = to[on], place[on] + 1, state[on]
+                token = t["ends"][node]
+                hit = token >= 0
+                hits.append((state[hit], token[hit], place[hit]))
+            state, token, place = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (node, node, node)
+            has = self.has(state, token)
+            last[place[has]] = token[has]
+        # The path, from its end.
+        path = np.zeros(len(last), bool)
+        at, begin = (start + size)[size > 0], start[size > 0]
+        while len(at):
+            if (last[at] < 0).any():
+                raise ValueError("no path spells a word: the vocabulary lacks bytes")
+            path[at] = True
+            at = at - t["length"][last[at]]
+            at, begin = at[at > begin], begin[at > begin]
+        return last[path], np.add.reduceat(path, start) if len(words) else size
 
 
 class Tokenizer:
-    """A byte-level BPE tokenizer file: added tokens, word split, automaton."""
+    """A byte-level BPE tokenizer file: added tokens, word split, automaton, labels; made by the driver, used by tasks."""
 
     def __init__(self, content: bytes):
         spec = json.loads(content)
@@ -205,78 +319,166 @@ class Tokenizer:
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.automaton = Automaton({raw(t): i for t, i in model["vocab"].items()}, [(raw(a), raw(b)) for a, b in pairs])
+        vocab = {raw(t): i for t, i in model["vocab"].items()}
+        self.tables = Automaton(vocab, [(raw(a), raw(b)) for a, b in pairs]).compiled()
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        labels = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.added.items()}
+        ordered = [labels.get(i, b"") for i in range(max(labels, default=-1) + 2)]  # the last one is empty
+        self.label_ends, self.labels = np.cumsum([0, *map(len, ordered)]).astype(np.int32), b"".join(ordered)
+
+    def n_bytes(self) -> int:
+        return sum(v.nbytes for v in self.tables.values()) + self.label_ends.nbytes + len(self.labels)
+
+
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """A text in parts of about `size` characters. No word reaches over a single space between other characters."""
+    begin = 0
+    while len(text) - begin > size:
+        cut = _CUT.search(text, begin + size)
+        if cut is None:
+            break
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:] if begin else text
+
+
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
+
+
+class Encoder:
+    """Encodes texts with a Tokenizer, and remembers short parts of them."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.reader, self.added = Reader(tokenizer.tables), tokenizer.added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words, self.words_newer = regex.compile(WORDS), regex.compile(WORDS_NEWER, regex.V1)
         self.newer = regex.compile(f"[{NEWER_SET}]")
         self.uneven = regex.compile(r"\s\s")
-        self.pieces = _Pieces(self)
-
-    def ids(self, text: str) -> bytes:
-        """The token ids of a text as 32-bit integers."""
+        #: What parts between single spaces encode to; they stand behind a space or begin with a line end. What of the
+        #: last full memory is still used moves on.
+        self.memory: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The token ids of each text as 32-bit integers."""
+        out: list[list[bytes]] = []
+        waiting: list[tuple[int, str | bytes]] = []
+        size = 0
+        for row, text in enumerate(texts):
+            out.append([])
+            for part in self._parts(text or ""):
+                waiting.append((row, part))
+                size += len(part)
+                if size >= SLICE:
+                    self._settle(waiting, out)
+                    waiting, size = [], 0
+        self._settle(waiting, out)
+        return [b"".join(x) for x in out]
+
+    def _parts(self, text: str) -> Iterator[str | bytes]:
+        """Slices of the text, and the ids of added tokens."""
         if self.split_added is None or not any(t in text for t in self.added):
-            return self._ids(text)
-        return b"".join(array("i", [self.added[x]]).tobytes() if n % 2 else self._ids(x) for n, x in enumerate(self.split_added.split(text)))
-
-    def _ids(self, text: str) -> bytes:
-        """Words never reach over single spaces and line ends, so the parts between them are encoded one by one.
+            yield from slices(text)
+            return
+        for n, x in enumerate(self.split_added.split(text)):
+            if n % 2:
+                yield np.int32(self.added[x]).tobytes()
+            else:
+                yield from slices(x)
+
+    def _words(self, text: str) -> list[str]:
+        return (self.words_newer if not text.isascii() and self.newer.search(text) else self.words).findall(text)
+
+    def _settle(self, waiting: list[tuple[int, str | bytes]], out: list[list[bytes]]) -> None:
+        """Encode parts of texts, each distinct word once."""
+        split: list[tuple[list[str], list[str]]] = []
+        for _, part in waiting:
+            if isinstance(part, bytes):
+                split.append(([], []))
+            elif self.uneven.search(part):
+                split.append((self._words(part), []))
+            else:
+                # Words never reach over single spaces and line ends.
+                first, *rest = part.replace("\n", " \n").split(" ")
+                split.append((self._words(first), rest))
+        memory = self.memory
+        new = {p for _, parts in split for p in parts}.difference(memory)
+        again = new & self.before.keys()
+        memory.update((p, self.before[p]) for p in again)
+        new -= again
+        # A part of letters is one word; the pattern splits others.
+        plain = [p for p in new if p.isalpha() and (p.isascii() or max(p) < "\u0250")]
+        words_of = {p: self._words(p if p[:1] == "\n" else " " + p) for p in new.difference(plain)}
+        others = list({w for words, _ in split for w in words}.union(*words_of.values()))
+        found = self._encoded([" " + p for p in plain] + others)
+        memory.update(zip(plain, found, strict=False))
+        of_word = dict(zip(others, found[len(plain) :], strict=True)).__getitem__
+        memory.update((p, b"".join(map(of_word, words))) for p, words in words_of.items())
+        of_part = memory.__getitem__
+        for (row, part), (words, parts) in zip(waiting, split, strict=True):
+            if isinstance(part, bytes):
+                out[row].append(part)
+            else:
+                out[row] += [*map(of_word, words), b"".join(map(of_part, parts))]
+        for p in [p for p in new if len(p) > LONG_PART]:
+            del memory[p]
+        if len(memory) > PARTS:
+            self.before, self.memory = memory, {}
 
-        Text with longer runs of white space is split by the pattern as a whole.
-        """
-        if self.uneven.search(text):
-            return self.pieces.part(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.pieces.part(first) + b"".join(map(self.pieces.__getitem__, rest))
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        tokens, count = self.reader.read([w.encode() for w in words])
+        data, ends = tokens.tobytes(), (4 * np.cumsum(count)).tolist()
+        return [data[b:e] for b, e in zip([0, *ends], ends, strict=False)]
 
 
-class _Pieces(dict):
-    """What parts of a text between white space encode to; a part stands for itself after a space or line end."""
+class Decoder:
+    """Emits the labels of token ids."""
 
     def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer, self.memory = tokenizer, {}
-        self.before: tuple[dict, dict] = {}, {}  # the last full memories: what is still used moves on
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.before[0].get(key)
-        if out is None:
-            out = self.part(key if key[:1] == "\n" else " " + key)
-            if len(key) > LONG_WORD:
-                return out
-        if len(self) >= WORD_MEMORY:
-            self.before = dict(self), self.before[1]
-            self.clear()
-        self[key] = out
-        return out
+        n = len(tokenizer.label_ends) - 1
+        self.labels = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(tokenizer.label_ends.tobytes()), pa.py_buffer(tokenizer.labels)]).cast(pa.large_binary())
+
+    def __call__(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of sequences of ids, which end at `ends` (0 first). Ids without a label stand for nothing."""
+        none = len(self.labels) - 1
+        joined = self.labels.take(pa.array(np.where((ids >= 0) & (ids < none), ids, none)))
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].tobytes()), joined.buffers()[2] if len(ids) else pa.py_buffer(b"")])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are not UTF-8
+            return pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
 
-    def part(self, text: str) -> bytes:
-        tok = self.tokenizer
-        words = tok.words_newer if not text.isascii() and tok.newer.search(text) else tok.words
-        return b"".join(map(self.word, words.findall(text)))
-
-    def word(self, word: str) -> bytes:
-        out = self.memory.get(word)
-        if out is None:
-            out = self.before[1].get(word)
-            if out is None:
-                out = array("i", self.tokenizer.automaton.encode(word.encode())).tobytes()
-                if len(word) > LONG_WORD:
-                    return out
-            if len(self.memory) >= WORD_MEMORY // 2:
-                self.before, self.memory = (self.before[0], self.memory), {}
-            self.memory[word] = out
-        return out
+
+def _groups(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch of texts in parts of about SLICE bytes, at least one row each."""
+    ends = np.cumsum(pc.binary_length(batch).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(batch):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLICE, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
-def _loaded(df: DataFrame, tokenizer: str | bytes, kind: type):
-    """Broadcast the file's content: the driver reads it, so executors need not have the path."""
+def _list_array(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    ends = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
+    ids = np.frombuffer(b"".join(parts), np.int32)
+    return ids, ends, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+
+
+def _loaded(df: DataFrame, tokenizer: str | bytes) -> tuple[str, Broadcast]:
+    """The compiled file, broadcast: the driver reads it, so executors need not have the path."""
     if isinstance(tokenizer, str):
         with open(tokenizer, "rb") as f:
             tokenizer = f.read()
     digest = hashlib.sha256(tokenizer).hexdigest()
-    shared = broadcast_parameter(df.sparkSession, tokenizer, len(tokenizer))
-    return lambda: once_per_worker((kind.__name__, digest), lambda: kind(shared.value))
+    compiled = once_per_worker(("tokenizer", digest), lambda: Tokenizer(tokenizer))
+    return digest, broadcast_parameter(df.sparkSession, compiled, compiled.n_bytes())
+
+
+def _both(digest: str, shared: Broadcast) -> tuple[Encoder, Decoder]:
+    return once_per_worker(("bpe", digest), lambda: (Encoder(shared.value), Decoder(shared.value)))
 
 
 def encode(df: DataFrame, tokenizer: str | bytes, text: str = "text", out: str = "ids") -> DataFrame:
@@ -288,17 +490,14 @@ def encode(df: DataFrame, tokenizer: str | bytes, text: str = "text", out: str =
     empty text gives an empty array; an empty table gives an empty table. Texts are encoded whole.
     No shuffle: each task encodes its own Arrow batches.
     """
-    load = _loaded(df, tokenizer, Tokenizer)
+    digest, shared = _loaded(df, tokenizer)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tok = load()
+        encoder, _ = _both(digest, shared)
         for batch in batches:
-            parts = [b"" if x is None else tok.ids(x) for x in (v.as_py() for v in batch)]
-            ends = np.zeros(len(parts) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
-            data = b"".join(parts)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)]))
+            for part in _groups(batch):
+                yield _list_array(encoder(part.to_pylist()))[2]
 
     return df.withColumn(out, ids(F.col(f"`{text}`")))
 
@@ -309,17 +508,39 @@ def decode(df: DataFrame, tokenizer: str | bytes, ids: str = "ids", out: str = "
     Null gives null, an empty array the empty text; ids outside the vocabulary and null elements stand
     for nothing; bytes that do not form UTF-8 become U+FFFD. A column that is already called out is replaced.
     """
-    load = _loaded(df, tokenizer, Labels)
+    digest, shared = _loaded(df, tokenizer)
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tok = load()
+        _, decoder = _both(digest, shared)
         for batch in batches:
-            yield pa.array([None if not v.is_valid else tok.text(v.values.to_numpy(zero_copy_only=False).tolist() if not v.values.null_count else v.as_py()) for v in batch], pa.string())
+            size = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            found = decoder(batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.cumsum([0, *size]))
+            yield pa.array([x if v.is_valid else None for x, v in zip(found.to_pylist(), batch, strict=True)], pa.string()) if batch.null_count else found
 
     return df.withColumn(out, text(F.col(f"`{ids}`")))
 
 
+def encode_and_decode(df: DataFrame, tokenizer: str | bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add the token ids of a text column and the text that they decode to, in one pass over the texts.
+
+    See encode and decode; a null text gives an empty array and an empty decoded text.
+    """
+    digest, shared = _loaded(df, tokenizer)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _both(digest, shared)
+        for batch in batches:
+            for part in _groups(batch):
+                flat, ends, lists = _list_array(encoder(part.to_pylist()))
+                yield pa.StructArray.from_arrays([lists, decoder(flat, ends)], ["ids", "decoded"])
+
+    own = free_name(df, "both")
+    found = df.withColumn(own, both(F.col(f"`{text}`")))
+    return found.withColumns({ids: F.col(f"{own}.ids"), decoded: F.col(f"{own}.decoded")}).drop(own)
+
+
 def joined(ids: Column) -> Column:
     """Decimal ids joined by commas."""
     return F.array_join(ids.cast("array<string>"), ",")

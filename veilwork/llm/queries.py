@@ -33,7 +33,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    both = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
