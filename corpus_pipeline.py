@@ -39,8 +39,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode each text, and keep how many tokens it has and whether they decode to it again."""
-    path = tokenizer_path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), path), path)
+    both = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path("byte_bpe_50k.json"))
     return both.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "ids")
 
 
