@@ -5,7 +5,10 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilwork.llm import exact_dedup as e
+from veilwork.llm import shared as s
 
 
 def brute(docs):
@@ -44,3 +47,24 @@ def test_misra_gries_finds_every_frequent_value(counters):
     assert len(found) <= counters
     assert {v for v, n in counts.items() if n > 3000 / (counters + 1)} <= set(found)
     assert all(counts[v] - 3000 / (counters + 1) <= n <= counts[v] for v, n in found.items())
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_no_text_is_lost_where_ids_repeat(spark, kind):
+    rows = [(1, "a", 0), (3, "a", 1), (3, "unique text here", 2), (4, "z", 3), (4, "z", 3), (4, "z", 5), (6, "z", 6), (2, "q", 7), (2, "r", 8)]
+    rows = [(i if kind == "long" else f"d{i}", t, {"n": n}) for i, t, n in rows]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, KEPT map<string,int>").repartition(4)
+    out = e.exact_dedup(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id)[-1], r.text) for r in out.collect())
+    assert got == [("1", "a"), ("2", "q"), ("2", "r"), ("3", "unique text here"), ("4", "z")]
+    assert all((r.doc_id, r.text, r.KEPT) in rows for r in out.collect())
+
+
+def test_filter_lets_every_key_pass(spark):
+    keys = spark.range(0, 30_000, 3).withColumnRenamed("id", "key")
+    for most in (1 << 20, 1 << 10):
+        rows = spark.range(30_000).withColumn("may", s.key_filter(keys, most)(F.col("id"))).collect()
+        assert all(r.may for r in rows if r.id % 3 == 0)
+        if most > 1 << 19:
+            assert sum(r.may for r in rows if r.id % 3) < 20_000 / 6

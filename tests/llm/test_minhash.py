@@ -98,3 +98,26 @@ def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert sorted((r.id is None, r.kept) for r in m.near_duplicate_groups(df).collect()) == [(False, True), (False, True), (True, True)]
     assert m.near_duplicate_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeated_and_text_ids(spark, kind):
+    base = " ".join(f"w{n}" for n in range(40))
+    rows = [(1, base), (3, base + " end"), (3, "a text of its own that nobody has"), (4, "four words and more here"), (4, "four words and more here"), (5, None), (5, "")]
+    rows = [(i if kind == "long" else f"d{i}", t, {"n": n}) for n, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, bands map<string,int>").repartition(3)
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in m.near_duplicate_groups(df).collect())
+    name = (lambda i: i) if kind == "long" else (lambda i: f"d{i}")
+    assert got == sorted((name(i), n, name(c)) for i, n, c in [(1, 37, 1), (3, 38, 1), (3, 5, 3), (4, 2, 4), (4, 2, 4), (5, 0, 5), (5, 0, 5)])
+    out = m.near_dedup(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id)[-1], r.text or "") for r in out.collect()) == [("1", base), ("3", rows[2][1]), ("4", rows[3][1]), ("5", ""), ("5", "")]
+
+
+def test_links_of_a_share_of_the_rows_at_a_larger_size(spark):
+    """Recall: every row whose id is divisible by 20 against all rows; rows that are alike are in one component."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: set(m.shingles((t or "").encode()).tolist()) for i, t in rows}
+    got = {r.id: r.component_id for r in m.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = [(a, b) for a in sets if a % 20 == 0 for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links and all(got[a] == got[b] for a, b in links)

@@ -14,14 +14,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from veilwork.llm.shared import SPACE, free_name, staged
+from veilwork.llm.shared import SPACE, first_row, free_name, key_filter, staged
 
 #: Misra-Gries counters: texts that more than rows / (COUNTERS + 1) rows have go the heavy way.
 COUNTERS = 1024
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
 def normalised(text: Column) -> Column:
     """Runs of ASCII white space become one space; null becomes empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
@@ -76,11 +80,11 @@ def duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     only null ids, keep_id is null and its rows are kept. An empty table gives an empty table; other
     columns are not read. Texts are hashed whole in the scan and are never shuffled: only ids and digests are.
     """
-    digests = staged(df.select(F.col(f"`{doc_id}`").alias("id"), F.unhex(F.sha2(normalised(F.col(f"`{text}`")).cast("binary"), 256)).alias("digest")), "digests")
+    digests = staged(df.select(F.col(f"`{doc_id}`").alias("id"), digest_of(F.col(f"`{text}`")).alias("digest")), "digests")
     winners = staged(heavy_digests(digests, counters), "heavy")
     heavy = digests.join(F.broadcast(winners), "digest")
-    same = Window.partitionBy("digest")
-    light = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("digest", "id", F.count("*").over(same).alias("group_size"), F.min("id").over(same).alias("keep_id"))
+    light = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    light = light.join(light.groupBy("digest").agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id")), "digest")
     columns = ["id", "digest", "keep_id", "group_size"]
     return heavy.select(columns).unionByName(light.select(columns)).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
@@ -88,9 +92,21 @@ def duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of df whose text no row with a smaller id has, all columns as they are.
 
-    Rows that share an id are told apart by that id alone, so ids should be unique; rows with a null id are
-    all kept. See duplicate_groups for what counts as equal. Only ids of dropped rows are joined back.
+    Rows are told apart by id and text, so rows that share an id lose no text. Of rows that repeat both,
+    one stays, by a hash of its columns. Rows with a null id are all kept. See duplicate_groups for what counts as equal.
+    Rows whose id and digest a filter of bounded size does not know stay where they are; only the others are
+    joined with the dropped ones, so that few texts are shuffled.
     """
-    gone = free_name(df, "dropped_id")
-    dropped = duplicate_groups(df, doc_id, text, counters).where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias(gone)).distinct()
-    return df.join(dropped, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
+    copies = duplicate_groups(df, doc_id, text, counters).where((F.col("group_size") > 1) & F.col("id").isNotNull()).groupBy("id", "digest").agg(F.count("*").alias("n"), F.first("kept").alias("kept"))
+    gone, digest = free_name(df, "touched"), free_name(df, "digest")
+    touched = staged(copies.where(~F.col("kept") | (F.col("n") > 1)).select(F.struct("id", "digest").alias(gone), "kept"), "copies")
+    rows = df.withColumn(digest, digest_of(F.col(f"`{text}`")))
+    maybe = key_filter(touched.select(F.xxhash64(f"{gone}.id", f"{gone}.digest").alias("key")))(F.xxhash64(F.col(f"`{doc_id}`"), F.col(digest)))
+    known = free_name(df, "known")
+    rows = rows.withColumn(known, maybe)
+    touched = touched.withColumnRenamed("kept", known)
+    same = (F.col(f"`{doc_id}`") == F.col(f"{gone}.id")) & (F.col(digest) == F.col(f"{gone}.digest"))
+    joined = rows.where(known).drop(known).join(touched, same, "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    stay = rows.where(~F.col(known)).select(columns).union(joined.where(F.col(gone).isNull()).select(columns))
+    return stay.union(first_row(joined.where(known).drop(known), [gone], df.columns))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, free_name, staged
+from veilwork.llm.shared import HEAVY, Scratch, first_row, free_name, heavy_keys, key_filter, spread_join, staged
 
 #: Bands and rows of a band; pairs at a similarity of 0.8 are missed with a chance below 1 in 10,000.
 BANDS, ROWS = 32, 6
@@ -107,7 +107,7 @@ def set_features(df: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys: list[bytes | None] = [None] * len(sets)
                 for i in some:
-                    keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+                    keys[i] = set_key(sets[i])
                 # Sets that are equal within a part are signed once.
                 once = {keys[i]: i for i in some}
                 signed = dict(zip(once, band_keys(superminhash([sets[i] for i in once.values()], bands * rows), bands, rows) if once else [], strict=True))
@@ -118,52 +118,36 @@ def set_features(df: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                     ["id", "n", "set_key", "bands"],
                 )
 
-    return df.mapInArrow(features, "id long, n long, set_key binary, bands array<long>")
+    return df.mapInArrow(features, f"id {df.schema['id'].dataType.simpleString()}, n long, set_key binary, bands array<long>")
+
+
+def set_key(elements: np.ndarray) -> bytes | None:
+    """A 128-bit key of a set; null for the empty one."""
+    return xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None
 
 
 def shingle_sets(df: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, text) to (id, elements): the sorted hashes of each whole text's shingles."""
+    """(text) to (set_key, elements): the sorted hashes of each whole text's shingles; texts without words are left out."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                found = [shingles(v.as_py(), size).astype(np.int64) for v in part.column("text")]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["id", "elements"])
-
-    return df.mapInArrow(sets, "id long, elements array<long>")
-
+                found = [x for x in (shingles(v.as_py(), size) for v in batch.column(0).slice(first, 500)) if len(x)]
+                if found:
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.binary()), lists], ["set_key", "elements"])
 
-#: Bits of the filter that names candidate ids to the scan; its size is the same for any input.
-FILTER_BITS = 1 << 24
-
-
-def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df (id, text) whose id is in ids (rep), and a few others: a filter of fixed size is broadcast, so that
-    texts are not shuffled for a join that thins them."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = ids.select(bit("rep").alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")).toArrow()
-    flags = np.zeros(FILTER_BITS // 32, np.int64)
-    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = broadcast_parameter(df.sparkSession, flags.astype(np.uint32).tobytes(), FILTER_BITS // 8)
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(shared.value, np.uint32)
-        for batch in batches:
-            bits = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield batch.filter(pa.array((held[bits // 32] >> (bits % 32).astype(np.uint32) & 1).astype(bool))).select(["id", "text"])
+    return df.select("text").mapInArrow(sets, "set_key binary, elements array<long>")
 
-    return df.where(F.col("id").isNotNull()).withColumn("bit", bit("id")).mapInArrow(some, "id long, text binary")
 
-
-def _root(parent: dict[int, int], x: int) -> int:
+def _root(parent: dict, x: int | bytes) -> int | bytes:
     while (up := parent.setdefault(x, x)) != x:
         parent[x] = x = parent.setdefault(up, up)
     return x
 
 
-def _unite(parent: dict[int, int], a: int, b: int) -> bool:
+def _unite(parent: dict, a: int | bytes, b: int | bytes) -> bool:
     a, b = _root(parent, a), _root(parent, b)
     parent[max(a, b)] = min(a, b)
     return a != b
@@ -176,20 +160,22 @@ LOCAL_NODES = 1_000_000
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, component): the smallest node that each linked node is connected with.
 
-    Union-find within each task first replaces the links by those from each node to its local root. Then
+    Nodes are numbers or binary keys. Union-find within each task first replaces the links by those from each node to its local root. Then
     rounds pass the smaller label over each of these links to its ends and to the labels that they had, and
     labels take over their label's label, until none changes. What is shuffled is one row for each link and
-    label; nothing but the number of changes reaches the driver.
+    label, those of a heavy root or label spread over tasks; nothing but counts reaches the driver.
     """
+    scratch, kind = Scratch(links.sparkSession), links.schema["a"].dataType
+    arrow = pa.binary() if kind.simpleString() == "binary" else pa.int64()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        parent: dict = {}
 
         def out() -> pa.RecordBatch:
             pairs = [(x, _root(parent, x)) for x in list(parent)]
             pairs = [p for p in pairs if p[0] != p[1]]
             parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["node", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], arrow) for i in (0, 1)], ["node", "root"])
 
         for batch in batches:
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
@@ -198,21 +184,26 @@ def components(links: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    stars = staged(links.select("a", "b").mapInArrow(local, "node long, root long").distinct(), "stars")
+    name = kind.simpleString()
+    stars = scratch.staged(links.select("a", "b").mapInArrow(local, f"node {name}, root {name}").distinct(), "stars")
+    roots = heavy_keys(stars, "root")
     ends = stars.select("node", F.col("root").alias("component")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("component")))
     labels = staged(ends.groupBy("node").agg(F.min("component").alias("component")), "labels")
     while True:
+        last = Scratch(links.sparkSession)
         of = lambda name, out: labels.select(F.col("node").alias(name), F.col("component").alias(out))
-        both = stars.join(of("node", "one"), "node").join(of("root", "two"), "root")
+        both = spread_join(stars.join(of("node", "one"), "node"), of("root", "two"), "root", roots)
         least = F.least("one", "two")
         passed = both.where(F.col("one") != F.col("two")).select(F.explode(F.array("node", "root", "one", "two")).alias("node"), least.alias("component"))
-        lower = labels.unionByName(passed).groupBy("node").agg(F.min("component").alias("component"))
-        lower = staged(lower, "labels")
+        lower = last.staged(labels.unionByName(passed).groupBy("node").agg(F.min("component").alias("component")), "labels")
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = staged(lower.join(jump, "component").select("node", F.col("next").alias("component")), "labels")
+        new = staged(spread_join(lower, jump, "component", heavy_keys(lower, "component")).select("node", F.col("next").alias("component")), "labels")
         changed = new.join(labels.withColumnRenamed("component", "old"), "node").where(F.col("component") != F.col("old")).limit(1).count()
+        last.take(labels)
+        last.clear()
         labels = new
         if not changed:
+            scratch.clear()
             return labels
 
 
@@ -220,12 +211,12 @@ def _enough(shared: Column, one: Column, two: Column) -> Column:
     return 100 * shared >= PERCENT * (one + two - shared)
 
 
-#: Members of a bucket that one task compares with as many others.
+#: Members of a bucket that one task compares with each other, or with as many others.
 BLOCK = 256
 
 
-def _block_links(members: list[tuple[int, int, bool, np.ndarray]], same: bool) -> list[tuple[int, int]]:
-    """Links between members (id, component, in the first block, elements) of different components, by exact
+def _block_links(members: list[tuple[bytes, bytes, bool, np.ndarray]], same: bool) -> list[tuple[bytes, bytes]]:
+    """Links between members (set, component, in the first block, elements) of different components, by exact
     intersection sizes; links that earlier ones connect are left out."""
     sizes = np.array([len(m[3]) for m in members])
     if same:
@@ -248,9 +239,9 @@ def _block_links(members: list[tuple[int, int, bool, np.ndarray]], same: bool) -
         shared += matrix[left] @ matrix[right].T
     shared = np.rint(shared).astype(np.int64)
     total = sizes[left][:, None] + sizes[right][None, :]
-    component = np.array([m[1] for m in members])
+    _, component = np.unique(np.array([m[1] for m in members], object), return_inverse=True)
     close = (100 * shared >= PERCENT * (total - shared)) & (component[left][:, None] != component[right][None, :])
-    parent: dict[int, int] = {}
+    parent: dict[bytes, bytes] = {}
     out = []
     for i, j in np.argwhere(close).tolist():
         a, b = members[left[i]], members[right[j]]
@@ -260,10 +251,10 @@ def _block_links(members: list[tuple[int, int, bool, np.ndarray]], same: bool) -
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (bucket, one, two, first, id, component, elements): links within each (bucket, one, two)."""
+    """Sorted rows (bucket, one, two, first, set_key, component, elements): links within each (bucket, one, two)."""
     key, members, links = None, [], []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "first", "id", "component")]
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "first", "set_key", "component")]
         for row, e in zip(zip(*columns, strict=True), batch.column("elements"), strict=True):
             if row[:3] != key:
                 if key:
@@ -273,65 +264,138 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if key:
         links += _block_links(members, key[1] == key[2])
     links = sorted(set(links))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
-def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row of df: id, n_shingles, component_id (the smallest id that links lead to), kept (id = component_id).
+def _links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members (bucket, members, set_key, component) of each bucket, of different components, by full sets.
 
-    A text's words are runs of other characters than ASCII white space, A-Z lower-cased; its set are the
-    distinct shingles of `size` words, or all words as one where there are fewer. Documents that share a
-    band and at least 80 of 100 shingles are linked, as are those with equal sets. Null and empty texts have
-    no shingles and no links. Rows that repeat an id are one document, linked as any of
-    them is; those with a null id are in no component and are kept. An empty table gives an empty table; other columns are not read.
+    Buckets of up to BLOCK members are compared in one task; larger ones are cut in blocks, each pair of blocks is compared.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rest = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    rest = rest.join(sets, "set_key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") <= F.col("other")).alias("first"), "set_key", "component", "elements")
+    return rest.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(_compare, "a binary, b binary")
 
-    Equal sets are one class, however many copies there are; only class representatives are in buckets.
-    In each bucket all are compared first with the member that shares most buckets; buckets that this does
-    not connect are compared block by block, exactly, for links between their components alone.
+
+def _open(members: DataFrame) -> DataFrame:
+    """(bucket, members) of the buckets (bucket, set_key, component) that are not in one component."""
+    found = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    return found.where(F.col("low") != F.col("high")).select("bucket", "members")
+
+
+def _by_rare_elements(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Buckets anew for (set_key, component) rows: sets that are alike enough share one of their rarest elements.
+
+    Two sets that share 80 of 100 elements cannot differ in all of the n - ceil(0.8 n) + 1 first ones of any common order,
+    n being the size of either. Elements are ordered by how many of these sets have them, so sets that merely come from one template, and
+    are not alike, meet in few of these buckets.
     """
-    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    own = scratch.staged(members.join(sets, "set_key").select("set_key", "component", F.size("elements").alias("n"), F.explode("elements").alias("bucket")), "elements")
+    often = scratch.staged(own.groupBy("bucket").agg(F.count("*").alias("often")), "often")
+    ranked = spread_join(own, often, "bucket", heavy_keys(own, "bucket"))
+    rarest = F.array_sort(F.collect_list(F.struct("often", "bucket")))
+    first = ranked.groupBy("set_key", "component", "n").agg(rarest.alias("rarest"))
+    take = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
+    return first.select("set_key", "component", F.explode(F.slice("rarest", F.lit(1), take)).alias("e")).where(F.col("e.often") > 1).select("set_key", "component", "e.bucket")
+
+
+def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
+    """For each row of df: id, n, set_key and component_id. See near_duplicate_groups."""
+    scratch = Scratch(df.sparkSession)
+    source = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     features = staged(set_features(source, bands, rows, size), "features")
     known = features.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    classes = staged(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = staged(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
     # Buckets of two members or more; those with the same members count once.
-    rows_of = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    counts = rows_of.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.min("rep").alias("low")).where(F.col("members") > 1)
-    counts = staged(counts.groupBy("members", "sum", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "members"), "buckets")
-    buckets = staged(rows_of.join(counts, "bucket"), "members")
-    degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
-    sets = staged(shingle_sets(_among(source, degree.select("rep")), size), "sets")
+    rows_of = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
+    counts = rows_of.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("sum"), F.min("set_key").alias("low")).where(F.col("members") > 1)
+    counts = scratch.staged(counts.groupBy("members", "sum", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "members"), "buckets")
+    total = counts.agg(F.sum("members")).first()[0] or 0
+    heavy = counts.where(F.col("members") * HEAVY > total).select("bucket")
+    buckets = scratch.staged(spread_join(rows_of, counts, "bucket", heavy), "members")
+    degree = scratch.staged(buckets.groupBy("set_key").agg(F.sum("members").alias("degree")), "degree")
+    # Sets of the members of buckets: a filter of bounded size names their ids, so that texts are shingled again, not shuffled.
+    candidates = classes.join(degree, "set_key").select(F.xxhash64("rep").alias("key"))
+    found = shingle_sets(source.where(key_filter(candidates)(F.xxhash64("id"))), size).join(degree.select("set_key"), "set_key", "left_semi")
+    sets = scratch.staged(found, "sets")
+    keys = sets.select("set_key")
+    if keys.count() > keys.distinct().count():  # rows that repeat an id
+        sets = scratch.staged(sets.dropDuplicates(["set_key"]), "sets")
     # First all members of a bucket against its most central one.
-    central = buckets.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", -F.col("rep"), "n")).alias("pivot"))
-    central = central.select("bucket", (-F.col("pivot.col2")).alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-    pairs = buckets.join(central, "bucket").where((F.col("rep") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= PERCENT * F.greatest("n", "pivot_n")))
-    pairs = pairs.select("rep", "pivot").distinct()
-    of = lambda name, out: sets.select(F.col("id").alias(name), F.col("elements").alias(out))
-    compared = pairs.join(of("rep", "one"), "rep").join(of("pivot", "two"), "pivot")
+    central = buckets.join(degree, "set_key").groupBy("bucket").agg(F.max(F.struct("degree", "set_key", "n")).alias("pivot"))
+    central = central.select("bucket", F.col("pivot.set_key").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+    pairs = spread_join(buckets, central, "bucket", heavy).where((F.col("set_key") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= PERCENT * F.greatest("n", "pivot_n")))
+    pairs = scratch.staged(pairs.select("set_key", "pivot").distinct(), "pairs")
+    of = lambda name, out: sets.select(F.col("set_key").alias(name), F.col("elements").alias(out))
+    compared = spread_join(pairs.join(of("set_key", "one"), "set_key"), of("pivot", "two"), "pivot", heavy_keys(pairs, "pivot"))
     close = _enough(F.size(F.array_intersect("one", "two")), F.size("one"), F.size("two"))
-    links = staged(compared.where(close).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "links")
-    found = components(links)
+    links = scratch.staged(compared.where(close).select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), "links")
     # Then buckets that are not in one component.
-    placed = buckets.join(found, buckets.rep == found.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where(F.col("low") != F.col("high"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = placed.join(open_.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.join(of("rep", "elements"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") <= F.col("other")).alias("first"), F.col("rep").alias("id"), "component", "elements")
-    more = rest.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(_compare, "a long, b long")
-    links = staged(links.unionByName(more), "links")
-    found = components(links)
-    named = known.select("id", "n", "set_key").join(classes.select("set_key", "rep"), "set_key")
-    named = named.join(found, named.rep == found.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    alone = features.where(F.col("set_key").isNull() | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
-    out = named.unionByName(alone)
+    joined = components(links)
+    placed = buckets.join(joined, buckets.set_key == joined.node, "left").select("bucket", "members", "set_key", F.coalesce("component", "set_key").alias("component"))
+    placed = scratch.staged(placed, "placed")
+    opened = scratch.staged(_open(placed), "open")
+    small, large = (opened.where(c).select("bucket") for c in (F.col("members") <= BLOCK, F.col("members") > BLOCK))
+    more = _links_within(placed.join(small, "bucket", "left_semi"), sets)
+    if not large.isEmpty():
+        members = placed.join(large, "bucket", "left_semi").select("set_key", "component").distinct()
+        anew = scratch.staged(_by_rare_elements(members, sets, scratch), "anew")
+        more = more.unionByName(_links_within(spread_join(anew, _open(anew), "bucket", heavy_keys(anew, "bucket")), sets))
+    links = scratch.staged(links.unionByName(more), "links")
+    joined = components(links)
+    # The smallest id of each component, then of each class, then of each row.
+    own = classes.join(joined, classes.set_key == joined.node, "left").select("set_key", "rep", "copies", F.coalesce("component", "set_key").alias("component"))
+    own = scratch.staged(own, "own")
+    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = staged(spread_join(own, least, "component", heavy_keys(own, "component")).select("set_key", "copies", "component_id"), "named")
+    scratch.clear()
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    often = named.where(F.col("copies") * HEAVY > total).select("set_key")
+    out = spread_join(known.select("id", "n", "set_key"), named.select("set_key", "component_id"), "set_key", often).select("id", "n", "set_key", "component_id")
+    return out.unionByName(features.where(F.col("set_key").isNull() | F.col("id").isNull()).select("id", "n", "set_key", F.col("id").alias("component_id")))
+
+
+def near_duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """For each row of df: id, n_shingles, component_id (the smallest id that links lead to), kept (id = component_id).
+
+    A text's words are runs of other characters than ASCII white space, A-Z lower-cased; its set are the
+    distinct shingles of `size` words, or all words as one where there are fewer. Documents that share a
+    band and at least 80 of 100 shingles are linked, as are those with equal sets. Null and empty texts have
+    no shingles and no links. Ids may have any type that can be ordered. Rows that repeat an id are each linked by their own
+    text; those with a null id are in no component and are kept. An empty table gives an empty table; other columns are not read.
+
+    Equal sets are one class, however many copies there are; only classes are in buckets. In each bucket all are compared first with
+    the member that shares most buckets. Buckets that this does not connect are compared exactly, for links between their
+    components alone: small ones each in a task, the members of larger ones in buckets by their rarest elements.
+    """
+    out = _groups(df, doc_id, text, size, bands, rows)
     return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of df that are the smallest of their component, with all columns; shingles have five words here.
 
-    Rows with a null id are kept. See near_duplicate_groups.
+    Rows with a null id and those without words are kept. Where rows share an id, each is judged by its own text, so no text goes
+    for another's sake; of those that also have the same shingles one stays. See near_duplicate_groups.
+    Rows whose id a filter of bounded size does not know stay where they are; the others are joined by id.
     """
-    gone = free_name(df, "dropped_id")
-    dropped = near_duplicate_groups(df, doc_id, text, size, bands, rows).where(~F.col("kept")).select(F.col("id").alias(gone)).distinct()
-    return df.join(dropped, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    flags = _groups(df, doc_id, text, size, bands, rows).where(F.col("id").isNotNull() & F.col("set_key").isNotNull()).select("id", "set_key", kept.alias("kept"))
+    flags = flags.groupBy("id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"), F.collect_set(F.when(F.col("kept"), F.col("set_key"))).alias("sets"))
+    gone, key, known = (free_name(df, x) for x in ("touched", "set_key", "known"))
+    touched = staged(flags.where(~F.col("kept") | (F.col("n") > 1)).select(F.struct("id", (F.col("n") > 1).alias("several"), "sets").alias(gone)), "touched")
+    rows_ = df.withColumn(known, key_filter(touched.select(F.xxhash64(f"{gone}.id").alias("key")))(F.xxhash64(F.col(f"`{doc_id}`"))))
+    joined = rows_.where(known).drop(known).join(touched, F.col(f"`{doc_id}`") == F.col(f"{gone}.id"), "left")
+
+    @F.arrow_udf("binary")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([set_key(shingles(v.as_py(), size)) for v in batch], pa.binary())
+
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    stay = rows_.where(~F.col(known)).select(columns).union(joined.where(F.col(gone).isNull()).select(columns))
+    several = joined.where(F.col(f"{gone}.several")).withColumn(key, keys(F.col(f"`{text}`").cast("binary")))
+    stay = stay.union(several.where(F.col(key).isNull()).select(columns))
+    return stay.union(first_row(several.where(F.array_contains(f"{gone}.sets", F.col(key))), [doc_id, key], df.columns))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of the word rules.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,9 +61,92 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables that are removed together, when what was computed from them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        self.take(out)
+        return out
+
+    def take(self, table: DataFrame) -> None:
+        """Have a staged table removed with the others."""
+        self.paths += {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+
+    def clear(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
+#: Keys with more than one in so many rows are heavy; there are fewer than that of them.
+HEAVY = 1024
+#: Tasks over which a heavy key is dealt.
+SPREAD = 64
+
+
+def heavy_keys(df: DataFrame, key: str) -> DataFrame:
+    """The values of a column that more than one in HEAVY rows have, so HEAVY rows at most."""
+    total = df.count()
+    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HEAVY > total).select(key)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """Inner join of rows with the one row of their key, where rows of the heavy keys, HEAVY at most, are dealt over SPREAD tasks."""
+    hot, part = (_free([*many.columns, *one.columns], x) for x in ("hot", "part"))
+    marked = F.broadcast(heavy.select(key, F.lit(True).alias(hot)))
+    left = many.join(marked, key, "left").withColumn(part, F.when(F.col(hot), F.pmod(F.xxhash64(*many.columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop(hot)
+    copies = F.when(F.col(hot), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = one.join(marked, key, "left").withColumn(part, F.explode(copies)).drop(hot)
+    return left.join(right, [key, part]).drop(part)
+
+
+#: The most bits of a filter: what is broadcast is 8 MB at most.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, most: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test whether a 64-bit key may be among `keys` (a column key), to be confirmed by a join.
+
+    It is right for each key that is, and lets one in eight others pass. From most / 8 keys on it lets more pass, up to
+    all, so that it thins less but never loses a row.
+    """
+    bits = min(most, max(1 << 16, 1 << (8 * keys.count()).bit_length()))
+    at = lambda key: F.pmod(F.xxhash64(key), F.lit(bits))
+    words = keys.select(at(F.col("key")).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")).toArrow()
+    flags = np.zeros(bits // 32, np.int64)
+    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = broadcast_parameter(keys.sparkSession, flags.astype(np.uint32).tobytes(), bits // 8)
+
+    @F.arrow_udf("boolean")
+    def may(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = np.frombuffer(shared.value, np.uint32)
+        for batch in batches:
+            bit = batch.to_numpy(zero_copy_only=False)
+            yield pa.array((held[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool))
+
+    return lambda key: may(at(key))
+
+
+def first_row(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each value of keys, by a hash of the columns that can be hashed; summed up before the shuffle."""
+    own = free_name(rows, "row")
+    order = F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema.fields if f.name in columns and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))))
+    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in columns)), order).alias(own))
+    return picked.select(*(F.col(f"{own}.`{c}`") for c in columns))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, whatever the case."""
-    taken = {c.lower() for c in df.columns}
+    return _free(df.columns, base)
+
+
+def _free(columns: list[str], base: str) -> str:
+    taken = {c.lower() for c in columns}
     name, n = base, 0
     while name.lower() in taken:
         n += 1
