@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import HEAVY, Scratch, first_row, free_name, heavy_keys, key_filter, spread_join, staged
+from veilwork.llm.shared import Scratch, first_row, free_name, heavy_keys, join_one, key_filter, spread_join, staged
 
 #: Bands and rows of a band; pairs at a similarity of 0.8 are missed with a chance below 1 in 10,000.
 BANDS, ROWS = 32, 6
@@ -141,13 +141,13 @@ def shingle_sets(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     return df.select("text").mapInArrow(sets, "set_key binary, elements array<long>")
 
 
-def _root(parent: dict, x: int | bytes) -> int | bytes:
+def _root(parent: dict[int, int], x: int) -> int:
     while (up := parent.setdefault(x, x)) != x:
         parent[x] = x = parent.setdefault(up, up)
     return x
 
 
-def _unite(parent: dict, a: int | bytes, b: int | bytes) -> bool:
+def _unite(parent: dict[int, int], a: int, b: int) -> bool:
     a, b = _root(parent, a), _root(parent, b)
     parent[max(a, b)] = min(a, b)
     return a != b
@@ -160,22 +160,21 @@ LOCAL_NODES = 1_000_000
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, component): the smallest node that each linked node is connected with.
 
-    Nodes are numbers or binary keys. Union-find within each task first replaces the links by those from each node to its local root. Then
+    Union-find within each task first replaces the links by those from each node to its local root. Then
     rounds pass the smaller label over each of these links to its ends and to the labels that they had, and
     labels take over their label's label, until none changes. What is shuffled is one row for each link and
     label, those of a heavy root or label spread over tasks; nothing but counts reaches the driver.
     """
-    scratch, kind = Scratch(links.sparkSession), links.schema["a"].dataType
-    arrow = pa.binary() if kind.simpleString() == "binary" else pa.int64()
+    scratch = Scratch(links.sparkSession)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
+        parent: dict[int, int] = {}
 
         def out() -> pa.RecordBatch:
             pairs = [(x, _root(parent, x)) for x in list(parent)]
             pairs = [p for p in pairs if p[0] != p[1]]
             parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], arrow) for i in (0, 1)], ["node", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["node", "root"])
 
         for batch in batches:
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
@@ -184,20 +183,19 @@ def components(links: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    name = kind.simpleString()
-    stars = scratch.staged(links.select("a", "b").mapInArrow(local, f"node {name}, root {name}").distinct(), "stars")
+    stars = scratch.staged(links.select("a", "b").mapInArrow(local, "node long, root long").distinct(), "stars")
     roots = heavy_keys(stars, "root")
     ends = stars.select("node", F.col("root").alias("component")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("component")))
     labels = staged(ends.groupBy("node").agg(F.min("component").alias("component")), "labels")
     while True:
         last = Scratch(links.sparkSession)
         of = lambda name, out: labels.select(F.col("node").alias(name), F.col("component").alias(out))
-        both = spread_join(stars.join(of("node", "one"), "node"), of("root", "two"), "root", roots)
+        both = join_one(stars.join(of("node", "one"), "node"), of("root", "two"), "root", roots)
         least = F.least("one", "two")
         passed = both.where(F.col("one") != F.col("two")).select(F.explode(F.array("node", "root", "one", "two")).alias("node"), least.alias("component"))
         lower = last.staged(labels.unionByName(passed).groupBy("node").agg(F.min("component").alias("component")), "labels")
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = staged(spread_join(lower, jump, "component", heavy_keys(lower, "component")).select("node", F.col("next").alias("component")), "labels")
+        new = staged(join_one(lower, jump, "component", heavy_keys(lower, "component")).select("node", F.col("next").alias("component")), "labels")
         changed = new.join(labels.withColumnRenamed("component", "old"), "node").where(F.col("component") != F.col("old")).limit(1).count()
         last.take(labels)
         last.clear()
@@ -215,8 +213,8 @@ def _enough(shared: Column, one: Column, two: Column) -> Column:
 BLOCK = 256
 
 
-def _block_links(members: list[tuple[bytes, bytes, bool, np.ndarray]], same: bool) -> list[tuple[bytes, bytes]]:
-    """Links between members (set, component, in the first block, elements) of different components, by exact
+def _block_links(members: list[tuple[int, int, bool, np.ndarray]], same: bool) -> list[tuple[int, int]]:
+    """Links between members (node, component, in the first block, elements) of different components, by exact
     intersection sizes; links that earlier ones connect are left out."""
     sizes = np.array([len(m[3]) for m in members])
     if same:
@@ -239,9 +237,9 @@ def _block_links(members: list[tuple[bytes, bytes, bool, np.ndarray]], same: boo
         shared += matrix[left] @ matrix[right].T
     shared = np.rint(shared).astype(np.int64)
     total = sizes[left][:, None] + sizes[right][None, :]
-    _, component = np.unique(np.array([m[1] for m in members], object), return_inverse=True)
+    component = np.array([m[1] for m in members])
     close = (100 * shared >= PERCENT * (total - shared)) & (component[left][:, None] != component[right][None, :])
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
     out = []
     for i, j in np.argwhere(close).tolist():
         a, b = members[left[i]], members[right[j]]
@@ -251,10 +249,10 @@ def _block_links(members: list[tuple[bytes, bytes, bool, np.ndarray]], same: boo
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (bucket, one, two, first, set_key, component, elements): links within each (bucket, one, two)."""
+    """Sorted rows (bucket, one, two, first, node, component, elements): links within each (bucket, one, two)."""
     key, members, links = None, [], []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "first", "set_key", "component")]
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "first", "node", "component")]
         for row, e in zip(zip(*columns, strict=True), batch.column("elements"), strict=True):
             if row[:3] != key:
                 if key:
@@ -264,41 +262,43 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if key:
         links += _block_links(members, key[1] == key[2])
     links = sorted(set(links))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def _links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members (bucket, members, set_key, component) of each bucket, of different components, by full sets.
+    """Links between members (bucket, members, node, set_key, component) of each bucket, of different components, by full sets.
 
     Buckets of up to BLOCK members are compared in one task; larger ones are cut in blocks, each pair of blocks is compared.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     rest = rest.join(sets, "set_key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") <= F.col("other")).alias("first"), "set_key", "component", "elements")
-    return rest.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(_compare, "a binary, b binary")
+    rest = rest.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") <= F.col("other")).alias("first"), "node", "component", "elements")
+    return rest.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(_compare, "a long, b long")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """(bucket, members) of the buckets (bucket, set_key, component) that are not in one component."""
+    """(bucket, members) of the buckets (bucket, node, component) that are not in one component."""
     found = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
     return found.where(F.col("low") != F.col("high")).select("bucket", "members")
 
 
 def _by_rare_elements(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Buckets anew for (set_key, component) rows: sets that are alike enough share one of their rarest elements.
+    """Buckets anew for (node, set_key, component) rows: sets that are alike enough share one of their rarest elements.
 
     Two sets that share 80 of 100 elements cannot differ in all of the n - ceil(0.8 n) + 1 first ones of any common order,
-    n being the size of either. Elements are ordered by how many of these sets have them, so sets that merely come from one template, and
-    are not alike, meet in few of these buckets.
+    n being the size of either. Elements are ordered by how many of these sets have them, so sets that merely come from one
+    template, and are not alike, meet in few of these buckets.
     """
-    own = scratch.staged(members.join(sets, "set_key").select("set_key", "component", F.size("elements").alias("n"), F.explode("elements").alias("bucket")), "elements")
-    often = scratch.staged(own.groupBy("bucket").agg(F.count("*").alias("often")), "often")
-    ranked = spread_join(own, often, "bucket", heavy_keys(own, "bucket"))
+    own = scratch.staged(members.join(sets, "set_key").select("node", "set_key", "component", F.size("elements").alias("n"), F.explode("elements").alias("bucket")), "elements")
+    often = scratch.staged(own.groupBy("bucket").agg(F.count("*").alias("often")).where(F.col("often") > 1), "often")
+    # Elements of one set alone come first in the order; how many there are tells how many of the others are looked at.
+    ranked = join_one(own, often, "bucket", heavy_keys(often, "bucket", "often"))
     rarest = F.array_sort(F.collect_list(F.struct("often", "bucket")))
-    first = ranked.groupBy("set_key", "component", "n").agg(rarest.alias("rarest"))
-    take = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
-    return first.select("set_key", "component", F.explode(F.slice("rarest", F.lit(1), take)).alias("e")).where(F.col("e.often") > 1).select("set_key", "component", "e.bucket")
+    first = ranked.groupBy("node", "set_key", "component", "n").agg(rarest.alias("rarest"))
+    take = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1 - (F.col("n") - F.size("rarest"))
+    first = first.where(take > 0).select("node", "set_key", "component", F.explode(F.slice("rarest", F.lit(1), take)).alias("e"))
+    return first.select("node", "set_key", "component", "e.bucket")
 
 
 def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
@@ -307,53 +307,52 @@ def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     source = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     features = staged(set_features(source, bands, rows, size), "features")
     known = features.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    classes = staged(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
+    classes = known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    # A number for each class, which the written table fixes.
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = classes.select("node", "set_key")
     # Buckets of two members or more; those with the same members count once.
-    rows_of = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
-    counts = rows_of.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("sum"), F.min("set_key").alias("low")).where(F.col("members") > 1)
+    rows_of = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    counts = rows_of.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.min("node").alias("low")).where(F.col("members") > 1)
     counts = scratch.staged(counts.groupBy("members", "sum", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "members"), "buckets")
-    total = counts.agg(F.sum("members")).first()[0] or 0
-    heavy = counts.where(F.col("members") * HEAVY > total).select("bucket")
-    buckets = scratch.staged(spread_join(rows_of, counts, "bucket", heavy), "members")
-    degree = scratch.staged(buckets.groupBy("set_key").agg(F.sum("members").alias("degree")), "degree")
+    heavy = heavy_keys(counts, "bucket", "members")
+    buckets = scratch.staged(join_one(rows_of, counts, "bucket", heavy), "members")
+    degree = scratch.staged(buckets.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
     # Sets of the members of buckets: a filter of bounded size names their ids, so that texts are shingled again, not shuffled.
-    candidates = classes.join(degree, "set_key").select(F.xxhash64("rep").alias("key"))
-    found = shingle_sets(source.where(key_filter(candidates)(F.xxhash64("id"))), size).join(degree.select("set_key"), "set_key", "left_semi")
-    sets = scratch.staged(found, "sets")
-    keys = sets.select("set_key")
-    if keys.count() > keys.distinct().count():  # rows that repeat an id
+    candidates = classes.join(degree, "node").select(F.xxhash64("rep").alias("key"))
+    sets = scratch.staged(shingle_sets(source.where(key_filter(candidates)(F.xxhash64("id"))), size), "sets")
+    own = sets.select("set_key")
+    if own.count() > own.distinct().count():  # rows that repeat an id or were let through by the filter
         sets = scratch.staged(sets.dropDuplicates(["set_key"]), "sets")
     # First all members of a bucket against its most central one.
-    central = buckets.join(degree, "set_key").groupBy("bucket").agg(F.max(F.struct("degree", "set_key", "n")).alias("pivot"))
-    central = central.select("bucket", F.col("pivot.set_key").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-    pairs = spread_join(buckets, central, "bucket", heavy).where((F.col("set_key") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= PERCENT * F.greatest("n", "pivot_n")))
-    pairs = scratch.staged(pairs.select("set_key", "pivot").distinct(), "pairs")
-    of = lambda name, out: sets.select(F.col("set_key").alias(name), F.col("elements").alias(out))
-    compared = spread_join(pairs.join(of("set_key", "one"), "set_key"), of("pivot", "two"), "pivot", heavy_keys(pairs, "pivot"))
+    central = buckets.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("pivot"))
+    central = central.select("bucket", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+    pairs = join_one(buckets, central, "bucket", heavy).where((F.col("node") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= PERCENT * F.greatest("n", "pivot_n")))
+    pairs = scratch.staged(pairs.select("node", "pivot").distinct(), "pairs")
+    pivots = keys.select(F.col("node").alias("pivot"), F.col("set_key").alias("pivot_key"))
+    pairs = scratch.staged(join_one(pairs, pivots, "pivot", heavy_keys(pairs, "pivot")).join(keys, "node"), "pairs")
+    one, two = sets.withColumnRenamed("elements", "one"), sets.select(F.col("set_key").alias("pivot_key"), F.col("elements").alias("two"))
+    compared = spread_join(pairs.join(one, "set_key"), two, "pivot_key", heavy_keys(pairs, "pivot_key"))
     close = _enough(F.size(F.array_intersect("one", "two")), F.size("one"), F.size("two"))
-    links = scratch.staged(compared.where(close).select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), "links")
+    links = scratch.staged(compared.where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
     # Then buckets that are not in one component.
-    joined = components(links)
-    placed = buckets.join(joined, buckets.set_key == joined.node, "left").select("bucket", "members", "set_key", F.coalesce("component", "set_key").alias("component"))
-    placed = scratch.staged(placed, "placed")
+    placed = buckets.select("bucket", "members", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     opened = scratch.staged(_open(placed), "open")
     small, large = (opened.where(c).select("bucket") for c in (F.col("members") <= BLOCK, F.col("members") > BLOCK))
-    more = _links_within(placed.join(small, "bucket", "left_semi"), sets)
+    more = _links_within(placed.join(small, "bucket", "left_semi").join(keys, "node"), sets)
     if not large.isEmpty():
-        members = placed.join(large, "bucket", "left_semi").select("set_key", "component").distinct()
+        members = placed.join(large, "bucket", "left_semi").select("node", "component").distinct().join(keys, "node")
         anew = scratch.staged(_by_rare_elements(members, sets, scratch), "anew")
-        more = more.unionByName(_links_within(spread_join(anew, _open(anew), "bucket", heavy_keys(anew, "bucket")), sets))
-    links = scratch.staged(links.unionByName(more), "links")
-    joined = components(links)
+        more = more.unionByName(_links_within(join_one(anew, _open(anew), "bucket", heavy_keys(anew, "bucket")), sets))
+    joined = components(scratch.staged(links.unionByName(more), "links"))
     # The smallest id of each component, then of each class, then of each row.
-    own = classes.join(joined, classes.set_key == joined.node, "left").select("set_key", "rep", "copies", F.coalesce("component", "set_key").alias("component"))
+    own = classes.select("node", "set_key", "rep", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = scratch.staged(own, "own")
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = staged(spread_join(own, least, "component", heavy_keys(own, "component")).select("set_key", "copies", "component_id"), "named")
+    named = staged(join_one(own, least, "component", heavy_keys(own, "component")).select("set_key", "copies", "component_id"), "named")
     scratch.clear()
-    total = named.agg(F.sum("copies")).first()[0] or 0
-    often = named.where(F.col("copies") * HEAVY > total).select("set_key")
-    out = spread_join(known.select("id", "n", "set_key"), named.select("set_key", "component_id"), "set_key", often).select("id", "n", "set_key", "component_id")
+    often = heavy_keys(named, "set_key", "copies")
+    out = join_one(known.select("id", "n", "set_key"), named.select("set_key", "component_id"), "set_key", often).select("id", "n", "set_key", "component_id")
     return out.unionByName(features.where(F.col("set_key").isNull() | F.col("id").isNull()).select("id", "n", "set_key", F.col("id").alias("component_id")))
 
 

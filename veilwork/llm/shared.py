@@ -89,20 +89,30 @@ HEAVY = 1024
 SPREAD = 64
 
 
-def heavy_keys(df: DataFrame, key: str) -> DataFrame:
-    """The values of a column that more than one in HEAVY rows have, so HEAVY rows at most."""
-    total = df.count()
-    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HEAVY > total).select(key)
-
-
-def spread_join(many: DataFrame, one: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """Inner join of rows with the one row of their key, where rows of the heavy keys, HEAVY at most, are dealt over SPREAD tasks."""
-    hot, part = (_free([*many.columns, *one.columns], x) for x in ("hot", "part"))
-    marked = F.broadcast(heavy.select(key, F.lit(True).alias(hot)))
-    left = many.join(marked, key, "left").withColumn(part, F.when(F.col(hot), F.pmod(F.xxhash64(*many.columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop(hot)
-    copies = F.when(F.col(hot), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    right = one.join(marked, key, "left").withColumn(part, F.explode(copies)).drop(hot)
-    return left.join(right, [key, part]).drop(part)
+def heavy_keys(df: DataFrame, key: str, weight: str | None = None) -> list:
+    """The values of a column that more than one in HEAVY rows have (rows counted by a weight column, if one is named), so
+    fewer than HEAVY values."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    total = df.agg(n).first()[0] or 0
+    return [r[0] for r in df.groupBy(key).agg(n.alias("n")).where(F.col("n") * HEAVY > total).select(key).collect()]
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, heavy: list) -> DataFrame:
+    """Inner join of rows with the one short row of their key: those of heavy keys, fewer than HEAVY, are broadcast."""
+    if not heavy:
+        return many.join(one, key)
+    hot = F.col(key).isin(heavy)
+    return many.where(~hot).join(one.where(~hot), key).unionByName(many.where(hot).join(F.broadcast(one.where(hot)), key))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, heavy: list) -> DataFrame:
+    """Inner join of rows with the one row of their key, which may be long: rows of heavy keys are dealt over SPREAD tasks."""
+    if not heavy:
+        return many.join(one, key)
+    part, hot = _free([*many.columns, *one.columns], "part"), F.col(key).isin(heavy)
+    left = many.withColumn(part, F.when(hot, F.pmod(F.xxhash64(*many.columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long")))
+    copies = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return left.join(one.withColumn(part, F.explode(copies)), [key, part]).drop(part)
 
 
 #: The most bits of a filter: what is broadcast is 8 MB at most.
