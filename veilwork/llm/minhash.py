@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import Scratch, first_row, free_name, heavy_keys, join_one, key_filter, spread_join, staged
+from veilwork.llm.shared import Scratch, broadcast_parameter, first_row, free_name, heavy_keys, join_one, key_filter, spread_join, staged
 
 #: Bands and rows of a band; pairs at a similarity of 0.8 are missed with a chance below 1 in 10,000.
 BANDS, ROWS = 32, 6
@@ -283,22 +283,37 @@ def _open(members: DataFrame) -> DataFrame:
     return found.where(F.col("low") != F.col("high")).select("bucket", "members")
 
 
+#: About so many sets tell which elements are frequent: in one of FREQUENT of them. It bears on the work, not on results.
+SAMPLE_SETS, FREQUENT = 512, 64
+
+
 def _by_rare_elements(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Buckets anew for (node, set_key, component) rows: sets that are alike enough share one of their rarest elements.
 
     Two sets that share 80 of 100 elements cannot differ in all of the n - ceil(0.8 n) + 1 first ones of any common order,
-    n being the size of either. Elements are ordered by how many of these sets have them, so sets that merely come from one
+    n being the size of either. Elements that many of these sets have come last, so sets that merely come from one
     template, and are not alike, meet in few of these buckets.
     """
-    own = scratch.staged(members.join(sets, "set_key").select("node", "set_key", "component", F.size("elements").alias("n"), F.explode("elements").alias("bucket")), "elements")
-    often = scratch.staged(own.groupBy("bucket").agg(F.count("*").alias("often")).where(F.col("often") > 1), "often")
-    # Elements of one set alone come first in the order; how many there are tells how many of the others are looked at.
-    ranked = join_one(own, often, "bucket", heavy_keys(often, "bucket", "often"))
-    rarest = F.array_sort(F.collect_list(F.struct("often", "bucket")))
-    first = ranked.groupBy("node", "set_key", "component", "n").agg(rarest.alias("rarest"))
-    take = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1 - (F.col("n") - F.size("rarest"))
-    first = first.where(take > 0).select("node", "set_key", "component", F.explode(F.slice("rarest", F.lit(1), take)).alias("e"))
-    return first.select("node", "set_key", "component", "e.bucket")
+    rows = scratch.staged(members.join(sets, "set_key"), "large")
+    share = max(1, rows.count() // SAMPLE_SETS)
+    sample = rows.where(F.pmod(F.xxhash64("set_key"), F.lit(share)) == 0).select(F.explode("elements").alias("bucket"))
+    often = sample.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") * FREQUENT > SAMPLE_SETS).orderBy(F.desc("n"), "bucket").limit(1 << 20)
+    frequent = np.sort(often.toArrow().column("bucket").to_numpy())
+    shared = broadcast_parameter(rows.sparkSession, frequent.tobytes(), frequent.nbytes)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.frombuffer(shared.value, np.int64)
+        for batch in batches:
+            picked = []
+            for v in batch.column("elements"):
+                e = v.values.to_numpy()
+                late = common[np.minimum(np.searchsorted(common, e), len(common) - 1)] == e if len(common) else np.zeros(len(e), bool)
+                picked.append(e[np.lexsort((mixed(e.view(np.uint64)), late))[: len(e) + PERCENT * len(e) // -100 + 1]])
+            owner = pa.array(np.repeat(np.arange(len(picked)), [len(x) for x in picked]))
+            own = [batch.column(c).take(owner) for c in ("node", "set_key", "component")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *picked])), *own], ["bucket", "node", "set_key", "component"])
+
+    return rows.select("node", "set_key", "component", "elements").mapInArrow(rarest, "bucket long, node long, set_key binary, component long")
 
 
 def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:

@@ -122,10 +122,10 @@ FILTER_BITS = 1 << 26
 def key_filter(keys: DataFrame, most: int = FILTER_BITS) -> Callable[[Column], Column]:
     """A test whether a 64-bit key may be among `keys` (a column key), to be confirmed by a join.
 
-    It is right for each key that is, and lets one in eight others pass. From most / 8 keys on it lets more pass, up to
+    It is right for each key that is, and lets one in 64 others pass. From most / 64 keys on it lets more pass, up to
     all, so that it thins less but never loses a row.
     """
-    bits = min(most, max(1 << 16, 1 << (8 * keys.count()).bit_length()))
+    bits = min(most, max(1 << 16, 1 << (64 * keys.count()).bit_length()))
     at = lambda key: F.pmod(F.xxhash64(key), F.lit(bits))
     words = keys.select(at(F.col("key")).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")).toArrow()
     flags = np.zeros(bits // 32, np.int64)
