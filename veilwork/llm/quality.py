@@ -31,7 +31,9 @@ FIT_ROWS = 12_000
 #: Bytes of a block of labelled rows; a step's temporary arrays are of this order.
 BLOCK_BYTES = 8 << 20
 #: Tokens whose bucket a Python worker keeps; the memory is dropped when it is full.
-TOKEN_MEMORY = 300_000
+TOKEN_MEMORY = 200_000
+#: Longer tokens seldom come again and are not kept.
+LONG_TOKEN = 24
 
 #: What tokens are: words with the marks that touch them apart.
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -50,7 +52,9 @@ class _Hash(dict):
         own = [token.lower()]
         if token[0].isalpha():
             own += [f"{own[0][:n]}-" for n in PREFIXES if len(token) > n] + ["^"] * (len(token) > 1 and token.isupper())
-        self[token] = out = array("i", [1 + xxhash.xxh32_intdigest(x.encode()) % (BUCKETS - 1) for x in own]).tobytes()
+        out = array("i", [1 + xxhash.xxh32_intdigest(x.encode()) % (BUCKETS - 1) for x in own]).tobytes()
+        if len(token) <= LONG_TOKEN:
+            self[token] = out
         return out
 
 
@@ -229,11 +233,15 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 
 def select(df: DataFrame, model: OrdinalModel, wanted: int, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of df, with its columns, whose probability of a grade of `wanted` or more is `least` at least."""
+    """The rows of df, with its columns, whose probability of a grade of `wanted` or more is `least` at least.
+
+    Null and empty texts are judged by the thresholds alone; repeated rows share their fate; an empty table stays empty.
+    """
     own = free_name(df, "row"), free_name(df, "tail")
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(own[0]), F.col(f"`{text}`").alias("text"))
     return score(rows, model, wanted, tail=own[1]).where(F.col(own[1]) >= least).select(f"{own[0]}.*")
 
 
 def passes(tail: Column, least: float = 0.5) -> Column:
+    """Whether a tail probability, which is never null, is `least` at least."""
     return tail >= least

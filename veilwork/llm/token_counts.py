@@ -20,7 +20,9 @@ from veilwork.llm.bpe import byte_letters
 from veilwork.llm.shared import broadcast_parameter, once_per_worker
 
 #: Words whose count a Python worker keeps; the memory is dropped when it is full.
-WORD_MEMORY = 500_000
+WORD_MEMORY = 400_000
+#: Longer words, in bytes, seldom come again and are not kept.
+LONG_WORD = 32
 
 
 def byte_level_pieces(path: str) -> list[bytes]:
@@ -93,7 +95,8 @@ class LongestMatch(dict):
         out = count if node == 0 else 1
         if len(self) >= WORD_MEMORY:
             self.clear()
-        self[word] = out
+        if len(word) <= LONG_WORD:
+            self[word] = out
         return out
 
 
