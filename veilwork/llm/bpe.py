@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker
+from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker, tidy
 
 #: Parts of texts whose encoding a Python worker keeps twice at most, about 200 bytes each.
 PARTS = 60_000
@@ -493,6 +493,7 @@ def encode(df: DataFrame, tokenizer: str | bytes, text: str = "text", out: str =
     digest, shared = _loaded(df, tokenizer)
 
     @F.arrow_udf("array<int>")
+    @tidy
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, _ = _both(digest, shared)
         for batch in batches:
@@ -529,6 +530,7 @@ def encode_and_decode(df: DataFrame, tokenizer: str | bytes, text: str = "text",
     digest, shared = _loaded(df, tokenizer)
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    @tidy
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decoder = _both(digest, shared)
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, once_per_worker
+from veilwork.llm.shared import broadcast_parameter, once_per_worker, tidy
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -271,7 +271,7 @@ def find_contamination(
     spark, found = df.sparkSession, []
     for rows, n_bytes in _blocks(benchmark, item_id, item_text, block_bytes):
         search = _searcher(broadcast_parameter(spark, rows, n_bytes), window)
-        found.append(F.arrow_udf(search, RESULT)(F.col(f"`{text}`").cast("binary")))
+        found.append(F.arrow_udf(tidy(search), RESULT)(F.col(f"`{text}`").cast("binary")))
     result = found[0] if len(found) == 1 else F.arrow_udf(_merged, RESULT)(*found)
     hits = f"hits_{uuid.uuid4().hex}"
     out = df.withColumn(hits, result)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import SPACE, first_row, free_name, key_filter, staged
+from veilwork.llm.shared import SPACE, KeyFilter, first_row, free_name, staged
 
 #: Misra-Gries counters: texts that more than rows / (COUNTERS + 1) rows have go the heavy way.
 COUNTERS = 1024
@@ -101,7 +101,7 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count
     gone, digest = free_name(df, "touched"), free_name(df, "digest")
     touched = staged(copies.where(~F.col("kept") | (F.col("n") > 1)).select(F.struct("id", "digest").alias(gone), "kept"), "copies")
     rows = df.withColumn(digest, digest_of(F.col(f"`{text}`")))
-    maybe = key_filter(touched.select(F.xxhash64(f"{gone}.id", f"{gone}.digest").alias("key")))(F.xxhash64(F.col(f"`{doc_id}`"), F.col(digest)))
+    maybe = KeyFilter(touched.select(F.xxhash64(f"{gone}.id", f"{gone}.digest").alias("key"))).column(F.xxhash64(F.col(f"`{doc_id}`"), F.col(digest)))
     known = free_name(df, "known")
     rows = rows.withColumn(known, maybe)
     touched = touched.withColumnRenamed("kept", known)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import Scratch, broadcast_parameter, first_row, free_name, heavy_keys, join_one, key_filter, spread_join, staged
+from veilwork.llm.shared import KeyFilter, Scratch, broadcast_parameter, first_row, free_name, heavy_keys, join_one, spread_join, staged, tidy
 
 #: Bands and rows of a band; pairs at a similarity of 0.8 are missed with a chance below 1 in 10,000.
 BANDS, ROWS = 32, 6
@@ -118,7 +118,7 @@ def set_features(df: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                     ["id", "n", "set_key", "bands"],
                 )
 
-    return df.mapInArrow(features, f"id {df.schema['id'].dataType.simpleString()}, n long, set_key binary, bands array<long>")
+    return df.mapInArrow(tidy(features), f"id {df.schema['id'].dataType.simpleString()}, n long, set_key binary, bands array<long>")
 
 
 def set_key(elements: np.ndarray) -> bytes | None:
@@ -126,19 +126,24 @@ def set_key(elements: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None
 
 
-def shingle_sets(df: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(text) to (set_key, elements): the sorted hashes of each whole text's shingles; texts without words are left out."""
+def shingle_sets(df: DataFrame, wanted: KeyFilter, size: int = SHINGLE) -> DataFrame:
+    """(id, text) to (set_key, elements), the sorted hashes of each whole text's shingles, for the ids that a filter lets pass.
+
+    Texts without words are left out.
+    """
+    may = wanted.test()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                found = [x for x in (shingles(v.as_py(), size) for v in batch.column(0).slice(first, 500)) if len(x)]
+            texts = batch.filter(may(batch.column("place"))).column("text")
+            for first in range(0, len(texts), 500):
+                found = [x for x in (shingles(v.as_py(), size) for v in texts.slice(first, 500)) if len(x)]
                 if found:
                     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.binary()), lists], ["set_key", "elements"])
 
-    return df.select("text").mapInArrow(sets, "set_key binary, elements array<long>")
+    return df.select("text", wanted.place(F.xxhash64("id")).alias("place")).mapInArrow(tidy(sets), "set_key binary, elements array<long>")
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -183,7 +188,7 @@ def components(links: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    stars = scratch.staged(links.select("a", "b").mapInArrow(local, "node long, root long").distinct(), "stars")
+    stars = scratch.staged(links.select("a", "b").mapInArrow(tidy(local), "node long, root long").distinct(), "stars")
     roots = heavy_keys(stars, "root")
     ends = stars.select("node", F.col("root").alias("component")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("component")))
     labels = staged(ends.groupBy("node").agg(F.min("component").alias("component")), "labels")
@@ -274,7 +279,7 @@ def _links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
     rest = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     rest = rest.join(sets, "set_key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") <= F.col("other")).alias("first"), "node", "component", "elements")
-    return rest.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(_compare, "a long, b long")
+    return rest.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(tidy(_compare), "a long, b long")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -313,7 +318,7 @@ def _by_rare_elements(members: DataFrame, sets: DataFrame, scratch: Scratch) ->
             own = [batch.column(c).take(owner) for c in ("node", "set_key", "component")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *picked])), *own], ["bucket", "node", "set_key", "component"])
 
-    return rows.select("node", "set_key", "component", "elements").mapInArrow(rarest, "bucket long, node long, set_key binary, component long")
+    return rows.select("node", "set_key", "component", "elements").mapInArrow(tidy(rarest), "bucket long, node long, set_key binary, component long")
 
 
 def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
@@ -335,7 +340,7 @@ def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     degree = scratch.staged(buckets.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
     # Sets of the members of buckets: a filter of bounded size names their ids, so that texts are shingled again, not shuffled.
     candidates = classes.join(degree, "node").select(F.xxhash64("rep").alias("key"))
-    sets = scratch.staged(shingle_sets(source.where(key_filter(candidates)(F.xxhash64("id"))), size), "sets")
+    sets = scratch.staged(shingle_sets(source, KeyFilter(candidates), size), "sets")
     own = sets.select("set_key")
     if own.count() > own.distinct().count():  # rows that repeat an id or were let through by the filter
         sets = scratch.staged(sets.dropDuplicates(["set_key"]), "sets")
@@ -400,7 +405,7 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     flags = flags.groupBy("id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"), F.collect_set(F.when(F.col("kept"), F.col("set_key"))).alias("sets"))
     gone, key, known = (free_name(df, x) for x in ("touched", "set_key", "known"))
     touched = staged(flags.where(~F.col("kept") | (F.col("n") > 1)).select(F.struct("id", (F.col("n") > 1).alias("several"), "sets").alias(gone)), "touched")
-    rows_ = df.withColumn(known, key_filter(touched.select(F.xxhash64(f"{gone}.id").alias("key")))(F.xxhash64(F.col(f"`{doc_id}`"))))
+    rows_ = df.withColumn(known, KeyFilter(touched.select(F.xxhash64(f"{gone}.id").alias("key"))).column(F.xxhash64(F.col(f"`{doc_id}`"))))
     joined = rows_.where(known).drop(known).join(touched, F.col(f"`{doc_id}`") == F.col(f"{gone}.id"), "left")
 
     @F.arrow_udf("binary")

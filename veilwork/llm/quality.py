@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker
+from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker, tidy
 
 #: Weights; tokens are hashed into so many.
 BUCKETS = 1 << 16
@@ -190,8 +190,8 @@ def fit(df: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id"
         model = _maximise(lambda f: [f(b) for b in blocks], n_grades, steps, 0.05, 1e-3, 8)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], ["weights", "thresholds"])
 
-    found = rated.mapInArrow(hashed, "id string, grade int, at binary, value binary").repartition(1).sortWithinPartitions("id", "at", "value")
-    model = found.mapInArrow(fitted, "weights binary, thresholds binary").collect()
+    found = rated.mapInArrow(tidy(hashed), "id string, grade int, at binary, value binary").repartition(1).sortWithinPartitions("id", "at", "value")
+    model = found.mapInArrow(tidy(fitted), "weights binary, thresholds binary").collect()
     if not model:
         return fit_ordinal([], np.zeros(0, np.int64), n_grades)
     return OrdinalModel(np.frombuffer(model[0].weights, np.float32), np.frombuffer(model[0].thresholds))
@@ -223,7 +223,7 @@ def score(df: DataFrame, model: OrdinalModel, wanted: int, text: str = "text", e
     """
     shared = broadcast_parameter(df.sparkSession, (model.weights, model.thresholds), model.weights.nbytes)
     own = free_name(df, "scored")
-    found = df.withColumn(own, F.arrow_udf(_scorer(shared, wanted), "struct<score:double,expected:double,tail:double>")(F.col(f"`{text}`")))
+    found = df.withColumn(own, F.arrow_udf(tidy(_scorer(shared, wanted)), "struct<score:double,expected:double,tail:double>")(F.col(f"`{text}`")))
     return found.withColumns({expected: F.col(f"{own}.expected"), tail: F.col(f"{own}.tail")}).drop(own)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import Any
 
 import numpy as np
@@ -34,6 +37,20 @@ def once_per_worker(key: Any, build: Callable[[], Any]) -> Any:
     return found
 
 
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that gives freed memory back to the system when it ends: Spark hands its worker on to later stages."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def broadcast_parameter(spark: SparkSession, value: Any, n_bytes: int) -> Broadcast:
     """Broadcast a parameter whose size has been measured; larger ones are an error."""
     if n_bytes > MAX_BROADCAST_BYTES:
@@ -119,27 +136,41 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, heavy: list) -> DataF
 FILTER_BITS = 1 << 26
 
 
-def key_filter(keys: DataFrame, most: int = FILTER_BITS) -> Callable[[Column], Column]:
+class KeyFilter:
     """A test whether a 64-bit key may be among `keys` (a column key), to be confirmed by a join.
 
     It is right for each key that is, and lets one in 64 others pass. From most / 64 keys on it lets more pass, up to
     all, so that it thins less but never loses a row.
     """
-    bits = min(most, max(1 << 16, 1 << (64 * keys.count()).bit_length()))
-    at = lambda key: F.pmod(F.xxhash64(key), F.lit(bits))
-    words = keys.select(at(F.col("key")).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")).toArrow()
-    flags = np.zeros(bits // 32, np.int64)
-    flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = broadcast_parameter(keys.sparkSession, flags.astype(np.uint32).tobytes(), bits // 8)
-
-    @F.arrow_udf("boolean")
-    def may(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held = np.frombuffer(shared.value, np.uint32)
-        for batch in batches:
-            bit = batch.to_numpy(zero_copy_only=False)
-            yield pa.array((held[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool))
-
-    return lambda key: may(at(key))
+
+    def __init__(self, keys: DataFrame, most: int = FILTER_BITS):
+        self.bits = min(most, max(1 << 16, 1 << (64 * keys.count()).bit_length()))
+        words = keys.select(self.place(F.col("key")).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")).toArrow()
+        flags = np.zeros(self.bits // 32, np.int64)
+        flags[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        self.shared = broadcast_parameter(keys.sparkSession, flags.astype(np.uint32).tobytes(), self.bits // 8)
+
+    def place(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+
+    def test(self) -> Callable[[pa.Array], pa.Array]:
+        """For tasks: whether keys at these places may be among them."""
+        shared = self.shared
+
+        def may(places: pa.Array) -> pa.Array:
+            bit = places.to_numpy(zero_copy_only=False)
+            return pa.array((np.frombuffer(shared.value, np.uint32)[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool))
+
+        return may
+
+    def column(self, key: Column) -> Column:
+        may = self.test()
+
+        @F.arrow_udf("boolean")
+        def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from map(may, batches)
+
+        return passes(self.place(key))
 
 
 def first_row(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
