@@ -7,6 +7,7 @@ of documents; run() writes each result as Parquet in the shared folder and reads
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,27 +17,47 @@ from veilwork.llm.queries import table, tokenizer_path
 from veilwork.llm.shared import staged
 
 
+#: Texts that a Python worker gets at once; whole documents are long, and 10,000 of them too much beside the JVM.
+BATCH_ROWS = 2_000
+
+
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose workers get BATCH_ROWS rows at once; what is computed does not depend on it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@small_batches
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that more likely than not are bad or toxic."""
     model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), n_grades=3)
     return quality.select(docs, model, wanted=2)
 
 
+@small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keep the smallest doc_id."""
     return exact_dedup.exact_dedup(docs)
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates by shingles of five words, keep the smallest doc_id."""
     return minhash.near_dedup(docs)
 
 
+@small_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a window of ten benchmark words occurs."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode each text, and keep how many tokens it has and whether they decode to it again."""
     both = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path("byte_bpe_50k.json"))
