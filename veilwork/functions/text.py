@@ -124,7 +124,7 @@ def mask_text(df: DataFrame, text: str = "text", out: str = "masked", hits: str
     source = F.coalesce("_mrz.text", given)
     found = F.regexp_extract_all(source, F.lit(f"({_SPAN})"), F.lit(1))
     rest = F.split(source, _SPAN, -1)
-    rows = df.withColumns({"_found": found, "_rest": rest}).withColumn("_valid", _valid_each(F.transform("_found", digits_of)))
+    rows = df.withColumns({"_found": found, "_rest": rest}).withColumn("_valid", valid_each(F.transform("_found", digits_of)))
     part = lambda x, i: F.when(
         F.get("_valid", i), F.concat(F.regexp_replace(F.substring(x, F.lit(1), first8_length(x)), "[0-9]", MASK), F.substring(x, first8_length(x) + 1, F.length(x)))
     ).when(is_pan(x), F.repeat(F.lit(MASK), F.length(x))).otherwise(x)
@@ -158,7 +158,7 @@ def _hide_mrz(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 @F.arrow_udf(T.ArrayType(T.BooleanType()))
-def _valid_each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def valid_each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         lists = [x or [] for x in batch.to_pylist()]
         flat = [t if len(t) == 12 else None for x in lists for t in x]

@@ -47,9 +47,10 @@ def detect_id12_triplets(tokens: DataFrame) -> DataFrame:
 def detect_id12_inline(tokens: DataFrame) -> DataFrame:
     """The first valid candidate within each token; suspicious where the token's box does not fit its length."""
     found = tokens.withColumn("candidates", X.id12_candidates(F.col("text"))).where(F.size("candidates") > 0)
-    found = found.select("*", F.posexplode("candidates").alias("candidate_no", "match"))
-    found = found.withColumn("value", X.digits_of(F.col("match"))).where(verhoeff_valid("value"))
-    first = found.groupBy(*PAGE, "line_id", "token_seq", "text", "x", "y", "w", "h", "confidence").agg(F.min(F.struct("candidate_no", "match", "value")).alias("hit"))
+    # Row by row: each token is its own, also where another one has the same values.
+    found = found.withColumn("valid", X.valid_each(F.transform("candidates", X.digits_of)))
+    match = F.get("candidates", F.array_position("valid", F.lit(True)).cast("int") - 1)
+    first = found.where(F.array_contains("valid", F.lit(True))).withColumn("hit", F.struct(match.alias("match"), X.digits_of(match).alias("value")))
     wide = ~X.plausible_glyphs(F.col("w"), F.col("h"), F.length("text"))
     mask = X.mask_sub_box(*(F.col(c).cast("double") for c in "xywh"), F.col("text"), F.col("hit.match"))
     return first.select(
@@ -58,14 +59,16 @@ def detect_id12_inline(tokens: DataFrame) -> DataFrame:
     )
 
 
-def greedy(rows: DataFrame, keys: list[str], order: list[Column], clash) -> DataFrame:
+def greedy(rows: DataFrame, keys: list[str], order: list[Column], clash, beats=None) -> DataFrame:
     """Of each key's rows, in order, those that clash with none kept before: an ordered fold over a short array.
 
-    clash(kept, new) is a condition on two rows. Groups are the detections of a page (or of a page and
+    clash(kept, new) is a condition on two rows; where beats(one, other) is given, rows that any row of the key beats go first. Groups are the detections of a page (or of a page and
     value), bounded by what a page can show.
     """
     payload = F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)), *(c for c in rows.columns if c not in keys))
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(payload)).alias("_all"))
+    if beats is not None:
+        listed = listed.withColumn("_all", F.filter("_all", lambda x: ~F.exists(F.col("_all"), lambda y: beats(y, x))))
     # An empty array of the right type to begin with.
     kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
     out = listed.select(*keys, F.explode(kept).alias("_row")).select(*keys, "_row.*")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from veilwork.functions import geometry as G
 from veilwork.functions.text import TEXT_KINDS
 from veilwork.operators.detect import PAGE, detect_id12_inline, detect_id12_triplets, detect_pan, detect_text, greedy, merge_id12
+from veilwork.sources.staging import written
 
 #: Rotations in the order of trial, and the bands of a page's height with their order.
 ROTATIONS = (180, 90, 270)
@@ -75,12 +76,19 @@ def _flagged(current: DataFrame) -> DataFrame:
     return current.groupBy(*PAGE).agg(F.coalesce(F.bool_or(ids), F.lit(False)).alias("has_id"), F.coalesce(F.bool_or(ids & F.col("suspicious")), F.lit(False)).alias("doubt"))
 
 
+def settle_ids(ids: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Ids of each key without the suspicious ones that overlap a clean one of the same value, and, of those of the same value
+    that overlap, the first in order."""
+    overlap = lambda a, b: G.boxes_overlap(a["bbox"], b["bbox"])
+    return greedy(ids, [*keys, "value"], order, overlap, lambda one, other: ~one["suspicious"] & other["suspicious"] & overlap(one, other))
+
+
 def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pages: DataFrame) -> DataFrame:
     """Text hits of the page with its first bands, for pages without an id or with a suspicious one.
 
     Steps add one band each; of the steps that have an id the last counts, but the first that covers
-    every suspicious id of the page by a clean one of the same value ends the search. bands: translated band
-    tokens with their band.
+    every suspicious id of the page by a clean one of the same value ends the search. The ids of a step are settled among
+    themselves. bands: translated band tokens with their band.
     """
     need = pages.select(*PAGE).distinct().join(_flagged(current), PAGE, "left").where(~F.coalesce("has_id", F.lit(False)) | F.coalesce("doubt", F.lit(False))).select(*PAGE)
     columns = [*PAGE, "line_id", "token_seq", "text", "x", "y", "w", "h", "confidence"]
@@ -91,6 +99,10 @@ def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pa
     n = len(BANDS)
     stepped = all_steps.unionByName(with_bands).withColumn("page_index", F.col("page_index") * n + F.col("step")).drop("step")
     hits = detect_text(stepped).withColumns({"step": F.pmod(F.col("page_index"), F.lit(n)), "page_index": F.floor(F.col("page_index") / n).cast("long")})
+    columns = hits.columns
+    ids = settle_ids(hits.where(F.col("kind") == "aadhaar"), [*PAGE, "step"], [F.col("part"), F.col("place")]).select(columns)
+    # Read four times below: written, so that detection is planned and run once.
+    hits = written(hits.where(F.col("kind") != "aadhaar").unionByName(ids), "steps")
     ids = hits.where(F.col("kind") == "aadhaar")
     doubts = current.where((F.col("kind") == "aadhaar") & F.col("suspicious")).withColumn("doubt_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("bbox.x", "bbox.y", "value")))
     clean = ids.where(~F.col("suspicious")).select(*PAGE, "value", "step", F.col("bbox").alias("clean_box"))
@@ -107,20 +119,23 @@ def merge_recovery(current: DataFrame, recovered: DataFrame) -> DataFrame:
 
     A page without id gets the recovered text hits for all its own. Else only recovered ids are added,
     suspicious ids that overlap a clean one of the same value go, and of overlapping ids of the same value
-    the first stays.
+    the first in the order of detection stays, those of the page before recovered ones. That order is detection_index, or
+    part and place, where the rows have them, and else from top to bottom.
     """
     had = _flagged(current).where("has_id").select(*PAGE)
-    new_pages = recovered.select(*PAGE).distinct().join(had, PAGE, "left_anti")
-    replaced = current.where(_is_text()).join(new_pages, PAGE, "left_semi")
     columns = [c for c in current.columns if c in recovered.columns]
-    text = recovered.join(had, PAGE, "left_anti").select(*columns)
-    ids = current.where(F.col("kind") == "aadhaar").join(had, PAGE, "left_semi").select(*columns).withColumn("_late", F.lit(0))
-    ids = ids.unionByName(recovered.where(F.col("kind") == "aadhaar").join(had, PAGE, "left_semi").select(*columns).withColumn("_late", F.lit(1)))
-    clean = ids.where(~F.col("suspicious")).select(*(F.col(c).alias(f"_{c}") for c in PAGE), F.col("value").alias("_value"), F.col("bbox").alias("_bbox"))
-    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & (F.col("value") == F.col("_value"))
-    ids = ids.join(clean, same & F.col("suspicious") & G.boxes_overlap(F.col("bbox"), F.col("_bbox")), "left_anti")
-    ids = greedy(ids, [*PAGE, "value"], [F.col("_late"), F.col("bbox.y"), F.col("bbox.x")], lambda k, x: G.boxes_overlap(k["bbox"], x["bbox"])).select(*columns)
+    is_id = F.col("kind") == "aadhaar"
+    marked = current.join(had.withColumn("_had", F.lit(True)), PAGE, "left")
+    new_pages = recovered.select(*PAGE).distinct().join(had, PAGE, "left_anti").withColumn("_new", F.lit(True))
     # Rows that no rule touches: all kinds but ids on pages that had one, all kinds but text on new pages.
-    rest = current.select(*columns).exceptAll(replaced.select(*columns))
-    rest = rest.where(F.col("kind") != "aadhaar").unionByName(rest.where(F.col("kind") == "aadhaar").join(had, PAGE, "left_anti"))
+    rest = marked.join(new_pages, PAGE, "left").where(~(F.col("_had").isNotNull() & is_id) & ~(F.col("_new").isNotNull() & _is_text())).select(*columns)
+    text = recovered.join(had, PAGE, "left_anti").select(*columns)
+
+    def ordered(rows: DataFrame, late: int) -> DataFrame:
+        """Ids of pages that had one, in the order of detection."""
+        at = F.col("detection_index").cast("double") if "detection_index" in rows.columns else F.lit(0.0)
+        place = F.struct("part", "place") if {"part", "place"} <= set(rows.columns) else F.struct(F.lit(0).alias("part"), F.struct(*(F.lit(0.0).alias(c) for c in ("rank", "line_id", "x", "token_seq"))).alias("place"))
+        return rows.where(is_id).join(had, PAGE, "left_semi").select(*columns, F.struct(F.lit(late).alias("late"), at.alias("at"), place.alias("place"), F.col("bbox.y").alias("y"), F.col("bbox.x").alias("x")).alias("_order"))
+
+    ids = settle_ids(ordered(current, 0).unionByName(ordered(recovered, 1)), PAGE, [F.col("_order")]).select(*columns)
     return rest.unionByName(text).unionByName(ids)

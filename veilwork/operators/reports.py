@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from veilwork.functions.checksum import verhoeff_valid
 from veilwork.functions.text import KINDS
+from veilwork.sources.staging import written
 
 NAMES = [k[0] for k in KINDS]
 HEADER = (("aadhaar", ("aadhaar",)), ("pan", ("pan",)), ("face", ("face",)), ("qr", ("uidai_qr", "other_qr")), ("mrz", ("passport_mrz",)))
@@ -33,13 +34,15 @@ def regression_log(detections: DataFrame, documents: DataFrame) -> DataFrame:
     """Samples by anonymous id: pages, detections and uncertain ones.
 
     documents: name, doc_id, num_pages. Numbers follow the names' order: names are ranked within ranges, and the
-    ranges' sizes, one small row each, are added up, so no task sorts all names.
+    ranges' sizes, one small row for each shuffle partition, are added up and broadcast, so no task sorts all names.
     """
-    parts = documents.repartitionByRange("name", "doc_id").withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy("name", "doc_id")))
+    # Written once with the range that each row fell in: ranges are sampled, and a second sample may cut elsewhere.
+    ranged = documents.repartitionByRange("name", "doc_id").withColumn("_part", F.spark_partition_id())
+    parts = written(ranged, "ranges")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_ahead"))
-    numbered = parts.join(ahead, "_part").withColumn("_no", (F.col("_in") + F.col("_ahead")).cast("string"))
+    ahead = sizes.withColumn("_ahead", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_ahead")
+    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy("name", "doc_id")))
+    numbered = parts.join(F.broadcast(ahead), "_part").withColumn("_no", (F.col("_in") + F.col("_ahead")).cast("string"))
     sample = F.concat(F.lit("sample-"), F.lpad("_no", 3, "0"))
     sample = F.when(F.length("_no") > 3, F.concat(F.lit("sample-"), F.col("_no"))).otherwise(sample)
     found = detections.groupBy("doc_id").agg(F.count("*").alias("detections"), F.count(F.when(F.col("suspicious"), 1)).alias("uncertain"))

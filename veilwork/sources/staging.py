@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own in the shared folder: what was not determined, such as sampled ranges, is fixed by it."""
+    path = f"{shared_folder(df.sparkSession)}/veilwork-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written_once(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What build() gives, as a table that is written once for each application and input folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
