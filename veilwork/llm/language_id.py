@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker
+from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker, staged
 
 #: Components of a vector.
 DIMENSION = 512
@@ -83,13 +83,14 @@ def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang"
     """The prototype of each language: (lang, vector of n-gram counts' bundle), one row for each label.
 
     Rows with a null label, null text or no letters teach nothing. Of more than `training_texts` rows, an
-    even share by hash of the text is used, so the expected number stays within that bound. Each task bundles
+    even share by hash of the text is used: about that many texts, copies of one text all or none. Each task bundles
     its texts first; what is shuffled is one vector for each task and label.
     """
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = rows.count()
     if n > training_texts:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * training_texts / n))
+        # Hashes of the whole range of long, so that a share of any size is one.
+        rows = rows.where(F.xxhash64("text") < F.lit(int((training_texts / n - 0.5) * 2**64)))
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = _encoder(dimension), {}
@@ -132,6 +133,7 @@ def _guess(shared: Broadcast, dimension: int) -> Callable[[Iterator[pa.Array]],
 
 def prototype_parameter(spark: SparkSession, prototypes: DataFrame, dimension: int = DIMENSION) -> Broadcast:
     """Prototypes, few and of fixed size, brought to the driver behind a check of their number and broadcast."""
+    prototypes = staged(prototypes, "prototypes")  # learned once, then counted and read
     n = prototypes.count()
     if n * dimension * 8 > 64 << 20:
         raise ValueError(f"{n} labels are too many for one broadcast")
