@@ -68,3 +68,11 @@ def test_admission_limits(spark):
     rows = [("a.pdf", "", 20 << 20), ("a.pdf", "", (20 << 20) + 1), ("a.png", "image/heic", 5), ("a.PDF", None, 5)]
     df = spark.createDataFrame(rows, "name string, mime string, size long")
     assert [r.reason for r in admission.admit_files(df).collect()] == [None, "too_large", "unsupported_type", None]
+
+
+def test_checksums_in_sql(spark):
+    from veilwork.functions.checksum import register_functions
+
+    register_functions(spark)
+    row = spark.sql("SELECT verhoeff_valid('2363') AS ok, verhoeff_valid('2364') AS bad, verhoeff_valid(NULL) AS none, verhoeff_check_digit('236') AS digit").first()
+    assert (row.ok, row.bad, row.none, row.digit) == (True, False, False, "3")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,3 +89,9 @@ def verhoeff_valid_native(text: Column) -> Column:
         lambda c, i: pick(product, c * 10 + pick(place, (i % 8) * 10 + F.substring(text, n - i, F.lit(1)).cast("int"))),
     )
     return F.coalesce(F.when(text.rlike(r"^[0-9]+\z"), fold_ == 0), F.lit(False))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make verhoeff_valid and verhoeff_check_digit callable from SQL in this session."""
+    spark.udf.register("verhoeff_valid", verhoeff_valid)
+    spark.udf.register("verhoeff_check_digit", verhoeff_check_digit)
