@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -8,18 +10,68 @@ from veilwork.llm.queries import op10_language_id
 SF = "/root/testdata/sf0.01"
 
 
+def plain_grams(text):
+    """Trigrams of letters and gaps, counted one by one."""
+    codes = [0]
+    for c in text.lower():
+        if c.isalpha() or codes[-1]:
+            codes.append(ord(c) if c.isalpha() else 0)
+    codes += [0] if codes[-1] else []
+    return Counter(tuple(codes[i : i + 3]) for i in range(len(codes) - 2) if codes[i + 1])
+
+
+def plain_vector(text, dimension):
+    """The bundle of a text, component by component."""
+    out = [0] * dimension
+    signs = {}
+    for gram, n in plain_grams(text).items():
+        for c in gram:
+            if c not in signs:
+                raw = np.random.default_rng([7, c]).bytes(dimension // 8)
+                signs[c] = [1 if raw[k // 8] >> (7 - k % 8) & 1 else -1 for k in range(dimension)]
+        for k in range(dimension):
+            # A vector rotated by r has at k what it had at k - r.
+            out[k] += n * signs[gram[0]][k - 2] * signs[gram[1]][k - 1] * signs[gram[2]][k]
+    return out
+
+
+TEXTS = ["Ab, cab!\n ÉZ", "", "12 -", "привет, мир", "漢字 𐐷 かな", "x", "aaaa " * 300, "\x00a"]
+
+
 def test_bundle_against_letter_by_letter():
-    e = g.Encoder(64)
-    at, count = e.counts("Ab, cab!\n ÉZ")
-    kinds = [0, 1, 2, 0, 3, 1, 2, 0, int(e.classes[ord("é")]), 26, 0]
-    want, grams = np.zeros(64), 0
-    letters = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (g.CLASSES, 64))
-    for i in range(len(kinds) - 2):
-        if kinds[i + 1]:
-            a, b, c = (letters[k].astype(float) for k in kinds[i : i + 3])
-            want, grams = want + np.roll(a, 2) * np.roll(b, 1) * c, grams + 1
-    assert count.sum() == grams
-    assert np.array_equal(e.bundle(at, count), want)
+    letters = g._letters()
+    got = g.bundle([g.grams(t, letters) for t in TEXTS], 64)
+    for t, v in zip(TEXTS, got, strict=True):
+        assert dict(zip(*map(list, g.grams(t, letters)), strict=True)) == {a << 42 | b << 21 | c: n for (a, b, c), n in plain_grams(t).items()}
+        assert v.tolist() == plain_vector(t, 64)
+
+
+def test_blocks_of_grams_add_up(monkeypatch):
+    letters = g._letters()
+    counted = [g.grams("the quick brown fox jumps over the lazy dog " * k, letters) for k in (0, 1, 3)]
+    want = g.bundle(counted, 128)
+    monkeypatch.setattr(g, "GRAMS", 7)
+    assert np.array_equal(g.bundle(counted, 128), want)
+
+
+def test_predictions_against_plain_cosines(spark, monkeypatch):
+    monkeypatch.setattr(g, "TEXTS", 2)
+    train = [("hello there friend", "en"), ("good day", "en"), ("bonjour mon ami", "fr"), ("доброе утро", "ru"), ("добро јутро", "sr"), ("bonjour mon ami", "fr")]
+    texts = ["hello friend", "утро", "mon jour", "јутро", "zzz", None, "7", "漢字"] + [t for t, _ in train]
+    prototypes = g.learn_prototypes(spark.createDataFrame(train, "text string, lang string").repartition(3), dimension=64)
+    own = {}
+    for t, name in train:
+        own[name] = [a + b for a, b in zip(own.get(name, [0] * 64), plain_vector(t, 64), strict=True)]
+    assert {r.lang: list(r.prototype) for r in prototypes.collect()} == own
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for r in g.predict(df, prototypes, dimension=64).collect():
+        v = plain_vector(r.text or "", 64)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {n: sum(map(float.__mul__, map(float, v), map(float, p))) / (math.hypot(*v) * math.hypot(*p)) for n, p in own.items()}
+        assert abs(r.score - min(1, max(0, cosine[r.lang_pred]))) < 1e-5
+        assert cosine[r.lang_pred] >= max(cosine.values()) - 1e-6
 
 
 def test_held_out_accuracy(spark):

@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of signs. The vectors of an n-gram's letters are permuted by their place
+Each letter (code point) has a random vector of signs. The vectors of an n-gram's letters are permuted by their place
 (rotated) and bound (multiplied); the n-gram vectors of a text are bundled (added). A language's prototype
 is the bundle of its training texts, and a text gets the language of the prototype with the largest cosine.
 """
@@ -16,89 +16,103 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker, staged
+from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker, staged, tidy
 
 #: Components of a vector.
-DIMENSION = 512
+DIMENSION = 2048
 #: Letters of an n-gram.
 GRAM = 3
-#: Letters are told apart by their code point in this many classes; 0 is all that is no letter.
-CLASSES = 48
-#: The largest number of training texts that is expected to be used; more are thinned evenly by hash.
-TRAINING_TEXTS = 20_000
-
-
-def letter_class(code: np.ndarray) -> np.ndarray:
-    """The class of each lower-cased letter: a-z have their own, other letters are hashed into the rest."""
-    return np.where((code >= 97) & (code <= 122), code - 96, 27 + (code * 2_654_435_761 % 4_294_967_296 >> 16) % (CLASSES - 27))
-
-
-class Encoder:
-    """Vectors of texts."""
-
-    def __init__(self, dimension: int = DIMENSION, seed: int = 7):
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CLASSES, dimension))
-        #: The letters' vectors as permuted for each place but the last, and bound already for the last two.
-        self.turned = [np.roll(letters, GRAM - 1 - place, axis=1) for place in range(GRAM)]
-        self.ends = (self.turned[-2][:, None, :] * self.turned[-1][None, :, :]).reshape(-1, dimension)
-        table = letter_class(np.arange(0x10000))
-        is_letter = np.array([chr(c).isalpha() for c in range(0x10000)])
-        self.classes = np.where(is_letter, table, 0).astype(np.int32)
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams of a text and how often each occurs; none where it has no letter.
-
-        A run of characters that are no letters is one gap, as are both ends; n-grams that are nothing
-        but gap at their middle are left out.
-        """
-        raw = (text or "").lower().encode("utf-32-le")
-        code = np.frombuffer(raw, np.uint32)
-        wide = code > 0xFFFF
-        kind = self.classes[np.where(wide, 0, code)]
-        if wide.any():
-            own = np.array([chr(c).isalpha() for c in code[wide].tolist()], bool)
-            kind[wide] = np.where(own, letter_class(code[wide].astype(np.int64)), 0)
-        kind = np.concatenate([[0], kind, [0]])
-        kind = kind[np.concatenate([[True], (kind[1:] != 0) | (kind[:-1] != 0)])]
-        if len(kind) < GRAM:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        n = len(kind) - GRAM + 1
-        gram = np.zeros(n, np.int32)
-        for place in range(GRAM):
-            gram = gram * np.int32(CLASSES) + kind[place : place + n]
-        return np.unique(gram[kind[1 : 1 + n] > 0], return_counts=True)
-
-    def bundle(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-        vectors = self.ends[at % CLASSES**2]
-        for place in range(GRAM - 2):
-            vectors = vectors * self.turned[place][at // CLASSES ** (GRAM - 1 - place) % CLASSES]
-        return count.astype(np.float32) @ vectors.astype(np.float32)
-
-
-def _encoder(dimension: int) -> Encoder:
-    return once_per_worker(("letters", dimension), lambda: Encoder(dimension))
-
-
-def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", training_texts: int = TRAINING_TEXTS, dimension: int = DIMENSION) -> DataFrame:
+#: Texts that are bundled together, and n-grams whose vectors are built at once: what a task holds at a time.
+TEXTS, GRAMS = 256, 1024
+#: Bits of a code point; the code points of an n-gram fit in one long.
+BITS = 21
+
+
+def _letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def grams(text: str | None, is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a lower-cased text and how often each occurs; none where it has no letter.
+
+    A run of characters that are no letters is one gap, as are both ends; n-grams that are nothing
+    but gap at their middle are left out.
+    """
+    code = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    code = np.concatenate([[0], np.where(is_letter[code], code, 0), [0]])
+    code = code[np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])]
+    n = len(code) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gram = np.zeros(n, np.int64)
+    for place in range(GRAM):
+        gram = gram << BITS | code[place : place + n]
+    return np.unique(gram[code[1 : 1 + n] > 0], return_counts=True)
+
+
+def letter_vectors(codes: np.ndarray, dimension: int, seed: int = 7) -> np.ndarray:
+    """The signs of each code point, that of the gap (0) included: derived from it alone, so all tasks agree on them."""
+    bits = [np.frombuffer(np.random.default_rng([seed, int(c)]).bytes(-(-dimension // 8)), np.uint8) for c in codes]
+    return (np.unpackbits(np.array(bits), axis=1, count=dimension).astype(np.int8) * 2 - 1).reshape(-1, dimension)
+
+
+def gram_vectors(at: np.ndarray, dimension: int) -> np.ndarray:
+    """The vectors of n-grams: the signs of their letters, rotated by how far each is from the end, multiplied."""
+    places = [at >> BITS * (GRAM - 1 - place) & (1 << BITS) - 1 for place in range(GRAM)]
+    codes = np.unique(np.concatenate(places))
+    signs = letter_vectors(codes, dimension)
+    bound = np.ones((len(at), dimension), np.int8)
+    for place, code in enumerate(places):
+        bound *= np.roll(signs, GRAM - 1 - place, axis=1)[np.searchsorted(codes, code)]
+    return bound
+
+
+def bundle(counted: list[tuple[np.ndarray, np.ndarray]], dimension: int) -> np.ndarray:
+    """The sum of each text's n-gram vectors, for texts given by their n-grams and counts.
+
+    An n-gram that several of the texts have gets its vector once; GRAMS of them are built at a time.
+    """
+    out = np.zeros((len(counted), dimension), np.float32)
+    at = np.concatenate([c[0] for c in counted])
+    if not len(at):
+        return out
+    row, count = np.repeat(np.arange(len(counted)), [len(c[0]) for c in counted]), np.concatenate([c[1] for c in counted])
+    distinct, place = np.unique(at, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    row, count, place = row[order], count[order], place[order]
+    for low in range(0, len(distinct), GRAMS):
+        part = distinct[low : low + GRAMS]
+        a, b = np.searchsorted(place, [low, low + len(part)])
+        weight = np.zeros((len(counted), len(part)), np.float32)
+        weight[row[a:b], place[a:b] - low] = count[a:b]
+        out += weight @ gram_vectors(part, dimension).astype(np.float32)
+    return out
+
+
+def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension: int = DIMENSION) -> DataFrame:
     """The prototype of each language: (lang, vector of n-gram counts' bundle), one row for each label.
 
-    Rows with a null label, null text or no letters teach nothing. Of more than `training_texts` rows, an
-    even share by hash of the text is used: about that many texts, copies of one text all or none. Each task bundles
-    its texts first; what is shuffled is one vector for each task and label.
+    All rows teach, repeated ones each time, but for those with a null label, null text or no letters. Each task
+    bundles its texts first; what is shuffled is one vector for each task and label. An empty table gives no prototype.
     """
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    if n > training_texts:
-        # Hashes of the whole range of long, so that a share of any size is one.
-        rows = rows.where(F.xxhash64("text") < F.lit(int((training_texts / n - 0.5) * 2**64)))
 
+    @tidy
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sums = _encoder(dimension), {}
+        is_letter, sums = once_per_worker("letters", _letters), {}
         for b in batches:
-            for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                at, count = encoder.counts(t)
-                if len(at):
-                    sums[name] = sums.get(name, 0) + encoder.bundle(at, count).astype(np.float64)
+            for low in range(0, b.num_rows, TEXTS):
+                by_lang: dict[str, list] = {}
+                for name, t in zip(b.column("lang").slice(low, TEXTS), b.column("text").slice(low, TEXTS), strict=True):
+                    by_lang.setdefault(name.as_py(), []).append(grams(t.as_py(), is_letter))
+                counted = []
+                for parts in by_lang.values():
+                    at, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    counted.append((at, np.bincount(place, np.concatenate([p[1] for p in parts]), len(at))))
+                for name, (at, _), v in zip(by_lang, counted, bundle(counted, dimension), strict=True):
+                    if len(at):
+                        sums[name] = sums.get(name, 0) + v.astype(np.float64)
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimension), pa.array(range(dimension), pa.int32()), pa.array(v)], ["lang", "place", "value"])
 
@@ -115,20 +129,22 @@ def _guess(shared: Broadcast, dimension: int) -> Callable[[Iterator[pa.Array]],
         return names, (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).T
 
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(dimension)
+        is_letter = once_per_worker("letters", _letters)
         names, prototypes = once_per_worker(("prototypes", key), load)
         for batch in batches:
             best, score = ["und"] * len(batch), np.zeros(len(batch))
-            for i, v in enumerate(batch):
-                at, count = encoder.counts(v.as_py())
-                if len(at) and names:
-                    vector = encoder.bundle(at, count)
-                    cosine = vector @ prototypes / max(float(np.linalg.norm(vector)), 1e-12)
-                    j = int(cosine.argmax())
-                    best[i], score[i] = names[j], min(1.0, max(0.0, float(cosine[j])))
+            for low in range(0, len(batch), TEXTS):
+                counted = [grams(v.as_py(), is_letter) for v in batch.slice(low, TEXTS)]
+                if not names:
+                    continue
+                vectors = bundle(counted, dimension)
+                cosine = vectors @ prototypes / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                for i, j in enumerate(cosine.argmax(1)):
+                    if len(counted[i][0]):
+                        best[low + i], score[low + i] = names[j], min(1.0, max(0.0, float(cosine[i, j])))
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score)], ["lang", "score"])
 
-    return guess
+    return tidy(guess)
 
 
 def prototype_parameter(spark: SparkSession, prototypes: DataFrame, dimension: int = DIMENSION) -> Broadcast:
