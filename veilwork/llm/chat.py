@@ -2,7 +2,6 @@
 
 The turns in which the two conversations of a pair agree, from the first on, are rendered once as the
 prompt; each side's other turns are its completion, of which only the assistant's turns are trained on.
-The result has one row for each rendered turn, so no conversation, however long, has to fit in one row.
 """
 
 from __future__ import annotations
@@ -12,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: The marks around a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Turn numbers that a record covers; longer conversations have several records.
+RECORD_TURNS = 256
+#: Tasks over which the rows of one key are dealt in a join.
+SPREAD = 64
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -20,43 +23,82 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("")), F.lit("\n"), inner, F.lit(CLOSE + "\n"))
 
 
+def _with_value(rows: DataFrame, values: DataFrame, key: str, number: str) -> DataFrame:
+    """Left join of rows with one row for each key, the rows of a key dealt over up to SPREAD tasks by a number that they have."""
+    part = F.pmod(F.floor(F.col(number) / RECORD_TURNS), F.lit(SPREAD)).alias("_part")
+    parts = rows.groupBy(key).agg(F.collect_set(part).alias("_parts"))
+    spread = values.join(parts, key).select("*", F.explode("_parts").alias("_part")).drop("_parts")
+    return rows.select("*", part).join(spread, [key, "_part"], "left").drop("_part")
+
+
+def _completion(turns: Column, side: str) -> tuple[Column, Column]:
+    """The text of one side's turns and the spans of characters in it that are trained on."""
+    said = F.filter(F.transform(turns, lambda t: t[side]), lambda t: t.isNotNull())
+    text = F.array_join(F.transform(said, lambda t: rendered(t["role"], t["text"])), "")
+    head = lambda t: F.length(F.concat(F.lit(OPEN), t["role"], F.lit("\n")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+
+    def add(done: Column, t: Column) -> Column:
+        end = done["at"] + F.length(rendered(t["role"], t["text"]))
+        span = F.struct((done["at"] + head(t)).alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(t["role"] == "assistant", F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+
+    return text, F.aggregate(said, start, add, lambda done: done["spans"])
+
+
 def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "side", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Turns (pair, side chosen or rejected, turn, role, text) to rendered segments.
+    """Turns (pair, side chosen or rejected, turn, role, text) to records of a prompt and its two completions.
 
-    Columns: pair, part (prompt, chosen, rejected), turn, role, segment, trained. Sorted by turn within
-    a part, the segments of the prompt and of a side, put together, are the text to train on.
+    Columns: pair, record, prompt, chosen, rejected, chosen_spans, rejected_spans. The spans are the characters
+    [start, end) of a completion that are trained on: the assistant's turns, after the line that opens them, up to and with
+    their last mark. Turns are numbers; a record holds those of one stretch of RECORD_TURNS numbers, and `record` is the
+    stretch: 0 for conversations of ordinary length. A longer pair has several records, which put together
+    in order are its prompt and completions; nothing is cut. A record lies before, over or behind the end of the prompt.
 
     The prompt ends before the first turn in which role or text differ or that one side lacks. Null text and
     null role count as empty. Rows with a null pair, null turn or another side are part of no
     conversation and give nothing. Of rows that repeat pair, side and turn, the smallest (role, text)
-    is the turn. A pair of which one side is missing has an empty prompt, two equal conversations have
-    empty completions, and an empty table gives an empty table; other columns are not read.
+    is the turn. A pair of which one side is missing has an empty prompt and one empty completion, two equal conversations
+    have empty completions, and an empty table gives an empty table; other columns are not read.
 
-    The turns of a pair are dealt over tasks by (pair, turn); only the place of the first difference,
-    aggregated before the shuffle, is gathered by pair.
+    Turns are dealt over tasks by (pair, turn), then by (pair, record), so a pair of any length is spread. The place of
+    the first difference is aggregated before it is shuffled and joined to records without their texts.
     """
     said = F.struct(F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     own = turns.select(F.col(f"`{pair}`").alias("pair"), F.col(f"`{side}`").alias("side"), F.col(f"`{turn}`").cast("long").alias("turn"), said.alias("said"))
     own = own.where(F.col("pair").isNotNull() & F.col("turn").isNotNull() & F.col("side").isin("chosen", "rejected"))
     both = own.groupBy("pair", "turn").agg(*(F.min(F.when(F.col("side") == s, F.col("said"))).alias(s) for s in ("chosen", "rejected")))
+    both = both.withColumn("record", F.floor(F.col("turn") / RECORD_TURNS))
     differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    ends = both.groupBy("pair").agg(F.min(F.when(differs, F.col("turn"))).alias("first"))
-    shared = F.col("first").isNull() | (F.col("turn") < F.col("first"))
-    parts = F.when(shared, F.array(F.struct(F.lit("prompt").alias("part"), F.col("chosen").alias("said")))).otherwise(
-        F.array(*(F.struct(F.lit(s).alias("part"), F.col(s).alias("said")) for s in ("chosen", "rejected")))
+    records = both.groupBy("pair", "record").agg(F.min(F.when(differs, F.col("turn"))).alias("first"))
+    ends = records.groupBy("pair").agg(F.min("first").alias("first")).where(F.col("first").isNotNull())
+    ends = _with_value(records.select("pair", "record", (F.col("record") * RECORD_TURNS).alias("number")), ends, "pair", "number").drop("number")
+    whole = both.join(ends, ["pair", "record"]).groupBy("pair", "record").agg(
+        F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("turn", "chosen", "rejected"))).alias("turns")
     )
-    segments = both.join(ends, "pair").select("pair", "turn", F.inline(parts)).where(F.col("said").isNotNull())
-    return segments.select(
-        F.col("pair").alias(pair), "part", F.col("turn").alias(turn), F.col("said.role").alias(role),
-        rendered(F.col("said.role"), F.col("said.text")).alias("segment"),
-        ((F.col("part") != "prompt") & (F.col("said.role") == "assistant")).alias("trained"),
+    shared = lambda t: F.col("first").isNull() | (t["turn"] < F.col("first"))
+    prompt, later = F.filter("turns", shared), F.filter("turns", lambda t: ~shared(t))
+    completions = {s: _completion(later, s) for s in ("chosen", "rejected")}
+    return whole.select(
+        F.col("pair").alias(pair), "record", _completion(prompt, "chosen")[0].alias("prompt"),
+        *(c[0].alias(s) for s, c in completions.items()), *(c[1].alias(f"{s}_spans") for s, c in completions.items()),
     )
 
 
+def spans_text(spans: Column) -> Column:
+    """Spans as text: start-end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def short_reply_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs from a table of conversations: chosen as it is, rejected with its last reply cut to the first sentence."""
-    last = conversations.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    turns = conversations.select("conv_id", "turn", "role", "text").join(last, "conv_id", "left")
+    """Pairs from a table of conversations: chosen as it is, rejected with its last reply cut to the first sentence.
+
+    Rows with a null conv_id or turn give nothing, null text stays null, repeated rows stay, other columns are not read;
+    a conversation without reply is rejected as it is, and an empty table gives an empty table.
+    """
+    said = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    last = said.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    turns = _with_value(said, last, "conv_id", "turn")
     cut = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.substring_index("text", ". ", 1)).otherwise(F.col("text"))
     sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), cut.alias("text")))
     return turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.inline(sides))

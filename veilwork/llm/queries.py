@@ -61,7 +61,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(chat.short_reply_pairs(table(spark, sf_dir, "conversations")))
+    records = chat.format_preferences(chat.short_reply_pairs(table(spark, sf_dir, "conversations")))
+    spans = [chat.spans_text(F.col(f"{side}_spans")).alias(f"{side}_spans") for side in ("chosen", "rejected")]
+    return records.select("pair_id", "record", "prompt", "chosen", "rejected", *spans)
 
 
 #: Verdicts by host and beginning of the path.
@@ -133,25 +135,38 @@ def url_filter_sql() -> str:
         FROM f"""
 
 
+def _side_sql(side: str) -> str:
+    """One side's completions in SQL: turns t from the first difference on, with the spans of replies."""
+    return f"""
+        {side}_r AS (SELECT pair_id, record, turn, {side}.role AS role, '<|im_start|>' || {side}.role || chr(10) AS head,
+            replace(replace({side}.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10) AS body
+            FROM t LEFT JOIN f USING (pair_id) WHERE turn >= first),
+        {side}_p AS (SELECT *, sum(length(head || body)) OVER (PARTITION BY pair_id, record ORDER BY turn)::BIGINT AS stop FROM {side}_r),
+        {side}_c AS (SELECT pair_id, record, string_agg(head || body, '' ORDER BY turn) AS {side},
+            string_agg((stop - length(body))::VARCHAR || '-' || stop, ',' ORDER BY turn) FILTER (role = 'assistant') AS {side}_spans FROM {side}_p GROUP BY ALL),"""
+
+
+_CHAT_SQL = f"""
+        WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+        o AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS c,
+              coalesce(CASE WHEN turn = last AND role = 'assistant' THEN split_part(text, '. ', 1) ELSE text END, '') AS r
+              FROM conversations LEFT JOIN l USING (conv_id) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        t AS (SELECT pair_id, turn, floor(turn / {chat.RECORD_TURNS}.0)::BIGINT AS record, min(struct_pack(role := role, text := c)) AS chosen,
+              min(struct_pack(role := role, text := r)) AS rejected FROM o GROUP BY ALL),
+        f AS (SELECT pair_id, min(turn) AS first FROM t WHERE chosen IS DISTINCT FROM rejected GROUP BY 1),
+        {_side_sql("chosen")}{_side_sql("rejected")}
+        p AS (SELECT pair_id, record, string_agg('<|im_start|>' || chosen.role || chr(10) || replace(replace(chosen.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+              || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (first IS NULL OR turn < first) AS prompt FROM t LEFT JOIN f USING (pair_id) GROUP BY ALL)
+        SELECT pair_id, record, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+               coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans
+        FROM p LEFT JOIN chosen_c USING (pair_id, record) LEFT JOIN rejected_c USING (pair_id, record)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_NORMAL}) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
-    "op8_chat": """
-        WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
-        t AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS c,
-                     coalesce(CASE WHEN turn = last AND role = 'assistant' THEN split_part(text, '. ', 1) ELSE text END, '') AS r
-              FROM conversations LEFT JOIN l USING (conv_id)),
-        f AS (SELECT pair_id, min(turn) AS first FROM t WHERE c <> r GROUP BY 1),
-        s AS (SELECT pair_id, CASE WHEN turn < coalesce(first, turn + 1) THEN 'prompt' ELSE 'chosen' END AS part, turn, role, c AS text
-              FROM t LEFT JOIN f USING (pair_id)
-              UNION ALL SELECT pair_id, 'rejected', turn, role, r FROM t JOIN f USING (pair_id) WHERE turn >= first)
-        SELECT pair_id, part, turn, role,
-               '<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
-               || '<|im_end|>' || chr(10) AS segment,
-               part <> 'prompt' AND role = 'assistant' AS trained
-        FROM s""",
+    "op8_chat": _CHAT_SQL,
     "op9_url_filter": url_filter_sql(),
 }
