@@ -139,3 +139,49 @@ def merge_recovery(current: DataFrame, recovered: DataFrame) -> DataFrame:
 
     ids = settle_ids(ordered(current, 0).unionByName(ordered(recovered, 1)), PAGE, [F.col("_order")]).select(*columns)
     return rest.unionByName(text).unionByName(ids)
+
+
+def reconcile(
+    tokens: DataFrame, others: DataFrame, enhanced_tokens: DataFrame, probe_tokens: DataFrame, rotated_tokens: DataFrame,
+    rotated_others: DataFrame, band_tokens: DataFrame, pages: DataFrame, auto_rotate: bool = False,
+) -> DataFrame:
+    """The detections of each page after all passes, with the rotation that was applied (0 for none).
+
+    tokens and others (faces and codes) are of the first pass. A page without text hit takes the text of the enhanced pass,
+    where that has any; one that still has none is, with auto_rotate, turned by the rotation that the probe prefers
+    and gets all that the turned page shows; last, ids are recovered from bands of the page as it then is.
+    probe_tokens, rotated_tokens, rotated_others and band_tokens have a column rotation (0 for bands of upright pages).
+    pages: width, height and optionally drawable; pages of which it is false keep what the first pass found.
+    """
+    known = pages if "drawable" in pages.columns else pages.withColumn("drawable", F.lit(True))
+    redrawn = known.where(F.coalesce("drawable", F.lit(False))).select(*PAGE, "width", "height")
+    columns = [*PAGE, "line_id", "token_seq", "text", "x", "y", "w", "h", "confidence"]
+    keep = [*PAGE, "kind", "bbox", "mask_bbox", "value", "confidence", "suspicious", "part", "place"]
+
+    def text(rows: DataFrame) -> DataFrame:
+        return detect_text(rows).select(*keep)
+
+    def other(rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.lit(None).cast(hit.schema[c].dataType).alias(c) if c in ("part", "place") else F.col(c) for c in keep))
+
+    hit = written(text(tokens.select(*columns)), "first")
+    blank = redrawn.join(hit.select(*PAGE).distinct(), PAGE, "left_anti").select(*PAGE)
+    better = written(text(enhanced_tokens.join(blank, PAGE, "left_semi").select(*columns)), "enhanced")
+    swapped = better.select(*PAGE).distinct()
+    first = tokens.select(*columns).join(swapped, PAGE, "left_anti").unionByName(enhanced_tokens.select(*columns).join(swapped, PAGE, "left_semi"))
+    found = hit.unionByName(better).unionByName(other(others))
+    size = redrawn.withColumn("rotation", F.lit(0))
+    if auto_rotate:
+        blank = blank.join(swapped, PAGE, "left_anti")
+        winners = written(probe_rotation(probe_tokens.join(blank, PAGE, "left_semi")).select(*PAGE, "rotation"), "winners")
+        turned = rotated_tokens.join(winners, [*PAGE, "rotation"], "left_semi").select(*columns)
+        new = text(turned).unionByName(other(rotated_others.join(winners, [*PAGE, "rotation"], "left_semi")))
+        found = found.join(winners, PAGE, "left_anti").unionByName(new)
+        first = first.join(winners, PAGE, "left_anti").unionByName(turned)
+        size = redrawn.join(winners, PAGE, "left").withColumn("rotation", F.coalesce("rotation", F.lit(0)))
+        size = size.withColumn("turned", G.rotated_dims(F.col("width"), F.col("height"), F.col("rotation"))).select(*PAGE, "turned.width", "turned.height", "rotation")
+    found, first, size = written(found, "found"), written(first, "effective"), written(size, "size")
+    bands = band_tokens.join(size.select(*PAGE, "rotation"), [*PAGE, "rotation"], "left_semi")
+    moved = translate_band_tokens(bands, band_plan(size), first)
+    merged = merge_recovery(found, recover_from_bands(first, moved, found, size))
+    return merged.select(*keep[:-2]).join(size.select(*PAGE, "rotation"), PAGE, "left").withColumn("rotation", F.coalesce("rotation", F.lit(0)))

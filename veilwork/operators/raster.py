@@ -82,7 +82,8 @@ def enhance(pixels: DataFrame, threshold: bool = False) -> DataFrame:
 
 
 def cell_stats(pixels: DataFrame, boxes: DataFrame | None = None, grid: int = GRID) -> DataFrame:
-    """Per cell of each page's grid: spread and share of extreme pixels, and whether a box (page_id, x, y, w, h) touches it."""
+    """Per cell of each page's grid: spread and share of extreme pixels, and whether a box (page_id, x, y, w, h)
+    touches it; a box that ends on a cell's first edge does."""
     size = pixels.groupBy("page_id").agg((F.max("px") + 1).alias("width"), (F.max("py") + 1).alias("height"))
     cell = F.greatest(F.lit(LEAST_CELL), F.floor(F.greatest("width", "height") / grid)).cast("int")
     size = size.withColumn("cell", cell).withColumns({"rows": F.floor(F.col("height") / F.col("cell")), "cols": F.floor(F.col("width") / F.col("cell"))}).where("rows >= 2 AND cols >= 2")
@@ -93,8 +94,8 @@ def cell_stats(pixels: DataFrame, boxes: DataFrame | None = None, grid: int = GR
     if boxes is None:
         return stats.withColumn("has_text", F.lit(False))
     b = boxes.select(F.col("page_id").alias("_page"), *(F.col(c).alias(f"_{c}") for c in "xywh"))
-    touch = (F.col("page_id") == F.col("_page")) & (F.col("_x") < (F.col("col") + 1) * F.col("cell")) & (F.col("_x") + F.col("_w") > F.col("col") * F.col("cell"))
-    touch = touch & (F.col("_y") < (F.col("row") + 1) * F.col("cell")) & (F.col("_y") + F.col("_h") > F.col("row") * F.col("cell"))
+    touch = (F.col("page_id") == F.col("_page")) & (F.col("_x") < (F.col("col") + 1) * F.col("cell")) & (F.col("_x") + F.col("_w") >= F.col("col") * F.col("cell"))
+    touch = touch & (F.col("_y") < (F.col("row") + 1) * F.col("cell")) & (F.col("_y") + F.col("_h") >= F.col("row") * F.col("cell"))
     touched = stats.join(b, touch, "left_semi").select("page_id", "row", "col", F.lit(True).alias("has_text"))
     return stats.join(touched, ["page_id", "row", "col"], "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
 

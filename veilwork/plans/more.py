@@ -170,7 +170,7 @@ def seed_boxes(spark: SparkSession, d: str) -> DataFrame:
     return flat(review.seed_boxes(reviewed(spark, d), derived(spark, d, "pages")), "box")
 
 
-_EDITS = """edits AS (SELECT CAST(floor(event_id / 40) AS BIGINT) AS doc_id, CAST(floor(event_id / 10) AS BIGINT) % 4 AS page_index, concat('b', CAST(event_id % 2 AS STRING)) AS box_id, event_id AS edit_seq,
+_EDITS = """edits AS (SELECT CAST(floor(event_id / 40) AS BIGINT) AS doc_id, CAST(floor(event_id / 10) AS BIGINT) % 4 AS page_index, CASE WHEN event_id % 3 = 0 THEN concat('auto-', CAST(event_id % 5 AS STRING)) ELSE concat('b', CAST(event_id % 2 AS STRING)) END AS box_id, event_id AS edit_seq,
     CASE CAST(floor(event_id / 2) AS BIGINT) % 5 WHEN 0 THEN 'draw' WHEN 1 THEN 'move' WHEN 2 THEN 'resize' WHEN 3 THEN CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'move' END ELSE 'resize' END AS op,
     CASE event_id % 4 WHEN 0 THEN 'nw' WHEN 1 THEN 'se' WHEN 2 THEN 'e' ELSE 'n' END AS handle,
     CAST(event_id * 7 % 300 AS DOUBLE) AS x1, CAST(event_id * 11 % 200 AS DOUBLE) AS y1, CAST(event_id * 13 % 400 AS DOUBLE) AS x2, CAST(event_id * 17 % 300 AS DOUBLE) AS y2 FROM {events})"""
@@ -182,8 +182,9 @@ def box_edits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fold_box_edits(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([], "doc_id long, page_index long, box_id string, box " + G.BOX)
-    return flat(review.fold_box_edits(seeds, box_edits(spark, d), derived(spark, d, "pages")), "box")
+    """Edits of the boxes that detections seed, and of drawn ones."""
+    pages = derived(spark, d, "pages")
+    return flat(review.fold_box_edits(review.seed_boxes(reviewed(spark, d), pages), box_edits(spark, d), pages), "box")
 
 
 @query("""WITH s AS (SELECT doc_id, quality = 1 AS dirty, concat('own', doc_id) AS own FROM labels WHERE doc_id % 3 > 0),
@@ -306,6 +307,18 @@ def merge_recovery(spark: SparkSession, d: str) -> DataFrame:
     return _common(passes.merge_recovery(*_recovered(spark, d)))
 
 
+@query()
+def reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """All passes over all pages: the enhanced one sees a document's tokens as those of the next, turned ones as those of the one after."""
+    tokens, pages = derived(spark, d, "tokens"), derived(spark, d, "pages")
+    others = page_detections(spark, d).where(~F.col("kind").isin(*X.TEXT_KINDS))
+    shifted = lambda df, n: df.withColumn("doc_id", F.col("doc_id") + n)
+    turned = lambda df: df.withColumn("rotation", F.explode(F.array(*map(F.lit, passes.ROTATIONS))))
+    bands = band_tokens(spark, d).withColumn("rotation", F.explode(F.array(*map(F.lit, (0, *passes.ROTATIONS)))))
+    found = passes.reconcile(tokens, others, shifted(tokens, 1), shifted(probe_tokens(spark, d), 2), turned(shifted(tokens, 2)), turned(shifted(others, 2)), bands, pages, auto_rotate=True)
+    return flat(found.select(*detect.DETECTION, "rotation"), "bbox", "mask_bbox")
+
+
 def _common(df: DataFrame) -> DataFrame:
     return flat(df.select(*detect.DETECTION), "bbox", "mask_bbox")
 
