@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turn numbers that a record covers; longer conversations have several records.
 RECORD_TURNS = 256
-#: Tasks over which the rows of one key are dealt in a join.
+#: Tasks over which the records of one conversation are dealt in a join.
 SPREAD = 64
 
 
@@ -23,12 +23,15 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("")), F.lit("\n"), inner, F.lit(CLOSE + "\n"))
 
 
-def _with_value(rows: DataFrame, values: DataFrame, key: str, number: str) -> DataFrame:
-    """Left join of rows with one row for each key, the rows of a key dealt over up to SPREAD tasks by a number that they have."""
-    part = F.pmod(F.floor(F.col(number) / RECORD_TURNS), F.lit(SPREAD)).alias("_part")
-    parts = rows.groupBy(key).agg(F.collect_set(part).alias("_parts"))
-    spread = values.join(parts, key).select("*", F.explode("_parts").alias("_part")).drop("_parts")
-    return rows.select("*", part).join(spread, [key, "_part"], "left").drop("_part")
+def _part(turn: Column) -> Column:
+    """The task among SPREAD that a turn of a conversation goes to in joins, the same for all turns of a record."""
+    return F.pmod(F.floor(turn / RECORD_TURNS), F.lit(SPREAD))
+
+
+def _with_value(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """Add an aggregate over the rows of each key, joined back by key and _part, so that the rows of a key stay spread."""
+    values = rows.groupBy(key).agg(value, F.collect_set("_part").alias("_parts"))
+    return rows.join(values.select("*", F.explode("_parts").alias("_part")).drop("_parts"), [key, "_part"])
 
 
 def _completion(turns: Column, side: str) -> tuple[Column, Column]:
@@ -61,23 +64,22 @@ def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "sid
     is the turn. A pair of which one side is missing has an empty prompt and one empty completion, two equal conversations
     have empty completions, and an empty table gives an empty table; other columns are not read.
 
-    Turns are dealt over tasks by (pair, turn), then by (pair, record), so a pair of any length is spread. The place of
-    the first difference is aggregated before it is shuffled and joined to records without their texts.
+    Turns are dealt over tasks by (pair, turn), then by pair and one of SPREAD parts of its records. The place of the first
+    difference is aggregated before it is shuffled, and joined to each part; records are put together without another shuffle.
     """
     said = F.struct(F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     own = turns.select(F.col(f"`{pair}`").alias("pair"), F.col(f"`{side}`").alias("side"), F.col(f"`{turn}`").cast("long").alias("turn"), said.alias("said"))
     own = own.where(F.col("pair").isNotNull() & F.col("turn").isNotNull() & F.col("side").isin("chosen", "rejected"))
     both = own.groupBy("pair", "turn").agg(*(F.min(F.when(F.col("side") == s, F.col("said"))).alias(s) for s in ("chosen", "rejected")))
-    both = both.withColumn("record", F.floor(F.col("turn") / RECORD_TURNS))
-    differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    records = both.groupBy("pair", "record").agg(F.min(F.when(differs, F.col("turn"))).alias("first"))
-    ends = records.groupBy("pair").agg(F.min("first").alias("first")).where(F.col("first").isNotNull())
-    ends = _with_value(records.select("pair", "record", (F.col("record") * RECORD_TURNS).alias("number")), ends, "pair", "number").drop("number")
-    whole = both.join(ends, ["pair", "record"]).groupBy("pair", "record").agg(
-        F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("turn", "chosen", "rejected"))).alias("turns")
-    )
+    same = F.col("chosen").eqNullSafe(F.col("rejected"))
+    # A turn that both sides have alike is kept once.
+    both = both.select("pair", "turn", _part(F.col("turn")).alias("_part"), "chosen", F.when(~same, F.col("rejected")).alias("rejected"), same.alias("same"))
+    both = _with_value(both, "pair", F.min(F.when(~F.col("same"), F.col("turn"))).alias("first"))
+    record = F.floor(F.col("turn") / RECORD_TURNS).alias("record")
+    whole = both.groupBy("pair", "_part", record).agg(F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("turn", "chosen", "rejected", "same"))).alias("turns"))
     shared = lambda t: F.col("first").isNull() | (t["turn"] < F.col("first"))
-    prompt, later = F.filter("turns", shared), F.filter("turns", lambda t: ~shared(t))
+    sides = lambda t: F.struct(t["chosen"].alias("chosen"), F.when(t["same"], t["chosen"]).otherwise(t["rejected"]).alias("rejected"))
+    prompt, later = F.filter("turns", shared), F.transform(F.filter("turns", lambda t: ~shared(t)), sides)
     completions = {s: _completion(later, s) for s in ("chosen", "rejected")}
     return whole.select(
         F.col("pair").alias(pair), "record", _completion(prompt, "chosen")[0].alias("prompt"),
@@ -96,9 +98,9 @@ def short_reply_pairs(conversations: DataFrame) -> DataFrame:
     Rows with a null conv_id or turn give nothing, null text stays null, repeated rows stay, other columns are not read;
     a conversation without reply is rejected as it is, and an empty table gives an empty table.
     """
-    said = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    last = said.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    turns = _with_value(said, last, "conv_id", "turn")
+    said = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", _part(F.col("turn").cast("long")).alias("_part"))
+    said = said.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    turns = _with_value(said, "conv_id", F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"))
     cut = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.substring_index("text", ". ", 1)).otherwise(F.col("text"))
     sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), cut.alias("text")))
     return turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.inline(sides))
