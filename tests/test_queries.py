@@ -7,7 +7,7 @@ from veilwork.plans import more  # noqa: F401
 from veilwork.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["verhoeff_valid_ids", "id12_triplets", "id12_inline", "id12_merged", "mrz_lines", "merge_faces", "text_coverage", "compose_qr", "gate_pixels", "output_name", "mask_text", "band_plan", "otsu_threshold", "equalize_clipped", "blur3x3", "paint_masks", "rate_limit", "intake_status", "inline_scripts", "egress_audit"]
+NAMES = ["verhoeff_valid_ids", "id12_triplets", "id12_inline", "id12_merged", "mrz_lines", "merge_faces", "text_coverage", "compose_qr", "gate_pixels", "output_name", "mask_text", "band_plan", "otsu_threshold", "equalize_clipped", "blur3x3", "paint_masks", "enhance", "grid_components", "locate_qr_cells", "fold_box_edits", "rate_limit", "intake_status", "inline_scripts", "egress_audit"]
 
 
 @pytest.mark.parametrize("name", NAMES)

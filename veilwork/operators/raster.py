@@ -67,12 +67,19 @@ def equalize_clipped(gray: DataFrame, clip: float = CLIP) -> DataFrame:
 
 
 def blur3x3(gray: DataFrame) -> DataFrame:
-    """1-2-1 blur both ways; border pixels stay. Each pixel gives its weighted value to its nine neighbours."""
-    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit((2 - abs(dx)) * (2 - abs(dy))).alias("weight")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    given = gray.select("page_id", "px", "py", "r", F.inline(offsets))
-    sums = given.groupBy("page_id", (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).agg(F.sum(F.col("r") * F.col("weight")).alias("sum"), F.sum("weight").alias("weights"))
-    rows = gray.join(sums, ["page_id", "px", "py"])
-    return _painted(rows, F.when(F.col("weights") == 16, round_half_up(F.col("sum") / 16)).otherwise(F.col("r"))).select(*gray.columns)
+    """1-2-1 blur both ways; border pixels stay, as does what has not all eight neighbours.
+
+    Each pixel moves twice, once with its row and once with its column, which a page's admitted size bounds.
+    """
+
+    def blurred(value: str, along: str, across: str) -> Column:
+        line = Window.partitionBy("page_id", across).orderBy(along)
+        near = [(F.lag(value).over(line), F.lag(along).over(line), -1), (F.lead(value).over(line), F.lead(along).over(line), 1)]
+        there = [at == F.col(along) + d for _, at, d in near]
+        return F.when(there[0] & there[1], near[0][0] + 2 * F.col(value) + near[1][0])
+
+    rows = gray.withColumn("_row", blurred("r", "px", "py")).withColumn("_sum", blurred("_row", "py", "px"))
+    return _painted(rows, F.when(F.col("_sum").isNotNull(), round_half_up(F.col("_sum") / 16)).otherwise(F.col("r"))).select(*gray.columns)
 
 
 def enhance(pixels: DataFrame, threshold: bool = False) -> DataFrame:
@@ -103,11 +110,11 @@ def cell_stats(pixels: DataFrame, boxes: DataFrame | None = None, grid: int = GR
 def paint_masks(pixels: DataFrame, masks: DataFrame) -> DataFrame:
     """Black where a mask (page_id, x, y, w, h) covers a pixel, partly covered ones too; the input stays as it is."""
     m = masks.select(F.col("page_id").alias("_page"), *(F.col(c).alias(f"_{c}") for c in "xywh"))
-    inside = (F.col("page_id") == F.col("_page")) & (F.col("px") >= F.floor("_x")) & (F.col("px") < F.ceil(F.col("_x") + F.col("_w"))) & (F.col("py") >= F.floor("_y")) & (F.col("py") < F.ceil(F.col("_y") + F.col("_h")))
-    hit = pixels.join(m, inside, "left_semi")
-    clear = pixels.join(m, inside, "left_anti")
-    black = hit.withColumns({c: F.lit(0) for c in "rgb"} | {"a": F.lit(255)})
-    return clear.unionByName(black)
+    page, x, y = (F.col(c).outer() for c in ("page_id", "px", "py"))
+    inside = (page == F.col("_page")) & (x >= F.floor("_x")) & (x < F.ceil(F.col("_x") + F.col("_w"))) & (y >= F.floor("_y")) & (y < F.ceil(F.col("_y") + F.col("_h")))
+    covered = pixels.withColumn("_covered", m.where(inside).exists())
+    black = {c: F.when(F.col("_covered"), 0).otherwise(F.col(c)).alias(c) for c in "rgb"} | {"a": F.when(F.col("_covered"), 255).otherwise(F.col("a"))}
+    return covered.withColumns(black).select(*pixels.columns)
 
 
 def rotate_pixels(pixels: DataFrame, rotation: int) -> DataFrame:

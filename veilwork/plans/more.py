@@ -10,7 +10,7 @@ from veilwork.functions import text as X
 from veilwork.functions.checksum import verhoeff_valid_native
 from veilwork.operators import audit, detect, intake, passes, raster, reports, review
 from veilwork.plans.fixtures import _PAN, derived
-from veilwork.plans.queries import _COMMON, _PAGE, _TEXT, _faces, _valid, flat, page_detections, query, recursive, text_detections
+from veilwork.plans.queries import _COMMON, _KEPT_FACES, _PAGE, _TEXT, _faces, _greedy_sql, _valid, flat, page_detections, query, recursive, text_detections
 from veilwork.sources import admission, export
 from veilwork.sources import tokens as token_sources
 from veilwork.sources.staging import written_once
@@ -180,7 +180,30 @@ def box_edits(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"WITH {_EDITS} SELECT * FROM edits", events=derived(spark, d, "events"))
 
 
-@query()
+def _folded_sql() -> str:
+    """Boxes after each of their edits, one edit a step."""
+    key = "doc_id, page_index, box_id"
+    within = "greatest(0, least({}, {}))".format
+    left, right = "CASE WHEN contains(handle, 'w') THEN x1 ELSE f.x END", "CASE WHEN contains(handle, 'e') THEN x1 ELSE f.x + f.w END"
+    top, bottom = "CASE WHEN contains(handle, 'n') THEN y1 ELSE f.y END", "CASE WHEN contains(handle, 's') THEN y1 ELSE f.y + f.h END"
+    sized_x, sized_y = within(f"least({left}, {right})", "width"), within(f"least({top}, {bottom})", "height")
+    drawn = [within("least(x1, x2)", "width"), within("least(y1, y2)", "height"), within("abs(x2 - x1)", "width"), within("abs(y2 - y1)", "height")]
+    moved = [within("f.x + x1", "width - f.w"), within("f.y + y1", "height - f.h"), "f.w", "f.h"]
+    sized = [sized_x, sized_y, f"least(abs({right} - ({left})), width - {sized_x})", f"least(abs({bottom} - ({top})), height - {sized_y})"]
+    new = ", ".join(f"CASE WHEN large THEN {a} WHEN f.there AND op = 'move' THEN {b} WHEN f.there AND op = 'resize' THEN {c} ELSE f.{n} END" for a, b, c, n in zip(drawn, moved, sized, "xywh", strict=True))
+    return f"""seeds AS (SELECT doc_id, page_index, concat('auto-', detection_index) AS box_id, mask_x AS x, mask_y AS y, mask_w AS w, mask_h AS h FROM masks WHERE enabled),
+    {_EDITS.replace("{events}", "events")},
+    turn AS (SELECT e.*, width::DOUBLE AS width, height::DOUBLE AS height, op = 'draw' AND abs(x2 - x1) >= 4 AND abs(y2 - y1) >= 4 AS large, row_number() OVER (PARTITION BY {key} ORDER BY edit_seq) AS no
+        FROM edits e JOIN pages_ USING (doc_id, page_index)),
+    folded AS (SELECT {key}, 0::BIGINT AS no, s.x IS NOT NULL AS there, s.x::DOUBLE AS x, s.y::DOUBLE AS y, s.w::DOUBLE AS w, s.h::DOUBLE AS h
+            FROM (SELECT {key} FROM seeds UNION SELECT {key} FROM turn) u LEFT JOIN seeds s USING ({key})
+        UNION ALL SELECT f.doc_id, f.page_index, f.box_id, t.no, CASE WHEN op = 'delete' THEN false ELSE large OR f.there END, {new}
+            FROM folded f JOIN turn t ON t.doc_id = f.doc_id AND t.page_index = f.page_index AND t.box_id = f.box_id AND t.no = f.no + 1),
+    ended AS (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY no DESC) = 1)"""
+
+
+@recursive
+@query(f"WITH {_REVIEW}, {_folded_sql()} SELECT doc_id, page_index, box_id, x AS box_x, y AS box_y, w AS box_w, h AS box_h FROM ended WHERE there", *_NEEDS)
 def fold_box_edits(spark: SparkSession, d: str) -> DataFrame:
     """Edits of the boxes that detections seed, and of drawn ones."""
     pages = derived(spark, d, "pages")
@@ -337,29 +360,38 @@ def to_gray(spark: SparkSession, d: str) -> DataFrame:
     return _gray(spark, d).select("page_id", "px", "py", F.col("r").alias("v"))
 
 
-_OTSU = f"""{_GRAY}, hist AS (SELECT page_id, v, count(*) AS n FROM gray GROUP BY 1, 2),
+def _otsu_sql(gray: str) -> str:
+    return f"""hist AS (SELECT page_id, v, count(*) AS n FROM {gray} GROUP BY 1, 2),
     c AS (SELECT *, sum(n) OVER o AS n0, sum(n * v) OVER o AS s0, sum(n) OVER p AS t, sum(n * v) OVER p AS s FROM hist WINDOW o AS (PARTITION BY page_id ORDER BY v), p AS (PARTITION BY page_id)),
     var AS (SELECT page_id, v, CASE WHEN t > n0 THEN n0::DOUBLE * (t - n0) * (s0::DOUBLE / n0 - (s - s0)::DOUBLE / (t - n0)) * (s0::DOUBLE / n0 - (s - s0)::DOUBLE / (t - n0)) ELSE 0 END AS b FROM c),
     otsu AS (SELECT page_id, CAST(CASE WHEN b > 0 THEN v ELSE 127 END AS INT) AS threshold FROM var QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY b DESC, v) = 1)"""
 
 
+_OTSU = f"{_GRAY}, {_otsu_sql('gray')}"
+_BLACK = "SELECT page_id, px, py, CAST(CASE WHEN v > threshold THEN 255 ELSE 0 END AS INT) AS v FROM {} JOIN otsu USING (page_id)"
+
+
 @query(f"WITH {_OTSU} SELECT * FROM otsu", "pixels")
 def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return raster.otsu_threshold(_gray(spark, d))
 
 
-@query(f"WITH {_OTSU} SELECT page_id, px, py, CAST(CASE WHEN v > threshold THEN 255 ELSE 0 END AS INT) AS v FROM gray JOIN otsu USING (page_id)", "pixels")
+@query(f"WITH {_OTSU} {_BLACK.format('gray')}", "pixels")
 def binarize(spark: SparkSession, d: str) -> DataFrame:
     return raster.binarize(_gray(spark, d)).select("page_id", "px", "py", F.col("r").alias("v"))
 
 
-@query(f"""WITH {_GRAY}, t AS (SELECT page_id, count(*) AS total, greatest(1, CAST(floor(count(*) * 0.01::DOUBLE) AS BIGINT)) AS lim FROM gray GROUP BY 1),
-    b AS (SELECT t.page_id, total, lim, s.v, coalesce(n, 0) AS n FROM t CROSS JOIN (SELECT unnest(range(0, 256)) AS v) s LEFT JOIN (SELECT page_id, v, count(*) AS n FROM gray GROUP BY 1, 2) h ON h.page_id = t.page_id AND h.v = s.v),
+def _equalized_sql(gray: str) -> str:
+    return f"""t AS (SELECT page_id, count(*) AS total, greatest(1, CAST(floor(count(*) * 0.01::DOUBLE) AS BIGINT)) AS lim FROM {gray} GROUP BY 1),
+    b AS (SELECT t.page_id, total, lim, s.v, coalesce(n, 0) AS n FROM t CROSS JOIN (SELECT unnest(range(0, 256)) AS v) s LEFT JOIN (SELECT page_id, v, count(*) AS n FROM {gray} GROUP BY 1, 2) h ON h.page_id = t.page_id AND h.v = s.v),
     e AS (SELECT *, CAST(floor(sum(greatest(0, n - lim)) OVER (PARTITION BY page_id) / 256) AS BIGINT) AS share FROM b),
     f AS (SELECT *, sum(least(n, lim) + share) OVER (PARTITION BY page_id ORDER BY v) AS cdf FROM e),
     l AS (SELECT *, min(CASE WHEN cdf > 0 THEN cdf END) OVER (PARTITION BY page_id) AS low FROM f),
-    lut AS (SELECT page_id, v, CAST(greatest(0, least(255, floor((cdf - low)::DOUBLE / CASE WHEN total = low THEN 1 ELSE total - low END * 255 + 0.5))) AS INT) AS tone FROM l)
-    SELECT g.page_id, px, py, tone AS v FROM gray g JOIN lut ON lut.page_id = g.page_id AND lut.v = g.v""", "pixels")
+    lut AS (SELECT page_id, v, CAST(greatest(0, least(255, floor((cdf - low)::DOUBLE / CASE WHEN total = low THEN 1 ELSE total - low END * 255 + 0.5))) AS INT) AS tone FROM l),
+    equalized AS (SELECT g.page_id, px, py, tone AS v FROM {gray} g JOIN lut ON lut.page_id = g.page_id AND lut.v = g.v)"""
+
+
+@query(f"WITH {_GRAY}, {_equalized_sql('gray')} SELECT * FROM equalized", "pixels")
 def equalize_clipped(spark: SparkSession, d: str) -> DataFrame:
     return raster.equalize_clipped(_gray(spark, d)).select("page_id", "px", "py", F.col("r").alias("v"))
 
@@ -374,7 +406,7 @@ def blur3x3(spark: SparkSession, d: str) -> DataFrame:
     return raster.blur3x3(_gray(spark, d)).select("page_id", "px", "py", F.col("r").alias("v"))
 
 
-@query()
+@query(f"WITH {_BLUR}, {_equalized_sql('blurred')}, {_otsu_sql('equalized')} {_BLACK.format('equalized')}", "pixels")
 def enhance(spark: SparkSession, d: str) -> DataFrame:
     return raster.enhance(derived(spark, d, "pixels"), threshold=True).select("page_id", "px", "py", F.col("r").alias("v"))
 
@@ -388,19 +420,43 @@ def cell_stats(spark: SparkSession, d: str) -> DataFrame:
     return raster.cell_stats(derived(spark, d, "pixels")).select("page_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "textured", "bimodal")
 
 
+#: Cells of a page whose texture follows from order keys: blocks of code-like cells between plain ones.
+_GRID = """SELECT CAST(floor(o_orderkey / 576) AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS page_index, CAST(floor(o_orderkey / 24) AS BIGINT) % 24 AS r, o_orderkey % 24 AS c, o_orderkey AS k FROM orders"""
+_BLOCK = "r % 12 < 5 AND c % 12 < 4 + doc_id % 3"
+_MARKED = f"SELECT doc_id, page_index, r, c, {_BLOCK} AS textured, {_BLOCK} AND k % 10 < 8 AS bimodal, r = 2 AND c % 7 = 0 AS has_text FROM ({_GRID}) AS g"
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of a page whose texture follows from order keys: blocks of code-like cells between plain ones."""
-    rows = derived(spark, d, "orders").selectExpr("CAST(floor(o_orderkey / 576) AS BIGINT) AS doc_id", "CAST(0 AS BIGINT) AS page_index", "CAST(floor(o_orderkey / 24) AS BIGINT) % 24 AS row", "o_orderkey % 24 AS col", "o_orderkey")
-    block = "row % 12 < 5 AND col % 12 < 4 + doc_id % 3"
-    return rows.selectExpr("doc_id", "page_index", "row", "col", "25 AS cell", f"{block} AS textured", f"{block} AND o_orderkey % 10 < 8 AS bimodal", "row = 2 AND col % 7 = 0 AS has_text")
+    rows = spark.sql(_MARKED.replace("FROM orders", "FROM {orders}"), orders=derived(spark, d, "orders"))
+    return rows.withColumnsRenamed({"r": "row", "c": "col"}).withColumn("cell", F.lit(25))
 
 
-@query()
+# Each cell is reached from all cells of its component, and the least of them names it.
+_PARTS = f"""marked AS ({_MARKED}), coded AS (SELECT * FROM marked WHERE textured AND NOT has_text),
+    reach AS (SELECT doc_id, page_index, r, c, r AS r0, c AS c0 FROM coded
+        UNION SELECT n.doc_id, n.page_index, n.r, n.c, a.r0, a.c0 FROM reach a JOIN coded n ON n.doc_id = a.doc_id AND n.page_index = a.page_index AND abs(n.r - a.r) + abs(n.c - a.c) = 1),
+    named AS (SELECT doc_id, page_index, r, c, min(r0 * 24 + c0) AS part FROM reach GROUP BY ALL),
+    parts AS (SELECT doc_id, page_index, min(r) AS row1, max(r) AS row2, min(c) AS col1, max(c) AS col2, count(*) AS cells, count(*) FILTER (WHERE bimodal) AS bimodal_cells
+        FROM named JOIN coded USING (doc_id, page_index, r, c) GROUP BY doc_id, page_index, part)"""
+
+
+@recursive
+@query(f"WITH {_PARTS} SELECT * FROM parts")
 def grid_components(spark: SparkSession, d: str) -> DataFrame:
     return detect.grid_components(_cells(spark, d).where("textured AND NOT has_text"))
 
 
-@query()
+_ON_FACE = """greatest(0, least(a.bbox_x + a.bbox_w, f.bbox_x + f.bbox_w) - greatest(a.bbox_x, f.bbox_x)) * greatest(0, least(a.bbox_y + a.bbox_h, f.bbox_y + f.bbox_h) - greatest(a.bbox_y, f.bbox_y))"""
+_REGIONS = f"""{_KEPT_FACES}, {_PARTS},
+    shaped AS (SELECT doc_id, page_index, CAST(col1 * 25 AS DOUBLE) AS bbox_x, CAST(row1 * 25 AS DOUBLE) AS bbox_y, CAST((col2 + 1 - col1) * 25 AS DOUBLE) AS bbox_w, CAST((row2 + 1 - row1) * 25 AS DOUBLE) AS bbox_h
+        FROM parts WHERE bimodal_cells / cells >= 0.6::DOUBLE),
+    regions AS (SELECT * FROM shaped a WHERE bbox_w / bbox_h BETWEEN 0.75::DOUBLE AND 1.33::DOUBLE AND bbox_w * bbox_h / 360000 BETWEEN 0.005::DOUBLE AND 0.25::DOUBLE
+        AND NOT EXISTS (SELECT 1 FROM kept_faces f WHERE f.doc_id = a.doc_id AND f.page_index = a.page_index AND {_ON_FACE} / (a.bbox_w * a.bbox_h) > 0.4::DOUBLE)),
+    {_greedy_sql('regions', 'bbox_x, bbox_y', 'kept_regions')}"""
+
+
+@recursive
+@query(f"WITH {_REGIONS} SELECT doc_id, page_index, 'other_qr' AS kind, bbox_x, bbox_y, bbox_w, bbox_h, 0.4::DOUBLE AS confidence FROM kept_regions", "faces")
 def locate_qr_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
     pages = cells.select(*detect.PAGE, F.lit(600).alias("width"), F.lit(600).alias("height")).distinct()
