@@ -64,6 +64,20 @@ def test_find_contamination_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(x[0] for x in want if not x[3])
 
 
+def test_items_larger_than_a_block(spark):
+    """One long item and many rows without id are cut into pieces that lose no window."""
+    rnd = random.Random(11)
+    say = lambda n: "-".join(rnd.choice(["ab", "Cd", "é", "x9", "long" * 3]) for _ in range(n))
+    items = [(1, say(400)), (None, say(150)), (None, say(150)), (2, "a b"), (3, None), (4, "-" * 2000)]
+    whole = fold(items[0][1])
+    docs = [(i, " ".join(whole[k : k + n])) for i, (k, n) in enumerate([(0, 4), (17, 5), (1, 3), (396, 4), (200, 90)])] + [(9, say(300)), (10, items[1][1].upper())]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(d._blocks(bench, "item_id", "text", 4, 1024))
+    assert len(blocks) > 1 and max(n for _, n in blocks) < 4 * 1024
+    got = d.find_contamination(df, bench, window=4, block_bytes=1024).withColumn("hit", d.words_hit(d.F.col("spans"))).collect()
+    assert sorted((r.doc_id, r.n_words, r.hit, list(r["items"])) for r in got) == sorted((i, *brute(t, items, 4)) for i, t in docs)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from veilwork.llm import quality as q
@@ -24,6 +27,83 @@ def test_model_orders_grades():
     assert np.rint(tails.sum(1)).astype(int).tolist() == [0, 1, 2]
 
 
+def likelihood(rows, grades, x, cuts):
+    """The logarithm of the ratings' probability, by plain sums."""
+    total = 0.0
+    for (at, value), g in zip(rows, grades, strict=True):
+        score = sum(x[a] * float(v) for a, v in zip(at, value, strict=True))
+        tails = [1.0, *(1 / (1 + math.exp(c - score)) for c in cuts), 0.0]
+        total += math.log(tails[g] - tails[g + 1])
+    return total
+
+
+def made_rows(n, n_grades, seed):
+    rng = np.random.default_rng(seed)
+    grades = rng.integers(0, n_grades, n)
+    rows = []
+    for g in grades:
+        at = np.sort(rng.choice(9, int(rng.integers(1, 6)), replace=False)).astype(np.int32)
+        rows.append((at, (rng.random(len(at)) + 0.2 * g).astype(np.float32)))
+    return rows, grades
+
+
+@pytest.mark.parametrize("n_grades", [2, 3, 5])
+def test_gradient_against_differences_of_a_plain_likelihood(n_grades):
+    rows, grades = made_rows(40, n_grades, n_grades)
+    x = np.zeros(q.BUCKETS)
+    x[:9] = np.random.default_rng(1).normal(size=9)
+    cuts = np.linspace(-1, 1.5, n_grades - 1)
+    block = q._Block(grades, np.array([len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+    by_weight, by_cut = block.gradient(x, cuts)
+    for v, found in ((x, by_weight[:9]), (cuts, by_cut)):
+        for i, g in enumerate(found):
+            at, sides = v[i], []
+            for d in (1e-5, -1e-5):
+                v[i] = at + d
+                sides.append(likelihood(rows, grades, x, cuts))
+            v[i] = at
+            assert g == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-4)
+    assert not by_weight[9:].any()
+
+
+def test_fit_is_a_maximum_of_the_plain_likelihood():
+    rows, grades = made_rows(200, 3, 7)
+    model = q.fit_ordinal(rows, grades, 3, steps=3000, rate=0.02, sparse=0.0)
+    x, cuts = model.weights.astype(float), model.thresholds.copy()
+    best = likelihood(rows, grades, x, cuts)
+    for v, n in ((x, 9), (cuts, 2)):
+        for i in range(n):
+            for d in (0.05, -0.05):
+                v[i] += d
+                assert likelihood(rows, grades, x, cuts) < best
+                v[i] -= d
+
+
+def test_query_against_plain_sums(spark):
+    """Each document's row of the registered query, from its tokens and the fitted weights."""
+    from veilwork.llm.queries import op6_quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = q.fit(docs, q.grades_of(spark.read.parquet(f"{sf}/labels.parquet")), n_grades=3)
+    rows = {r.doc_id: r for r in op6_quality(spark, sf).collect()}
+    assert len(rows) == docs.count()
+    bucket = lambda t: 1 + xxhash.xxh32_intdigest(t.encode()) % (q.BUCKETS - 1)
+    for d in docs.collect():
+        counts, tokens = {}, q.TOKENS.findall(d.text or "")
+        for t in tokens:
+            low = t.lower()
+            own = [low] + [low[:n] + "-" for n in (4, 5, 6, 7) if t[0].isalpha() and n < len(t)] + ["^"] * (t[0].isalpha() and len(t) > 1 and t.isupper())
+            for x in own:
+                counts[bucket(x)] = counts.get(bucket(x), 0) + 1
+        score = sum(math.log(1 + n) * float(model.weights[b]) for b, n in counts.items())
+        score += math.log(len(tokens) / len(set(tokens))) * float(model.weights[0]) if tokens else 0
+        tails = [1 / (1 + math.exp(c - score)) for c in model.thresholds]
+        r = rows[d.doc_id]
+        assert (r.expected_grade, r.tail_probability) == pytest.approx((sum(tails), tails[1]), abs=1e-3)
+        assert r.kept == (r.tail_probability >= 0.5)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     grades = q.grades_of(spark.read.parquet(f"{SF}/labels.parquet"))

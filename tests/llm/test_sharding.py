@@ -63,3 +63,15 @@ def test_salt_spreads_a_hot_key(spark):
     assert s.assign_shards(df, shards).select("shard").distinct().count() == 1
     spread = s.assign_shards(df, shards, salt="row", spread=64)
     assert spread.count() == 2000 and spread.select("shard").distinct().count() >= 6
+
+
+def test_query_against_whole_permutations(spark):
+    from veilwork.llm.queries import op2_sharding
+
+    sf = "/root/testdata/sf0.001"
+    names = [f"shard-{n:04d}" for n in range(512)]
+    table = brute(names, s.SLOTS)
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    slots = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % s.SLOTS for i in ids}
+    got = sorted((r.doc_id, r.slot, r.shard) for r in op2_sharding(spark, sf).collect())
+    assert got == sorted((i, slots[i], names[table[slots[i]]]) for i in ids)

@@ -28,6 +28,8 @@ from veilwork.llm.shared import broadcast_parameter, once_per_worker, tidy
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8 << 20
+#: What stands between words, case aside.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every so many-th text position has its suffix position stored.
 SAMPLE = 8
 #: Numbered words in one index; a batch with more is indexed in several parts, cut between documents.
@@ -233,14 +235,27 @@ def _search(windows: Windows, batch: pa.Array) -> pa.StructArray:
     return _arrow(n_words, spans, [sorted(set(x)) for x in items])
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list[tuple[str, bytes]], int]]:
-    """The items in blocks of about block_bytes, each collected on its own."""
-    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
+def _pieces(items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """Items whose text is larger than a block as pieces that overlap by all but one word of a window: each window is
+    in a piece. Pieces are small beside a block unless words have hundreds of bytes on average."""
+    step = max(1, block_bytes // 512)
+    cut = items.where(F.octet_length("text") > block_bytes).withColumn("words", F.filter(F.split("text", BETWEEN), lambda w: w != ""))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1), F.lit(step))
+    cut = cut.select("item", "words", F.explode(starts).alias("start")).select("item", F.array_join(F.slice("words", F.col("start"), F.lit(step + window - 1)), " ").alias("text"))
+    return items.where(F.octet_length("text") <= block_bytes).unionByName(cut)
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[tuple[list[tuple[str, bytes]], int]]:
+    """The items in blocks of about block_bytes, each collected on its own; rows of one id may be in several."""
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("string").alias("text"))
+    total, largest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    if (largest or 0) > block_bytes:
+        items = _pieces(items, window, block_bytes)
+        total = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    n = -(-(total or 0) // block_bytes) or 1
     for b in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b)
-        rows = [(r.item, bytes(r.text)) for r in block.collect()]
+        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
+        rows = [(r.item, bytes(r.text)) for r in block.select("item", F.col("text").cast("binary")).collect()]
         yield rows, sum(len(t) for _, t in rows)
 
 
@@ -269,7 +284,7 @@ def find_contamination(
     three names are replaced. Empty tables, of documents or items, give no hits. Texts are searched whole.
     """
     spark, found = df.sparkSession, []
-    for rows, n_bytes in _blocks(benchmark, item_id, item_text, block_bytes):
+    for rows, n_bytes in _blocks(benchmark, item_id, item_text, window, block_bytes):
         search = _searcher(broadcast_parameter(spark, rows, n_bytes), window)
         found.append(F.arrow_udf(tidy(search), RESULT)(F.col(f"`{text}`").cast("binary")))
     result = found[0] if len(found) == 1 else F.arrow_udf(_merged, RESULT)(*found)
