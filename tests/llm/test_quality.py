@@ -47,15 +47,18 @@ def made_rows(n, n_grades, seed):
     return rows, grades
 
 
+def block_of(rows, grades, used):
+    block = q._Block(grades, np.array([len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+    block.narrow(np.array(used))
+    return block
+
+
 @pytest.mark.parametrize("n_grades", [2, 3, 5])
 def test_gradient_against_differences_of_a_plain_likelihood(n_grades):
     rows, grades = made_rows(40, n_grades, n_grades)
-    x = np.zeros(q.BUCKETS)
-    x[:9] = np.random.default_rng(1).normal(size=9)
-    cuts = np.linspace(-1, 1.5, n_grades - 1)
-    block = q._Block(grades, np.array([len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
-    by_weight, by_cut = block.gradient(x, cuts)
-    for v, found in ((x, by_weight[:9]), (cuts, by_cut)):
+    x, cuts = np.random.default_rng(1).normal(size=9), np.linspace(-1, 1.5, n_grades - 1)
+    by_weight, by_cut = block_of(rows, grades, range(9)).gradient(x, cuts)
+    for v, found in ((x, by_weight), (cuts, by_cut)):
         for i, g in enumerate(found):
             at, sides = v[i], []
             for d in (1e-5, -1e-5):
@@ -63,7 +66,10 @@ def test_gradient_against_differences_of_a_plain_likelihood(n_grades):
                 sides.append(likelihood(rows, grades, x, cuts))
             v[i] = at
             assert g == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-4)
-    assert not by_weight[9:].any()
+    used, alone = [1, 4, 7], np.zeros(9)
+    alone[used] = x[used]
+    assert block_of(rows, grades, used).gradient(x[used], cuts)[0] == pytest.approx(block_of(rows, grades, range(9)).gradient(alone, cuts)[0][used])
+    assert not block_of(rows, grades, [100]).gradient(np.ones(1), cuts)[0].any()
 
 
 def test_fit_is_a_maximum_of_the_plain_likelihood():

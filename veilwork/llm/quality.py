@@ -92,17 +92,25 @@ class _Block:
     at: np.ndarray
     value: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.doc = np.repeat(np.arange(len(self.grades), dtype=np.int32), self.sizes)
-
     def counts(self) -> tuple[int, np.ndarray]:
         """How many rows there are, and how many have each bucket."""
         return len(self.grades), np.bincount(self.at, minlength=BUCKETS)
 
+    def narrow(self, used: np.ndarray) -> None:
+        """Keep the entries of the buckets `used`, named by their place there: in the order of rows, and in that of buckets."""
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        at, doc = place[self.at], np.repeat(np.arange(len(self.grades), dtype=np.int32), self.sizes)
+        own = at >= 0
+        at, doc, value = at[own], doc[own], self.value[own]
+        by = np.argsort(at, kind="stable")
+        self.at = self.value = None
+        self.n_used, self.by_row, self.by_bucket = len(used), (at, value, *_runs(doc)), (doc[by], value[by], *_runs(at[by]))
+
     def gradient(self, x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the rows' summed log-likelihood, by weights and by thresholds."""
+        """Of the rows' summed log-likelihood, by the weights x of the used buckets and by thresholds."""
         n, k, grades = len(self.grades), len(cuts), self.grades
-        score = np.bincount(self.doc, self.value * x[self.at], minlength=n)
+        score = _sums(x, *self.by_row, n)
         tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40)))
         upper = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
         i = np.arange(n)
@@ -112,11 +120,25 @@ class _Block:
         d_cut = np.zeros(k)
         np.add.at(d_cut, grades[grades > 0] - 1, -d_high[grades > 0])
         np.add.at(d_cut, grades[grades < k], d_low[grades < k])
-        return np.bincount(self.at, self.value * (d_high - d_low)[self.doc], minlength=BUCKETS), d_cut
+        return _sums(d_high - d_low, *self.by_bucket, self.n_used), d_cut
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and their keys."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return begin, keys[begin]
+
+
+def _sums(x: np.ndarray, index: np.ndarray, value: np.ndarray, begin: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """For each of n keys, the sum of value * x[index] over its run."""
+    out = np.zeros(n)
+    if len(begin):
+        out[keys] = np.add.reduceat(value * x[index], begin)
+    return out
 
 
 #: What a step of the fit asks of each block, and the answers in the order of the blocks.
-_Ask = Callable[[Callable[[_Block], tuple]], list[tuple]]
+_Ask = Callable[[Callable], list]
 
 
 def _maximise(ask: _Ask, n_grades: int, steps: int, rate: float, sparse: float, least_rows: int) -> OrdinalModel:
@@ -124,13 +146,14 @@ def _maximise(ask: _Ask, n_grades: int, steps: int, rate: float, sparse: float,
     found = ask(_Block.counts)
     if n := sum(f[0] for f in found):
         used = np.flatnonzero(sum(f[1] for f in found) >= min(least_rows, n))
+        ask(partial(_Block.narrow, used=used))
         theta = np.zeros(len(used) + k)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
-            w[used], g = theta[:-k], theta[-k:]
-            parts = ask(partial(_Block.gradient, x=w, cuts=np.cumsum(np.concatenate([g[:1], np.exp(g[1:])]))))
+            g = theta[-k:]
+            parts = ask(partial(_Block.gradient, x=theta[:-k], cuts=np.cumsum(np.concatenate([g[:1], np.exp(g[1:])]))))
             after = np.cumsum(sum(d[1] for d in parts)[::-1])[::-1]
-            grad = -np.concatenate([sum(d[0] for d in parts)[used], after[:1], after[1:] * np.exp(g[1:])]) / n
+            grad = -np.concatenate([sum(d[0] for d in parts), after[:1], after[1:] * np.exp(g[1:])]) / n
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
             theta[:-k] = np.sign(theta[:-k]) * np.maximum(np.abs(theta[:-k]) - rate * sparse / (np.sqrt(v[:-k] / (1 - 0.999**step)) + 1e-10), 0)
