@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, quality, sharding, token_counts, url_filter
+from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, quality, sharding, token_counts, url_filter, whitening
 
 
 def tokenizer_path(name: str) -> str:
@@ -80,6 +80,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"), 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op13_whitening": op13_whitening,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
