@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, quality, sharding, token_counts, url_filter, whitening
+from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, quality, secret_scan, sharding, token_counts, url_filter, whitening
 
 
 def tokenizer_path(name: str) -> str:
@@ -80,6 +80,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in secret_scan.STRONG]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"), 8)
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op12_secrets": op12_secrets,
     "op13_whitening": op13_whitening,
 }
 
@@ -166,6 +174,40 @@ _CHAT_SQL = f"""
                coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans
         FROM p LEFT JOIN chosen_c USING (pair_id, record) LEFT JOIN rejected_c USING (pair_id, record)"""
 
+
+
+def secrets_sql() -> str:
+    """Spans over documents in SQL: matches placed by the lengths of what lies between them, confirmed by existence."""
+    x = secret_scan
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    value = f"length(regexp_extract(m, {{}}, 2)) >= {{}}"
+    tests = {
+        "assign": (x.ASSIGN, value.format(quote(x.ASSIGN), x.LEAST_VALUE)), "access": (x.ACCESS, f"length(m) >= {x.LEAST_ACCESS}"), "hex": (x.HEX, f"length(m) >= {x.LEAST_HEX}"),
+        "ident": (x.IDENT, value.format(quote(x.IDENT), x.LEAST_IDENT)), "endpoint": (x.ENDPOINT, "true"),
+        "secret": (x.NAMELESS, f"length(m) BETWEEN {x.NAMELESS_LENGTH[0]} AND {x.NAMELESS_LENGTH[1]} AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"),
+    }
+    ctes = []
+    for kind, (pattern, test) in tests.items():
+        ctes.append(f"""{kind}_m AS (SELECT r, unnest(regexp_extract_all(text, {quote(pattern)}, 0)) AS m, unnest(regexp_split_to_array(text, {quote(pattern)})) AS gap, unnest(range(0, len(regexp_split_to_array(text, {quote(pattern)})))) AS i FROM d),
+        {kind}_s AS (SELECT r, i, m, (sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS stop FROM {kind}_m),
+        {kind}_0 AS (SELECT r, '{kind}' AS kind, {x.KINDS.index(kind)} AS place, stop - length(m) AS start, stop FROM {kind}_s WHERE m IS NOT NULL AND {test})""")
+    apart = "SELECT * FROM {0} c WHERE NOT EXISTS (SELECT 1 FROM {1} t WHERE t.r = c.r AND t.start < c.stop AND t.stop > c.start)".format
+    near = lambda *kinds: f"EXISTS (SELECT 1 FROM p o WHERE o.r = p.r AND o.scope = p.scope AND abs(o.start - p.start) <= {x.REACH} AND o.kind IN ({', '.join(map(quote, kinds))}))"
+    who, what, where = near("access", "ident"), near("assign", "hex", "secret"), near("endpoint")
+    text = lambda f: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place){f}, '')"
+    strong = "FILTER (WHERE place < 3)"
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), {", ".join(ctes)},
+        strong AS (SELECT * FROM assign_0 UNION ALL SELECT * FROM access_0 UNION ALL SELECT * FROM hex_0),
+        ident AS ({apart("ident_0", "strong")}), taken AS (SELECT * FROM strong UNION ALL SELECT * FROM ident UNION ALL SELECT * FROM endpoint_0),
+        every AS (SELECT * FROM taken UNION ALL {apart("secret_0", "taken")}),
+        p AS (SELECT every.*, len(regexp_extract_all(left(text, start), {quote(x.BREAK)}, 0)) AS scope FROM every JOIN d USING (r)),
+        ok AS (SELECT * FROM p WHERE place < 3 OR CASE kind WHEN 'secret' THEN {near("access")} OR ({who} AND {where}) WHEN 'ident' THEN {near("assign", "hex")} OR ({what} AND {where}) ELSE {who} AND {what} END)
+        SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+               sha256({text(" " + strong)}) AS base_sha256, {text("")} AS spans
+        FROM d LEFT JOIN ok USING (r) GROUP BY r, doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_NORMAL}) AS text_sha256 FROM documents)
@@ -174,4 +216,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
     "op8_chat": _CHAT_SQL,
     "op9_url_filter": url_filter_sql(),
+    "op12_secrets": secrets_sql(),
 }
