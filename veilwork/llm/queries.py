@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, quality, secret_scan, sharding, token_counts, url_filter, whitening
+from veilwork.llm import bpe, chat, decontaminate, exact_dedup, language_id, minhash, prefix_trie, quality, secret_scan, sharding, token_counts, url_filter, whitening
 
 
 def tokenizer_path(name: str) -> str:
@@ -80,6 +80,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    turns = prefix_trie.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    sequences, convs = prefix_trie.rebuild(turns, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3)
+    nodes = prefix_trie.with_end_digests(*prefix_trie.build(sequences, convs))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -102,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_secrets": op12_secrets,
     "op13_whitening": op13_whitening,
 }
@@ -175,6 +184,25 @@ _CHAT_SQL = f"""
         FROM p LEFT JOIN chosen_c USING (pair_id, record) LEFT JOIN rejected_c USING (pair_id, record)"""
 
 
+#: CRC-32 of decimal ids: a fold over the digits, eight steps each.
+_CRC = """xor(4294967295, list_reduce([4294967295]::BIGINT[] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, byte:
+        list_reduce([xor(crc, byte)]::BIGINT[] || [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+_TRIE_SQL = rf"""
+        WITH c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        h AS (SELECT *, {_CRC} % 4 AS h, conv_id - conv_id % 20 AS opener FROM c),
+        s AS (SELECT h.conv_id, coalesce(o.own[1:h.h], []) || h.own[h.h + 1:] AS path FROM h LEFT JOIN c o ON o.conv_id = h.opener),
+        p AS (SELECT conv_id, unnest(range(0, len(path) + 1)) AS depth, path FROM s),
+        n AS (SELECT depth, path[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+              coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(p.path) = depth), '') AS ends FROM p GROUP BY 1, 2),
+        w AS (SELECT n.*, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS saved, k.conv_id IS NULL AS leaf
+              FROM n LEFT JOIN (SELECT DISTINCT ON (up) path[1:depth - 1] AS up, conv_id FROM n WHERE depth > 0) k ON k.up = n.path),
+        t AS (SELECT path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM
+              (SELECT path[1:unnest(range(0, depth + 1))] AS path, saved, leaf FROM w) GROUP BY 1),
+        k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM n JOIN t ON t.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n u ON n.depth > 0 AND u.path = n.path[1:n.depth - 1]"""
+
 
 def secrets_sql() -> str:
     """Spans over documents in SQL: matches placed by the lengths of what lies between them, confirmed by existence."""
@@ -216,5 +244,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
     "op8_chat": _CHAT_SQL,
     "op9_url_filter": url_filter_sql(),
+    "op11_prefix_trie": _TRIE_SQL,
     "op12_secrets": secrets_sql(),
 }
