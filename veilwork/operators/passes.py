@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +13,7 @@ from veilwork.functions import geometry as G
 from veilwork.functions.text import TEXT_KINDS
 from veilwork.operators.detect import PAGE, detect_id12_inline, detect_id12_triplets, detect_pan, detect_text, greedy, merge_id12
 from veilwork.sources.staging import written
+from veilwork.sources.tokens import with_recognizer
 
 #: Rotations in the order of trial, and the bands of a page's height with their order.
 ROTATIONS = (180, 90, 270)
@@ -22,10 +26,16 @@ def _is_text() -> Column:
     return F.col("kind").isin(*TEXT_KINDS)
 
 
-def pick_enhanced(raw: DataFrame, enhanced: DataFrame) -> DataFrame:
-    """Where a page has no text hit, the enhanced pass's text hits; faces and codes always from the raw pass."""
+def pick_enhanced(raw: DataFrame, enhanced: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Where an image has no text hit, the enhanced pass's text hits; faces and codes always from the raw pass.
+
+    pages: PAGE and kind; pages of another kind than image keep the raw pass. Without it, all are images.
+    """
     hit = raw.where(_is_text()).select(*PAGE).distinct()
-    return raw.unionByName(enhanced.where(_is_text()).join(hit, PAGE, "left_anti"))
+    new = enhanced.where(_is_text()).join(hit, PAGE, "left_anti")
+    if pages is not None:
+        new = new.join(pages.where(F.col("kind") == "image").select(*PAGE), PAGE, "left_semi")
+    return raw.unionByName(new)
 
 
 def probe_rotation(probe_tokens: DataFrame) -> DataFrame:
@@ -141,47 +151,112 @@ def merge_recovery(current: DataFrame, recovered: DataFrame) -> DataFrame:
     return rest.unionByName(text).unionByName(ids)
 
 
-def reconcile(
-    tokens: DataFrame, others: DataFrame, enhanced_tokens: DataFrame, probe_tokens: DataFrame, rotated_tokens: DataFrame,
-    rotated_others: DataFrame, band_tokens: DataFrame, pages: DataFrame, auto_rotate: bool = False,
-) -> DataFrame:
+#: Columns of tokens that passes are compared by.
+TOKEN = [*PAGE, "line_id", "token_seq", "text", "x", "y", "w", "h", "confidence"]
+_FOUND = [*PAGE, "kind", "bbox", "mask_bbox", "value", "confidence", "suspicious", "part", "place"]
+
+#: (pages wanted, name of the pass) -> what that pass gives for them; see reconcile_on_demand.
+Reader = Callable[[DataFrame, str], DataFrame]
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return detect_text(rows).select(*_FOUND)
+
+
+def _recover_on_demand(first: DataFrame, found: DataFrame, size: DataFrame, read: Reader) -> DataFrame:
+    """As recover_from_bands, but each band is read only of pages that the bands before have not settled."""
+    open_pages = written(_flagged(found).join(size, PAGE, "right").where(~F.coalesce("has_id", F.lit(False)) | F.coalesce("doubt", F.lit(False))).select(size.columns), "open")
+    is_id = F.col("kind") == "aadhaar"
+    doubts = found.where(is_id & F.col("suspicious")).withColumn("doubt_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("bbox.x", "bbox.y", "value")))
+    doubts = written(doubts.select(*PAGE, "value", "bbox", "doubt_no"), "doubts")
+    seen, steps = first.select(*TOKEN), None
+    for band in range(len(BANDS)):
+        plan = band_plan(open_pages).where(F.col("band") == band)
+        read_now = written(read(open_pages.join(plan, PAGE), "band").select(*TOKEN, "band"), "band")
+        seen = seen.unionByName(translate_band_tokens(read_now, plan, first).select(*TOKEN))
+        # Pages whose band is empty are left out of this step, as if it were not there.
+        hits = _text(seen.join(plan.select(*PAGE), PAGE, "left_semi"))
+        ids = settle_ids(hits.where(is_id), PAGE, [F.col("part"), F.col("place")]).select(_FOUND)
+        step = written(hits.where(~is_id).unionByName(ids).withColumn("step", F.lit(band)), "step")
+        clean = step.where(is_id & ~F.col("suspicious")).select(*PAGE, "value", F.col("bbox").alias("clean_box"))
+        cleared = doubts.join(clean, [*PAGE, "value"]).where(G.boxes_overlap(F.col("bbox"), F.col("clean_box"))).groupBy(*PAGE).agg(F.count_distinct("doubt_no").alias("cleared"))
+        done = doubts.groupBy(*PAGE).agg(F.count("*").alias("doubts")).join(cleared, PAGE).where(F.col("cleared") == F.col("doubts"))
+        open_pages = written(open_pages.join(done, PAGE, "left_anti"), "open")
+        steps = step if steps is None else steps.unionByName(step)
+    last = steps.where(is_id).groupBy(*PAGE).agg(F.max("step").alias("step"))
+    return steps.join(last, [*PAGE, "step"], "left_semi").drop("step")
+
+
+def reconcile_on_demand(pages: DataFrame, read: Reader, others: Reader, auto_rotate: bool = False) -> DataFrame:
     """The detections of each page after all passes, with the rotation that was applied (0 for none).
 
-    tokens and others (faces and codes) are of the first pass. A page without text hit takes the text of the enhanced pass,
-    where that has any; one that still has none is, with auto_rotate, turned by the rotation that the probe prefers
-    and gets all that the turned page shows; last, ids are recovered from bands of the page as it then is.
-    probe_tokens, rotated_tokens, rotated_others and band_tokens have a column rotation (0 for bands of upright pages).
-    pages: width, height and optionally drawable; pages of which it is false keep what the first pass found.
-    """
-    known = pages if "drawable" in pages.columns else pages.withColumn("drawable", F.lit(True))
-    redrawn = known.where(F.coalesce("drawable", F.lit(False))).select(*PAGE, "width", "height")
-    columns = [*PAGE, "line_id", "token_seq", "text", "x", "y", "w", "h", "confidence"]
-    keep = [*PAGE, "kind", "bbox", "mask_bbox", "value", "confidence", "suspicious", "part", "place"]
+    Each pass is asked only for the pages that those before left without an answer. pages: width, height and kind, which decides
+    the path: an image without text hit is read enhanced; one that still has none is, with auto_rotate, probed in
+    three rotations and, where one wins, read anew as turned; images and pdf pages without id, or with a suspicious one, are read in
+    bands, one after the other, until each suspicious id is settled. A blob, an image that cannot be drawn, keeps the text of its first
+    pass and has neither faces nor codes.
 
-    def text(rows: DataFrame) -> DataFrame:
-        return detect_text(rows).select(*keep)
+    read(wanted, name) gives tokens of the wanted pages, which have pages' columns and rotation, and for bands also band, y0 and y1; its
+    result has the columns of tokens, for probe and turned also rotation, for bands also band, in band coordinates. name is
+    first, enhanced, probe, turned or band. others(wanted, name) gives faces and codes (name first or turned). turned pages
+    have their own width and height.
+    """
+    rows = pages.withColumn("rotation", F.lit(0))
+    image, paper = F.col("kind") == "image", F.col("kind").isin("image", "pdf")
 
     def other(rows: DataFrame) -> DataFrame:
-        return rows.select(*(F.lit(None).cast(hit.schema[c].dataType).alias(c) if c in ("part", "place") else F.col(c) for c in keep))
+        return rows.select(*(F.lit(None).cast(hit.schema[c].dataType).alias(c) if c in ("part", "place") else F.col(c) for c in _FOUND))
 
-    hit = written(text(tokens.select(*columns)), "first")
-    blank = redrawn.join(hit.select(*PAGE).distinct(), PAGE, "left_anti").select(*PAGE)
-    better = written(text(enhanced_tokens.join(blank, PAGE, "left_semi").select(*columns)), "enhanced")
+    first = written(read(rows, "first").select(*TOKEN), "first")
+    hit = written(_text(first), "hits")
+    blank = rows.where(image).join(hit.select(*PAGE).distinct(), PAGE, "left_anti").select(rows.columns)
+    enhanced = written(read(blank, "enhanced").select(*TOKEN), "enhanced")
+    better = written(_text(enhanced), "better")
     swapped = better.select(*PAGE).distinct()
-    first = tokens.select(*columns).join(swapped, PAGE, "left_anti").unionByName(enhanced_tokens.select(*columns).join(swapped, PAGE, "left_semi"))
-    found = hit.unionByName(better).unionByName(other(others))
-    size = redrawn.withColumn("rotation", F.lit(0))
+    first = first.join(swapped, PAGE, "left_anti").unionByName(enhanced.join(swapped, PAGE, "left_semi"))
+    found, size = hit.unionByName(better), rows
     if auto_rotate:
-        blank = blank.join(swapped, PAGE, "left_anti")
-        winners = written(probe_rotation(probe_tokens.join(blank, PAGE, "left_semi")).select(*PAGE, "rotation"), "winners")
-        turned = rotated_tokens.join(winners, [*PAGE, "rotation"], "left_semi").select(*columns)
-        new = text(turned).unionByName(other(rotated_others.join(winners, [*PAGE, "rotation"], "left_semi")))
-        found = found.join(winners, PAGE, "left_anti").unionByName(new)
-        first = first.join(winners, PAGE, "left_anti").unionByName(turned)
-        size = redrawn.join(winners, PAGE, "left").withColumn("rotation", F.coalesce("rotation", F.lit(0)))
-        size = size.withColumn("turned", G.rotated_dims(F.col("width"), F.col("height"), F.col("rotation"))).select(*PAGE, "turned.width", "turned.height", "rotation")
+        blank = blank.join(swapped, PAGE, "left_anti").drop("rotation")
+        probes = blank.withColumn("rotation", F.explode(F.array(*map(F.lit, ROTATIONS))))
+        winners = written(probe_rotation(written(read(probes, "probe"), "probes")).select(*PAGE, "rotation"), "winners")
+        turned = blank.join(winners, PAGE).withColumn("_to", G.rotated_dims(F.col("width"), F.col("height"), F.col("rotation")))
+        turned = turned.withColumns({"width": F.col("_to.width"), "height": F.col("_to.height")}).select(rows.columns)
+        again = written(read(turned, "turned").select(*TOKEN), "turned")
+        upright = rows.join(winners, PAGE, "left_anti").select(rows.columns)
+        found = found.join(winners, PAGE, "left_anti").unionByName(_text(again)).unionByName(other(others(turned, "turned")))
+        first, size = first.join(winners, PAGE, "left_anti").unionByName(again), upright.unionByName(turned)
+    else:
+        upright = rows
+    found = found.unionByName(other(others(upright.where(F.col("kind") != "blob"), "first")))
     found, first, size = written(found, "found"), written(first, "effective"), written(size, "size")
-    bands = band_tokens.join(size.select(*PAGE, "rotation"), [*PAGE, "rotation"], "left_semi")
-    moved = translate_band_tokens(bands, band_plan(size), first)
-    merged = merge_recovery(found, recover_from_bands(first, moved, found, size))
-    return merged.select(*keep[:-2]).join(size.select(*PAGE, "rotation"), PAGE, "left").withColumn("rotation", F.coalesce("rotation", F.lit(0)))
+    merged = merge_recovery(found, _recover_on_demand(first, found, size.where(paper), read))
+    return merged.select(*_FOUND[:-2]).join(size.select(*PAGE, "rotation"), PAGE, "left").withColumn("rotation", F.coalesce("rotation", F.lit(0)))
+
+
+def recogniser(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> Reader:
+    """A reader that has a user's recogniser read the wanted pages (see sources.tokens.with_recognizer). Its batches have a column pass beside
+    those of the wanted pages; schema: what it gives."""
+
+    def read(wanted: DataFrame, name: str) -> DataFrame:
+        return with_recognizer(wanted.withColumn("pass", F.lit(name)), load, schema)
+
+    return read
+
+
+def reconcile(
+    tokens: DataFrame, others: DataFrame, enhanced_tokens: DataFrame, probe_tokens: DataFrame, rotated_tokens: DataFrame,
+    rotated_others: DataFrame, band_tokens: DataFrame, pages: DataFrame, auto_rotate: bool = False,
+) -> DataFrame:
+    """reconcile_on_demand over passes that were all read beforehand, as tables.
+
+    probe_tokens, rotated_tokens, rotated_others and band_tokens have a column rotation (0 for bands of upright pages).
+    pages: width, height and optionally kind (image where it is not given) and drawable; pages of which that is false keep what the first pass found.
+    """
+    passes = {"first": tokens, "enhanced": enhanced_tokens, "probe": probe_tokens, "turned": rotated_tokens, "band": band_tokens}
+    keys = {"first": PAGE, "enhanced": PAGE, "probe": [*PAGE, "rotation"], "turned": [*PAGE, "rotation"], "band": [*PAGE, "rotation", "band"]}
+    known = pages if "kind" in pages.columns else pages.withColumn("kind", F.lit("image"))
+    if "drawable" in pages.columns:
+        known = known.withColumn("kind", F.when(F.coalesce("drawable", F.lit(False)), F.col("kind")).otherwise("still")).drop("drawable")
+    read = lambda wanted, name: passes[name].join(wanted.select(*keys[name]), keys[name], "left_semi")
+    faces = lambda wanted, name: (others if name == "first" else rotated_others).join(wanted.select(*keys[name]), keys[name], "left_semi")
+    return reconcile_on_demand(known, read, faces, auto_rotate)

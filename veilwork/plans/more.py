@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from veilwork.functions import text as X
 from veilwork.functions.checksum import verhoeff_valid_native
 from veilwork.operators import audit, detect, intake, passes, raster, reports, review
 from veilwork.plans.fixtures import _PAN, derived
-from veilwork.plans.queries import _COMMON, _KEPT_FACES, _PAGE, _TEXT, _faces, _greedy_sql, _valid, flat, page_detections, query, recursive, text_detections
+from veilwork.plans.queries import _COMMON, _INLINE, _KEPT_FACES, _MRZ, _OVERLAP, _PAGE, _PANS, _TEXT, _TOUCHED, _TRIPLETS, _faces, _greedy_sql, _valid, flat, page_detections, query, recursive, text_detections
 from veilwork.sources import admission, export
 from veilwork.sources import tokens as token_sources
 from veilwork.sources.staging import written_once
@@ -210,13 +213,13 @@ def fold_box_edits(spark: SparkSession, d: str) -> DataFrame:
     return flat(review.fold_box_edits(review.seed_boxes(reviewed(spark, d), pages), box_edits(spark, d), pages), "box")
 
 
-@query("""WITH s AS (SELECT doc_id, quality = 1 AS dirty, concat('own', doc_id) AS own FROM labels WHERE doc_id % 3 > 0),
-    i AS (SELECT doc_id, concat('new', doc_id) AS new, CASE WHEN doc_id % 7 = 0 THEN 'keep' WHEN doc_id % 7 = 1 THEN 'replace' END AS res FROM documents WHERE doc_id % 2 = 0),
+@query("""WITH s AS (SELECT doc_id, quality = 1 AS dirty, concat('own', doc_id) AS own FROM labels),
+    i AS (SELECT doc_id, concat('new', doc_id) AS new, CASE WHEN doc_id % 7 = 0 THEN 'keep' WHEN doc_id % 7 = 1 THEN 'replace' END AS res FROM documents),
     j AS (SELECT doc_id, coalesce(dirty, false) AS dirty, own, new, res, new IS NOT NULL AND (NOT coalesce(dirty, false) OR coalesce(res, '') = 'replace') AS takes FROM s FULL JOIN i USING (doc_id))
     SELECT doc_id, dirty AND NOT takes AS dirty, CASE WHEN takes THEN new ELSE own END AS boxes, CASE WHEN dirty AND new IS NOT NULL AND res IS NULL THEN new END AS pending FROM j""")
 def merge_handoff(spark: SparkSession, d: str) -> DataFrame:
-    sessions = derived(spark, d, "labels").where("doc_id % 3 > 0").selectExpr("doc_id", "quality = 1 AS dirty", "concat('own', doc_id) AS boxes")
-    incoming = derived(spark, d, "documents").where("doc_id % 2 = 0").selectExpr("doc_id", "concat('new', doc_id) AS boxes", "CASE WHEN doc_id % 7 = 0 THEN 'keep' WHEN doc_id % 7 = 1 THEN 'replace' END AS resolution")
+    sessions = derived(spark, d, "labels").selectExpr("doc_id", "quality = 1 AS dirty", "concat('own', doc_id) AS boxes")
+    incoming = derived(spark, d, "documents").selectExpr("doc_id", "concat('new', doc_id) AS boxes", "CASE WHEN doc_id % 7 = 0 THEN 'keep' WHEN doc_id % 7 = 1 THEN 'replace' END AS resolution")
     return review.merge_handoff(sessions, incoming)
 
 
@@ -252,20 +255,24 @@ def export_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 # Passes: the enhanced pass sees a document's tokens as those of the next, rotations and bands as shifted ones.
 
-_ENHANCED = f"""{_TEXT}, other AS (SELECT * REPLACE (doc_id + 1 AS doc_id) FROM texts),
-    picked AS (SELECT kind, {_COMMON} FROM texts UNION ALL SELECT kind, {_COMMON} FROM other o WHERE NOT EXISTS (SELECT 1 FROM texts t WHERE t.doc_id = o.doc_id AND t.page_index = o.page_index))"""
+# Of every fifth page the raw pass reads nothing; images among them get what the enhanced pass reads.
+_FAINT = "(doc_id * 4 + page_index) % 5 = 2"
+_ENHANCED = f"""{_TEXT}, clear AS (SELECT * FROM texts WHERE NOT {_FAINT}), other AS (SELECT * REPLACE (bbox_x + 1 AS bbox_x) FROM texts),
+    picked AS (SELECT kind, {_COMMON} FROM clear UNION ALL SELECT kind, {_COMMON} FROM other o WHERE NOT EXISTS (SELECT 1 FROM clear t WHERE t.doc_id = o.doc_id AND t.page_index = o.page_index)
+        AND EXISTS (SELECT 1 FROM pages_ g WHERE g.doc_id = o.doc_id AND g.page_index = o.page_index AND g.kind = 'image'))"""
 
 
-@query(f"WITH {_ENHANCED} SELECT kind, {_COMMON} FROM picked", "tokens")
+@query(f"WITH {_ENHANCED} SELECT kind, {_COMMON} FROM picked", "tokens", "pages")
 def pick_enhanced(spark: SparkSession, d: str) -> DataFrame:
     raw = text_detections(spark, d)
-    return flat(passes.pick_enhanced(raw, raw.withColumn("doc_id", F.col("doc_id") + 1)), "bbox", "mask_bbox")
+    moved = raw.withColumn("bbox", G.box(F.col("bbox.x") + 1, F.col("bbox.y"), F.col("bbox.w"), F.col("bbox.h")))
+    return flat(passes.pick_enhanced(raw.where(f"NOT {_FAINT}"), moved, derived(spark, d, "pages")), "bbox", "mask_bbox")
 
 
 def probe_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Rotated readings of a page: those by 180 see lines of even number, by 90 odd ones, by 270 all."""
+    """Rotated readings of a page: those by 180 see lines of even number, by 90 odd ones, by 270 all; passport lines too, which count for nothing."""
     even = F.when(F.col("line_id") % 2 == 0, F.array(F.lit(180), F.lit(270))).otherwise(F.array(F.lit(90), F.lit(270)))
-    return derived(spark, d, "tokens").where("line_id < 100").select("*", F.explode(even).alias("rotation"))
+    return derived(spark, d, "tokens").select("*", F.explode(even).alias("rotation"))
 
 
 _PROBE = f"""{_TEXT}, hits AS (SELECT doc_id, page_index, CASE WHEN line_id % 2 = 0 THEN 180 ELSE 90 END AS one FROM texts WHERE kind <> 'passport_mrz'),
@@ -278,12 +285,16 @@ def probe_rotation(spark: SparkSession, d: str) -> DataFrame:
     return passes.probe_rotation(probe_tokens(spark, d))
 
 
-@query(f"""WITH {_PROBE}, own AS (SELECT kind, {_COMMON} FROM texts WHERE doc_id % 2 = 0), turned AS (SELECT w.* FROM winners w WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = w.doc_id AND o.page_index = w.page_index))
+#: Hits that the upright pass misses: all of every other document, passport lines of all.
+_BLANK = "(doc_id % 2 = 1 OR kind = 'passport_mrz')"
+
+
+@query(f"""WITH {_PROBE}, own AS (SELECT kind, {_COMMON} FROM texts WHERE NOT {_BLANK}), turned AS (SELECT w.* FROM winners w WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = w.doc_id AND o.page_index = w.page_index))
     SELECT kind, {_COMMON} FROM own UNION ALL SELECT kind, {_COMMON} FROM texts JOIN turned USING (doc_id, page_index) WHERE rotation = 270""", "tokens")
 def apply_rotation(spark: SparkSession, d: str) -> DataFrame:
     text = text_detections(spark, d)
     rotated = text.withColumn("rotation", F.lit(270))
-    return flat(passes.apply_rotation(text.where("doc_id % 2 = 0"), passes.probe_rotation(probe_tokens(spark, d)), rotated), "bbox", "mask_bbox")
+    return flat(passes.apply_rotation(text.where(f"NOT {_BLANK}"), passes.probe_rotation(probe_tokens(spark, d)), rotated), "bbox", "mask_bbox")
 
 
 _PLAN = """plan AS (SELECT doc_id, page_index, band, CAST(floor(height * a) AS BIGINT) AS y0, CAST(ceil(height * b) AS BIGINT) AS y1
@@ -320,25 +331,132 @@ def _recovered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return current, written_once(spark, "recovered", d, lambda: passes.recover_from_bands(full, moved, current, pages))
 
 
-@query()
+def _settled_sql(rows: str, key: str, order: str, out: str) -> str:
+    """Ids without suspicious ones that a clean one of the same value overlaps, and of those that overlap the first."""
+    same = " AND ".join(f"a.{c} = b.{c}" for c in key.split(", "))
+    return f"""{out}_c AS (SELECT * FROM {rows} a WHERE NOT (suspicious AND EXISTS (SELECT 1 FROM {rows} b WHERE {same} AND a.value = b.value AND NOT b.suspicious AND {_OVERLAP}))),
+    {_greedy_sql(f"{out}_c", order, out, _TOUCHED, "value")}"""
+
+
+#: Text of any token table: copies of a token in several bands meet, so ids are merged in order.
+_EVERY_TEXT = f"""{_TRIPLETS}, {_INLINE}, every_id AS (SELECT *, 0 AS rank FROM triplets UNION ALL SELECT *, CASE WHEN suspicious THEN 2 ELSE 1 END FROM inlines),
+    {_greedy_sql("every_id", "rank, line_id, x, token_seq", "merged", f"a.rank > 0 AND {_TOUCHED}", "value")}, {_PANS}, {_MRZ},
+    texts AS (SELECT 'aadhaar' AS kind, 0 AS part, CAST(rank AS DOUBLE) AS rank, line_id, x, token_seq, {_COMMON} FROM merged
+        UNION ALL SELECT 'pan', 1, 0, line_id, x, token_seq, {_COMMON} FROM pans UNION ALL SELECT 'passport_mrz', 2, 0, line_id, x, token_seq, {_COMMON} FROM mrz)"""
+_TOKEN = "doc_id, page_index, line_id, token_seq, text, x, y, w, h, confidence"
+_PLACE = "part, rank, line_id, x, token_seq"
+
+
+def _texts_of(tokens: str) -> str:
+    return f"(WITH RECURSIVE tokens AS (SELECT {_TOKEN} FROM {tokens}), {_EVERY_TEXT} SELECT * FROM texts)"
+
+
+def _recovered_sql(tokens: str, moved: str, current: str, pages: str) -> str:
+    """recovered: the text of the chosen step of each page that needs bands. A step counts as a page of its own."""
+    return f"""flags AS (SELECT doc_id, page_index, coalesce(bool_or(c.kind = 'aadhaar'), false) AS has_id, coalesce(bool_or(c.kind = 'aadhaar' AND suspicious), false) AS doubt FROM {pages} LEFT JOIN {current} c USING (doc_id, page_index) GROUP BY 1, 2),
+    need AS (SELECT doc_id, page_index FROM flags WHERE NOT has_id OR doubt), three AS (SELECT unnest(range(0, 3)) AS step),
+    stepped AS (SELECT {_TOKEN.replace("page_index", "page_index * 3 + step AS page_index")} FROM (SELECT * FROM {tokens} SEMI JOIN need USING (doc_id, page_index)), three
+        UNION ALL SELECT {_TOKEN.replace("page_index", "page_index * 3 + step AS page_index")} FROM (SELECT * FROM {moved} SEMI JOIN need USING (doc_id, page_index)) JOIN three ON band <= step),
+    step_text AS (SELECT * FROM {_texts_of("stepped")}), step_ids AS (SELECT * FROM step_text WHERE kind = 'aadhaar'),
+    {_settled_sql("step_ids", "doc_id, page_index", "rank, line_id, x, token_seq", "step_kept")},
+    doubts AS (SELECT *, row_number() OVER () AS doubt_no FROM {current} WHERE kind = 'aadhaar' AND suspicious),
+    cleared AS (SELECT a.doc_id, a.page_index, b.page_index % 3 AS step, count(DISTINCT doubt_no) AS n FROM doubts a JOIN step_kept b ON b.doc_id = a.doc_id AND b.page_index // 3 = a.page_index AND b.value = a.value AND NOT b.suspicious AND {_OVERLAP} GROUP BY ALL),
+    chosen AS (SELECT i.doc_id, i.page_index, coalesce(min(CASE WHEN n = doubts THEN step END), max(step)) AS step
+        FROM (SELECT DISTINCT doc_id, page_index // 3 AS page_index, page_index % 3 AS step FROM step_kept) i LEFT JOIN cleared USING (doc_id, page_index, step)
+        LEFT JOIN (SELECT doc_id, page_index, count(*) AS doubts FROM doubts GROUP BY 1, 2) USING (doc_id, page_index) GROUP BY 1, 2),
+    recovered AS (SELECT * REPLACE (page_index // 3 AS page_index) FROM (SELECT kind, {_PLACE}, {_COMMON} FROM step_kept UNION ALL SELECT kind, {_PLACE}, {_COMMON} FROM step_text WHERE kind <> 'aadhaar') r
+        WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.doc_id = r.doc_id AND c.page_index = r.page_index // 3 AND c.step = r.page_index % 3))"""
+
+
+def _merged_sql(current: str) -> str:
+    """after: current detections (with place) and recovered ones."""
+    return f"""had AS (SELECT DISTINCT doc_id, page_index FROM {current} WHERE kind = 'aadhaar'), fresh AS (SELECT DISTINCT doc_id, page_index FROM recovered ANTI JOIN had USING (doc_id, page_index)),
+    both_ids AS (SELECT 0 AS late, kind, {_PLACE}, {_COMMON} FROM {current} WHERE kind = 'aadhaar' UNION ALL SELECT 1, kind, {_PLACE}, {_COMMON} FROM (SELECT * FROM recovered SEMI JOIN had USING (doc_id, page_index)) WHERE kind = 'aadhaar'),
+    {_settled_sql("both_ids", "doc_id, page_index", "late, part, rank, line_id, x, token_seq", "kept_ids")},
+    after AS (SELECT kind, {_COMMON} FROM kept_ids UNION ALL SELECT kind, {_COMMON} FROM (SELECT * FROM recovered ANTI JOIN had USING (doc_id, page_index))
+        UNION ALL SELECT kind, {_COMMON} FROM {current} t WHERE kind <> 'aadhaar' AND NOT (kind IN ('pan', 'passport_mrz') AND EXISTS (SELECT 1 FROM fresh f WHERE f.doc_id = t.doc_id AND f.page_index = t.page_index)))"""
+
+
+_BANDED = f"{_TEXT}, {_MOVED}, {_recovered_sql('tokens', 'moved', 'texts', 'pages_')}"
+
+
+@recursive
+@query(f"WITH {_BANDED} SELECT kind, {_COMMON} FROM recovered", "tokens", "pages")
 def recover_bands(spark: SparkSession, d: str) -> DataFrame:
     return _common(_recovered(spark, d)[1])
 
 
-@query()
+@recursive
+@query(f"WITH {_BANDED}, {_merged_sql('texts')} SELECT kind, {_COMMON} FROM after", "tokens", "pages")
 def merge_recovery(spark: SparkSession, d: str) -> DataFrame:
     return _common(passes.merge_recovery(*_recovered(spark, d)))
 
 
-@query()
+#: Which passes read a page: all (0 and 6 to 8), none but the enhanced one and bands (1), one rotation (2 to 4) or bands only (5).
+_CLASS = "(doc_id * 4 + page_index) % 9"
+_PATH = "CASE WHEN doc_id % 7 = 5 THEN 'blob' ELSE kind END"
+_TURN = {2: 180, 3: 90, 4: 270}
+_READ = [c for c in passes.TOKEN if c not in detect.PAGE]
+
+
+def _page_reader() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A recogniser for pages that carry what is on them: it reads each as the pass allows."""
+
+    def one(r: dict) -> list[dict]:
+        kind, turn = (r["doc_id"] * 4 + r["page_index"]) % 9, r["rotation"]
+        legible = {"first": kind in (0, 6, 7, 8), "enhanced": kind in (0, 1, 6, 7, 8), "band": turn > 0 or kind not in _TURN}.get(r["pass"], _TURN.get(kind) == turn)
+        # Upside down, the first lines can be read of pages that lie on their side.
+        half = r["pass"] == "probe" and kind == 4 and turn == 180
+        found = [dict(zip(_READ, t.values() if isinstance(t, dict) else t, strict=True)) for t in r["shown"] if legible or (half and (t["line_id"] if isinstance(t, dict) else t[0]) < 2)]
+        if r["pass"] == "band":
+            found = [t | {"y": t["y"] - r["y0"], "w": 120.0 if t["w"] == 730 else t["w"], "h": 20.0} for t in found if t["y"] >= r["y0"] and t["y"] + t["h"] <= r["y1"]]
+        return [{"doc_id": r["doc_id"], "page_index": r["page_index"], "rotation": turn, "band": int(r.get("band", 0)), **t} for t in found]
+
+    def read(batch: pd.DataFrame) -> pd.DataFrame:
+        columns = [*detect.PAGE, "rotation", "band", *_READ]
+        return pd.DataFrame([t for r in batch.to_dict("records") for t in one(r)], columns=columns)
+
+    return read
+
+
+_PASSES = f"""shown AS (SELECT t.*, {_CLASS} AS cls, {_PATH} AS path, width, height FROM tokens t JOIN pages_ USING (doc_id, page_index)),
+    firsts AS (SELECT * FROM shown WHERE cls IN (0, 6, 7, 8)), first_text AS (SELECT * FROM {_texts_of("firsts")}),
+    enhanced AS (SELECT * FROM shown ANTI JOIN first_text USING (doc_id, page_index) WHERE path = 'image' AND cls IN (0, 1, 6, 7, 8)), enhanced_text AS (SELECT * FROM {_texts_of("enhanced")}),
+    blank AS (SELECT * FROM shown ANTI JOIN first_text USING (doc_id, page_index) ANTI JOIN enhanced_text USING (doc_id, page_index) WHERE path = 'image'),
+    probes AS (SELECT *, CASE cls WHEN 2 THEN 180 WHEN 3 THEN 90 ELSE 270 END AS rotation FROM blank WHERE cls IN (2, 3, 4) UNION ALL SELECT *, 180 FROM blank WHERE cls = 4 AND line_id < 2),
+    probed AS (SELECT * REPLACE (page_index * 1000 + rotation AS page_index) FROM probes), probe_text AS (SELECT * FROM {_texts_of("probed")}),
+    winner AS (SELECT doc_id, page_index // 1000 AS page_index, page_index % 1000 AS rotation FROM probe_text WHERE kind <> 'passport_mrz' GROUP BY doc_id, probe_text.page_index
+        QUALIFY row_number() OVER (PARTITION BY doc_id, page_index // 1000 ORDER BY count(*) DESC, CASE page_index % 1000 WHEN 180 THEN 0 WHEN 90 THEN 1 ELSE 2 END) = 1),
+    turned AS (SELECT b.* FROM blank b JOIN winner w ON w.doc_id = b.doc_id AND w.page_index = b.page_index AND w.rotation = CASE cls WHEN 2 THEN 180 WHEN 3 THEN 90 WHEN 4 THEN 270 END), turned_text AS (SELECT * FROM {_texts_of("turned")}),
+    effective AS (SELECT * FROM firsts ANTI JOIN enhanced_text USING (doc_id, page_index) ANTI JOIN winner USING (doc_id, page_index) UNION ALL SELECT * FROM enhanced SEMI JOIN enhanced_text USING (doc_id, page_index) UNION ALL SELECT * FROM turned),
+    sized AS (SELECT doc_id, page_index, {_PATH} AS path, {_CLASS} AS cls, coalesce(rotation, 0) AS rotation, CASE WHEN rotation IN (90, 270) THEN width ELSE height END AS height FROM pages_ LEFT JOIN winner USING (doc_id, page_index)),
+    others AS (SELECT kind, part, rank, o2 AS line_id, o3 AS x, o4 AS token_seq, {_COMMON.replace("bbox_x", "bbox_x + rotation AS bbox_x", 1).replace("mask_bbox_x", "mask_bbox_x + rotation AS mask_bbox_x", 1)} FROM every JOIN sized USING (doc_id, page_index) WHERE part > 2 AND path <> 'blob'),
+    current AS (SELECT kind, {_PLACE}, {_COMMON} FROM first_text UNION ALL SELECT kind, {_PLACE}, {_COMMON} FROM enhanced_text UNION ALL SELECT kind, {_PLACE}, {_COMMON} FROM turned_text UNION ALL SELECT kind, {_PLACE}, {_COMMON} FROM others),
+    band_rows AS (SELECT doc_id, page_index, band, rotation, cls, CAST(floor(height * a) AS BIGINT) AS y0, CAST(ceil(height * b) AS BIGINT) AS y1
+        FROM sized, (VALUES (0, 0.3::DOUBLE, 0.7::DOUBLE), (1, 0.0::DOUBLE, 0.5::DOUBLE), (2, 0.5::DOUBLE, 1.0::DOUBLE)) AS v(band, a, b) WHERE path <> 'blob'),
+    last_line AS (SELECT doc_id, page_index, max(line_id) AS last FROM effective GROUP BY 1, 2),
+    moved AS (SELECT doc_id, page_index, line_id + coalesce(last, -1) + 1000 * (band + 1) AS line_id, token_seq, text, x, y, CASE WHEN w = 730 THEN 120 ELSE w END AS w, CAST(20 AS DOUBLE) AS h, confidence, band
+        FROM tokens JOIN band_rows USING (doc_id, page_index) LEFT JOIN last_line USING (doc_id, page_index) WHERE y >= y0 AND y + h <= y1 AND (rotation > 0 OR cls NOT IN (2, 3, 4))),
+    papers AS (SELECT * FROM sized WHERE path <> 'blob'), {_recovered_sql("effective", "moved", "current", "papers")}, {_merged_sql("current")}"""
+
+
+@recursive
+@query(f"WITH {_PAGE}, {_PASSES} SELECT kind, {_COMMON}, CAST(rotation AS INT) AS rotation FROM after JOIN sized USING (doc_id, page_index)", "tokens", "faces", "codes", "pages")
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """All passes over all pages: the enhanced one sees a document's tokens as those of the next, turned ones as those of the one after."""
-    tokens, pages = derived(spark, d, "tokens"), derived(spark, d, "pages")
-    others = page_detections(spark, d).where(~F.col("kind").isin(*X.TEXT_KINDS))
-    shifted = lambda df, n: df.withColumn("doc_id", F.col("doc_id") + n)
-    turned = lambda df: df.withColumn("rotation", F.explode(F.array(*map(F.lit, passes.ROTATIONS))))
-    bands = band_tokens(spark, d).withColumn("rotation", F.explode(F.array(*map(F.lit, (0, *passes.ROTATIONS)))))
-    found = passes.reconcile(tokens, others, shifted(tokens, 1), shifted(probe_tokens(spark, d), 2), turned(shifted(tokens, 2)), turned(shifted(others, 2)), bands, pages, auto_rotate=True)
+    """All paths over all pages, read by a recogniser that is asked only for what each pass leaves: some pages are read at first, some enhanced, some turned, some in bands, some not at all."""
+    token = F.struct(*_READ)
+    shown = derived(spark, d, "tokens").groupBy(*detect.PAGE).agg(F.collect_list(token).alias("shown"))
+    pages = derived(spark, d, "pages").select(*detect.PAGE, "width", "height", F.expr(_PATH).alias("kind")).join(shown, detect.PAGE, "left")
+    pages = written_once(spark, "shown", d, lambda: pages.withColumn("shown", F.coalesce("shown", F.array().cast(shown.schema["shown"].dataType))))
+    boxes = page_detections(spark, d).where(~F.col("kind").isin(*X.TEXT_KINDS))
+
+    def others(wanted: DataFrame, name: str) -> DataFrame:
+        moved = lambda b: F.struct((F.col(f"{b}.x") + F.col("rotation")).alias("x"), *(F.col(f"{b}.{c}").alias(c) for c in "ywh"))
+        return boxes.join(wanted.select(*detect.PAGE, "rotation"), detect.PAGE).withColumns({b: moved(b) for b in ("bbox", "mask_bbox")}).drop("rotation")
+
+    kinds = {f.name: f.dataType.simpleString() for f in derived(spark, d, "tokens").schema.fields}
+    schema = ", ".join(["doc_id long", "page_index long", "rotation int", "band int", *(f"{c} {kinds[c]}" for c in _READ)])
+    found = passes.reconcile_on_demand(pages, passes.recogniser(_page_reader, schema), others, auto_rotate=True)
     return flat(found.select(*detect.DETECTION, "rotation"), "bbox", "mask_bbox")
 
 
@@ -411,13 +529,20 @@ def enhance(spark: SparkSession, d: str) -> DataFrame:
     return raster.enhance(derived(spark, d, "pixels"), threshold=True).select("page_id", "px", "py", F.col("r").alias("v"))
 
 
-_CELLS = f"""{_GRAY}, c AS (SELECT page_id, CAST(floor(py / 8) AS BIGINT) AS row, CAST(floor(px / 8) AS BIGINT) AS col, stddev_pop(v) >= 40 AS textured, avg(CASE WHEN v <= 32 OR v >= 223 THEN 1.0 ELSE 0.0 END) >= 0.55 AS bimodal
-    FROM gray GROUP BY 1, 2, 3)"""
+#: Boxes of text on pixel pages, one for every 192 order keys.
+_SPOTS = """SELECT CAST(floor(o_orderkey / 2304) AS BIGINT) AS page_id, CAST(o_orderkey * 7 % 43 AS DOUBLE) + 0.5 AS x, CAST(o_orderkey * 5 % 41 AS DOUBLE) AS y, CAST(3.5 AS DOUBLE) AS w, CAST(2 AS DOUBLE) AS h
+    FROM orders WHERE o_orderkey % 192 < 4"""
+_CELLS = f"""{_GRAY}, spots AS ({_SPOTS}),
+    size AS (SELECT page_id, max(px) + 1 AS width, max(py) + 1 AS height, greatest(8, CAST(floor(greatest(max(px), max(py)) + 1) AS BIGINT) // 24) AS cell FROM gray GROUP BY 1),
+    c AS (SELECT page_id, CAST(py // cell AS BIGINT) AS row, CAST(px // cell AS BIGINT) AS col, any_value(cell) AS cell, stddev_pop(v) >= 40 AS textured, avg(CASE WHEN v <= 32 OR v >= 223 THEN 1.0 ELSE 0.0 END) >= 0.55 AS bimodal
+        FROM gray JOIN size USING (page_id) WHERE height // cell >= 2 AND width // cell >= 2 AND py // cell < height // cell AND px // cell < width // cell GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {_CELLS} SELECT * FROM c WHERE page_id IN (SELECT page_id FROM pixels GROUP BY 1 HAVING max(px) = 47 AND max(py) = 47)", "pixels")
+@query(f"""WITH {_CELLS} SELECT page_id, row, col, textured, bimodal, EXISTS (SELECT 1 FROM spots s WHERE s.page_id = c.page_id
+    AND x < (col + 1) * cell AND x + w >= col * cell AND y < (row + 1) * cell AND y + h >= row * cell) AS has_text FROM c""", "pixels")
 def cell_stats(spark: SparkSession, d: str) -> DataFrame:
-    return raster.cell_stats(derived(spark, d, "pixels")).select("page_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "textured", "bimodal")
+    spots = spark.sql(_SPOTS.replace("FROM orders", "FROM {orders}"), orders=derived(spark, d, "orders"))
+    return raster.cell_stats(derived(spark, d, "pixels"), spots).select("page_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "textured", "bimodal", "has_text")
 
 
 #: Cells of a page whose texture follows from order keys: blocks of code-like cells between plain ones.
@@ -475,9 +600,11 @@ def paint_masks(spark: SparkSession, d: str) -> DataFrame:
     return raster.paint_masks(derived(spark, d, "pixels"), masks).select("page_id", "px", "py", "r", "g")
 
 
-@query("SELECT p.page_id, my - py AS px, px AS py, r FROM pixels p JOIN (SELECT page_id, max(py) AS my FROM pixels GROUP BY 1) m USING (page_id)", "pixels")
+@query("""WITH m AS (SELECT page_id, max(px) AS mx, max(py) AS my FROM pixels GROUP BY 1), p AS (SELECT * FROM pixels JOIN m USING (page_id))
+    SELECT 90 AS rotation, page_id, my - py AS px, px AS py, r FROM p UNION ALL SELECT 180, page_id, mx - px, my - py, r FROM p UNION ALL SELECT 270, page_id, py, mx - px, r FROM p""", "pixels")
 def rotate_pixels(spark: SparkSession, d: str) -> DataFrame:
-    return raster.rotate_pixels(derived(spark, d, "pixels"), 90).select("page_id", "px", "py", "r")
+    turned = [raster.rotate_pixels(derived(spark, d, "pixels"), by).select(F.lit(by).alias("rotation"), "page_id", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), "r") for by in (90, 180, 270)]
+    return turned[0].unionByName(turned[1]).unionByName(turned[2])
 
 
 @query("SELECT page_id, px, py - 10 AS py, r FROM pixels WHERE py >= 10 AND py < 30", "pixels")
@@ -554,7 +681,7 @@ def intake_status(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 604800 SECONDS > (SELECT max(ts) FROM events)")
 def retention(spark: SparkSession, d: str) -> DataFrame:
     events = derived(spark, d, "events")
-    return intake.retention(events, F.lit(events.agg(F.max("ts")).first()[0]), 604_800).select("event_id")
+    return intake.retention(events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("now")))), F.col("now"), 604_800).select("event_id")
 
 
 @query("""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script(?:\\s[^>]*)?>(.*?)</script>', 0)) AS tag FROM pages),

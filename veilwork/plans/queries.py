@@ -149,15 +149,21 @@ def detect_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Greedy suppression keeps a box unless one kept before clashes; a recursive query takes the boxes of a page in order.
-def _greedy_sql(rows: str, order: str, out: str) -> str:
-    """rows has doc_id, page_index and bbox columns; the kept ones of each page, by order, are in out."""
-    iou = """(greatest(0, least(a.bbox_x + a.bbox_w, k.x + k.w) - greatest(a.bbox_x, k.x)) * greatest(0, least(a.bbox_y + a.bbox_h, k.y + k.h) - greatest(a.bbox_y, k.y)))"""
-    return f"""{out}_n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY {order}) AS no FROM {rows}),
-    {out}_s AS (SELECT doc_id AS d, page_index AS p, 0 AS no, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) AS kept, true AS keep FROM {out}_n GROUP BY 1, 2
-        UNION ALL SELECT s.d, s.p, a.no, CASE WHEN c.clash THEN s.kept ELSE list_append(s.kept, {{'x': a.bbox_x, 'y': a.bbox_y, 'w': a.bbox_w, 'h': a.bbox_h}}) END, NOT c.clash
-        FROM {out}_s s JOIN {out}_n a ON a.doc_id = s.d AND a.page_index = s.p AND a.no = s.no + 1,
-        LATERAL (SELECT coalesce(bool_or({iou} > 0 AND {iou} / (a.bbox_w * a.bbox_h + k.w * k.h - {iou}) > 0.3), false) AS clash FROM (SELECT unnest(s.kept) AS k) AS u) AS c),
-    {out} AS (SELECT n.* FROM {out}_n n JOIN {out}_s s ON n.doc_id = s.d AND n.page_index = s.p AND n.no = s.no WHERE s.keep)"""
+_SHARED = """(greatest(0, least(a.bbox_x + a.bbox_w, k.x + k.w) - greatest(a.bbox_x, k.x)) * greatest(0, least(a.bbox_y + a.bbox_h, k.y + k.h) - greatest(a.bbox_y, k.y)))"""
+_SIMILAR = f"{_SHARED} > 0 AND {_SHARED} / (a.bbox_w * a.bbox_h + k.w * k.h - {_SHARED}) > 0.3"
+_TOUCHED = "a.bbox_x < k.x + k.w AND k.x < a.bbox_x + a.bbox_w AND a.bbox_y < k.y + k.h AND k.y < a.bbox_y + a.bbox_h"
+
+
+def _greedy_sql(rows: str, order: str, out: str, clash: str = _SIMILAR, more: str = "") -> str:
+    """rows has doc_id, page_index (and the column `more`) and bbox columns; the kept ones of each key, by order, are in out. clash compares a box a with a kept one k."""
+    key = f"doc_id, page_index{more and ', ' + more}"
+    same = " AND ".join(f"{{0}}.{c} = {{1}}.{c}" for c in key.split(", ")).format
+    return f"""{out}_n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS no FROM {rows}),
+    {out}_s AS (SELECT {key}, 0 AS no, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) AS kept, true AS keep FROM {out}_n GROUP BY ALL
+        UNION ALL SELECT {", ".join("s." + c for c in key.split(", "))}, a.no, CASE WHEN c.clash THEN s.kept ELSE list_append(s.kept, {{'x': a.bbox_x, 'y': a.bbox_y, 'w': a.bbox_w, 'h': a.bbox_h}}) END, NOT c.clash
+        FROM {out}_s s JOIN {out}_n a ON {same("a", "s")} AND a.no = s.no + 1,
+        LATERAL (SELECT coalesce(bool_or({clash}), false) AS clash FROM (SELECT unnest(s.kept) AS k) AS u) AS c),
+    {out} AS (SELECT n.* FROM {out}_n n JOIN {out}_s s ON {same("n", "s")} AND n.no = s.no WHERE s.keep)"""
 
 
 _FACES = """face_boxes AS (SELECT doc_id, page_index, model, score AS confidence, greatest(0, floor(origin_x + 0.5)) AS bbox_x, greatest(0, floor(origin_y + 0.5)) AS bbox_y,

@@ -41,13 +41,31 @@ def tokenize_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
 
 
-def with_recognizer(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Rows from a user's recogniser: load() runs once in each task, what it returns takes and gives batches."""
+def with_recognizer(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, attempts: int = 2) -> DataFrame:
+    """Rows from a user's recogniser: load() runs once in each task, what it returns takes and gives batches.
+
+    A start that fails is tried again, `attempts` times in all, before the task fails. Where what load() returns has a method close, it is
+    called when the task ends, however it ends. Tasks without rows start none.
+    """
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        for left in reversed(range(attempts)):
+            try:
+                return load()
+            except Exception:
+                if not left:
+                    raise
+        raise ValueError("a recogniser needs one attempt at least")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recognise = None
-        for batch in batches:
-            recognise = recognise or load()
-            yield recognise(batch)
+        try:
+            for batch in batches:
+                if len(batch):
+                    recognise = recognise or start()
+                    yield recognise(batch)
+        finally:
+            if close := getattr(recognise, "close", None):
+                close()
 
     return df.mapInPandas(run, schema)
