@@ -40,23 +40,31 @@ def rate_limit(events: DataFrame, key: str = "ip", ts: str = "ts", order: str =
     return events.withColumn("_window", window).withColumn("limited", rank > limit).drop("_window")
 
 
-def intake_status(events: DataFrame, origins: list[str], ttl: int | None = DEPLOYED_TTL) -> DataFrame:
-    """Add status, by the first rule that fails; 202 where none does.
-
-    The limiter counts only requests that reach it, so the earlier rules are settled before it.
-    """
+def early_status(origins: list[str], ttl: int | None = DEPLOYED_TTL) -> Column:
+    """The status of a request that an earlier rule than the limiter refuses or answers, else null."""
     typed = F.lower(trim(F.element_at(F.split("content_type", ";"), 1)))
     configured = ttl is not None and TTL[0] <= ttl <= TTL[1]
-    early = (
+    return (
         F.when(~F.coalesce(F.col("origin").isin(*origins), F.lit(False)), 403).when(F.col("method") == "OPTIONS", 204)
         .when(F.coalesce(F.col("method"), F.lit("")) != "POST", 405).when(F.coalesce(typed, F.lit("")) != "application/json", 415)
         .when(F.coalesce(F.col("ip"), F.lit("")) == "", 503).when(F.lit(not configured), 503)
     )
-    rows = events.withColumn("early", early)
+
+
+def late_status(limited: Column) -> Column:
+    """The status of a request that reached the limiter."""
+    return F.when(limited, 429).when(F.octet_length("body") > BODY_BYTES, 413).when(parsed(F.col("body")).isNull(), 400).otherwise(202)
+
+
+def intake_status(events: DataFrame, origins: list[str], ttl: int | None = DEPLOYED_TTL) -> DataFrame:
+    """Add status, by the first rule that fails; 202 where none does.
+
+    The limiter counts only requests that reach it, so the earlier rules are settled before it.
+    """
+    rows = events.withColumn("early", early_status(origins, ttl))
     through = rate_limit(rows.where(F.col("early").isNull()))
-    late = F.when(F.col("limited"), 429).when(F.octet_length("body") > BODY_BYTES, 413).when(parsed(F.col("body")).isNull(), 400).otherwise(202)
     done = rows.where(F.col("early").isNotNull()).withColumn("status", F.col("early")).drop("early")
-    return done.unionByName(through.withColumn("status", late).drop("early", "limited"))
+    return done.unionByName(through.withColumn("status", late_status(F.col("limited"))).drop("early", "limited"))
 
 
 def retention(records: DataFrame, as_of: Column, ttl: int = DEPLOYED_TTL, ts: str = "ts") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,31 @@ def fold_box_edits(seeds: DataFrame, edits: DataFrame, pages: DataFrame) -> Data
     key = [*PAGE, "box_id"]
     listed = edits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast(t).alias(c) for c, t in (x.split(":") for x in EDIT[7:-1].split(",")))))).alias("edits"))
     rows = listed.join(seeds.select(*key, "box"), key, "full_outer").join(pages.select(*PAGE, "width", "height"), PAGE)
-    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    none = F.array().cast(f"array<{EDIT}>")
+    folded = folded_box(F.col("box"), F.coalesce("edits", none), F.col("width"), F.col("height"))
+    return rows.select(*key, folded.alias("box")).where(F.col("box").isNotNull())
+
+
+def folded_box(seed: Column, edits: Column, width: Column, height: Column) -> Column:
+    """A box, or null for none, after edits (an array of EDIT, in order) on a page of a size."""
+    return F.aggregate(edits, seed.cast(G.BOX), _edit_step(width, height))
+
+
+def last_box(seed: Column, edits: Column, width: Column, height: Column) -> Column:
+    """As folded_box, but of a box that was deleted the last place that it had."""
+    step, both = _edit_step(width, height), f"struct<box:{G.BOX},last:{G.BOX}>"
+
+    def after(acc: Column, e: Column) -> Column:
+        new = step(acc["box"], e).cast(G.BOX)
+        return F.struct(new.alias("box"), F.coalesce(new, acc["last"]).alias("last")).cast(both)
+
+    begin = F.struct(seed.cast(G.BOX).alias("box"), seed.cast(G.BOX).alias("last")).cast(both)
+    return F.aggregate(edits, begin, after)["last"]
+
+
+def _edit_step(width: Column, height: Column) -> Callable[[Column, Column], Column]:
+    """The box after one edit."""
+    w, h = width.cast("double"), height.cast("double")
 
     def step(b: Column, e: Column) -> Column:
         drawn = G.clamp_draw(G.normalize_box(e["x1"], e["y1"], e["x2"], e["y2"]), w, h)
@@ -77,9 +103,7 @@ def fold_box_edits(seeds: DataFrame, edits: DataFrame, pages: DataFrame) -> Data
             .when((e["op"] == "resize") & there, sized.cast(G.BOX)).when(e["op"] == "delete", none).otherwise(b)
         )
 
-    none = F.array().cast(f"array<{EDIT}>")
-    folded = F.aggregate(F.coalesce("edits", none), F.col("box").cast(G.BOX), step)
-    return rows.select(*key, folded.alias("box")).where(F.col("box").isNotNull())
+    return step
 
 
 def merge_handoff(sessions: DataFrame, incoming: DataFrame) -> DataFrame:

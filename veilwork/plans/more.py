@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,7 +17,8 @@ from veilwork.plans.fixtures import _PAN, derived
 from veilwork.plans.queries import _COMMON, _INLINE, _KEPT_FACES, _MRZ, _OVERLAP, _PAGE, _PANS, _TEXT, _TOUCHED, _TRIPLETS, _faces, _greedy_sql, _valid, flat, page_detections, query, recursive, text_detections
 from veilwork.sources import admission, export
 from veilwork.sources import tokens as token_sources
-from veilwork.sources.staging import written_once
+from veilwork.sources.staging import shared_folder, written_once
+from veilwork.streaming import intake as streams
 
 # Sources and admission
 
@@ -678,6 +680,37 @@ def intake_status(spark: SparkSession, d: str) -> DataFrame:
     return intake.intake_status(derived(spark, d, "intake"), ["https://site.example"]).select("event_id", "status")
 
 
+def _streamed(spark: SparkSession, d: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the intake table has given out when it has read all of it. It runs in a session of its own, which has the state store that it needs."""
+    events = written_once(spark, "intake-events", d, lambda: derived(spark, d, "intake"))
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", streams.PROVIDER)
+
+    def run() -> DataFrame:
+        out = f"{shared_folder(spark)}/veilwork-stream-{uuid.uuid4().hex}"
+        source = own.readStream.schema(events.schema).parquet(events.inputFiles()[0].rsplit("/", 1)[0])
+        job = build(source).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        job.awaitTermination()
+        return spark.read.parquet(f"{out}/rows")
+
+    return written_once(spark, f"streamed-{name}", d, run)
+
+
+@query(f"""SELECT event_id, limited FROM (SELECT event_id, {_LIMITED} AS limited, time_bucket(INTERVAL 60 SECONDS, ts) + INTERVAL 60 SECONDS AS closes FROM intake)
+    WHERE limited OR closes <= (SELECT max(ts) - INTERVAL 60 SECONDS FROM intake)""", "intake")
+def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The limiter as a stream: every limited event, and the others of windows that the watermark has closed."""
+    return _streamed(spark, d, "rate-limit", streams.stream_rate_limit).select("event_id", "limited")
+
+
+@query("SELECT event_id FROM intake WHERE ts + INTERVAL 604800 SECONDS <= (SELECT max(ts) FROM intake)", "intake")
+def stream_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """The records whose time to live the watermark has passed."""
+    return _streamed(spark, d, "expiry", lambda events: streams.stream_expiry(events, "event_id", ttl=604_800)).select("event_id")
+
+
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 604800 SECONDS > (SELECT max(ts) FROM events)")
 def retention(spark: SparkSession, d: str) -> DataFrame:
     events = derived(spark, d, "events")

@@ -1,16 +1,29 @@
-"""Structured Streaming twins of the intake and review operators."""
+"""Structured Streaming twins of the intake and review operators.
+
+Operators with state of their own need the RocksDB state store: set spark.sql.streaming.stateStore.providerClass to PROVIDER in the
+session that starts the query. What a key keeps is bounded: as many events as the limit for a window, one time for a record, and
+the edits of a box, which a reviewer's work bounds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from veilwork.functions import geometry as G
+from veilwork.operators.detect import PAGE
+from veilwork.operators.intake import DEPLOYED_TTL, RATE, WINDOW_SECONDS, early_status, late_status, parsed
+from veilwork.operators.review import EDIT, folded_box, last_box
 
-from veilwork.operators.intake import DEPLOYED_TTL, RATE, WINDOW_SECONDS
-from veilwork.operators.review import LEAST_DRAWN
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Times survive the way through JSON to the microsecond.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def stream_rate_counts(events: DataFrame, key: str = "ip", ts: str = "ts", delay: str = "1 minute", seconds: int = WINDOW_SECONDS, limit: int = RATE) -> DataFrame:
@@ -20,39 +33,185 @@ def stream_rate_counts(events: DataFrame, key: str = "ip", ts: str = "ts", delay
     return counts.select(key, F.col("window.start").alias("window_start"), "events", F.greatest(F.lit(0), F.col("events") - limit).alias("limited"))
 
 
+class _Limiter(StatefulProcessor):
+    """The first `limit` events of each open window of a key. An event that is behind so many others is limited whatever comes later, so it is given out
+    at once; those that are kept are given out when the watermark closes their window."""
+
+    def __init__(self, seconds: int, limit: int):
+        self.seconds, self.limit = seconds, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.windows = handle, handle.getMapState("windows", "start long", "kept string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        closed, out, step = timerValues.getCurrentWatermarkInMs(), [], self.seconds * 1_000_000
+        fresh: dict[int, list] = {}
+        for batch in rows:
+            for micros, order, event in zip(batch["micros"], batch["place"], batch["event"], strict=True):
+                start = int(micros) // step * step
+                # What comes when its window has been closed is no longer decided.
+                if (start + step) // 1000 > closed:
+                    fresh.setdefault(start, []).append([int(micros), order, event])
+        for start, events in fresh.items():
+            at = (start,)
+            kept = json.loads(self.windows.getValue(at)[0]) if self.windows.containsKey(at) else []
+            if not kept:
+                self.handle.registerTimer((start + step) // 1000)
+            every = sorted(kept + events)
+            out += every[self.limit :]
+            self.windows.updateValue(at, (json.dumps(every[: self.limit]),))
+        yield self._said(out, True)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.seconds * 1_000_000,)
+        if self.windows.containsKey(at):
+            kept = json.loads(self.windows.getValue(at)[0])
+            self.windows.removeKey(at)
+            yield self._said(kept, False)
+
+    @staticmethod
+    def _said(events: list, limited: bool) -> pd.DataFrame:
+        return pd.DataFrame({"event": pd.Series([e[2] for e in events], dtype=object), "limited": pd.Series([limited] * len(events), dtype=bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit(events: DataFrame, key: str = "ip", ts: str = "ts", order: str = "event_id", limit: int = RATE, seconds: int = WINDOW_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """Add limited to each event, once: as intake.rate_limit over all events that came before their window was closed.
+
+    A window is closed when the watermark, the latest time seen less `delay`, has passed its end; events behind the watermark are left out. Repeated
+    events count each. Limited events are given out at once, the others when their window closes.
+    """
+    schema = events.schema
+    time = F.col(ts).cast("timestamp")
+    packed = events.select(
+        F.col(key).alias("holder"), time.alias("at"), F.unix_micros(time).alias("micros"), F.col(order).alias("place"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in schema.names)), _TIMES).alias("event")
+    )
+    decided = packed.withWatermark("at", delay).groupBy("holder").transformWithStateInPandas(_Limiter(seconds, limit), "event string, limited boolean", "append", "EventTime")
+    return decided.select(F.from_json("event", schema, _TIMES).alias("event"), "limited").select("event.*", "limited")
+
+
+class _Keeper(StatefulProcessor):
+    """The time of receipt of a record, until its time to live is over."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.received = handle, handle.getValueState("received", "ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.received.get()[0] if self.received.exists() else None
+        last = max(int(batch["ms"].max()) for batch in rows)
+        if held is None or last > held:
+            if held is not None:
+                self.handle.deleteTimer(held + self.ttl)
+            self.received.update((last,))
+            self.handle.registerTimer(last + self.ttl)
+        yield self._gone([], [])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.received.exists():
+            yield self._gone([str(key[0])], [self.received.get()[0]])
+            self.received.clear()
+
+    @staticmethod
+    def _gone(ids: list[str], times: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "ms": pd.Series(times, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_expiry(records: DataFrame, key: str, ts: str = "ts", ttl: int = DEPLOYED_TTL, delay: str = "0 seconds") -> DataFrame:
+    """A row for each record when the watermark has passed its end: its key, received and expired, times to the millisecond.
+
+    What was stored and is not given out is what intake.retention keeps at the watermark. A record that is written again lives from its latest
+    receipt on.
+    """
+    kind = records.schema[key].dataType
+    time = F.col(ts).cast("timestamp")
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("holder"), time.alias("at"), F.unix_millis(time).alias("ms")).withWatermark("at", delay)
+    gone = rows.groupBy("holder").transformWithStateInPandas(_Keeper(ttl), "id string, ms long", "append", "EventTime")
+    return gone.select(F.col("id").cast(kind).alias(key), F.timestamp_millis("ms").alias("received"), F.timestamp_millis(F.col("ms") + ttl * 1000).alias("expired"))
+
+
 def stream_retention(events: DataFrame, key: str, ts: str = "ts", ttl: int = DEPLOYED_TTL) -> DataFrame:
     """One record per key while its time to live lasts: the watermark drops the state of expired ones."""
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", f"{ttl} seconds").dropDuplicatesWithinWatermark([key])
 
 
-STATE = "x double, y double, w double, h double, there boolean, last_seq long"
-OUT = "doc_id long, page_index long, box_id string, x double, y double, w double, h double, there boolean, edit_seq long"
+class _Boxes(StatefulProcessor):
+    """The seed of a box and its edits so far, by edit_seq; one that comes behind a larger edit_seq is left out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.box, self.edits = handle.getValueState("box", "seed string"), handle.getValueState("edits", "edits string")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self.box.update((initialState["seed"].iloc[0],))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        edits = json.loads(self.edits.get()[0]) if self.edits.exists() else []
+        last = edits[-1]["edit_seq"] if edits else None
+        fresh = [e for batch in rows for e in batch.to_dict("records")]
+        for e in sorted((json.loads(e["edit"]) for e in fresh), key=lambda e: e["edit_seq"]):
+            if last is None or e["edit_seq"] > last:
+                edits.append(e)
+                last = e["edit_seq"]
+        self.edits.update((json.dumps(edits),))
+        seed = self.box.get()[0] if self.box.exists() else None
+        row = (*key, seed, json.dumps(edits), fresh[0]["width"], fresh[0]["height"], last)
+        yield pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in zip([*PAGE, "box_id", "seed", "edits", "width", "height", "edit_seq"], row, strict=True)})
 
+    def close(self) -> None:
+        pass
 
-def stream_box_edits(edits: DataFrame) -> DataFrame:
-    """Boxes after each batch of edits. edits: doc_id, page_index, box_id, edit_seq, op, handle, x1, y1, x2, y2, width, height.
 
-    Edits are folded by edit_seq within a batch; one that comes later than a larger edit_seq is left out.
+def stream_box_edits(edits: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Boxes after each batch of edits, by the rules of review.fold_box_edits: there is false where the edits leave none, and the box is then as it last was.
+
+    edits: doc_id, page_index, box_id, edit_seq, op, handle, x1, y1, x2, y2, width, height. seeds, a table of doc_id, page_index, box_id
+    and box (see review.seed_boxes), is the state that the stream begins with. Edits are folded by edit_seq; one that comes later than one of equal
+    or larger edit_seq is left out, so that a repeated one does nothing.
     """
+    key = [*PAGE, "box_id"]
+    fields = [x.split(":")[0] for x in EDIT[7:-1].split(",")]
+    rows = edits.select(*(F.col(c).cast("long").alias(c) for c in PAGE), "box_id", F.to_json(F.struct(*fields)).alias("edit"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
+    begin = None
+    if seeds is not None:
+        begin = seeds.select(*(F.col(c).cast("long").alias(c) for c in PAGE), "box_id", F.to_json("box").alias("seed")).groupBy(*key)
+    out = "doc_id long, page_index long, box_id string, seed string, edits string, width double, height double, edit_seq long"
+    kept = rows.groupBy(*key).transformWithStateInPandas(_Boxes(), out, "update", "None", begin)
+    given = F.from_json("seed", G.BOX), F.from_json("edits", f"array<{EDIT}>"), F.col("width"), F.col("height")
+    rows = kept.withColumns({"box": folded_box(*given), "last": last_box(*given)})
+    return rows.select(*key, *(F.coalesce(F.col(f"last.{c}"), F.lit(0.0)).alias(c) for c in "xywh"), F.col("box").isNotNull().alias("there"), "edit_seq")
+
+
+def stream_intake_status(events: DataFrame, origins: list[str], ttl: int | None = DEPLOYED_TTL, delay: str = "1 minute") -> DataFrame:
+    """Add status, once for each request: at once where the limiter has no say or refuses, else when its window closes. See intake.intake_status."""
+    rows = events.withColumn("early", early_status(origins, ttl))
+    early = rows.where(F.col("early").isNotNull()).withColumn("status", F.col("early")).drop("early")
+    through = stream_rate_limit(rows.where(F.col("early").isNull()).drop("early"), delay=delay)
+    return early.unionByName(through.withColumn("status", late_status(F.col("limited"))).drop("limited"))
+
+
+def intake_sink(folder: str, event_id: str = "event_id", ts: str = "ts", body: str = "body") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: accepted forms to folder/accepted, the others to folder/rejected without what they said.
+
+    Each batch has a partition batch_id of its own in both, which a replayed batch writes anew: it changes nothing.
+    """
+
+    def table(batch: DataFrame, batch_id: int, name: str, test: Column, *columns: Column) -> None:
+        batch.where(test).select(*columns).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}/batch_id={batch_id}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        done = F.col("status") == 202
+        batch = batch.persist()
+        try:
+            table(batch, batch_id, "accepted", done, F.col(event_id), F.col(ts), parsed(F.col(body)).alias("payload"))
+            table(batch, batch_id, "rejected", ~done, F.col(event_id), F.col(ts), F.col("status"))
+        finally:
+            batch.unpersist()
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        x, y, w, h, there, last = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, False, -1)
-        for e in pd.concat(list(batches)).sort_values("edit_seq").itertuples():
-            if e.edit_seq <= last:
-                continue
-            last = int(e.edit_seq)
-            on = lambda v, top: max(0.0, min(v, top))
-            if e.op == "draw" and abs(e.x2 - e.x1) >= LEAST_DRAWN and abs(e.y2 - e.y1) >= LEAST_DRAWN:
-                x, y, w, h, there = on(min(e.x1, e.x2), e.width), on(min(e.y1, e.y2), e.height), on(abs(e.x2 - e.x1), e.width), on(abs(e.y2 - e.y1), e.height), True
-            elif e.op == "delete":
-                there = False
-            elif e.op == "move" and there:
-                x, y = on(x + e.x1, e.width - w), on(y + e.y1, e.height - h)
-            elif e.op == "resize" and there:
-                edges = [e.x1 if "w" in e.handle else x, e.y1 if "n" in e.handle else y, e.x1 if "e" in e.handle else x + w, e.y1 if "s" in e.handle else y + h]
-                x, y = on(min(edges[0], edges[2]), e.width), on(min(edges[1], edges[3]), e.height)
-                w, h = min(abs(edges[2] - edges[0]), e.width - x), min(abs(edges[3] - edges[1]), e.height - y)
-        state.update((x, y, w, h, there, last))
-        yield pd.DataFrame([(*key, x, y, w, h, there, last)], columns=["doc_id", "page_index", "box_id", "x", "y", "w", "h", "there", "edit_seq"])
-
-    return edits.groupBy("doc_id", "page_index", "box_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return write
