@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from veilwork.llm import language_id as g
 from veilwork.llm.queries import op10_language_id
 
@@ -61,8 +63,10 @@ def test_predictions_against_plain_cosines(spark, monkeypatch):
     prototypes = g.learn_prototypes(spark.createDataFrame(train, "text string, lang string").repartition(3), dimension=64)
     own = {}
     for t, name in train:
-        own[name] = [a + b for a, b in zip(own.get(name, [0] * 64), plain_vector(t, 64), strict=True)]
-    assert {r.lang: list(r.prototype) for r in prototypes.collect()} == own
+        size = math.hypot(*plain_grams(t).values())
+        own[name] = [a + b / size for a, b in zip(own.get(name, [0] * 64), plain_vector(t, 64), strict=True)]
+    learnt = {r.lang: list(r.prototype) for r in prototypes.collect()}
+    assert learnt.keys() == own.keys() and all(np.allclose(learnt[n], own[n], atol=1e-5) for n in own)
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     for r in g.predict(df, prototypes, dimension=64).collect():
         v = plain_vector(r.text or "", 64)
@@ -83,6 +87,14 @@ def test_held_out_accuracy(spark):
     assert len(held) > 100 and np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95
 
 
+def test_one_long_text_does_not_overturn_a_prototype(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", g.fold(F.col("doc_id")) == 2)
+    odd = spark.createDataFrame([(-1, "x" * 200_000, "fr", False), (-2, "long words " * 100_000, "de", False)], docs.schema)
+    held = docs.where("held_out AND lang IS NOT NULL")
+    found = g.predict(held, g.learn_prototypes(docs.unionByName(odd).where("NOT held_out"))).where("lang_pred <> 'und'")
+    assert found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
 def test_texts_without_letters(spark):
     train = spark.createDataFrame([("hello there friend", "en"), ("bonjour mon ami", "fr"), (None, "de"), ("12", "it"), ("x", None)], "text string, lang string")
     prototypes = g.learn_prototypes(train)

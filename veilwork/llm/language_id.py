@@ -90,10 +90,15 @@ def bundle(counted: list[tuple[np.ndarray, np.ndarray]], dimension: int) -> np.n
     return out
 
 
+def unit(at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams with their counts scaled to unit length."""
+    return at, count / max(float(np.linalg.norm(count)), 1.0)
+
+
 def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension: int = DIMENSION) -> DataFrame:
-    """The prototype of each language: (lang, vector of n-gram counts' bundle), one row for each label.
+    """The prototype of each language: (lang, bundle of its texts), one row for each label.
 
-    All rows teach, repeated ones each time, but for those with a null label, null text or no letters. Each task
+    Each text's counts have unit length, so a long text says no more than a short one. All rows teach, repeated ones each time, but for those with a null label, null text or no letters. Each task
     bundles its texts first; what is shuffled is one vector for each task and label. An empty table gives no prototype.
     """
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -105,7 +110,7 @@ def learn_prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang"
             for low in range(0, b.num_rows, TEXTS):
                 by_lang: dict[str, list] = {}
                 for name, t in zip(b.column("lang").slice(low, TEXTS), b.column("text").slice(low, TEXTS), strict=True):
-                    by_lang.setdefault(name.as_py(), []).append(grams(t.as_py(), is_letter))
+                    by_lang.setdefault(name.as_py(), []).append(unit(*grams(t.as_py(), is_letter)))
                 counted = []
                 for parts in by_lang.values():
                     at, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
