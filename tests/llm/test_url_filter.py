@@ -56,6 +56,16 @@ def test_branches_that_do_not_differ_are_merged(spark):
     assert [r.t for r in got] == ["~"]
 
 
+def test_a_literal_tilde_is_no_merged_branch(spark, tmp_path):
+    paths = [f"~/p{'?' * 1}{i}" for i in range(30)] + [f"{'ab'[i % 2]}/p?{i}" for i in range(60)] + [f"z/p?{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, f"https://s.net/{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    rules = [("block", "s.net/~/"), ("allow", "s.net/a/"), ("allow", "s.net/b/")]
+    got = {r.page_id: r for r in u.judge(df, rules).collect()}
+    assert {got[i].template.split("/")[1] for i in range(30)} == {"~0"}
+    assert {got[i].template.split("/")[1] for i in range(90, 96)} == {"~"}
+    assert all(got[i].verdict == "allow" for i in range(30, 96)) and got[0].verdict == "block"
+
+
 def test_without_rules_and_without_rows(spark):
     df = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, None)], "page_id long, url string")
     assert [r.verdict for r in u.judge(df, []).collect()] == ["allow"] * 3

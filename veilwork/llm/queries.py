@@ -129,7 +129,7 @@ def _level_sql(level: int) -> str:
                      WHEN children > {url_filter.CHILDREN} OR (children > 4 AND children >= {url_filter.VARIABLE}::DOUBLE * all_n) THEN '/*'
                      WHEN l = 0 OR l = all_l OR all_b IN (0, all_l) THEN '/~'
                      WHEN abs(b / l - (all_b - b) / (all_l - l)) <= {url_filter.SIMILAR}::DOUBLE * sqrt(all_b / all_l * (1 - all_b / all_l) * (1 / l + 1 / (all_l - l))) THEN '/~'
-                     ELSE '/' || substr(segment, 2) END AS step FROM v{level}),
+                     ELSE '/' || replace(substr(segment, 2), '~', '~0') END AS step FROM v{level}),
         p{level + 1} AS (SELECT s.* EXCLUDE (segment, template), s.template || step AS template FROM s{level} s JOIN d{level} d
                          ON s.host = d.host AND s.template = d.template AND s.segment = d.segment),"""
 

@@ -50,6 +50,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Add the template of each page. pages: host, path and label (true: to block, false: to allow, null: none).
 
+    Variable segments are called *, tails **, merged branches ~; a ~ of a path's own is written ~0.
+
     Each level's node counts and the pages' new templates are written to the shared folder, so plans stay short
     and a lost executor costs one level at most.
     """
@@ -76,7 +78,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         few = nodes.where(~F.col("variable"))
         apart = children.join(few, ["host", "template"]).where(~alike & (F.col("segment") != "")).select("host", "template", "segment", F.lit(True).alias("apart"))
         rows = rows.join(nodes.select("host", "template", "variable"), ["host", "template"]).join(apart, ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment") == "", F.lit("")).when(F.col("segment") == "**", F.lit("/**")).when(F.col("apart"), F.concat(F.lit("/"), F.substr("segment", F.lit(2))))
+        step = F.when(F.col("segment") == "", F.lit("")).when(F.col("segment") == "**", F.lit("/**")).when(F.col("apart"), F.concat(F.lit("/"), F.replace(F.substr("segment", F.lit(2)), F.lit("~"), F.lit("~0"))))
         step = step.when(F.col("variable"), F.lit("/*")).otherwise(F.lit("/~"))
         rows = staged(rows.withColumn("template", F.concat("template", step)).drop("segment", "variable", "apart"), "pages")
     return rows.drop("segments")
