@@ -169,3 +169,12 @@ def test_the_driver_gets_weights_only(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(40)], "doc_id long, text string")
     q.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 as int) AS grade"), n_grades=3, steps=2)
     assert len(got) == 1 and [[len(x) for x in r] for r in got[0]] == [[4 * q.BUCKETS, 16]]
+
+
+def test_an_id_of_very_many_rows_teaches_once(spark):
+    docs = spark.createDataFrame([(1, f"word{i % 5} same") for i in range(3000)] + [(2, "other text")], "doc_id long, text string")
+    ratings = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, grade int")
+    many = q.fit(docs, ratings, n_grades=2, steps=5)
+    kept = {r.text for r in docs.where("doc_id = 1").distinct().collect()}
+    fits = [q.fit(spark.createDataFrame([(1, t), (2, "other text")], "doc_id long, text string"), ratings, n_grades=2, steps=5) for t in sorted(kept)[:5]]
+    assert any(np.array_equal(many.weights, one.weights) and np.array_equal(many.thresholds, one.thresholds) for one in fits)

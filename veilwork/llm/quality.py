@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker, tidy
+from veilwork.llm.shared import broadcast_parameter, first_row, free_name, once_per_worker, tidy
 
 #: Weights; tokens are hashed into so many.
 BUCKETS = 1 << 16
@@ -193,7 +193,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
 def fit(df: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", fit_rows: int = FIT_ROWS, steps: int = 400) -> OrdinalModel:
     """Fit on the documents that have a rating, at most `fit_rows` of the rated ids, those with the smallest id hashes.
 
-    Ratings whose id or grade is null, or whose grade is outside 0 .. n_grades - 1, teach nothing; where
+    Of rows that share an id one teaches, chosen by a hash of its text. Ratings whose id or grade is null, or whose grade is outside 0 .. n_grades - 1, teach nothing; where
     an id has several ratings, the lowest counts. Texts become hashed tokens in the executors and are fitted by one
     task there, which the bound keeps small, so that the driver holds the weights only.
     """
@@ -201,6 +201,8 @@ def fit(df: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id"
     own = own.where(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("id").agg(F.min("grade").alias("grade"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rated = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(own), "id")
+    # One row for each id, by a fixed rule: ids bound the rows of the fit, however often one is repeated.
+    rated = first_row(rated, ["id"], ["id", "grade", "text"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = once_per_worker("quality tokens", _Hash)
