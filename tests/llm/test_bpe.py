@@ -111,3 +111,8 @@ def test_arcs_agree_with_the_growing_automaton():
         if all(tokens.index(p) in automaton.live for p in parts):
             assert [tokens[t] for t in flat[at : at + n]] == parts
         at += n
+
+
+def test_ids_that_keys_cannot_hold_are_refused():
+    with pytest.raises(ValueError, match="token ids"):
+        bpe.Automaton({b"a": 1 << 20}, [])

@@ -78,12 +78,18 @@ def byte_letters() -> dict[str, int]:
 END = 256
 
 
+#: Keys of arcs are state and token in one number.
+MOST_TOKENS = 1 << 20
+
+
 class Automaton:
     """The tokenization automaton of a byte-level BPE vocabulary, as it grows by the merges."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.vocab = vocab
         top = max(vocab.values(), default=-1) + 1
+        if top > MOST_TOKENS:
+            raise ValueError(f"token ids must be below {MOST_TOKENS}: keys of arcs hold no more")
         self.born = [-1] * top  # time of the merge that makes a token
         self.left = [-1] * top
         # A state is (parent, missing, time); state 0 lacks no arc.
