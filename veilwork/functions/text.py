@@ -115,12 +115,13 @@ MASK = "X"
 def mask_text(df: DataFrame, text: str = "text", out: str = "masked", hits: str = "n_masked") -> DataFrame:
     """Hide the first eight digits of valid 12-digit ids, and tax ids and the two lines of passports whole; count them in `hits`.
 
-    Passport lines are neighbours among lines that are not blank, and a pair counts once, as in detection.
+    Lines end at line feeds, carriage returns and all else that some reader takes for a line's end. Passport lines are neighbours among lines that are not blank, and a pair counts once, as in detection.
     Text is cut into what lies between candidates and the candidates; only those that pass the checksum or
     are tax ids are hidden, and everything else stays as it is. Null stays null.
     """
     given = F.col(f"`{text}`")
-    df = df.withColumn("_mrz", _hide_mrz(F.when(given.contains("<"), given)))
+    # Only texts that can hold a passport's first line, whatever is strewn into it, go to a Python worker.
+    df = df.withColumn("_mrz", _hide_mrz(F.when(given.rlike("[Pp][^A-Za-z0-9<]*<"), given)))
     source = F.coalesce("_mrz.text", given)
     found = F.regexp_extract_all(source, F.lit(f"({_SPAN})"), F.lit(1))
     rest = F.split(source, _SPAN, -1)
@@ -136,6 +137,8 @@ def mask_text(df: DataFrame, text: str = "text", out: str = "masked", hits: str
 
 _LINE1, _LINE2 = (re.compile(x.replace(r"\z", r"\Z")) for x in (MRZ_LINE1, MRZ_LINE2))
 _BLANK_LINE = re.compile(f"{BLANK}*")
+#: All that ends a line for some reader of the text.
+_LINE_END = re.compile("(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])")
 
 
 @F.arrow_udf(T.StructType().add("text", T.StringType()).add("n", T.IntegerType()))
@@ -147,13 +150,15 @@ def _hide_mrz(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             if text is None:
                 out.append(None)
                 continue
-            lines, n = text.split("\n"), 0
+            pieces, n = _LINE_END.split(text), 0
+            lines = pieces[::2]
             present = [i for i, x in enumerate(lines) if not _BLANK_LINE.fullmatch(x)]
             clean = {i: re.sub("[^A-Z0-9<]", "", lines[i].upper()) for i in present}
             for a, b in zip(present, present[1:]):
                 if _LINE1.search(clean.get(a, "")) and _LINE2.search(clean.get(b, "")):
                     lines[a], lines[b], n = MASK * len(lines[a]), MASK * len(lines[b]), n + 1
-            out.append({"text": "\n".join(lines), "n": n})
+            pieces[::2] = lines
+            out.append({"text": "".join(pieces), "n": n})
         yield pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int32())]))
 
 

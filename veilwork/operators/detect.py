@@ -148,6 +148,8 @@ def detect_page(tokens: DataFrame, faces: DataFrame, codes: DataFrame) -> DataFr
     return numbered(every.unionByName(as_part(codes, 4, F.col("priority"), F.col("bbox.x"), F.col("bbox.y"))))
 
 
+#: Fixed value: what is written for a face.
+FACE_VALUE = "face"
 #: Least score of a face, similarity of boxes that are one, text share of a false face.
 FACE_SCORE, SAME_BOX, TEXT_SHARE = 0.5, 0.3, 0.5
 #: Fixed value: payloads of the second decoder that are shorter are noise.
@@ -160,14 +162,16 @@ def merge_faces(face_raw: DataFrame, min_confidence: float = FACE_SCORE, same: f
     good = face_raw.where((F.col("score") >= min_confidence) & F.col("origin_x").isNotNull() & F.col("origin_y").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull())
     rows = good.select(*PAGE, G.box(*rounded.values()).alias("bbox"), F.col("score").cast("double").alias("confidence"), "model")
     kept = greedy(rows, PAGE, [-F.col("confidence"), F.col("model"), F.col("bbox.x"), F.col("bbox.y")], lambda k, x: G.iou(k["bbox"], x["bbox"]) > same)
-    return kept.select(*PAGE, F.lit("face").alias("kind"), "bbox", F.col("bbox").alias("mask_bbox"), F.lit("").alias("value"), "confidence", F.lit(False).alias("suspicious"))
+    return kept.select(*PAGE, F.lit("face").alias("kind"), "bbox", F.col("bbox").alias("mask_bbox"), F.lit(FACE_VALUE).alias("value"), "confidence", F.lit(False).alias("suspicious"))
 
 
 def text_coverage(faces: DataFrame, tokens: DataFrame) -> DataFrame:
     """Add to each face the share of its box that token boxes cover, columns of one pixel from its left edge.
 
-    Tokens are joined by page with the overlap as the join's condition, spread over the columns they touch,
-    and the union of their vertical stretches in each column is measured by a running maximum.
+    A column counts where its left edge lies on a token, so a token covers the columns from its left to its right edge rounded up.
+    Tokens are joined by page with the overlap as the join's condition. Their distinct edges cut a face into strips in which
+    nothing changes: each strip is measured once, by a running maximum over the stretches in it, and counts as many
+    times as it has columns. So rows follow the tokens on a face, not its width.
     """
     face_key = [*PAGE, "face_no"]
     own = faces.withColumn("face_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("confidence"), "bbox.x", "bbox.y")))
@@ -175,13 +179,16 @@ def text_coverage(faces: DataFrame, tokens: DataFrame) -> DataFrame:
     hits = f.join(tokens.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in "xywh")), PAGE).where(
         (F.col("x") < F.col("fx") + F.col("fw")) & (F.col("x") + F.col("w") > F.col("fx")) & (F.col("y") < F.col("fy") + F.col("fh")) & (F.col("y") + F.col("h") > F.col("fy"))
     )
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil("fw") - 1))).alias("column")
-    spans = hits.select(*face_key, "fx", "fy", "fh", "x", "w", F.greatest("y", "fy").alias("y1"), F.least(F.col("y") + F.col("h"), F.col("fy") + F.col("fh")).alias("y2"), at)
-    spans = spans.where((F.col("x") <= F.col("fx") + F.col("column")) & (F.col("fx") + F.col("column") < F.col("x") + F.col("w")))
-    column = Window.partitionBy(*face_key, "column").orderBy("y1", "y2")
-    before = F.max("y2").over(column.rowsBetween(Window.unboundedPreceding, -1))
-    new = spans.select(*face_key, F.greatest(F.lit(0.0), F.col("y2") - F.greatest(F.col("y1"), F.coalesce(before, F.col("y1")))).alias("fresh"))
-    covered = new.groupBy(*face_key).agg(F.sum("fresh").alias("covered"))
+    within = lambda c: F.greatest(F.lit(0.0), F.least(F.ceil("fw").cast("double"), F.ceil(c - F.col("fx")).cast("double")))
+    spans = hits.select(*face_key, within(F.col("x")).alias("from"), within(F.col("x") + F.col("w")).alias("to"), F.greatest("y", "fy").alias("y1"), F.least(F.col("y") + F.col("h"), F.col("fy") + F.col("fh")).alias("y2"))
+    spans = spans.where(F.col("to") > F.col("from"))
+    edges = spans.select(*face_key, F.explode(F.array("from", "to")).alias("edge")).distinct()
+    strips = edges.withColumn("end", F.lead("edge").over(Window.partitionBy(*face_key).orderBy("edge"))).where(F.col("end").isNotNull())
+    parts = spans.join(strips, face_key).where((F.col("from") <= F.col("edge")) & (F.col("edge") < F.col("to")))
+    strip = Window.partitionBy(*face_key, "edge").orderBy("y1", "y2")
+    before = F.max("y2").over(strip.rowsBetween(Window.unboundedPreceding, -1))
+    new = parts.select(*face_key, "edge", "end", F.greatest(F.lit(0.0), F.col("y2") - F.greatest(F.col("y1"), F.coalesce(before, F.col("y1")))).alias("fresh"))
+    covered = new.groupBy(*face_key).agg(F.sum(F.col("fresh") * (F.col("end") - F.col("edge"))).alias("covered"))
     size = F.col("bbox.w") * F.col("bbox.h")
     joined = own.join(covered, face_key, "left")
     return joined.withColumn("coverage", F.when(size > 0, F.coalesce("covered", F.lit(0.0)) / size).otherwise(F.lit(0.0))).drop("covered", "face_no")
@@ -209,7 +216,8 @@ def fallback_when_empty(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(first.select(*PAGE).distinct(), PAGE, "left_anti"))
 
 
-#: Bounds of a code region.
+#: What a region is called that looks like a code, and its bounds.
+CODE_VALUE = "visual-qr-candidate"
 ASPECT, AREA, BIMODAL, FACE_OVERLAP, CODE_CONFIDENCE = (0.75, 1.33), (0.005, 0.25), 0.6, 0.4, 0.4
 
 
@@ -251,7 +259,10 @@ def locate_qr_cells(cells: DataFrame, pages: DataFrame, faces: DataFrame) -> Dat
     b = G.from_edges(F.col("col1") * F.col("cell"), F.col("row1") * F.col("cell"), (F.col("col2") + 1) * F.col("cell"), (F.col("row2") + 1) * F.col("cell"))
     rows = parts.withColumn("bbox", b).where((F.col("bbox.w") / F.col("bbox.h")).between(*ASPECT))
     rows = rows.where((G.area(F.col("bbox")) / (F.col("width") * F.col("height"))).between(*AREA) & (F.col("bimodal_cells") / F.col("cells") >= BIMODAL))
+    # Measured as a whole, a region is cut to the page: the last cells may reach over it.
+    cut = G.box(F.col("bbox.x"), F.col("bbox.y"), F.least(F.col("bbox.w"), F.col("width") - F.col("bbox.x")), F.least(F.col("bbox.h"), F.col("height") - F.col("bbox.y")))
+    rows = rows.withColumn("bbox", cut)
     f = faces.select(*(F.col(c).alias(f"_{c}") for c in PAGE), F.col("bbox").alias("face"))
     rows = rows.join(f, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & (G.overlap_fraction(F.col("bbox"), F.col("face")) > FACE_OVERLAP), "left_anti")
-    rows = rows.select(*PAGE, F.lit("other_qr").alias("kind"), "bbox", F.col("bbox").alias("mask_bbox"), F.lit("").alias("value"), F.lit(CODE_CONFIDENCE).alias("confidence"), F.lit(False).alias("suspicious"), F.lit(9).alias("priority"))
+    rows = rows.select(*PAGE, F.lit("other_qr").alias("kind"), "bbox", F.col("bbox").alias("mask_bbox"), F.lit(CODE_VALUE).alias("value"), F.lit(CODE_CONFIDENCE).alias("confidence"), F.lit(False).alias("suspicious"), F.lit(9).alias("priority"))
     return compose_qr(rows)

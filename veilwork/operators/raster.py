@@ -34,9 +34,14 @@ def otsu_threshold(gray: DataFrame) -> DataFrame:
 
     Pixels become at most 256 rows a page before anything is ordered.
     """
+    return thresholds_of(_histogram(gray))
+
+
+def thresholds_of(histogram: DataFrame) -> DataFrame:
+    """(page_id, threshold) of histograms (page_id, v, n)."""
     bins = Window.partitionBy("page_id").orderBy("v")
     page = Window.partitionBy("page_id")
-    rows = _histogram(gray).withColumns({"n0": F.sum("n").over(bins), "s0": F.sum(F.col("n") * F.col("v")).over(bins), "total": F.sum("n").over(page), "sum": F.sum(F.col("n") * F.col("v")).over(page)})
+    rows = histogram.withColumns({"n0": F.sum("n").over(bins), "s0": F.sum(F.col("n") * F.col("v")).over(bins), "total": F.sum("n").over(page), "sum": F.sum(F.col("n") * F.col("v")).over(page)})
     n1 = F.col("total") - F.col("n0")
     gap = F.col("s0") / F.col("n0") - (F.col("sum") - F.col("s0")) / n1
     between = F.when(n1 > 0, F.col("n0").cast("double") * n1 * gap * gap).otherwise(F.lit(0.0))
@@ -51,7 +56,12 @@ def binarize(gray: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
 
 def equalize_clipped(gray: DataFrame, clip: float = CLIP) -> DataFrame:
     """Histogram equalization with bins clipped to a share of the pixels, what is cut off spread evenly."""
-    hist = _histogram(gray)
+    lut = tones_of(_histogram(gray), clip).withColumnRenamed("v", "r")
+    return _painted(gray.join(lut, ["page_id", "r"]), F.col("to")).drop("to").select(*gray.columns)
+
+
+def tones_of(hist: DataFrame, clip: float = CLIP) -> DataFrame:
+    """(page_id, v, to): the 256 tones that equalization leads those of histograms (page_id, v, n) to."""
     pages = hist.groupBy("page_id").agg(F.sum("n").alias("total"))
     pages = pages.withColumn("limit", F.greatest(F.lit(1), F.floor(F.col("total") * clip)))
     spine = pages.select("page_id", "total", "limit", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
@@ -62,8 +72,7 @@ def equalize_clipped(gray: DataFrame, clip: float = CLIP) -> DataFrame:
     bins = bins.withColumn("low", F.min(F.when(F.col("cdf") > 0, F.col("cdf"))).over(page))
     span = F.col("total") - F.col("low")
     scaled = round_half_up((F.col("cdf") - F.col("low")) / F.when(span == 0, 1).otherwise(span) * 255)
-    lut = bins.select("page_id", F.col("v").alias("r"), F.greatest(F.lit(0), F.least(F.lit(255), scaled)).cast("int").alias("to"))
-    return _painted(gray.join(lut, ["page_id", "r"]), F.col("to")).drop("to").select(*gray.columns)
+    return bins.select("page_id", "v", F.greatest(F.lit(0), F.least(F.lit(255), scaled)).cast("int").alias("to"))
 
 
 def blur3x3(gray: DataFrame) -> DataFrame:
@@ -107,14 +116,23 @@ def cell_stats(pixels: DataFrame, boxes: DataFrame | None = None, grid: int = GR
     return stats.join(touched, ["page_id", "row", "col"], "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
 
 
+def mask_rows(masks: DataFrame) -> DataFrame:
+    """(page_id, py, runs): the stretches of pixels, from x1 up to x2, that masks (page_id, x, y, w, h) cover in each row of a page, partly covered pixels too."""
+    m = masks.select("page_id", F.floor("x").alias("x1"), F.ceil(F.col("x") + F.col("w")).alias("x2"), F.floor("y").alias("y1"), F.ceil(F.col("y") + F.col("h")).alias("y2"))
+    m = m.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    lines = m.select("page_id", "x1", "x2", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("py"))
+    return lines.groupBy("page_id", "py").agg(F.collect_set(F.struct("x1", "x2")).alias("runs"))
+
+
 def paint_masks(pixels: DataFrame, masks: DataFrame) -> DataFrame:
-    """Black where a mask (page_id, x, y, w, h) covers a pixel, partly covered ones too; the input stays as it is."""
-    m = masks.select(F.col("page_id").alias("_page"), *(F.col(c).alias(f"_{c}") for c in "xywh"))
-    inside = (F.col("page_id") == F.col("_page")) & (F.col("px") >= F.floor("_x")) & (F.col("px") < F.ceil(F.col("_x") + F.col("_w"))) & (F.col("py") >= F.floor("_y")) & (F.col("py") < F.ceil(F.col("_y") + F.col("_h")))
-    hit = pixels.join(m, inside, "left_semi")
-    clear = pixels.join(m, inside, "left_anti")
-    black = hit.withColumns({c: F.lit(0) for c in "rgb"} | {"a": F.lit(255)})
-    return clear.unionByName(black)
+    """Black where a mask (page_id, x, y, w, h) covers a pixel, partly covered ones too; the input stays as it is.
+
+    Pixels are read once and meet the stretches of their own row: no task gets a page, and a row's stretches are as many as masks lie across it.
+    """
+    rows = pixels.join(mask_rows(masks).withColumn("py", F.col("py").cast(pixels.schema["py"].dataType)), ["page_id", "py"], "left")
+    hit = F.coalesce(F.exists("runs", lambda r: (F.col("px") >= r["x1"]) & (F.col("px") < r["x2"])), F.lit(False))
+    black = {c: F.when(hit, F.lit(0 if c != "a" else 255)).otherwise(F.col(c)).cast(pixels.schema[c].dataType) for c in "rgba"}
+    return rows.withColumns(black).select(*pixels.columns)
 
 
 def rotate_pixels(pixels: DataFrame, rotation: int) -> DataFrame:

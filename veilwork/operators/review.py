@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import geometry as G
 from veilwork.functions.text import kind_dimension
 from veilwork.operators.detect import PAGE
+from veilwork.sources.staging import written
 
 #: Fixed value: a drawn box is this many pixels wide and high at least.
 LEAST_DRAWN = 4.0
@@ -109,12 +110,14 @@ def _edit_step(width: Column, height: Column) -> Callable[[Column, Column], Colu
 def merge_handoff(sessions: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming seeds into editing sessions: a clean session is overwritten, a dirty one waits for a decision.
 
-    sessions: doc_id, dirty, boxes; incoming: doc_id, boxes and optionally resolution (keep or replace).
-    Result: doc_id, dirty, boxes, pending (boxes that wait, or null).
+    sessions: doc_id, dirty, boxes and optionally pending (boxes that wait already); incoming: doc_id, boxes and optionally
+    resolution (keep or replace), which also decides on boxes that wait. Result: doc_id, dirty, boxes, pending (boxes that wait, or null).
     """
     if "resolution" not in incoming.columns:
         incoming = incoming.withColumn("resolution", F.lit(None).cast("string"))
     rows = sessions.withColumnRenamed("boxes", "own").join(incoming.withColumnRenamed("boxes", "new"), "doc_id", "full_outer")
+    if "pending" in sessions.columns:
+        rows = rows.withColumn("new", F.coalesce("new", "pending"))
     dirty = F.coalesce("dirty", F.lit(False))
     waits = dirty & F.col("new").isNotNull() & F.col("resolution").isNull()
     takes = F.col("new").isNotNull() & (~dirty | (F.col("resolution") == "replace"))
@@ -124,6 +127,36 @@ def merge_handoff(sessions: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+#: Partitions of a session table: an upsert rewrites those that incoming seeds fall in.
+SESSION_PARTS = 64
+
+
+def _session_part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
+
+
+def write_sessions(sessions: DataFrame, path: str, parts: int = SESSION_PARTS) -> None:
+    """A session table: doc_id, dirty, boxes, pending, in partitions by a hash of doc_id."""
+    rows = sessions if "pending" in sessions.columns else sessions.withColumn("pending", F.lit(None).cast(sessions.schema["boxes"].dataType))
+    rows.select("doc_id", "dirty", "boxes", "pending", _session_part(parts)).repartition("part").write.partitionBy("part").parquet(path)
+
+
+def upsert_handoff(path: str, incoming: DataFrame, parts: int = SESSION_PARTS) -> None:
+    """merge_handoff into a session table: only partitions with incoming seeds are read and written anew, the files of the others stay.
+
+    The same seeds once more change nothing. What is written is settled in the shared folder first, as its partitions are read from the
+    table; a partition is replaced when all of it has been written.
+    """
+    spark = incoming.sparkSession
+    seeds = written(incoming.withColumn("part", _session_part(parts)), "seeds")
+    touched = [r["part"] for r in seeds.select("part").distinct().collect()]  # parts at most
+    if not touched:
+        return
+    sessions = spark.read.parquet(path).where(F.col("part").isin(touched)).drop("part")
+    merged = written(merge_handoff(sessions, seeds.drop("part")), "sessions").withColumn("part", _session_part(parts))
+    merged.select("doc_id", "dirty", "boxes", "pending", "part").repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def uncertain_report(detections: DataFrame) -> DataFrame:
     """Suspicious detections without their value."""
     return detections.where("suspicious").select(*PAGE, "detection_index", "kind", "confidence")

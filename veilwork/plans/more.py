@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import geometry as G
 from veilwork.functions import text as X
 from veilwork.functions.checksum import verhoeff_valid_native
-from veilwork.operators import audit, detect, intake, passes, raster, reports, review
+from veilwork.operators import audit, detect, intake, passes, raster, reports, review, tiles
 from veilwork.plans.fixtures import _PAN, derived
 from veilwork.plans.queries import _COMMON, _INLINE, _KEPT_FACES, _MRZ, _OVERLAP, _PAGE, _PANS, _TEXT, _TOUCHED, _TRIPLETS, _faces, _greedy_sql, _valid, flat, page_detections, query, recursive, text_detections
 from veilwork.sources import admission, export
@@ -59,13 +59,14 @@ def output_name(spark: SparkSession, d: str) -> DataFrame:
     return derived(spark, d, "manifest").select("doc_id", admission.output_name(F.col("name")).alias("output"))
 
 
+_TYPED = "event_id % 10 = 3"
 _MESSAGE = "CASE event_id % 9 WHEN 0 THEN 'The Source Image could not be decoded.' WHEN 1 THEN 'createimagebitmap failed' WHEN 2 THEN 'Password needed for PDF' WHEN 3 THEN 'is Encrypted' WHEN 4 THEN 'Invalid PDF structure' WHEN 5 THEN 'file corrupted' WHEN 6 THEN 'File too LARGE' WHEN 7 THEN 'password' ELSE event_type END"
 
 
-@query(f"""SELECT category, count(*) AS n FROM (SELECT CASE event_id % 9 WHEN 0 THEN 'undecodable_image' WHEN 1 THEN 'undecodable_image' WHEN 2 THEN 'locked_pdf' WHEN 3 THEN 'locked_pdf'
-    WHEN 4 THEN 'broken_pdf' WHEN 5 THEN 'broken_pdf' WHEN 6 THEN 'too_large' ELSE 'unexpected' END AS category FROM events) GROUP BY 1""")
+@query(f"""SELECT category, count(*) AS n FROM (SELECT CASE WHEN {_TYPED} THEN {_MESSAGE} ELSE CASE event_id % 9 WHEN 0 THEN 'undecodable_image' WHEN 1 THEN 'undecodable_image' WHEN 2 THEN 'locked_pdf' WHEN 3 THEN 'locked_pdf'
+    WHEN 4 THEN 'broken_pdf' WHEN 5 THEN 'broken_pdf' WHEN 6 THEN 'too_large' ELSE 'unexpected' END END AS category FROM events) GROUP BY 1""")
 def classify_failure(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, d, "events").groupBy(admission.classify_failure(F.expr(_MESSAGE)).alias("category")).agg(F.count("*").alias("n"))
+    return derived(spark, d, "events").groupBy(admission.classify_failure(F.expr(_MESSAGE), F.expr(_TYPED)).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, page_index, line_id, token_seq, text, x, y, w, h, confidence FROM tokens WHERE trim(text) <> ''", "tokens")
@@ -99,9 +100,13 @@ _TAX = _PAN.replace("k", "doc_id")
 _LINES = "rpad(concat('P<INDNAME<<', chr(CAST(65 + doc_id % 26 AS INT))), 44, '<')", "concat(lpad(CAST(doc_id AS STRING), 9, '0'), CASE WHEN doc_id % 5 = 0 THEN '<USA' ELSE '7IND' END, '8001011M3001011<<<<<<<<<<<<<<02')"
 
 
+#: What may part the two lines of a passport.
+_PARTING = "CASE doc_id % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) ELSE '\u2028' END"
+
+
 def _spliced(id12: str, tax: str, line1: str, line2: str) -> str:
     """A whole text with an id in its middle, and a tax id and two passport lines behind it."""
-    return f"substr(text, 1, {_HALF}) || ' id: ' || coalesce({id12}, 'none') || ' end ' || substr(text, {_HALF} + 1) || ' tax: ' || {tax} || chr(10) || {line1} || chr(10) || {line2} || chr(10) || 'end'"
+    return f"substr(text, 1, {_HALF}) || ' id: ' || coalesce({id12}, 'none') || ' end ' || substr(text, {_HALF} + 1) || ' tax: ' || {tax} || chr(10) || {line1} || {_PARTING} || {line2} || chr(10) || 'end'"
 
 
 _GROUPS = "substr(id, 1, 4) || '-' || substr(id, 5, 4) || ' ' || substr(id, 9, 4)"
@@ -215,14 +220,35 @@ def fold_box_edits(spark: SparkSession, d: str) -> DataFrame:
     return flat(review.fold_box_edits(review.seed_boxes(reviewed(spark, d), pages), box_edits(spark, d), pages), "box")
 
 
-@query("""WITH s AS (SELECT doc_id, quality = 1 AS dirty, concat('own', doc_id) AS own FROM labels),
+_HANDOFF = """WITH s AS (SELECT doc_id, quality = 1 AS dirty, concat('own', doc_id) AS own FROM labels),
     i AS (SELECT doc_id, concat('new', doc_id) AS new, CASE WHEN doc_id % 7 = 0 THEN 'keep' WHEN doc_id % 7 = 1 THEN 'replace' END AS res FROM documents),
     j AS (SELECT doc_id, coalesce(dirty, false) AS dirty, own, new, res, new IS NOT NULL AND (NOT coalesce(dirty, false) OR coalesce(res, '') = 'replace') AS takes FROM s FULL JOIN i USING (doc_id))
-    SELECT doc_id, dirty AND NOT takes AS dirty, CASE WHEN takes THEN new ELSE own END AS boxes, CASE WHEN dirty AND new IS NOT NULL AND res IS NULL THEN new END AS pending FROM j""")
-def merge_handoff(spark: SparkSession, d: str) -> DataFrame:
+    SELECT doc_id, dirty AND NOT takes AS dirty, CASE WHEN takes THEN new ELSE own END AS boxes, CASE WHEN dirty AND new IS NOT NULL AND res IS NULL THEN new END AS pending FROM j"""
+
+
+def _handoff(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sessions = derived(spark, d, "labels").selectExpr("doc_id", "quality = 1 AS dirty", "concat('own', doc_id) AS boxes")
-    incoming = derived(spark, d, "documents").selectExpr("doc_id", "concat('new', doc_id) AS boxes", "CASE WHEN doc_id % 7 = 0 THEN 'keep' WHEN doc_id % 7 = 1 THEN 'replace' END AS resolution")
-    return review.merge_handoff(sessions, incoming)
+    return sessions, derived(spark, d, "documents").selectExpr("doc_id", "concat('new', doc_id) AS boxes", "CASE WHEN doc_id % 7 = 0 THEN 'keep' WHEN doc_id % 7 = 1 THEN 'replace' END AS resolution")
+
+
+@query(_HANDOFF)
+def merge_handoff(spark: SparkSession, d: str) -> DataFrame:
+    return review.merge_handoff(*_handoff(spark, d))
+
+
+@query(_HANDOFF)
+def upsert_handoff(spark: SparkSession, d: str) -> DataFrame:
+    """The same by two upserts into a session table, of which each reads and writes the partitions that its seeds fall in."""
+    sessions, incoming = _handoff(spark, d)
+
+    def run() -> DataFrame:
+        path = f"{shared_folder(spark)}/veilwork-sessions-{uuid.uuid4().hex}"
+        review.write_sessions(sessions, path)
+        for half in (0, 1):
+            review.upsert_handoff(path, incoming.where(f"doc_id % 2 = {half}"))
+        return spark.read.parquet(path)
+
+    return written_once(spark, "handoff", d, run).select("doc_id", "dirty", "boxes", "pending")
 
 
 @recursive
@@ -255,6 +281,43 @@ def export_manifest(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "page_index", "kind", "width_pt", F.size("masks").alias("n_masks"), total("x").alias("sum_x"), total("h").alias("sum_h"))
 
 
+@recursive
+@query(f"""WITH {_REVIEW}, per_page AS (SELECT doc_id, page_index, count(*) AS n FROM masks WHERE enabled GROUP BY 1, 2)
+    SELECT doc_id, page_index, CAST(coalesce(n, 0) AS INT) AS n_masks FROM pages_ LEFT JOIN per_page USING (doc_id, page_index) WHERE kind = 'pdf'""", *_NEEDS)
+def written_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest as a partitioned sink, read again for one kind: its files alone are opened, and of them the columns asked for."""
+    pages = derived(spark, d, "pages")
+
+    def run() -> DataFrame:
+        path = f"{shared_folder(spark)}/veilwork-manifest-{uuid.uuid4().hex}"
+        none = pages.limit(0).select("doc_id", "page_index", F.lit("").alias("box_id"), G.box(*[F.lit(0)] * 4).alias("box"))
+        export.write_manifest(export.export_manifest(reviewed(spark, d), none, pages), path)
+        return spark.read.parquet(path).where("kind = 'pdf'").select("doc_id", "page_index", F.size("masks").alias("n_masks"))
+
+    return written_once(spark, "pdf-manifest", d, run)
+
+
+# Geometry of pages
+
+@query("""WITH s AS (SELECT doc_id, page_index, width * 4 AS w, height * 4 AS h, doc_id % 4 * 90 AS rotation FROM pages_), l AS (SELECT *, CASE WHEN greatest(w, h) <= 2400 THEN 1.0::DOUBLE ELSE 2400::DOUBLE / greatest(w, h) END AS scale FROM s)
+    SELECT doc_id, page_index, CAST(floor(w * scale + 0.5) AS BIGINT) AS fit_w, CAST(floor(h * scale + 0.5) AS BIGINT) AS fit_h, scale,
+    CASE WHEN rotation IN (90, 270) THEN h ELSE w END AS turned_w, CASE WHEN rotation IN (90, 270) THEN w ELSE h END AS turned_h FROM l""", "pages")
+def page_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Working size and size after a turn of pages at four times their size."""
+    w, h = F.col("width") * 4, F.col("height") * 4
+    rows = derived(spark, d, "pages").withColumns({"fit": G.fit_within(w, h), "turned": G.rotated_dims(w, h, F.col("doc_id") % 4 * 90)})
+    return rows.select("doc_id", "page_index", F.col("fit.width").cast("long").alias("fit_w"), F.col("fit.height").cast("long").alias("fit_h"), "fit.scale", F.col("turned.width").alias("turned_w"), F.col("turned.height").alias("turned_h"))
+
+
+@query("""SELECT doc_id, page_index, count(*) AS tokens, count(*) FILTER (WHERE x >= width // 10 AND x <= width // 10 + 60 AND y >= 30 AND y <= 120) AS inside
+    FROM tokens JOIN pages_ USING (doc_id, page_index) GROUP BY 1, 2""", "tokens", "pages")
+def tokens_in_region(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens of a page begin in a region of it, edges included."""
+    region = G.box(F.floor(F.col("width") / 10), F.lit(30), F.lit(60), F.lit(90))
+    rows = derived(spark, d, "tokens").join(derived(spark, d, "pages").select(*detect.PAGE, "width"), detect.PAGE)
+    return rows.groupBy(*detect.PAGE).agg(F.count("*").alias("tokens"), F.count(F.when(G.point_in_box(F.col("x"), F.col("y"), region), 1)).alias("inside"))
+
+
 # Passes: the enhanced pass sees a document's tokens as those of the next, rotations and bands as shifted ones.
 
 # Of every fifth page the raw pass reads nothing; images among them get what the enhanced pass reads.
@@ -577,17 +640,17 @@ _ON_FACE = """greatest(0, least(a.bbox_x + a.bbox_w, f.bbox_x + f.bbox_w) - grea
 _REGIONS = f"""{_KEPT_FACES}, {_PARTS},
     shaped AS (SELECT doc_id, page_index, CAST(col1 * 25 AS DOUBLE) AS bbox_x, CAST(row1 * 25 AS DOUBLE) AS bbox_y, CAST((col2 + 1 - col1) * 25 AS DOUBLE) AS bbox_w, CAST((row2 + 1 - row1) * 25 AS DOUBLE) AS bbox_h
         FROM parts WHERE bimodal_cells / cells >= 0.6::DOUBLE),
-    regions AS (SELECT * FROM shaped a WHERE bbox_w / bbox_h BETWEEN 0.75::DOUBLE AND 1.33::DOUBLE AND bbox_w * bbox_h / 360000 BETWEEN 0.005::DOUBLE AND 0.25::DOUBLE
-        AND NOT EXISTS (SELECT 1 FROM kept_faces f WHERE f.doc_id = a.doc_id AND f.page_index = a.page_index AND {_ON_FACE} / (a.bbox_w * a.bbox_h) > 0.4::DOUBLE)),
+    cut AS (SELECT * REPLACE (least(bbox_w, 590 - bbox_x) AS bbox_w, least(bbox_h, 595 - bbox_y) AS bbox_h) FROM shaped a WHERE bbox_w / bbox_h BETWEEN 0.75::DOUBLE AND 1.33::DOUBLE AND bbox_w * bbox_h / (590 * 595) BETWEEN 0.005::DOUBLE AND 0.25::DOUBLE),
+    regions AS (SELECT * FROM cut a WHERE NOT EXISTS (SELECT 1 FROM kept_faces f WHERE f.doc_id = a.doc_id AND f.page_index = a.page_index AND {_ON_FACE} / (a.bbox_w * a.bbox_h) > 0.4::DOUBLE)),
     {_greedy_sql('regions', 'bbox_x, bbox_y', 'kept_regions')}"""
 
 
 @recursive
-@query(f"WITH {_REGIONS} SELECT doc_id, page_index, 'other_qr' AS kind, bbox_x, bbox_y, bbox_w, bbox_h, 0.4::DOUBLE AS confidence FROM kept_regions", "faces")
+@query(f"WITH {_REGIONS} SELECT doc_id, page_index, 'other_qr' AS kind, 'visual-qr-candidate' AS value, bbox_x, bbox_y, bbox_w, bbox_h, 0.4::DOUBLE AS confidence FROM kept_regions", "faces")
 def locate_qr_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
-    pages = cells.select(*detect.PAGE, F.lit(600).alias("width"), F.lit(600).alias("height")).distinct()
-    return flat(detect.locate_qr_cells(cells, pages, _faces(spark, d)).select(*detect.PAGE, "kind", "bbox", "confidence"), "bbox")
+    pages = cells.select(*detect.PAGE, F.lit(590).alias("width"), F.lit(595).alias("height")).distinct()
+    return flat(detect.locate_qr_cells(cells, pages, _faces(spark, d)).select(*detect.PAGE, "kind", "value", "bbox", "confidence"), "bbox")
 
 
 #: One mask for every 96 order keys, placed by sums over all of their line items.
@@ -595,15 +658,21 @@ _MASKS = """SELECT CAST(floor(l_orderkey / 2304) AS BIGINT) AS page_id, CAST(sum
     FROM lineitem GROUP BY CAST(floor(l_orderkey / 2304) AS BIGINT), floor(l_orderkey / 96)"""
 
 
-@query(f"""WITH m AS ({_MASKS})
-    SELECT page_id, px, py, CAST(CASE WHEN c THEN 0 ELSE r END AS INT) AS r, CAST(CASE WHEN c THEN 0 ELSE g END AS INT) AS g FROM (SELECT *, EXISTS (SELECT 1 FROM m WHERE m.page_id = p.page_id AND px >= floor(x) AND px < ceil(x + w) AND py >= floor(y) AND py < ceil(y + h)) AS c FROM pixels p)""", "pixels")
+_PAINTED = f"""WITH m AS ({_MASKS})
+    SELECT page_id, px, py, CAST(CASE WHEN c THEN 0 ELSE r END AS INT) AS r, CAST(CASE WHEN c THEN 0 ELSE g END AS INT) AS g FROM (SELECT *, EXISTS (SELECT 1 FROM m WHERE m.page_id = p.page_id AND px >= floor(x) AND px < ceil(x + w) AND py >= floor(y) AND py < ceil(y + h)) AS c FROM pixels p)"""
+
+
+@query(_PAINTED, "pixels")
 def paint_masks(spark: SparkSession, d: str) -> DataFrame:
     masks = spark.sql(_MASKS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=derived(spark, d, "lineitem"))
     return raster.paint_masks(derived(spark, d, "pixels"), masks).select("page_id", "px", "py", "r", "g")
 
 
-@query("""WITH m AS (SELECT page_id, max(px) AS mx, max(py) AS my FROM pixels GROUP BY 1), p AS (SELECT * FROM pixels JOIN m USING (page_id))
-    SELECT 90 AS rotation, page_id, my - py AS px, px AS py, r FROM p UNION ALL SELECT 180, page_id, mx - px, my - py, r FROM p UNION ALL SELECT 270, page_id, py, mx - px, r FROM p""", "pixels")
+_ROTATED = """WITH m AS (SELECT page_id, max(px) AS mx, max(py) AS my FROM pixels GROUP BY 1), p AS (SELECT * FROM pixels JOIN m USING (page_id))
+    SELECT 90 AS rotation, page_id, my - py AS px, px AS py, r FROM p UNION ALL SELECT 180, page_id, mx - px, my - py, r FROM p UNION ALL SELECT 270, page_id, py, mx - px, r FROM p"""
+
+
+@query(_ROTATED, "pixels")
 def rotate_pixels(spark: SparkSession, d: str) -> DataFrame:
     turned = [raster.rotate_pixels(derived(spark, d, "pixels"), by).select(F.lit(by).alias("rotation"), "page_id", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), "r") for by in (90, 180, 270)]
     return turned[0].unionByName(turned[1]).unionByName(turned[2])
@@ -614,6 +683,51 @@ def crop_band(spark: SparkSession, d: str) -> DataFrame:
     return raster.crop_band(derived(spark, d, "pixels"), 10, 30).select("page_id", "px", "py", "r")
 
 
+# The same by tiles, small ones here so that pages have many: same rows as by pixels.
+
+_TILE = 16
+
+
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    return written_once(spark, "tiles", d, lambda: tiles.from_pixels(derived(spark, d, "pixels"), _TILE))
+
+
+def _pixels_of(rows: DataFrame) -> DataFrame:
+    return tiles.to_pixels(rows).withColumn("py", F.col("py").cast("long"))
+
+
+@query(f"WITH {_BLUR} SELECT * FROM blurred", "pixels")
+def tile_blur(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels_of(tiles.blur(tiles.gray(_tiles(spark, d)))).select("page_id", "px", "py", F.col("r").alias("v"))
+
+
+@query(f"WITH {_BLUR}, {_equalized_sql('blurred')}, {_otsu_sql('equalized')} {_BLACK.format('equalized')}", "pixels")
+def tile_enhance(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels_of(tiles.enhance(_tiles(spark, d), threshold=True)).select("page_id", "px", "py", F.col("r").alias("v"))
+
+
+@query(f"WITH {_CELLS} SELECT page_id, row, col, textured, bimodal FROM c", "pixels")
+def tile_cell_stats(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.cell_stats(_tiles(spark, d)).select("page_id", "row", "col", "textured", "bimodal")
+
+
+@query(_PAINTED, "pixels")
+def tile_paint(spark: SparkSession, d: str) -> DataFrame:
+    masks = spark.sql(_MASKS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=derived(spark, d, "lineitem"))
+    return _pixels_of(tiles.paint(_tiles(spark, d), masks, _TILE)).select("page_id", "px", "py", "r", "g")
+
+
+@query(_ROTATED, "pixels")
+def tile_rotate(spark: SparkSession, d: str) -> DataFrame:
+    turned = [_pixels_of(tiles.rotate(_tiles(spark, d), by)).select(F.lit(by).alias("rotation"), "page_id", F.col("px").cast("long").alias("px"), "py", "r") for by in (90, 180, 270)]
+    return turned[0].unionByName(turned[1]).unionByName(turned[2])
+
+
+@query("SELECT page_id, px, py - 10 AS py, r FROM pixels WHERE py >= 10 AND py < 30", "pixels")
+def tile_crop(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels_of(tiles.crop(_tiles(spark, d), 10, 30)).select("page_id", "px", "py", "r")
+
+
 # Reports
 
 _KINDS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in reports.NAMES)

@@ -240,7 +240,7 @@ def fallback_when_empty(spark: SparkSession, d: str) -> DataFrame:
 
 _PAGE = f"""{_TEXT}, {_KEPT_FACES}, {_KEPT_CODES},
     every AS (SELECT kind, part, rank, CAST(line_id AS DOUBLE) AS o2, CAST(x AS DOUBLE) AS o3, CAST(token_seq AS DOUBLE) AS o4, {_COMMON} FROM texts
-        UNION ALL SELECT 'face', 3, -confidence, bbox_x, bbox_y, 0, doc_id, page_index, bbox_x, bbox_y, bbox_w, bbox_h, bbox_x, bbox_y, bbox_w, bbox_h, '', confidence, false FROM kept_faces
+        UNION ALL SELECT 'face', 3, -confidence, bbox_x, bbox_y, 0, doc_id, page_index, bbox_x, bbox_y, bbox_w, bbox_h, bbox_x, bbox_y, bbox_w, bbox_h, 'face', confidence, false FROM kept_faces
         UNION ALL SELECT kind, 4, priority, bbox_x, bbox_y, 0, doc_id, page_index, bbox_x, bbox_y, bbox_w, bbox_h, bbox_x, bbox_y, bbox_w, bbox_h, value, 1, false FROM kept_codes),
     detections AS (SELECT kind, {_COMMON}, CAST(row_number() OVER (PARTITION BY doc_id, page_index ORDER BY part, rank, o2, o3, o4, value) - 1 AS INT) AS detection_index FROM every)"""
 

@@ -26,8 +26,11 @@ OTHER_FAILURE = "unexpected"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder as a manifest: name and size from file metadata alone; contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    """Files of a folder, and of those in it, as a manifest: name and size from file metadata alone; contents are not read.
+
+    Spark's readers leave out files without a byte, which hold no page anyway.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
     return files.select(F.xxhash64("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("").alias("mime"), "size")
 
 
@@ -76,8 +79,11 @@ def output_name(name: Column) -> Column:
     return F.concat(F.regexp_replace(plain, r"(?s)^(.+)\.[^.]*\z", "$1"), F.lit("_redacted.pdf"))
 
 
-def classify_failure(message: Column) -> Column:
-    """The first category with an alternative of which all patterns occur, whatever the case."""
+def classify_failure(message: Column, typed: Column | None = None) -> Column:
+    """The first category with an alternative of which all patterns occur, whatever the case.
+
+    Where typed is true, the failure is an input error whose message is written for users: it passes through as it is.
+    """
     out = F.lit(OTHER_FAILURE)
     low = F.lower(F.coalesce(message, F.lit("")))
     for name, alternatives in reversed(FAILURES):
@@ -88,4 +94,4 @@ def classify_failure(message: Column) -> Column:
                 own = own & low.contains(p.lower())
             hit = hit | own
         out = F.when(hit, name).otherwise(out)
-    return out
+    return out if typed is None else F.when(F.coalesce(typed, F.lit(False)), message).otherwise(out)

@@ -33,4 +33,5 @@ def export_manifest(reviewed: DataFrame, manual: DataFrame, pages: DataFrame) ->
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.partitionBy("kind").parquet(path)
+    """A manifest in partitions by kind, so that who reads one kind opens its files only; written again, it replaces what was there."""
+    manifest.write.mode("overwrite").partitionBy("kind").parquet(path)
