@@ -65,6 +65,18 @@ def test_salt_spreads_a_hot_key(spark):
     assert spread.count() == 2000 and spread.select("shard").distinct().count() >= 6
 
 
+def test_written_shards(spark, tmp_path):
+    rows = [(i if i % 9 else None, f"t{i}") for i in range(200)] + [(5, "t5")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shards = ["a", "b", "c"]
+    path = str(tmp_path / "out")
+    s.write_shards(df, path, files=2, key="doc_id", shards=shards)
+    back = spark.read.parquet(path)
+    assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(i), t) for i, t in rows)
+    placed = {(r.doc_id, r.text): r.shard for r in s.assign_shards(df, shards).collect()}
+    assert all(placed[r.doc_id, r.text] == r.shard for r in back.collect())
+
+
 def test_query_against_whole_permutations(spark):
     from veilwork.llm.queries import op2_sharding
 
