@@ -115,3 +115,16 @@ def test_passport_lines_are_hidden_whatever_parts_them(spark, end):
 def test_input_errors_pass_through(spark):
     df = spark.createDataFrame([("Use a file up to 20 MB; this exceeds it.", True), ("file exceeds all", False), ("file exceeds all", None)], "m string, typed boolean")
     assert [r.c for r in df.select(admission.classify_failure(F.col("m"), F.col("typed")).alias("c")).collect()] == ["Use a file up to 20 MB; this exceeds it.", "too_large", "too_large"]
+
+
+def test_written_tables_are_removed_together(spark, tmp_path, monkeypatch):
+    from veilwork.sources import staging
+
+    monkeypatch.setattr(staging, "_PATHS", [])
+    monkeypatch.setattr(staging, "_WRITTEN", {})
+    one = staging.written(spark.range(3), "one")
+    two = staging.written_once(spark, "two", "sf", lambda: spark.range(4))
+    folders = [df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for df in (one, two)]
+    assert all(map(os.path.isdir, folders)) and (one.count(), two.count()) == (3, 4)
+    assert staging.remove_written(spark) == 2 and not any(map(os.path.exists, folders))
+    assert staging.written_once(spark, "two", "sf", lambda: spark.range(5)).count() == 5

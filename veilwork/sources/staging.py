@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[tuple[str, ...], str] = {}
 _LOCAL: list[str] = []
+_PATHS: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,9 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _new(spark: SparkSession, name: str) -> str:
+    _PATHS.append(f"{shared_folder(spark)}/veilwork-{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Remove the tables that this process has written so far and say how many: for when the results that read them have been written."""
+    n = len(_PATHS)
+    while _PATHS:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of its own in the shared folder: what was not determined, such as sampled ranges, is fixed by it."""
-    path = f"{shared_folder(df.sparkSession)}/veilwork-{name}-{uuid.uuid4().hex}"
+    path = _new(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -35,7 +51,7 @@ def written_once(spark: SparkSession, name: str, sf_dir: str, build: Callable[[]
     """What build() gives, as a table that is written once for each application and input folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
-        path = f"{shared_folder(spark)}/veilwork-{name}-{uuid.uuid4().hex}"
+        path = _new(spark, name)
         build().write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
