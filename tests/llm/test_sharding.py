@@ -65,6 +65,11 @@ def test_salt_spreads_a_hot_key(spark):
     assert spread.count() == 2000 and spread.select("shard").distinct().count() >= 6
 
 
+def test_a_table_too_large_to_broadcast_is_refused(spark):
+    with pytest.raises(ValueError, match="exceeds"):
+        s.table_rows(spark, ["x" * (2 << 20), "y"], slots=101)
+
+
 def test_written_shards(spark, tmp_path):
     rows = [(i if i % 9 else None, f"t{i}") for i in range(200)] + [(5, "t5")] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

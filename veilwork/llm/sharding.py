@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import free_name
+from veilwork.llm.shared import MAX_BROADCAST_BYTES, free_name
 
 #: Slots of the table: prime, and at least a hundred for each shard to be even within a percent.
 SLOTS = 65_537
@@ -58,6 +58,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def table_rows(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS, weights: Sequence[int] | None = None) -> DataFrame:
     """The lookup table as (slot, shard): exactly `slots` rows."""
     table = lookup_table(shards, slots, weights)
+    n_bytes = sum(8 + len(shards[i].encode()) for i in table)
+    if n_bytes > MAX_BROADCAST_BYTES:
+        raise ValueError(f"a table of {n_bytes} bytes exceeds {MAX_BROADCAST_BYTES}: use fewer slots or shorter names")
     return spark.createDataFrame(pd.DataFrame({"slot": range(slots), "shard": [shards[i] for i in table]}), "slot long, shard string")
 
 
