@@ -6,15 +6,15 @@ hold one and are left out. Over the rest the task builds an FM-index: suffix ord
 transform, a wavelet matrix for ranks and suffix positions sampled by text position. All test windows
 are searched backwards at once, occurrences are located through the samples, and their word spans merged.
 
-Documents are never shuffled. The benchmark reaches the tasks in blocks of bounded size, one after
-another; spans of all blocks are merged for each document.
+Documents are never shuffled for a benchmark of up to PASS_BLOCKS blocks of bounded size. A larger one is searched in passes of as many
+blocks, and the few rows that later passes hit are joined with those of the first.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.shared import broadcast_parameter, once_per_worker, tidy
+from veilwork.llm.shared import broadcast_parameter, free_name, once_per_worker, staged, tidy
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8 << 20
+#: Blocks that a task holds at once; more are searched in further passes over the table.
+PASS_BLOCKS = 2
 #: What stands between words, case aside.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every so many-th text position has its suffix position stored.
@@ -282,15 +284,54 @@ def find_contamination(
     have no words; items without words have no windows; a null item id counts as the empty string, and
     items that share an id are one item. Rows are kept as they are; columns that already have one of the
     three names are replaced. Empty tables, of documents or items, give no hits. Texts are searched whole.
+
+    A task holds PASS_BLOCKS blocks of items at most. A larger benchmark is searched in several passes over the table, which is
+    written once with the hits of the first; later passes give the rows that they hit, and only those rows' hits are put together.
     """
-    spark, found = df.sparkSession, []
-    for rows, n_bytes in _blocks(benchmark, item_id, item_text, window, block_bytes):
-        search = _searcher(broadcast_parameter(spark, rows, n_bytes), window)
-        found.append(F.arrow_udf(tidy(search), RESULT)(F.col(f"`{text}`").cast("binary")))
-    result = found[0] if len(found) == 1 else F.arrow_udf(_merged, RESULT)(*found)
-    hits = f"hits_{uuid.uuid4().hex}"
-    out = df.withColumn(hits, result)
-    return out.withColumns({x: F.col(f"{hits}.{x}") for x in ("n_words", "spans", "items")}).drop(hits)
+    spark, names = df.sparkSession, ("n_words", "spans", "items")
+
+    def searched(rows: DataFrame, blocks: list[tuple[list[tuple[str, bytes]], int]]) -> tuple[DataFrame, list[Broadcast]]:
+        """Rows with what some blocks hit in them, and the broadcasts that this takes."""
+        shared = [broadcast_parameter(spark, items, n_bytes) for items, n_bytes in blocks]
+        found = [F.arrow_udf(tidy(_searcher(b, window)), RESULT)(F.col(f"`{text}`").cast("binary")) for b in shared]
+        hits = f"hits_{uuid.uuid4().hex}"
+        out = rows.withColumn(hits, found[0] if len(found) == 1 else F.arrow_udf(_merged, RESULT)(*found))
+        return out.withColumns({x: F.col(f"{hits}.{x}") for x in names}).drop(hits), shared
+
+    blocks = _blocks(benchmark, item_id, item_text, window, block_bytes)
+    first, more = list(islice(blocks, PASS_BLOCKS)), list(islice(blocks, PASS_BLOCKS))
+    out, shared = searched(df, first)
+    if not more:
+        return out
+    row, late = free_name(out, "row"), None
+    out = staged(out.withColumn(row, F.monotonically_increasing_id()), "searched")
+    while more:
+        for b in shared:
+            b.destroy()
+        hit, shared = searched(out.select(row, F.col(f"`{text}`")), more)
+        hit = staged(hit.where(F.size("items") > 0).select(row, *names), "hits")
+        late = hit if late is None else late.unionByName(hit)
+        more = list(islice(blocks, PASS_BLOCKS))
+    for b in shared:
+        b.destroy()
+    own = [f"late_{uuid.uuid4().hex}" for _ in range(2)]
+    late = late.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias(own[0]), F.flatten(F.collect_list("items")).alias(own[1]))
+    joined = out.join(late, row, "left").withColumns({
+        "spans": F.when(F.col(own[0]).isNull(), F.col("spans")).otherwise(_united(F.concat("spans", own[0]))),
+        "items": F.when(F.col(own[1]).isNull(), F.col("items")).otherwise(F.array_sort(F.array_distinct(F.concat("items", own[1])))),
+    })
+    return joined.drop(row, *own)
+
+
+def _united(spans: Column) -> Column:
+    """Spans in order, those that meet or overlap as one."""
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+
+    def add(done: Column, s: Column) -> Column:
+        longer = F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], s["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (s["start"] <= last(done)["end"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), add)
 
 
 def _merged(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
