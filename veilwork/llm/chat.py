@@ -28,9 +28,15 @@ def _part(turn: Column) -> Column:
     return F.pmod(F.floor(turn / RECORD_TURNS), F.lit(SPREAD))
 
 
-def _with_value(rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """Add an aggregate over the rows of each key, joined back by key and _part, so that the rows of a key stay spread."""
-    values = rows.groupBy(key).agg(value, F.collect_set("_part").alias("_parts"))
+def deal(rows: DataFrame, key: str, turn: str) -> DataFrame:
+    """Rows dealt over tasks by conversation and part of its records, with the part as a column _part. Texts move here once; all that
+    follows finds a record's turns in one task and moves numbers only."""
+    return rows.withColumn("_part", _part(F.col(f"`{turn}`").cast("long"))).repartition(F.col(f"`{key}`"), F.col("_part"))
+
+
+def _with_value(rows: DataFrame, key: str, value: Column, source: DataFrame | None = None) -> DataFrame:
+    """Add an aggregate over the rows of each key (of source, if it has the same keys and parts), joined back by key and _part, so that the rows of a key stay where they are."""
+    values = (rows if source is None else source).groupBy(key).agg(value, F.collect_set("_part").alias("_parts"))
     return rows.join(values.select("*", F.explode("_parts").alias("_part")).drop("_parts"), [key, "_part"])
 
 
@@ -49,7 +55,7 @@ def _completion(turns: Column, side: str) -> tuple[Column, Column]:
     return text, F.aggregate(said, start, add, lambda done: done["spans"])
 
 
-def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "side", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "side", turn: str = "turn", role: str = "role", text: str = "text", dealt: bool = False) -> DataFrame:
     """Turns (pair, side chosen or rejected, turn, role, text) to records of a prompt and its two completions.
 
     Columns: pair, record, prompt, chosen, rejected, chosen_spans, rejected_spans. The spans are the characters
@@ -64,16 +70,17 @@ def format_preferences(turns: DataFrame, pair: str = "pair_id", side: str = "sid
     is the turn. A pair of which one side is missing has an empty prompt and one empty completion, two equal conversations
     have empty completions, and an empty table gives an empty table; other columns are not read.
 
-    Turns are dealt over tasks by (pair, turn), then by pair and one of SPREAD parts of its records. The place of the first
-    difference is aggregated before it is shuffled, and joined to each part; records are put together without another shuffle.
+    Turns are dealt over tasks once, by pair and one of SPREAD parts of its records; with dealt=True they have been already (see deal). The
+    place of the first difference is aggregated before it is shuffled, and joined to each part.
     """
     said = F.struct(F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    own = turns.select(F.col(f"`{pair}`").alias("pair"), F.col(f"`{side}`").alias("side"), F.col(f"`{turn}`").cast("long").alias("turn"), said.alias("said"))
+    own = turns.select(F.col(f"`{pair}`").alias("pair"), F.col(f"`{side}`").alias("side"), F.col(f"`{turn}`").cast("long").alias("turn"), said.alias("said"), *(["_part"] if dealt else []))
     own = own.where(F.col("pair").isNotNull() & F.col("turn").isNotNull() & F.col("side").isin("chosen", "rejected"))
-    both = own.groupBy("pair", "turn").agg(*(F.min(F.when(F.col("side") == s, F.col("said"))).alias(s) for s in ("chosen", "rejected")))
+    own = own if dealt else deal(own, "pair", "turn")
+    both = own.groupBy("pair", "_part", "turn").agg(*(F.min(F.when(F.col("side") == s, F.col("said"))).alias(s) for s in ("chosen", "rejected")))
     same = F.col("chosen").eqNullSafe(F.col("rejected"))
     # A turn that both sides have alike is kept once.
-    both = both.select("pair", "turn", _part(F.col("turn")).alias("_part"), "chosen", F.when(~same, F.col("rejected")).alias("rejected"), same.alias("same"))
+    both = both.select("pair", "turn", "_part", "chosen", F.when(~same, F.col("rejected")).alias("rejected"), same.alias("same"))
     both = _with_value(both, "pair", F.min(F.when(~F.col("same"), F.col("turn"))).alias("first"))
     record = F.floor(F.col("turn") / RECORD_TURNS).alias("record")
     whole = both.groupBy("pair", "_part", record).agg(F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("turn", "chosen", "rejected", "same"))).alias("turns"))
@@ -93,14 +100,15 @@ def spans_text(spans: Column) -> Column:
 
 
 def short_reply_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs from a table of conversations: chosen as it is, rejected with its last reply cut to the first sentence.
+    """Pairs from a table of conversations: chosen as it is, rejected with its last reply cut to the first sentence. The rows are dealt (see deal).
 
     Rows with a null conv_id or turn give nothing, null text stays null, repeated rows stay, other columns are not read;
     a conversation without reply is rejected as it is, and an empty table gives an empty table.
     """
-    said = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", _part(F.col("turn").cast("long")).alias("_part"))
+    said = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = said.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    turns = _with_value(said, "conv_id", F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"))
+    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last")
+    turns = _with_value(deal(said, "conv_id", "turn"), "conv_id", last, said.select("conv_id", "turn", "role", _part(F.col("turn")).alias("_part")))
     cut = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.substring_index("text", ". ", 1)).otherwise(F.col("text"))
     sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), cut.alias("text")))
-    return turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.inline(sides))
+    return turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "_part", F.inline(sides))

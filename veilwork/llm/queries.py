@@ -61,7 +61,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = chat.format_preferences(chat.short_reply_pairs(table(spark, sf_dir, "conversations")))
+    records = chat.format_preferences(chat.short_reply_pairs(table(spark, sf_dir, "conversations")), dealt=True)
     spans = [chat.spans_text(F.col(f"{side}_spans")).alias(f"{side}_spans") for side in ("chosen", "rejected")]
     return records.select("pair_id", "record", "prompt", "chosen", "rejected", *spans)
 
