@@ -27,19 +27,29 @@ from pyspark.sql import types as T
 
 from veilwork.llm.shared import broadcast_parameter, heavy_keys, join_one, staged, tidy
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Ids of one list that a row holds at most; longer lists have several rows.
 PIECE = 4096
 ROOT = bytes(16)
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, a and b (the turn's digest), words and tie, which tells equal turns apart, from conv_id, turn, role, text."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    digest = F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256)
-    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
-    rows = conversations.where(F.col("conv_id").isNotNull())
-    return rows.select("conv_id", "turn", half(1).alias("a"), half(17).alias("b"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), F.monotonically_increasing_id().alias("tie"))
+    """conv_id, turn, a and b (the turn's digest), words (of the text, parted by ASCII white space) and tie, which tells equal turns apart, from conv_id, turn, role, text."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c)
+    rows = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", said("role"), said("text"), F.monotonically_increasing_id().alias("tie"))
+    fields = [rows.schema["conv_id"], rows.schema["turn"], *(T.StructField(c, T.LongType()) for c in ("a", "b", "words", "tie"))]
+
+    @tidy
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, words = bytearray(), []
+            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                names += hashlib.sha256(b"%d:%b%b" % (len(role), role, text)).digest()[:16]
+                words.append(len(text.split()))  # bytes are split at ASCII white space, as words are
+            halves = np.frombuffer(bytes(names), np.int64).reshape(-1, 2)
+            columns = [batch.column("conv_id"), batch.column("turn"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(words, pa.int64()), batch.column("tie")]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "a", "b", "words", "tie"])
+
+    return rows.mapInArrow(short, T.StructType(fields))
 
 
 def _restarts(keys: pa.Array) -> np.ndarray:
