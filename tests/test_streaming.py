@@ -151,3 +151,15 @@ def test_intake_sink_is_idempotent(spark, tmp_path):
     assert rejected == {r.event_id: r.status for r in batch if r.status != 202}
     assert accepted == {r.event_id: "a@b.example" for r in batch if r.status == 202}
     assert set(rejected.values()) == {204, 400, 403, 405, 413, 415, 429, 503}
+
+
+def test_expiry_of_records_that_share_a_bucket(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    # One group holds all: each record goes at its own time, and one that is written again while it is there lives on.
+    files = [[(i, "", at(10 * i)) for i in range(10)], [(0, "", at(20)), (5, "", at(95)), (50, "", at(155))], [(60, "", at(160)), (1, "", at(161))], [(70, "", at(400))]]
+    for buckets in (1, 3):
+        stream = read(spark, tmp_path / f"in{buckets}", EVENTS, files).select("event_id", "ts")
+        got = all_rows(spark, stream_expiry(stream, "event_id", ttl=100, buckets=buckets), tmp_path / f"out{buckets}", "append")
+        seconds = lambda r: int(r.received.replace(tzinfo=r.received.tzinfo or UTC).timestamp() - START.timestamp())
+        want = [(i, 10 * i) for i in range(2, 10) if i != 5] + [(0, 20), (5, 95), (50, 155), (60, 160), (1, 161)]
+        assert sorted((r.event_id, seconds(r)) for r in got) == sorted(want)

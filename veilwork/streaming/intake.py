@@ -1,8 +1,8 @@
 """Structured Streaming twins of the intake and review operators.
 
 Operators with state of their own need the RocksDB state store: set spark.sql.streaming.stateStore.providerClass to PROVIDER in the
-session that starts the query. What a key keeps is bounded: as many events as the limit for a window, one time for a record, and
-the edits of a box, which a reviewer's work bounds.
+session that starts the query. What is kept is bounded: as many events as the limit for an open window, one time for a record, both in
+BUCKETS groups, and the edits of a box, which a reviewer's work bounds.
 """
 
 from __future__ import annotations
@@ -26,6 +26,15 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+#: Groups that keys are dealt over: what a call of a processor costs is paid for each group of a batch, not for each key. A group's state is read and
+#: written as a whole.
+BUCKETS = 4096
+
+
+def _bucket(buckets: int, *keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
 def stream_rate_counts(events: DataFrame, key: str = "ip", ts: str = "ts", delay: str = "1 minute", seconds: int = WINDOW_SECONDS, limit: int = RATE) -> DataFrame:
     """Events of each key and fixed window, and how many of them are over the limit; late events up to `delay` count."""
     rows = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
@@ -93,27 +102,40 @@ def stream_rate_limit(events: DataFrame, key: str = "ip", ts: str = "ts", order:
 
 
 class _Keeper(StatefulProcessor):
-    """The time of receipt of a record, until its time to live is over."""
+    """The times of receipt of a bucket's records, until their time to live is over. A bucket has one timer, for the first of them to go."""
 
     def __init__(self, ttl: int):
         self.ttl = ttl * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.received = handle, handle.getValueState("received", "ms long")
+        self.handle, self.received = handle, handle.getValueState("received", "times string")
+
+    def _held(self) -> dict[str, int]:
+        return json.loads(self.received.get()[0]) if self.received.exists() else {}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.received.get()[0] if self.received.exists() else None
-        last = max(int(batch["ms"].max()) for batch in rows)
-        if held is None or last > held:
-            if held is not None:
-                self.handle.deleteTimer(held + self.ttl)
-            self.received.update((last,))
-            self.handle.registerTimer(last + self.ttl)
+        held = self._held()
+        before = min(held.values(), default=None)
+        for batch in rows:
+            for record, ms in zip(batch["holder"], batch["ms"].tolist(), strict=True):
+                if ms > held.get(record, ms - 1):
+                    held[record] = ms
+        after = min(held.values())
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.ttl)
+            self.handle.registerTimer(after + self.ttl)
+        self.received.update((json.dumps(held),))
         yield self._gone([], [])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.received.exists():
-            yield self._gone([str(key[0])], [self.received.get()[0]])
+        held, now = self._held(), timerValues.getCurrentWatermarkInMs()
+        gone = [record for record, ms in held.items() if ms + self.ttl <= now]
+        yield self._gone(gone, [held.pop(record) for record in gone])
+        if held:
+            self.received.update((json.dumps(held),))
+            self.handle.registerTimer(min(held.values()) + self.ttl)
+        else:
             self.received.clear()
 
     @staticmethod
@@ -124,16 +146,16 @@ class _Keeper(StatefulProcessor):
         pass
 
 
-def stream_expiry(records: DataFrame, key: str, ts: str = "ts", ttl: int = DEPLOYED_TTL, delay: str = "0 seconds") -> DataFrame:
+def stream_expiry(records: DataFrame, key: str, ts: str = "ts", ttl: int = DEPLOYED_TTL, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """A row for each record when the watermark has passed its end: its key, received and expired, times to the millisecond.
 
     What was stored and is not given out is what intake.retention keeps at the watermark. A record that is written again lives from its latest
-    receipt on.
+    receipt on. Records are dealt over `buckets` groups.
     """
     kind = records.schema[key].dataType
     time = F.col(ts).cast("timestamp")
-    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("holder"), time.alias("at"), F.unix_millis(time).alias("ms")).withWatermark("at", delay)
-    gone = rows.groupBy("holder").transformWithStateInPandas(_Keeper(ttl), "id string, ms long", "append", "EventTime")
+    rows = records.where(F.col(key).isNotNull()).select(_bucket(buckets, F.col(key)), F.col(key).cast("string").alias("holder"), time.alias("at"), F.unix_millis(time).alias("ms")).withWatermark("at", delay)
+    gone = rows.groupBy("bucket").transformWithStateInPandas(_Keeper(ttl), "id string, ms long", "append", "EventTime")
     return gone.select(F.col("id").cast(kind).alias(key), F.timestamp_millis("ms").alias("received"), F.timestamp_millis(F.col("ms") + ttl * 1000).alias("expired"))
 
 
