@@ -163,3 +163,12 @@ def test_expiry_of_records_that_share_a_bucket(spark, tmp_path):
         seconds = lambda r: int(r.received.replace(tzinfo=r.received.tzinfo or UTC).timestamp() - START.timestamp())
         want = [(i, 10 * i) for i in range(2, 10) if i != 5] + [(0, 20), (5, 95), (50, 155), (60, 160), (1, 161)]
         assert sorted((r.event_id, seconds(r)) for r in got) == sorted(want)
+
+
+def test_rate_limit_of_holders_that_share_a_bucket(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    files = [[(100 * w + 10 * k + i, f"ip{k}" if k else None, at(60 * w + i)) for w in range(4) for k in range(3) for i in range(4 + k)], [(999, "ip0", at(900))]]
+    for buckets in (1, 2):
+        stream = stream_rate_limit(read(spark, tmp_path / f"in{buckets}", EVENTS, files), buckets=buckets)
+        got = all_rows(spark, stream, tmp_path / f"out{buckets}", "append")
+        assert Counter((r.event_id, r.limited) for r in got) == Counter((e, e % 10 >= 5) for e, _, _ in files[0])

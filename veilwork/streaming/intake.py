@@ -43,40 +43,58 @@ def stream_rate_counts(events: DataFrame, key: str = "ip", ts: str = "ts", delay
 
 
 class _Limiter(StatefulProcessor):
-    """The first `limit` events of each open window of a key. An event that is behind so many others is limited whatever comes later, so it is given out
-    at once; those that are kept are given out when the watermark closes their window."""
+    """The first `limit` events of each open window of the holders in a bucket. An event that is behind so many others is limited whatever comes later, so it is
+    given out at once; those that are kept are given out when the watermark closes their window. A bucket has one timer, for the first of its windows to close."""
 
     def __init__(self, seconds: int, limit: int):
         self.seconds, self.limit = seconds, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.windows = handle, handle.getMapState("windows", "start long", "kept string")
+        self.handle, self.windows = handle, handle.getValueState("windows", "kept string")
+
+    def _held(self) -> dict[tuple[str, int], list]:
+        return {(holder, start): kept for holder, start, kept in json.loads(self.windows.get()[0])} if self.windows.exists() else {}
+
+    def _closes(self, windows: dict[tuple[str, int], list]) -> int | None:
+        """When the first window closes, in ms."""
+        return (min(start for _, start in windows) + self.seconds * 1_000_000) // 1000 if windows else None
+
+    def _keep(self, windows: dict[tuple[str, int], list]) -> None:
+        self.windows.update((json.dumps([[*at, kept] for at, kept in windows.items()]),))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        closed, out, step = timerValues.getCurrentWatermarkInMs(), [], self.seconds * 1_000_000
-        fresh: dict[int, list] = {}
+        closed, step, held = timerValues.getCurrentWatermarkInMs(), self.seconds * 1_000_000, self._held()
+        before = self._closes(held)
         for batch in rows:
-            for micros, order, event in zip(batch["micros"], batch["place"], batch["event"], strict=True):
+            fresh: dict[tuple[str, int], list] = {}
+            for holder, micros, order, event in zip(batch["holder"], batch["micros"], batch["place"], batch["event"], strict=True):
                 start = int(micros) // step * step
                 # What comes when its window has been closed is no longer decided.
                 if (start + step) // 1000 > closed:
-                    fresh.setdefault(start, []).append([int(micros), order, event])
-        for start, events in fresh.items():
-            at = (start,)
-            kept = json.loads(self.windows.getValue(at)[0]) if self.windows.containsKey(at) else []
-            if not kept:
-                self.handle.registerTimer((start + step) // 1000)
-            every = sorted(kept + events)
-            out += every[self.limit :]
-            self.windows.updateValue(at, (json.dumps(every[: self.limit]),))
-        yield self._said(out, True)
+                    fresh.setdefault((holder, start), []).append([int(micros), order, event])
+            out = []
+            for at, events in fresh.items():
+                every = sorted(held.get(at, []) + events)
+                out += every[self.limit :]
+                held[at] = every[: self.limit]
+            yield self._said(out, True)
+        after = self._closes(held)
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
+        if held:
+            self._keep(held)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.seconds * 1_000_000,)
-        if self.windows.containsKey(at):
-            kept = json.loads(self.windows.getValue(at)[0])
-            self.windows.removeKey(at)
-            yield self._said(kept, False)
+        now, step, held = timerValues.getCurrentWatermarkInMs(), self.seconds * 1_000_000, self._held()
+        over = [at for at in held if (at[1] + step) // 1000 <= now]
+        yield self._said([e for at in over for e in held.pop(at)], False)
+        if held:
+            self._keep(held)
+            self.handle.registerTimer(self._closes(held))
+        else:
+            self.windows.clear()
 
     @staticmethod
     def _said(events: list, limited: bool) -> pd.DataFrame:
@@ -86,18 +104,21 @@ class _Limiter(StatefulProcessor):
         pass
 
 
-def stream_rate_limit(events: DataFrame, key: str = "ip", ts: str = "ts", order: str = "event_id", limit: int = RATE, seconds: int = WINDOW_SECONDS, delay: str = "1 minute") -> DataFrame:
+def stream_rate_limit(events: DataFrame, key: str = "ip", ts: str = "ts", order: str = "event_id", limit: int = RATE, seconds: int = WINDOW_SECONDS, delay: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """Add limited to each event, once: as intake.rate_limit over all events that came before their window was closed.
 
     A window is closed when the watermark, the latest time seen less `delay`, has passed its end; events behind the watermark are left out. Repeated
-    events count each. Limited events are given out at once, the others when their window closes.
+    events count each. Limited events are given out at once, the others when their window closes. Windows of all holders are dealt over `buckets`
+    groups, so neither many short windows nor a holder with most events make the work of one group long.
     """
     schema = events.schema
     time = F.col(ts).cast("timestamp")
+    start = F.floor(F.unix_micros(time) / F.lit(seconds * 1_000_000)).cast("long")
+    holder = F.to_json(F.struct(F.col(key).alias("key")))
     packed = events.select(
-        F.col(key).alias("holder"), time.alias("at"), F.unix_micros(time).alias("micros"), F.col(order).alias("place"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in schema.names)), _TIMES).alias("event")
+        _bucket(buckets, holder, start), holder.alias("holder"), time.alias("at"), F.unix_micros(time).alias("micros"), F.col(order).alias("place"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in schema.names)), _TIMES).alias("event")
     )
-    decided = packed.withWatermark("at", delay).groupBy("holder").transformWithStateInPandas(_Limiter(seconds, limit), "event string, limited boolean", "append", "EventTime")
+    decided = packed.withWatermark("at", delay).groupBy("bucket").transformWithStateInPandas(_Limiter(seconds, limit), "event string, limited boolean", "append", "EventTime")
     return decided.select(F.from_json("event", schema, _TIMES).alias("event"), "limited").select("event.*", "limited")
 
 
