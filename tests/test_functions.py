@@ -76,3 +76,18 @@ def test_checksums_in_sql(spark):
     register_functions(spark)
     row = spark.sql("SELECT verhoeff_valid('2363') AS ok, verhoeff_valid('2364') AS bad, verhoeff_valid(NULL) AS none, verhoeff_check_digit('236') AS digit").first()
     assert (row.ok, row.bad, row.none, row.digit) == (True, False, False, "3")
+
+
+def test_change_counts_fold_every_changed_text():
+    import random
+
+    from veilwork.functions.checksum import change_counts, fold
+
+    rnd = random.Random(7)
+    # Texts that do not fold to 0 too: some of their changes do, so that both answers occur.
+    texts = ["".join(rnd.choice("0123456789") for _ in range(rnd.randrange(1, 15))) for _ in range(60)] + ["7", "00", "236"]
+    changed = [t[:i] + d + t[i + 1 :] for t in texts for i in range(len(t)) for d in "0123456789" if d != t[i]]
+    swapped = [t[:i] + t[i + 1] + t[i] + t[i + 2 :] for t in texts for i in range(len(t) - 1) if t[i] != t[i + 1]]
+    want = tuple((len(ts), int((fold(ts, 0)[0] != 0).sum())) for ts in (changed, swapped))
+    assert change_counts(texts) == want and all(n > found for n, found in want)
+    assert change_counts([]) == ((0, 0), (0, 0))
