@@ -107,3 +107,10 @@ def test_masks_by_row_meet_one_scan_of_pixels(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted((p, x, y, *((0, 0, 0, 255) if p == 1 and black(x, y) else (x, y, 9, 255))) for p, x, y, *_ in rows)
     plan = raster.paint_masks(pixels, masks)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "NestedLoop" not in plan
+
+
+def test_a_worker_takes_up_few_tiles_at_once():
+    whole = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "data": [b"x"] * 100})
+    taken = list(tiles._few(iter([whole, whole.slice(0, 0), whole.slice(0, 5)])))
+    assert max(b.num_rows for b in taken) <= tiles.BATCH
+    assert [i for b in taken for i in b.column("page_id").to_pylist()] == [*range(100), *range(5)]

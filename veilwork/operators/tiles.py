@@ -21,7 +21,7 @@ from veilwork.operators.raster import BIMODAL as EXTREME
 
 SIZE, CHANNELS, SPREAD = 256, 5, 16
 KEY = ["page_id", "x0", "y0"]
-#: Tiles in a batch that a cut page gives out at once.
+#: Tiles that a worker takes up, or a cut page gives out, at once, whatever the size of Arrow's batches.
 BATCH = 32
 
 Frame = dict[str, int]
@@ -38,6 +38,13 @@ def _array(frame: Frame, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(frame["h"] + edge, frame["w"] + edge, CHANNELS)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of BATCH tiles at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH):
+            yield b.slice(at, BATCH)
+
+
 def _inner(pixels: np.ndarray, frame: Frame) -> np.ndarray:
     k = frame["halo"]
     return pixels[k : k + frame["h"], k : k + frame["w"]]
@@ -49,7 +56,7 @@ def _each(tiles: DataFrame, work: Work, more: tuple[str, ...] = ()) -> DataFrame
     names = schema.names[1:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             frames = b.select([*names, *more]).to_pylist()
             done = [work(_array(f, d.as_py()), f) for f, d in zip(frames, b.column("data"), strict=True)]
             columns = [b.column("page_id"), *(pa.array([f[c] for _, f in done], pa.int32()) for c in names), pa.array([p.tobytes() for p, _ in done], pa.binary())]
@@ -120,7 +127,7 @@ def to_pixels(tiles: DataFrame) -> DataFrame:
     schema = T.StructType([tiles.schema["page_id"], *(T.StructField(c, T.IntegerType()) for c in ("px", "py", "r", "g", "b", "a"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             kind = b.schema.field("page_id").type
             for f in b.to_pylist():
                 p = _inner(_array(f, f["data"]), f)
@@ -165,7 +172,7 @@ def histogram(tiles: DataFrame) -> DataFrame:
     schema = T.StructType([tiles.schema["page_id"], T.StructField("v", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             kind = b.schema.field("page_id").type
             for f in b.to_pylist():
                 p = _inner(_array(f, f["data"]), f)
@@ -206,7 +213,7 @@ def cell_stats(tiles: DataFrame, grid: int = GRID) -> DataFrame:
     schema = T.StructType([tiles.schema["page_id"], *(T.StructField(c, T.LongType()) for c in ("row", "col", "cell", "n", "s", "ss", "extreme"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             kind = b.schema.field("page_id").type
             for f in b.to_pylist():
                 cell = max(LEAST_CELL, max(f["page_w"], f["page_h"]) // grid)
