@@ -58,6 +58,19 @@ def test_page_with_a_clean_id_is_left_alone(spark):
     assert new == [] and merged == [(20.0, 100.0, 120.0, False)]
 
 
+def test_steps_are_read_once_unless_bands_tangle(spark, monkeypatch):
+    """Tokens go to detection once, not once a step; on a page whose bands share lines each step is read on its own, as the lines then are others in each."""
+    parts = [token(1000, x, 200, 40, text=ID[i : i + 4]) for i, x in ((0, 20), (4, 80), (8, 140))]
+    seen, real = [], passes.detect_text_steps
+    monkeypatch.setattr(passes, "detect_text_steps", lambda rows, steps: seen.append(rows.count()) or real(rows, steps))
+    assert recovered(spark, [], [(0, t) for t in parts])[0] == [(20.0, 200.0, 160.0, False)] and seen == [3]
+    # A token of band 1 between those of band 0, on the same line: the id is there in the first step only.
+    new, _ = recovered(spark, [], [*((0, t) for t in parts), (1, token(1000, 70, 200, 5, text="-"))])
+    assert new == [(20.0, 200.0, 160.0, False)] and seen == [3, 3 + 4 + 4]
+    # Behind them, on a line of its own, it takes nothing away.
+    assert recovered(spark, [], [*((0, t) for t in parts), (1, token(2000, 70, 200, 5, text="-"))])[0] == [(20.0, 200.0, 160.0, False)]
+
+
 def test_numbers_of_many_samples_are_each_used_once(spark):
     n = 100_000
     docs = spark.range(n).select(F.format_string("name %08d", F.pmod(F.col("id") * 7919, F.lit(n))).alias("name"), F.col("id").alias("doc_id"), F.lit(1).alias("num_pages")).repartition(64)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from veilwork.functions import geometry as G
 from veilwork.functions.text import TEXT_KINDS
-from veilwork.operators.detect import PAGE, detect_id12_inline, detect_id12_triplets, detect_pan, detect_text, greedy, merge_id12
+from veilwork.operators.detect import PAGE, detect_id12_inline, detect_id12_triplets, detect_pan, detect_text, detect_text_steps, greedy, merge_id12
 from veilwork.sources.staging import written
 from veilwork.sources.tokens import with_recognizer
 
@@ -93,6 +93,19 @@ def settle_ids(ids: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return greedy(ids, [*keys, "value"], order, overlap, lambda one, other: ~one["suspicious"] & other["suspicious"] & overlap(one, other))
 
 
+def _tangled(read: DataFrame) -> DataFrame:
+    """Pages on which a line of a band does not lie behind all lines of the full page (band -1) and of earlier bands."""
+    of = lambda i: F.when(F.col("band") == i, F.col("line_id"))
+    bands = range(-1, len(BANDS))
+    ends = [c for i in bands for c in (F.min(of(i)).alias(f"first{i}"), F.max(of(i)).alias(f"last{i}"))]
+    lines = read.groupBy(*PAGE).agg(*ends, F.count(F.when(F.col("line_id").isNull(), 1)).alias("unknown"))
+    mixed = F.col("unknown") > 0
+    for i in bands[1:]:
+        for j in range(-1, i):
+            mixed = mixed | F.coalesce(F.col(f"first{i}") <= F.col(f"last{j}"), F.lit(False))
+    return lines.where(mixed).select(*PAGE)
+
+
 def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pages: DataFrame) -> DataFrame:
     """Text hits of the page with its first bands, for pages without an id or with a suspicious one.
 
@@ -101,14 +114,23 @@ def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pa
     themselves. bands: translated band tokens with their band.
     """
     need = pages.select(*PAGE).distinct().join(_flagged(current), PAGE, "left").where(~F.coalesce("has_id", F.lit(False)) | F.coalesce("doubt", F.lit(False))).select(*PAGE)
-    columns = [*PAGE, "line_id", "token_seq", "text", "x", "y", "w", "h", "confidence"]
-    steps = F.array(*(F.lit(i) for i in range(len(BANDS))))
-    all_steps = full.join(need, PAGE, "left_semi").select(*columns, F.explode(steps).alias("step"))
-    with_bands = bands.join(need, PAGE, "left_semi").select(*columns, F.explode(F.sequence("band", F.lit(len(BANDS) - 1))).alias("step"))
-    # A step counts as a page of its own.
+    # Read by each detector: written, so that full pages and bands are met with what is needed once.
     n = len(BANDS)
-    stepped = all_steps.unionByName(with_bands).withColumn("page_index", F.col("page_index") * n + F.col("step")).drop("step")
-    hits = detect_text(stepped).withColumns({"step": F.pmod(F.col("page_index"), F.lit(n)), "page_index": F.floor(F.col("page_index") / n).cast("long")})
+    read = full.select(*TOKEN, F.lit(-1).alias("band")).unionByName(bands.select(*TOKEN, F.col("band").cast("int").alias("band")))
+    read = written(read.join(need, PAGE, "left_semi"), "steps-read")
+    # Where lines of a band lie among those of another, a step counts as a page of its own; else a hit is found once and lives from its last band on.
+    tangled = written(_tangled(read), "tangled")
+    read = read.withColumn("_born", F.greatest("band", F.lit(0))).drop("band")
+    once = read.join(tangled, PAGE, "left_anti").withColumn("page_index", F.col("page_index") * (n + 1))
+    apart = read.join(tangled, PAGE, "left_semi").withColumn("_step", F.explode(F.sequence("_born", F.lit(n - 1))))
+    apart = apart.withColumns({"page_index": F.col("page_index") * (n + 1) + F.col("_step") + 1, "_born": F.col("_step")}).drop("_step")
+
+    def steps(hits: DataFrame) -> DataFrame:
+        own = F.pmod(F.col("page_index"), F.lit(n + 1)).cast("int")
+        last = F.when(own == 0, F.lit(n - 1)).otherwise(own - 1)
+        return hits.withColumn("step", F.explode(F.sequence("_born", last))).withColumn("page_index", F.floor(F.col("page_index") / (n + 1)).cast("long"))
+
+    hits = detect_text_steps(once.unionByName(apart), steps)
     columns = hits.columns
     ids = settle_ids(hits.where(F.col("kind") == "aadhaar"), [*PAGE, "step"], [F.col("part"), F.col("place")]).select(columns)
     # Read four times below: written, so that detection is planned and run once.
