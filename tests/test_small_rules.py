@@ -49,6 +49,28 @@ def test_box_edits_over_seeds(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_counts_write_no_detections(spark):
+    from veilwork.plans.queries import QUERIES
+    from veilwork.sources import staging
+
+    before = len(staging._PATHS)
+    assert QUERIES["accuracy_totals"](spark, "/root/testdata/sf0.001").collect()[0].samples > 0
+    assert not [p for p in staging._PATHS[before:] if "veilwork-detections" in p]
+
+
+def test_brief_detections_have_the_same_index(spark):
+    """Codes at one corner go by their payload; without payloads their ordinal keeps that order. No payload is left to move to the page's order."""
+    tokens = spark.createDataFrame([(1, 0, 0, 0, "ABCPE1234F", 5.0, 5.0, 90.0, 20.0, 0.9)], "doc_id long, page_index long, line_id long, token_seq int, text string, x double, y double, w double, h double, confidence double")
+    face = spark.createDataFrame([(1, 0, "face", (9.0, 1.0, 5.0, 5.0), (9.0, 1.0, 5.0, 5.0), "face", 0.9, False)], f"doc_id long, page_index long, kind string, bbox {G.BOX}, mask_bbox {G.BOX}, value string, confidence double, suspicious boolean")
+    # Boxes so unlike in size that they stay beside one another.
+    codes = [(1, 0, "other_qr", (7.0, 7.0, w, w), (7.0, 7.0, w, w), v, 1.0, False, 0) for v, w in (("payload b", 10.0), ("payload c", 40.0), ("payload a", 160.0))]
+    codes = detect.compose_qr(spark.createDataFrame(codes, f"doc_id long, page_index long, kind string, bbox {G.BOX}, mask_bbox {G.BOX}, value string, confidence double, suspicious boolean, priority int"))
+    whole, brief = detect.detect_page(tokens, face, codes), detect.detect_page_brief(tokens, face, codes)
+    rows = sorted((r.detection_index, r.kind, r.value, r.bbox.w) for r in whole.collect())
+    assert [(i, v) for i, _, v, _ in rows] == [(0, "ABCPE1234F"), (1, "face"), (2, "payload a"), (3, "payload b"), (4, "payload c")]
+    assert sorted((r.detection_index, r.kind, r.bbox.w) for r in brief.collect()) == [(i, k, w) for i, k, _, w in rows] and "value" not in brief.columns
+
+
 def components(cells):
     """Sizes and edges of 4-neighbour components by repeated relabelling."""
     label = {c: c for c in cells}
