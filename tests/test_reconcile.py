@@ -36,3 +36,13 @@ def test_upright_passes(spark):
 
 def test_turned_passes(spark):
     assert run(spark, True) == [*ALWAYS, (2, "aadhaar", 60.0, 5.0, ID, 90), (2, "face", 9.0, 1.0, "", 90), (3, "aadhaar", 80.0, 309.0, ID, 0), (5, "face", 1.0, 1.0, "", 0)]
+
+
+def test_faces_and_codes_need_no_text(spark):
+    from veilwork.plans.queries import QUERIES
+    from veilwork.sources import staging
+
+    before = len(staging._PATHS)
+    assert QUERIES["reconcile"](spark, "/root/testdata/sf0.001").count()
+    made = staging._PATHS[before:]
+    assert not [p for p in made if "veilwork-detections" in p] and any("veilwork-others" in p for p in made)
