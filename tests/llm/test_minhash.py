@@ -121,3 +121,25 @@ def test_links_of_a_share_of_the_rows_at_a_larger_size(spark):
     got = {r.id: r.component_id for r in m.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     links = [(a, b) for a in sets if a % 20 == 0 for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert links and all(got[a] == got[b] for a, b in links)
+
+
+def test_parities_refute_no_link_and_most_others(spark):
+    """Parities are a fraction of a set, bound the differing elements from below, and keep full sets of others from being moved."""
+    rng = np.random.default_rng(5)
+    one = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    rows, linked = [], []
+    for shared in range(0, 401, 8):
+        for n in (320, 400, 500):
+            two = np.unique(np.concatenate([one[: min(shared, n)], rng.integers(0, 2**63, n - min(shared, n)).astype(np.uint64)]))
+            both = len(np.intersect1d(one, two))
+            linked.append(100 * both >= 80 * (len(one) + len(two) - both))
+            rows.append((m.parities(one), m.parities(two), len(one) + len(two)))
+    assert all(len(a) * 8 <= 4 * 400 for a, _, _ in rows)
+    got = [r.may for r in spark.createDataFrame(rows, "a binary, b binary, n long").coalesce(1).select(m.may_be_close("a", "b", "n").alias("may")).collect()]
+    assert any(linked) and all(may for may, is_ in zip(got, linked) if is_)
+    assert sum(got) <= sum(linked) + 6
+    # In blocks of unlike sizes: members 0 and 3 are alike, 1 is of their component, 2 is like none.
+    sets = [one, one[:390], np.unique(rng.integers(0, 2**63, 390).astype(np.uint64)), np.concatenate([one, one[:1] + np.uint64(1)]), one[:30]]
+    members = [(i, [0, 0, 2, 3, 4][i], i in (0, 2, 4), len(x), m.parities(np.unique(x))) for i, x in enumerate(sets)]
+    assert m._possible(members, True) == [0, 1, 3] and m._possible(members, False) == [0, 3]
+    assert m._possible(members[:3], True) == []

@@ -9,19 +9,21 @@ minima are.
 Documents with the same set are one class from the start. Classes that agree in a band share a bucket.
 Pairs are not formed within buckets: in each round a bucket has pivots, at first one, then twice as many,
 and only members of another component than the pivot's are compared with it, by their full sets. A bucket
-whose members are all in one component is done. After the last round every pair that shares a bucket has
+whose members are all in one component is done. Full sets move only for pairs that the parities of their elements, which
+take a small part of the room, do not refute. After the last round every pair that shares a bucket has
 been compared or is connected by confirmed links, so the components are those of all candidate links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwork.llm.shared import KeyFilter, Scratch, broadcast_parameter, first_row, free_name, heavy_keys, join_one, spread_join, staged, tidy
 
@@ -127,9 +129,9 @@ def set_key(elements: np.ndarray) -> bytes | None:
 
 
 def shingle_sets(df: DataFrame, wanted: KeyFilter, size: int = SHINGLE) -> DataFrame:
-    """(id, text) to (set_key, elements), the sorted hashes of each whole text's shingles, for the ids that a filter lets pass.
+    """(id, text) to (set_key, marks, elements), the sorted hashes of each whole text's shingles, for the ids that a filter lets pass.
 
-    Texts without words are left out.
+    Texts without words are left out. marks: see parities.
     """
     may = wanted.test()
 
@@ -141,9 +143,40 @@ def shingle_sets(df: DataFrame, wanted: KeyFilter, size: int = SHINGLE) -> DataF
                 if found:
                     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.binary()), lists], ["set_key", "elements"])
+                    keys, marks = (pa.array([f(x) for x in found], pa.binary()) for f in (set_key, parities))
+                    yield pa.RecordBatch.from_arrays([keys, marks, lists], ["set_key", "marks", "elements"])
 
-    return df.select("text", wanted.place(F.xxhash64("id")).alias("place")).mapInArrow(tidy(sets), "set_key binary, elements array<long>")
+    return df.select("text", wanted.place(F.xxhash64("id")).alias("place")).mapInArrow(tidy(sets), "set_key binary, marks binary, elements array<long>")
+
+
+def parities(elements: np.ndarray) -> bytes:
+    """A bit for each of two to four cells an element, a power of two of them: whether an odd number of elements is in the cell."""
+    cells = 1 << max(6, int(2 * len(elements) - 1).bit_length())
+    return np.packbits(np.bincount((elements & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(marks: bytes, size: int) -> np.ndarray:
+    """Parities with as many bytes as asked for: cells that are equal modulo the smaller number are one."""
+    return np.bitwise_xor.reduce(np.frombuffer(marks, np.uint8).reshape(-1, size), 0)
+
+
+def _may_be_close(differing: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets with so many differing parities and so many elements in all can be alike enough.
+
+    Each differing parity is an element at least that only one of them has, so no such pair is lost. With d of those elements
+    and t in all, the shared part is (t - d) / (t + d).
+    """
+    return (100 - PERCENT) * total >= (100 + PERCENT) * differing
+
+
+@F.arrow_udf(T.BooleanType())
+def may_be_close(one: pa.Array, two: pa.Array, total: pa.Array) -> pa.Array:
+    """By the parities of two sets and the number of their elements."""
+    differing = []
+    for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True):
+        size = min(len(a), len(b))
+        differing.append(int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum()))
+    return pa.array(_may_be_close(np.array(differing, np.int64), total.to_numpy(zero_copy_only=False)))
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -253,33 +286,85 @@ def _block_links(members: list[tuple[int, int, bool, np.ndarray]], same: bool) -
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (bucket, one, two, first, node, component, elements): links within each (bucket, one, two)."""
-    key, members, links = None, [], []
+def _possible(members: list[tuple[int, int, bool, int, bytes]], same: bool) -> list[int]:
+    """The nodes of members (node, component, in the first block, set size, parities) that another one, of another component, may be close to."""
+    node, component, first, n = (np.array([m[i] for m in members]) for i in range(4))
+    size = np.array([len(m[4]) for m in members])
+    found = np.zeros(len(members), bool)
+    for least in np.unique(size).tolist():
+        # Sets of more than twice the cells have too many elements to be close.
+        own = np.flatnonzero((size >= least) & (size <= 2 * least))
+        marks = np.stack([_folded(members[i][4], least) for i in own])
+        for row, i in enumerate(own.tolist()):
+            if size[i] > least:
+                continue
+            meet = component[own] != component[i]
+            if not same:
+                meet &= first[own] != first[i]
+            if meet.any():
+                others = own[meet]
+                close = _may_be_close(np.bitwise_count(marks[meet] ^ marks[row]).sum(1, dtype=np.int64), n[others] + n[i])
+                found[others[close]] = True
+                found[i] |= close.any()
+    return np.unique(node[found]).tolist()
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], own: Callable[[pa.RecordBatch], Iterator], columns: list[str]) -> Iterator[tuple[tuple, list]]:
+    """Members of each (bucket, one, two) of sorted rows: some columns, and what own takes from a batch."""
+    key, members = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "first", "node", "component")]
-        for row, e in zip(zip(*columns, strict=True), batch.column("elements"), strict=True):
+        for row, last in zip(zip(*(batch.column(c).to_pylist() for c in ("bucket", "one", "two", *columns)), strict=True), own(batch), strict=True):
             if row[:3] != key:
                 if key:
-                    links += _block_links(members, key[1] == key[2])
+                    yield key, members
                 key, members = row[:3], []
-            members.append((row[4], row[5], row[3], e.values.to_numpy()))
+            members.append((*row[3:], last))
     if key:
-        links += _block_links(members, key[1] == key[2])
-    links = sorted(set(links))
+        yield key, members
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (bucket, one, two, first, node, component, elements): links within each (bucket, one, two)."""
+    links = set()
+    for key, members in _blocks_of(batches, lambda b: (e.values.to_numpy() for e in b.column("elements")), ["node", "component", "first"]):
+        links.update(_block_links(members, key[1] == key[2]))
+    links = sorted(links)
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (bucket, one, two, first, node, component, n, marks): the nodes of each bucket that may have links in a (bucket, one, two)."""
+    for key, members in _blocks_of(batches, lambda b: iter(b.column("marks").to_pylist()), ["node", "component", "first", "n"]):
+        if nodes := _possible(members, key[1] == key[2]):
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(nodes), pa.int64()), pa.array(nodes, pa.int64())], ["bucket", "node"])
+
+
+def _met(groups: DataFrame, more: list[str]) -> DataFrame:
+    """Rows of each pair of blocks of a bucket, sorted within the task that has them all."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") <= F.col("other")).alias("first"), "node", "component", *more)
+    return rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+
+
+def _links_within(groups: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between members (bucket, members, node, set_key, component) of each bucket, of different components, by full sets.
 
-    Buckets of up to BLOCK members are compared in one task; larger ones are cut in blocks, each pair of blocks is compared.
+    Buckets of up to BLOCK members are compared in one task; larger ones are cut in blocks, each pair of blocks is compared. Parities
+    move first, and full sets only of members that they leave a possible link.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    rest = rest.join(sets, "set_key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") <= F.col("other")).alias("first"), "node", "component", "elements")
-    return rest.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInArrow(tidy(_compare), "a long, b long")
+    groups = scratch.staged(groups.select("bucket", "members", "node", "set_key", "component"), "groups")
+    marks = groups.join(sets.select("set_key", "marks", F.size("elements").alias("n")), "set_key")
+    left = _met(marks, ["n", "marks"]).mapInArrow(tidy(_thin), "bucket long, node long").distinct()
+    left = scratch.staged(groups.join(left, ["bucket", "node"]), "possible")
+    return _met(left.join(_only(sets, left.select("set_key")), "set_key"), ["elements"]).mapInArrow(tidy(_compare), "a long, b long")
+
+
+def _only(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(set_key, elements) of these keys, and some others that a filter of bounded size lets through."""
+    wanted = KeyFilter(keys.select(F.xxhash64("set_key").alias("key")))
+    return sets.where(wanted.column(F.xxhash64("set_key"))).select("set_key", "elements")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -299,7 +384,7 @@ def _by_rare_elements(members: DataFrame, sets: DataFrame, scratch: Scratch) ->
     n being the size of either. Elements that many of these sets have come last, so sets that merely come from one
     template, and are not alike, meet in few of these buckets.
     """
-    rows = scratch.staged(members.join(sets, "set_key"), "large")
+    rows = scratch.staged(members.join(_only(sets, members.select("set_key")), "set_key"), "large")
     share = max(1, rows.count() // SAMPLE_SETS)
     sample = rows.where(F.pmod(F.xxhash64("set_key"), F.lit(share)) == 0).select(F.explode("elements").alias("bucket"))
     often = sample.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") * FREQUENT > SAMPLE_SETS).orderBy(F.desc("n"), "bucket").limit(1 << 20)
@@ -333,7 +418,7 @@ def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     keys = classes.select("node", "set_key")
     # Buckets of two members or more; those with the same members count once.
     rows_of = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    counts = rows_of.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.min("node").alias("low")).where(F.col("members") > 1)
+    counts = rows_of.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("sum"), F.min("node").alias("low")).where(F.col("members") > 1)
     counts = scratch.staged(counts.groupBy("members", "sum", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "members"), "buckets")
     heavy = heavy_keys(counts, "bucket", "members")
     buckets = scratch.staged(join_one(rows_of, counts, "bucket", heavy), "members")
@@ -351,7 +436,13 @@ def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     pairs = scratch.staged(pairs.select("node", "pivot").distinct(), "pairs")
     pivots = keys.select(F.col("node").alias("pivot"), F.col("set_key").alias("pivot_key"))
     pairs = scratch.staged(join_one(pairs, pivots, "pivot", heavy_keys(pairs, "pivot")).join(keys, "node"), "pairs")
-    one, two = sets.withColumnRenamed("elements", "one"), sets.select(F.col("set_key").alias("pivot_key"), F.col("elements").alias("two"))
+    # Pairs that parities refute go before full sets move.
+    size = F.size("elements").alias
+    one, two = sets.select("set_key", size("n"), F.col("marks").alias("one")), sets.select(F.col("set_key").alias("pivot_key"), size("pivot_n"), F.col("marks").alias("two"))
+    compared = spread_join(pairs.join(one, "set_key"), two, "pivot_key", heavy_keys(pairs, "pivot_key"))
+    pairs = scratch.staged(compared.where(may_be_close("one", "two", F.col("n") + F.col("pivot_n"))).select(pairs.columns), "pairs")
+    full = _only(sets, pairs.select("set_key").unionByName(pairs.select(F.col("pivot_key").alias("set_key"))))
+    one, two = full.withColumnRenamed("elements", "one"), full.select(F.col("set_key").alias("pivot_key"), F.col("elements").alias("two"))
     compared = spread_join(pairs.join(one, "set_key"), two, "pivot_key", heavy_keys(pairs, "pivot_key"))
     close = _enough(F.size(F.array_intersect("one", "two")), F.size("one"), F.size("two"))
     links = scratch.staged(compared.where(close).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
@@ -359,11 +450,11 @@ def _groups(df: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     placed = buckets.select("bucket", "members", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     opened = scratch.staged(_open(placed), "open")
     small, large = (opened.where(c).select("bucket") for c in (F.col("members") <= BLOCK, F.col("members") > BLOCK))
-    more = _links_within(placed.join(small, "bucket", "left_semi").join(keys, "node"), sets)
+    more = _links_within(placed.join(small, "bucket", "left_semi").join(keys, "node"), sets, scratch)
     if not large.isEmpty():
         members = placed.join(large, "bucket", "left_semi").select("node", "component").distinct().join(keys, "node")
         anew = scratch.staged(_by_rare_elements(members, sets, scratch), "anew")
-        more = more.unionByName(_links_within(join_one(anew, _open(anew), "bucket", heavy_keys(anew, "bucket")), sets))
+        more = more.unionByName(_links_within(join_one(anew, _open(anew), "bucket", heavy_keys(anew, "bucket")), sets, scratch))
     joined = components(scratch.staged(links.unionByName(more), "links"))
     # The smallest id of each component, then of each class, then of each row.
     own = classes.select("node", "set_key", "rep", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
