@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilwork.functions.checksum import INVERSE, fold
+from veilwork.functions.checksum import INVERSE, fold, verhoeff_valid12
 from veilwork.operators import detect, passes, reports
 from veilwork.sources.staging import written
 
@@ -79,3 +79,18 @@ def test_numbers_of_many_samples_are_each_used_once(spark):
     numbers = [int(r.sample.split("-")[1]) for r in out.collect()]
     assert sorted(numbers) == list(range(1, n + 1))
     assert out.where("uncertain = 1").count() == 1
+
+
+def test_text_is_detected_in_one_pass_without_python_workers(spark):
+    """Tokens are shuffled once, by page, for all detectors, also where hits live in steps."""
+    rows = spark.createDataFrame([token(0, 20, 5)], TOKEN)
+    for found in (detect.detect_text(rows), detect.detect_text_steps(rows.withColumn("_born", F.lit(0)), 3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_checksum_by_tables_is_the_fold(spark):
+    texts = [f"{(n * 7919 + 104729) % 10**12:012d}" for n in range(0, 10**12, 499_999_993)] + ["000000000000", ID]
+    c, _ = fold(texts, 0)
+    rows = spark.createDataFrame([(t, bool(x == 0)) for t, x in zip(texts, c, strict=True)] + [(None, None)], "t string, ok boolean")
+    assert rows.where(~verhoeff_valid12(F.col("t")).eqNullSafe(F.col("ok"))).count() == 0 and rows.where("ok").count() > 0

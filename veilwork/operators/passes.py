@@ -125,16 +125,8 @@ def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pa
     apart = read.join(tangled, PAGE, "left_semi").withColumn("_step", F.explode(F.sequence("_born", F.lit(n - 1))))
     apart = apart.withColumns({"page_index": F.col("page_index") * (n + 1) + F.col("_step") + 1, "_born": F.col("_step")}).drop("_step")
 
-    def steps(hits: DataFrame) -> DataFrame:
-        own = F.pmod(F.col("page_index"), F.lit(n + 1)).cast("int")
-        last = F.when(own == 0, F.lit(n - 1)).otherwise(own - 1)
-        return hits.withColumn("step", F.explode(F.sequence("_born", last))).withColumn("page_index", F.floor(F.col("page_index") / (n + 1)).cast("long"))
-
-    hits = detect_text_steps(once.unionByName(apart), steps)
-    columns = hits.columns
-    ids = settle_ids(hits.where(F.col("kind") == "aadhaar"), [*PAGE, "step"], [F.col("part"), F.col("place")]).select(columns)
     # Read four times below: written, so that detection is planned and run once.
-    hits = written(hits.where(F.col("kind") != "aadhaar").unionByName(ids), "steps")
+    hits = written(detect_text_steps(once.unionByName(apart), n), "steps")
     ids = hits.where(F.col("kind") == "aadhaar")
     doubts = current.where((F.col("kind") == "aadhaar") & F.col("suspicious")).withColumn("doubt_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("bbox.x", "bbox.y", "value")))
     clean = ids.where(~F.col("suspicious")).select(*PAGE, "value", "step", F.col("bbox").alias("clean_box"))
