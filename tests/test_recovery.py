@@ -94,3 +94,17 @@ def test_checksum_by_tables_is_the_fold(spark):
     c, _ = fold(texts, 0)
     rows = spark.createDataFrame([(t, bool(x == 0)) for t, x in zip(texts, c, strict=True)] + [(None, None)], "t string, ok boolean")
     assert rows.where(~verhoeff_valid12(F.col("t")).eqNullSafe(F.col("ok"))).count() == 0 and rows.where("ok").count() > 0
+
+
+def test_tables_of_pages_are_never_broadcast(spark, monkeypatch):
+    """Their files are small for what they hold: band plans, pages in need and hits meet by shuffles, so the driver holds none of them."""
+    full, sizes = written(spark.createDataFrame([token(0, 20, 100, 900, 40)], TOKEN), "full"), written(spark.createDataFrame([(1, 0, 1000, 600)], PAGES), "sizes")
+    read = written(spark.createDataFrame([(*token(0, 600, 105), 1)], TOKEN + ", band int"), "bands")
+    current = written(detect.numbered(detect.detect_text(full)), "current")
+    plans = []
+    monkeypatch.setattr(passes, "written", lambda df, name: plans.append(df) or written(df, name))
+    moved = passes.translate_band_tokens(read, passes.band_plan(sizes), full)
+    new = passes.recover_from_bands(full, moved, current, sizes)
+    assert [(r.bbox.x, r.suspicious) for r in new.collect()] == [(600.0, False)]
+    names = [df._jdf.queryExecution().executedPlan().toString() for df in (*plans, moved, new)]
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in names)

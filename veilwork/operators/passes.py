@@ -26,15 +26,21 @@ def _is_text() -> Column:
     return F.col("kind").isin(*TEXT_KINDS)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, for a join by shuffle whatever Spark takes their size for: columns of pages are written in two bytes or so a row, so
+    tables of millions of rows pass for small and would go through the driver as a broadcast, at a hundred bytes and more a row."""
+    return rows.hint("merge")
+
+
 def pick_enhanced(raw: DataFrame, enhanced: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Where an image has no text hit, the enhanced pass's text hits; faces and codes always from the raw pass.
 
     pages: PAGE and kind; pages of another kind than image keep the raw pass. Without it, all are images.
     """
-    hit = raw.where(_is_text()).select(*PAGE).distinct()
+    hit = dealt(raw.where(_is_text()).select(*PAGE).distinct())
     new = enhanced.where(_is_text()).join(hit, PAGE, "left_anti")
     if pages is not None:
-        new = new.join(pages.where(F.col("kind") == "image").select(*PAGE), PAGE, "left_semi")
+        new = new.join(dealt(pages.where(F.col("kind") == "image").select(*PAGE)), PAGE, "left_semi")
     return raw.unionByName(new)
 
 
@@ -58,8 +64,8 @@ def apply_rotation(detections: DataFrame, winners: DataFrame, rotated: DataFrame
 
     rotated: detections with a column rotation.
     """
-    hit = detections.where(_is_text()).select(*PAGE).distinct()
-    turned = winners.select(*PAGE, "rotation").join(hit, PAGE, "left_anti")
+    hit = dealt(detections.where(_is_text()).select(*PAGE).distinct())
+    turned = dealt(winners.select(*PAGE, "rotation").join(hit, PAGE, "left_anti"))
     new = rotated.join(turned, [*PAGE, "rotation"], "left_semi").drop("rotation")
     return detections.join(turned, PAGE, "left_anti").unionByName(new)
 
@@ -75,9 +81,12 @@ def band_plan(pages: DataFrame) -> DataFrame:
 def translate_band_tokens(band_tokens: DataFrame, plan: DataFrame, full: DataFrame) -> DataFrame:
     """Band tokens in page coordinates, their line ids behind those of the full page and of earlier bands."""
     last = full.groupBy(*PAGE).agg(F.max("line_id").alias("last"))
-    rows = band_tokens.join(plan.select(*PAGE, "band", "y0"), [*PAGE, "band"]).join(last, PAGE, "left")
+    # A row for each page, so that tokens are dealt by page alone and once.
+    starts = plan.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("band").alias("of"), F.col("y0").alias("start"))).alias("starts"))
+    rows = band_tokens.join(dealt(starts), PAGE).join(dealt(last), PAGE, "left")
+    rows = rows.withColumn("own", F.explode(F.filter("starts", lambda s: s["of"] == F.col("band"))))
     base = F.coalesce("last", F.lit(-1)) + LINE_STEP * (F.col("band") + 1)
-    return rows.withColumns({"y": F.col("y") + F.col("y0"), "line_id": F.col("line_id") + base}).drop("y0", "last")
+    return rows.withColumns({"y": F.col("y") + F.col("own.start"), "line_id": F.col("line_id") + base}).drop("last", "starts", "own")
 
 
 def _flagged(current: DataFrame) -> DataFrame:
@@ -93,17 +102,18 @@ def settle_ids(ids: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return greedy(ids, [*keys, "value"], order, overlap, lambda one, other: ~one["suspicious"] & other["suspicious"] & overlap(one, other))
 
 
-def _tangled(read: DataFrame) -> DataFrame:
-    """Pages on which a line of a band does not lie behind all lines of the full page (band -1) and of earlier bands."""
+def _with_tangled(read: DataFrame) -> DataFrame:
+    """Add whether, on the row's page, a line of a band does not lie behind all lines of the full page (band -1) and of earlier bands."""
+    page = Window.partitionBy(*PAGE)
     of = lambda i: F.when(F.col("band") == i, F.col("line_id"))
     bands = range(-1, len(BANDS))
-    ends = [c for i in bands for c in (F.min(of(i)).alias(f"first{i}"), F.max(of(i)).alias(f"last{i}"))]
-    lines = read.groupBy(*PAGE).agg(*ends, F.count(F.when(F.col("line_id").isNull(), 1)).alias("unknown"))
-    mixed = F.col("unknown") > 0
+    ends = {f"_{name}{i}": f(of(i)).over(page) for i in bands for name, f in (("first", F.min), ("last", F.max))}
+    mixed = F.col("_unknown") > 0
     for i in bands[1:]:
         for j in range(-1, i):
-            mixed = mixed | F.coalesce(F.col(f"first{i}") <= F.col(f"last{j}"), F.lit(False))
-    return lines.where(mixed).select(*PAGE)
+            mixed = mixed | F.coalesce(F.col(f"_first{i}") <= F.col(f"_last{j}"), F.lit(False))
+    rows = read.withColumns({**ends, "_unknown": F.count(F.when(F.col("line_id").isNull(), 1)).over(page)})
+    return rows.withColumn("tangled", mixed).drop(*ends, "_unknown")
 
 
 def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pages: DataFrame) -> DataFrame:
@@ -113,29 +123,27 @@ def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pa
     every suspicious id of the page by a clean one of the same value ends the search. The ids of a step are settled among
     themselves. bands: translated band tokens with their band.
     """
-    need = pages.select(*PAGE).distinct().join(_flagged(current), PAGE, "left").where(~F.coalesce("has_id", F.lit(False)) | F.coalesce("doubt", F.lit(False))).select(*PAGE)
-    # Read by each detector: written, so that full pages and bands are met with what is needed once.
+    need = pages.select(*PAGE).distinct().join(dealt(_flagged(current)), PAGE, "left").where(~F.coalesce("has_id", F.lit(False)) | F.coalesce("doubt", F.lit(False))).select(*PAGE)
     n = len(BANDS)
     read = full.select(*TOKEN, F.lit(-1).alias("band")).unionByName(bands.select(*TOKEN, F.col("band").cast("int").alias("band")))
-    read = written(read.join(need, PAGE, "left_semi"), "steps-read")
-    # Where lines of a band lie among those of another, a step counts as a page of its own; else a hit is found once and lives from its last band on.
-    tangled = written(_tangled(read), "tangled")
-    read = read.withColumn("_born", F.greatest("band", F.lit(0))).drop("band")
-    once = read.join(tangled, PAGE, "left_anti").withColumn("page_index", F.col("page_index") * (n + 1))
-    apart = read.join(tangled, PAGE, "left_semi").withColumn("_step", F.explode(F.sequence("_born", F.lit(n - 1))))
-    apart = apart.withColumns({"page_index": F.col("page_index") * (n + 1) + F.col("_step") + 1, "_born": F.col("_step")}).drop("_step")
-
-    # Read four times below: written, so that detection is planned and run once.
-    hits = written(detect_text_steps(once.unionByName(apart), n), "steps")
-    ids = hits.where(F.col("kind") == "aadhaar")
-    doubts = current.where((F.col("kind") == "aadhaar") & F.col("suspicious")).withColumn("doubt_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("bbox.x", "bbox.y", "value")))
-    clean = ids.where(~F.col("suspicious")).select(*PAGE, "value", "step", F.col("bbox").alias("clean_box"))
-    cleared = doubts.join(clean, [*PAGE, "value"]).where(G.boxes_overlap(F.col("bbox"), F.col("clean_box"))).groupBy(*PAGE, "step").agg(F.count_distinct("doubt_no").alias("cleared"))
-    doubt_count = doubts.groupBy(*PAGE).agg(F.count("*").alias("doubts"))
-    chosen = ids.select(*PAGE, "step").distinct().join(cleared, [*PAGE, "step"], "left").join(doubt_count, PAGE, "left")
-    done = (F.col("doubts") > 0) & (F.col("cleared") == F.col("doubts"))
-    chosen = chosen.groupBy(*PAGE).agg(F.coalesce(F.min(F.when(done, F.col("step"))), F.max("step")).alias("step"))
-    return hits.join(chosen, [*PAGE, "step"], "left_semi").drop("step")
+    # Dealt by page once, for what is needed, for tangled lines and for detection.
+    read = _with_tangled(read.join(dealt(need), PAGE, "left_semi"))
+    # Where lines of a band lie among those of another, each step is read on its own; else a hit is found once and lives from its last band on.
+    born = F.greatest("band", F.lit(0))
+    read = read.withColumn("_only", F.explode(F.when(F.col("tangled"), F.sequence(born, F.lit(n - 1))).otherwise(F.array(F.lit(None).cast("int")))))
+    read = read.withColumn("_born", F.coalesce("_only", born)).drop("band", "tangled")
+
+    # Read twice below: written, so that detection is planned and run once.
+    hits = written(detect_text_steps(read, n), "steps")
+    is_id = F.col("kind") == "aadhaar"
+    mark = lambda rows, step: rows.select(*PAGE, F.struct(step.alias("step"), "value", "bbox", "suspicious").alias("mark"))
+    marks = mark(hits.where(is_id), F.col("step")).unionByName(mark(current.where(is_id & F.col("suspicious")), F.lit(-1)))
+    # Ids of a page are bounded by what it can show.
+    marks = marks.groupBy(*PAGE).agg(F.collect_list("mark").alias("marks")).select(*PAGE, F.filter("marks", lambda m: m["step"] >= 0).alias("ids"), F.filter("marks", lambda m: m["step"] < 0).alias("doubts"))
+    covers = lambda step, d: F.exists("ids", lambda i: (i["step"] == step) & ~i["suspicious"] & (i["value"] == d["value"]) & G.boxes_overlap(d["bbox"], i["bbox"]))
+    done = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: (F.size("doubts") > 0) & F.forall("doubts", lambda d: covers(s, d)))
+    chosen = marks.select(*PAGE, F.coalesce(F.array_min(done), F.array_max(F.transform("ids", lambda i: i["step"]))).alias("chosen"))
+    return hits.join(dealt(chosen), PAGE).where(F.col("step") == F.col("chosen")).select(hits.columns).drop("step")
 
 
 def merge_recovery(current: DataFrame, recovered: DataFrame) -> DataFrame:
@@ -185,7 +193,7 @@ def _recover_on_demand(first: DataFrame, found: DataFrame, size: DataFrame, read
     doubts = written(doubts.select(*PAGE, "value", "bbox", "doubt_no"), "doubts")
     seen, steps = first.select(*TOKEN), None
     for band in range(len(BANDS)):
-        plan = band_plan(open_pages).where(F.col("band") == band)
+        plan = dealt(band_plan(open_pages).where(F.col("band") == band))
         read_now = written(read(open_pages.join(plan, PAGE), "band").select(*TOKEN, "band"), "band")
         seen = seen.unionByName(translate_band_tokens(read_now, plan, first).select(*TOKEN))
         # Pages whose band is empty are left out of this step, as if it were not there.
