@@ -105,6 +105,7 @@ def test_tables_of_pages_are_never_broadcast(spark, monkeypatch):
     monkeypatch.setattr(passes, "written", lambda df, name: plans.append(df) or written(df, name))
     moved = passes.translate_band_tokens(read, passes.band_plan(sizes), full)
     new = passes.recover_from_bands(full, moved, current, sizes)
-    assert [(r.bbox.x, r.suspicious) for r in new.collect()] == [(600.0, False)]
-    names = [df._jdf.queryExecution().executedPlan().toString() for df in (*plans, moved, new)]
+    merged = passes.merge_recovery(current, written(new, "new"))
+    assert [(r.bbox.x, r.suspicious) for r in merged.collect()] == [(600.0, False)]
+    names = [df._jdf.queryExecution().executedPlan().toString() for df in (*plans, moved, new, merged)]
     assert all("SortMergeJoin" in p and "Broadcast" not in p for p in names)

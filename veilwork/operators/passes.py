@@ -157,8 +157,9 @@ def merge_recovery(current: DataFrame, recovered: DataFrame) -> DataFrame:
     had = _flagged(current).where("has_id").select(*PAGE)
     columns = [c for c in current.columns if c in recovered.columns]
     is_id = F.col("kind") == "aadhaar"
+    had = dealt(had)
     marked = current.join(had.withColumn("_had", F.lit(True)), PAGE, "left")
-    new_pages = recovered.select(*PAGE).distinct().join(had, PAGE, "left_anti").withColumn("_new", F.lit(True))
+    new_pages = dealt(recovered.select(*PAGE).distinct().join(had, PAGE, "left_anti").withColumn("_new", F.lit(True)))
     # Rows that no rule touches: all kinds but ids on pages that had one, all kinds but text on new pages.
     rest = marked.join(new_pages, PAGE, "left").where(~(F.col("_had").isNotNull() & is_id) & ~(F.col("_new").isNotNull() & _is_text())).select(*columns)
     text = recovered.join(had, PAGE, "left_anti").select(*columns)
