@@ -17,3 +17,12 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def own_tables():
+    """What one module's tests have written once is not taken by the next module's, so each finds the same whichever ran before it."""
+    from veilwork.sources import staging
+
+    staging._WRITTEN.clear()
+    yield

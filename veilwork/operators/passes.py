@@ -126,8 +126,9 @@ def recover_from_bands(full: DataFrame, bands: DataFrame, current: DataFrame, pa
     need = pages.select(*PAGE).distinct().join(dealt(_flagged(current)), PAGE, "left").where(~F.coalesce("has_id", F.lit(False)) | F.coalesce("doubt", F.lit(False))).select(*PAGE)
     n = len(BANDS)
     read = full.select(*TOKEN, F.lit(-1).alias("band")).unionByName(bands.select(*TOKEN, F.col("band").cast("int").alias("band")))
-    # Dealt by page once, for what is needed, for tangled lines and for detection.
-    read = _with_tangled(read.join(dealt(need), PAGE, "left_semi"))
+    # Dealt by page once, for what is needed, for tangled lines and for detection. No semi-join: Spark would move it into the union, and trust
+    # that the parts of a union are dealt alike, which gave wrong rows.
+    read = _with_tangled(read.join(dealt(need), PAGE))
     # Where lines of a band lie among those of another, each step is read on its own; else a hit is found once and lives from its last band on.
     born = F.greatest("band", F.lit(0))
     read = read.withColumn("_only", F.explode(F.when(F.col("tangled"), F.sequence(born, F.lit(n - 1))).otherwise(F.array(F.lit(None).cast("int")))))
@@ -154,24 +155,25 @@ def merge_recovery(current: DataFrame, recovered: DataFrame) -> DataFrame:
     the first in the order of detection stays, those of the page before recovered ones. That order is detection_index, or
     part and place, where the rows have them, and else from top to bottom.
     """
-    had = _flagged(current).where("has_id").select(*PAGE)
     columns = [c for c in current.columns if c in recovered.columns]
-    is_id = F.col("kind") == "aadhaar"
-    had = dealt(had)
-    marked = current.join(had.withColumn("_had", F.lit(True)), PAGE, "left")
-    new_pages = dealt(recovered.select(*PAGE).distinct().join(had, PAGE, "left_anti").withColumn("_new", F.lit(True)))
-    # Rows that no rule touches: all kinds but ids on pages that had one, all kinds but text on new pages.
-    rest = marked.join(new_pages, PAGE, "left").where(~(F.col("_had").isNotNull() & is_id) & ~(F.col("_new").isNotNull() & _is_text())).select(*columns)
-    text = recovered.join(had, PAGE, "left_anti").select(*columns)
+    is_id, late = F.col("kind") == "aadhaar", F.col("_order.late") == 1
 
     def ordered(rows: DataFrame, late: int) -> DataFrame:
-        """Ids of pages that had one, in the order of detection."""
+        """Rows with their place in the order of detection."""
         at = F.col("detection_index").cast("double") if "detection_index" in rows.columns else F.lit(0.0)
         place = F.struct("part", "place") if {"part", "place"} <= set(rows.columns) else F.struct(F.lit(0).alias("part"), F.struct(*(F.lit(0.0).alias(c) for c in ("rank", "line_id", "x", "token_seq"))).alias("place"))
-        return rows.where(is_id).join(had, PAGE, "left_semi").select(*columns, F.struct(F.lit(late).alias("late"), at.alias("at"), place.alias("place"), F.col("bbox.y").alias("y"), F.col("bbox.x").alias("x")).alias("_order"))
+        return rows.select(*columns, F.struct(F.lit(late).alias("late"), at.alias("at"), place.alias("place"), F.col("bbox.y").alias("y"), F.col("bbox.x").alias("x")).alias("_order"))
 
-    ids = settle_ids(ordered(current, 0).unionByName(ordered(recovered, 1)), PAGE, [F.col("_order")]).select(*columns)
-    return rest.unionByName(text).unionByName(ids)
+    # Dealt by page once, in one branch from the union on.
+    page = Window.partitionBy(*PAGE)
+    rows = ordered(current, 0).unionByName(ordered(recovered, 1))
+    rows = rows.withColumns({"_had": F.coalesce(F.max(is_id & ~late).over(page), F.lit(False)), "_new": F.max(late).over(page)})
+    # All kinds but recovered ones that are no ids on pages that had one, all kinds but the page's own text on new pages.
+    rows = rows.where(F.when(F.col("_had"), ~late | is_id).otherwise(late | ~F.col("_new") | ~_is_text()))
+    # Only ids of pages that had one are settled; the rest of a page is kept as it is.
+    rows = rows.withColumn("_settled", F.col("_had") & is_id).withColumn("_id", F.when(F.col("_settled"), F.col("value"))).drop("_had", "_new")
+    overlap = lambda a, b: a["_settled"] & b["_settled"] & G.boxes_overlap(a["bbox"], b["bbox"])
+    return greedy(rows, [*PAGE, "_id"], [F.col("_order")], overlap, lambda one, other: ~one["suspicious"] & other["suspicious"] & overlap(one, other)).select(*columns)
 
 
 #: Columns of tokens that passes are compared by.
@@ -198,7 +200,7 @@ def _recover_on_demand(first: DataFrame, found: DataFrame, size: DataFrame, read
         read_now = written(read(open_pages.join(plan, PAGE), "band").select(*TOKEN, "band"), "band")
         seen = seen.unionByName(translate_band_tokens(read_now, plan, first).select(*TOKEN))
         # Pages whose band is empty are left out of this step, as if it were not there.
-        hits = _text(seen.join(plan.select(*PAGE), PAGE, "left_semi"))
+        hits = _text(seen.join(plan.select(*PAGE), PAGE))
         ids = settle_ids(hits.where(is_id), PAGE, [F.col("part"), F.col("place")]).select(_FOUND)
         step = written(hits.where(~is_id).unionByName(ids).withColumn("step", F.lit(band)), "step")
         clean = step.where(is_id & ~F.col("suspicious")).select(*PAGE, "value", F.col("bbox").alias("clean_box"))
